@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from framewright.llm import exact_dedup
+from framewright.llm import exact_dedup, license_scan
 
 QUERIES = {
+    "op6_license_scan": license_scan.op6_license_scan,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLES = {
