@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from framewright.llm import exact_dedup, license_scan, secret_scan
+from framewright.llm import chat_format, exact_dedup, license_scan, secret_scan
 
 QUERIES = {
+    "op7_chat_format": chat_format.op7_chat_format,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op6_license_scan": license_scan.op6_license_scan,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
