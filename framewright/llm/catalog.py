@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from framewright.llm import bpe, chat_format, exact_dedup, license_scan, secret_scan
+from framewright.llm import bpe, chat_format, exact_dedup, license_scan, secret_scan, token_store
 
 QUERIES = {
+    "op4_token_files": token_store.op4_token_files,
     "op2_bpe_encoding": bpe.op2_bpe_encoding,
     "op7_chat_format": chat_format.op7_chat_format,
     "op8_secret_scan": secret_scan.op8_secret_scan,
