@@ -281,6 +281,24 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
                 yield batch.slice(a, b - a)
 
 
+def words_of(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, codes, offsets): runs without ASCII white space of whole texts, A-Z in lower case if asked.
+
+    Text k has the words ``codes[offsets[k]:offsets[k+1]]``; null texts have none.
+    """
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    flat = split.flatten().dictionary_encode()
+    offsets = split.offsets.to_numpy().astype(np.int64)
+    codes, offsets = flat.indices.to_numpy().astype(np.int64), offsets - offsets[0]
+    empty = pc.index(flat.dictionary, "").as_py()  # before, after and instead of words
+    if empty >= 0:
+        real = codes != empty
+        offsets = np.concatenate([[0], np.cumsum(real)])[offsets]
+        codes = codes[real]
+    return flat.dictionary, codes, offsets
+
+
 _LOADED: dict[str, Vocabulary] = {}
 
 
