@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from framewright.llm import bpe, chat_format, exact_dedup, license_scan, minhash, secret_scan, token_store
+from framewright.llm import bpe, chat_format, exact_dedup, license_scan, minhash, recompress, secret_scan, token_store
 
 QUERIES = {
+    "op5_substring_dedup": recompress.op5_substring_dedup,
     "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
     "op4_token_files": token_store.op4_token_files,
     "op2_bpe_encoding": bpe.op2_bpe_encoding,
