@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 6 << 20
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: White space of the vocabulary's own rules; regex's class has four control characters more.
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: how the vocabulary splits words into pieces.
@@ -201,8 +201,11 @@ class Vocabulary:
             self._sizes = np.array([len(t.removesuffix(self.end)) if t != self.end else len(t) for t in self.tokens], np.int64)
         return self._sizes
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(counts, ids) of words without ASCII white space, as the library's normaliser, splitter and model would."""
+    def encode_words(self, words: list[str], encode_pieces=None) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, ids) of words without ASCII white space, as the library's normaliser, splitter and model would.
+
+        ``encode_pieces`` may replace the method of that name.
+        """
         parts, owners, specials = words, None, {}
         if self.special_split and any("<|" in w for w in words):
             parts, owners = [], []
@@ -221,7 +224,7 @@ class Vocabulary:
         distinct = [p.encode() for p in pieces.dictionary.to_pylist()]
         border = distinct.index(b"\n") if b"\n" in distinct else -1
         real = [p for k, p in enumerate(distinct) if k != border]
-        counts, ids = self.encode_pieces(real)
+        counts, ids = (encode_pieces or self.encode_pieces)(real)
         if border >= 0:
             counts = np.insert(counts, border, 0)
         first = np.cumsum(counts) - counts
@@ -270,6 +273,16 @@ class WordCache:
         return ends[lists - lists[0]], ids
 
 
+_CACHES: dict[tuple, WordCache] = {}
+
+
+def word_cache(key: tuple, encode_words) -> WordCache:
+    """A worker's cache for ``key``: later tasks of the same worker find the words of earlier ones."""
+    if key not in _CACHES:
+        _CACHES[key] = WordCache(encode_words)
+    return _CACHES[key]
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about CHUNK_BYTES of text."""
     for batch in batches:
@@ -282,12 +295,13 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
 
 
 def words_of(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct words, codes, offsets): runs without ASCII white space of whole texts, A-Z in lower case if asked.
+    """(words, codes, offsets): runs without ASCII white space of whole texts, A-Z in lower case if asked.
 
-    Text k has the words ``codes[offsets[k]:offsets[k+1]]``; null texts have none.
+    Text k has the words ``codes[offsets[k]:offsets[k+1]]``; null texts have none. Words are distinct before they are
+    put in lower case.
     """
     texts = pc.fill_null(texts, "").cast(pa.large_string())
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    split = pc.ascii_split_whitespace(texts)
     flat = split.flatten().dictionary_encode()
     offsets = split.offsets.to_numpy().astype(np.int64)
     codes, offsets = flat.indices.to_numpy().astype(np.int64), offsets - offsets[0]
@@ -296,7 +310,7 @@ def words_of(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray, np.nda
         real = codes != empty
         offsets = np.concatenate([[0], np.cumsum(real)])[offsets]
         codes = codes[real]
-    return flat.dictionary, codes, offsets
+    return pc.ascii_lower(flat.dictionary) if lower else flat.dictionary, codes, offsets
 
 
 _LOADED: dict[str, Vocabulary] = {}
@@ -333,7 +347,7 @@ def bpe_encode(docs: DataFrame, path: str, results: tuple[str, ...] = ("n_tokens
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        cache = WordCache(v.encode_words)
+        cache = word_cache((path, "own"), v.encode_words)
         decimals, tokens = pa.array(map(str, range(v.size))), pa.array(v.tokens)
         for batch in chunks(batches):
             offsets, ids = cache.encode(batch.column("text"))

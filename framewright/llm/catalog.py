@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from framewright.llm import bpe, chat_format, decontaminate, exact_dedup, license_scan, minhash, recompress, secret_scan, token_store
+from framewright.llm import bpe, chat_format, decontaminate, exact_dedup, license_scan, minhash, quality, recompress, secret_scan, token_store
 
 QUERIES = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op5_substring_dedup": recompress.op5_substring_dedup,
     "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,

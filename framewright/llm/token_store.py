@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.bpe import WordCache, chunks
+from framewright.llm.bpe import byte_letters, chunks, vocabulary, word_cache
 from framewright.llm.common import shared_dir
 from framewright.llm.range_coder import decode_block, encode_block
 
@@ -30,22 +31,25 @@ _LIBRARY: dict = {}
 
 
 def library_encoder(path: str):
-    """The library's encoding of words, as (counts, ids). Words of this kind of vocabulary don't depend on each other."""
+    """(encode, alphabet): the library's encoding of words as (counts, ids), and the number of ids.
+
+    Its model encodes each distinct piece; the vocabulary's normaliser and splitter, which look at no more than a word,
+    run once for all words of a chunk. The ids are those of whole texts.
+    """
     if path not in _LIBRARY:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _LIBRARY[path] = tokenizer
-    tokenizer = _LIBRARY[path]
+        letters = {b: c for b, c in enumerate(byte_letters())}
+        model, vocab = tokenizer.model, vocabulary(path)
 
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return counts, np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum()))
+        def encode_pieces(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            found = [[t.id for t in model.tokenize(p.decode("latin-1").translate(letters))] for p in pieces]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            return counts, np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum()))
 
-    return encode, tokenizer.get_vocab_size(with_added_tokens=True)
+        _LIBRARY[path] = partial(vocab.encode_words, encode_pieces=encode_pieces), tokenizer.get_vocab_size(with_added_tokens=True)
+    return _LIBRARY[path]
 
 
 BLOCK_SCHEMA = "part int, block int, ids_before long, n_docs int, n_ids long, docs binary, data binary"
@@ -76,7 +80,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, alphabet = library_encoder(tokenizer)
-        cache = WordCache(encoder)
+        cache = word_cache((tokenizer, "library"), encoder)
         block, before, part = 0, 0, 0
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 

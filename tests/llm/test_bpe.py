@@ -2,9 +2,10 @@ import random
 from hashlib import sha256
 
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from framewright.llm.bpe import bpe_encode, vocabulary
+from framewright.llm.bpe import bpe_encode, vocabulary, words_of
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 NASTY = [
@@ -49,3 +50,11 @@ def test_random_letters_exercise_the_pair_tests():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe_encode(docs, PATH).count() == 0
+
+
+def test_words_of_slices_of_a_column():
+    texts = pa.array(["Zero é", " A b\tÀ c ", None, "", "LAST one"])
+    for start in range(5):
+        words, codes, offsets = words_of(texts[start:], lower=True)
+        got = [[words[i].as_py() for i in codes[a:b]] for a, b in zip(offsets, offsets[1:])]
+        assert got == [["zero", "é"], ["a", "b", "À", "c"], [], [], ["last", "one"]][start:]
