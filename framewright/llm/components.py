@@ -1,13 +1,38 @@
-"""Connected components of a link table by alternating large and small stars, all in DataFrame operations."""
+"""Connected components of a link table: alternating large and small stars, and a union-find once few links are left."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.common import join_groups, stored
 
 MAX_ROUNDS = 60
+#: So many distinct links (16 bytes each) are few enough for one task; a larger table goes through star rounds.
+LOCAL_LINKS = 2_000_000
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            a, b = find(u), find(v)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    nodes = np.fromiter(root, np.int64, len(root))
+    for at in range(0, len(nodes), 100_000):
+        part = nodes[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([find(x) for x in part.tolist()], pa.int64())], names=["node", "component"])
 
 
 def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
@@ -25,7 +50,7 @@ def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
     return out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b): component is the least node reachable.
 
     Rounds are logarithmic in the longest path. A node with very many links is pre-aggregated and joined by broadcast, so
@@ -33,6 +58,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = stored(edges, "edges")
+    if edges.count() <= local_links:
+        return edges.coalesce(1).mapInArrow(_union_find, "node long, component long")
     state = None
     for _ in range(MAX_ROUNDS):
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())

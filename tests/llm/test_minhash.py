@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from framewright.llm.components import components
 from framewright.llm.minhash import band_keys, drop_near_duplicates, near_duplicates, shingle_sets
@@ -84,9 +85,10 @@ def test_hub_of_near_copies_and_null_ids(spark):
     assert kept.columns == docs.columns and kept.count() == len({c for _, c in want.values()}) + 2
 
 
-def test_components_of_a_long_path_and_a_star(spark):
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_components_of_a_long_path_and_a_star(spark, local):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(1000, 1100)] + [(5, 5)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), local).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 7: 7, **{i: 7 for i in range(1000, 1100)}}
 
 
