@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from framewright.plans import sequence
+from framewright.plans import sequence, signal
 
-_PARTS = (sequence,)
+_PARTS = (sequence, signal)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
