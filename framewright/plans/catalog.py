@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from framewright.plans import layout, sequence, signal
+from framewright.plans import layout, sequence, signal, store, text
 
-_PARTS = (sequence, signal, layout)
+_PARTS = (sequence, signal, layout, text, store)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
