@@ -7,7 +7,8 @@ make bucket keys; at a similarity of 0.8 a pair shares none of the BANDS buckets
 Documents with equal sets are one class. Of the classes in a bucket the one that meets most others is the pivot; the
 others are compared with it on full sets. Components follow from the confirmed links. Pairs of a bucket that ended up in
 different components, and were not compared, are compared too, so no candidate pair is left out; groups of copies are
-joined by their pivots and don't grow into all pairs.
+joined by their pivots and don't grow into all pairs. A parity sketch of 1,024 bits tells most such pairs apart before
+they become rows: two sketches never differ in more bits than the sets do in shingles, so no link is lost.
 
 Scale: signatures are made where the text is read; buckets shuffle 64-bit keys; full sets are made for candidates only.
 Hot classes, buckets and pivots are pre-aggregated and joined by broadcast or split by adaptive execution.
@@ -32,6 +33,7 @@ ROWS, BANDS = 6, 36
 PERMUTATIONS = ROWS * BANDS // 2
 #: Up to so many candidate ids are broadcast to pick their texts (16 bytes each); beyond it they are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
+SKETCH_WORDS = 16
 _RANDOM = np.random.default_rng(20240607)
 _A = _RANDOM.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
 _B = _RANDOM.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -85,22 +87,29 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return mix((mix(values + _SALT[:, None]) * _BAND).sum(1, dtype=np.uint64) + _SALT)
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH_WORDS integers; each shingle flips one bit. Sketches differ in at most as many bits as the sets in shingles."""
+    odd = np.bincount((shingles & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signed(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n_shingles, set_key, bands) of rows (id, text)."""
+    """(id, n_shingles, set_key, bands, sketch) of rows (id, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            sizes, keys, bands = [], [], []
+            sizes, keys, bands, sketches = [], [], [], []
             for s in shingle_sets(batch.column("text"), k):
                 sizes.append(len(s))
                 keys.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 bands.append(band_keys(s).view(np.int64) if len(s) else None)
+                sketches.append(parity_sketch(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "set_key", "bands"],
+                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["id", "n_shingles", "set_key", "bands", "sketch"],
             )
 
-    return docs.mapInArrow(sign, "id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.mapInArrow(sign, "id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -135,7 +144,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     filled = signed.filter("set_key is not null and id is not null")
     total = max(1, signed.count())
     classes = stored(
-        filled.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
+        filled.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "classes",
     )
     shared = classes.select("rep", "n", F.explode("bands").alias("bucket"))
@@ -168,9 +177,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         "placed",
     )
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    open_ = stored(placed.join(split, "bucket"), "open")
-    other = open_.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    rest = open_.join(other, "bucket").filter("component <> component2 and rep < rep2").filter(fits(F.col("n"), F.col("n2")))
+    open_ = stored(placed.join(split, "bucket").join(classes.select("rep", "sketch"), "rep"), "open")
+    other = open_.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("sketch").alias("sketch2"))
+    differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    near = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("n2"))
+    rest = open_.join(other, "bucket").filter("component <> component2 and rep < rep2").filter(fits(F.col("n"), F.col("n2")) & near)
     rest = rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = stored(_confirmed(stored(rest, "rest"), sets, percent), "links")
     if not more.isEmpty():

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from framewright.llm.components import components
-from framewright.llm.minhash import band_keys, drop_near_duplicates, near_duplicates, shingle_sets
+from framewright.llm.minhash import band_keys, drop_near_duplicates, near_duplicates, parity_sketch, shingle_sets
 
 
 def brute(rows, k, percent=80):
@@ -104,3 +104,12 @@ def test_min_and_max_agree_as_often_as_the_sets_do():
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(8)
+    for n in (1, 50, 400, 5000):
+        x = rng.integers(0, 1 << 63, n + 60, dtype=np.uint64)
+        a, b = x[:n], x[60 : n + 60] if n > 60 else x[1 : n + 1]
+        bits = sum(int(v).bit_count() for v in (parity_sketch(a) ^ parity_sketch(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
