@@ -6,8 +6,9 @@ from framewright.operators import signal as op
 from framewright.sources.tables import signals
 from pyspark.sql import functions as F
 
-SIG = """sig AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value, event_type,
+SIG = """sig AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value,
   count(*) OVER (PARTITION BY user_id) AS n FROM events)"""
+TYPED = SIG.replace("AS frame, value,", "AS frame, value, event_type,")
 Z = f"{SIG}, z AS (SELECT user_id, frame, round((value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-6), 6) AS z FROM sig WINDOW w AS (PARTITION BY user_id))"
 NEAR = """SELECT user_id, frame, last_value(CASE WHEN {k} THEN value END IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN {k} THEN frame END IGNORE NULLS) OVER b AS f0,
   first_value(CASE WHEN {k} THEN value END IGNORE NULLS) OVER a AS v1, first_value(CASE WHEN {k} THEN frame END IGNORE NULLS) OVER a AS f1 FROM sig
@@ -49,7 +50,7 @@ SELECT user_id, coalesce(greatest(min(frame) FILTER (s > t) - 2, 0), 0) AS first
  -(max({{'s': s, 'f': -frame}})).f AS peak FROM tp GROUP BY user_id""",
     "sig_smooth_clamp": SMOOTH.format(sig=SIG, at="greatest(0, least(s.n - 1, s.frame + o))"),
     "sig_smooth_wrap": SMOOTH.format(sig=SIG, at="((s.frame + o) % s.n + s.n) % s.n"),
-    "sig_gap_fill": f"WITH {SIG}, nr AS ({NEAR.format(k=chr(101) + 'vent_type <> ' + chr(39) + 'click' + chr(39))}) SELECT user_id, frame, round(coalesce(CASE WHEN f1 = f0 THEN v0 ELSE v0 + (v1 - v0) * (frame - f0) / (f1 - f0) END, v0, v1), 6) AS filled FROM nr",
+    "sig_gap_fill": f"WITH {TYPED}, nr AS ({NEAR.format(k=chr(101) + 'vent_type <> ' + chr(39) + 'click' + chr(39))}) SELECT user_id, frame, round(coalesce(CASE WHEN f1 = f0 THEN v0 ELSE v0 + (v1 - v0) * (frame - f0) / (f1 - f0) END, v0, v1), 6) AS filled FROM nr",
     "sig_resample": f"""WITH {SIG}, c AS (SELECT DISTINCT user_id, n FROM sig), m AS (SELECT user_id, n, unnest(range(CAST(ceil((n - 1) * 0.8) AS BIGINT) + 1)) AS i FROM c),
  s AS (SELECT user_id, i, least(n - 1, CAST(round_even(i * 1.25, 0) AS BIGINT)) AS source FROM m) SELECT s.*, sig.value FROM s JOIN sig ON sig.user_id = s.user_id AND sig.frame = s.source""",
     "sig_loop_blend": f"""WITH {SIG}, u AS (SELECT *, first_value(value) OVER (PARTITION BY user_id ORDER BY frame) AS v0, least(12, n) AS w FROM sig),
