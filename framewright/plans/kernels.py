@@ -1,0 +1,26 @@
+"""Registered queries of the frame kernels, and of the drift windows. The kernels are beyond SQL; tests compare them with flood fill."""
+
+from __future__ import annotations
+
+from framewright.operators import kernels as op
+from framewright.sources.tables import SIDE, pixels, table
+from framewright.streaming.drift import drift_windows
+
+
+def _frames(spark, folder):
+    return op.packed(pixels(spark, folder), SIDE, SIDE)
+
+
+QUERIES = {
+    "img_regions": lambda s, d: op.regions(_frames(s, d)),
+    "img_slivers": lambda s, d: op.without_slivers(_frames(s, d)),
+    "img_holes": lambda s, d: op.holes(_frames(s, d)),
+    "img_fringe": lambda s, d: op.fringe(_frames(s, d)),
+    "img_temporal_hold": lambda s, d: op.held_levels(_frames(s, d)),
+    "img_palette": lambda s, d: op.palette(pixels(s, d)),
+    "stream_drift_windows": lambda s, d: drift_windows(table(s, d, "events")),
+}
+ORACLES = {
+    "stream_drift_windows": """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) FILTER (value > 60) AS bad, count(*) AS total
+FROM events GROUP BY 1, 2""",
+}

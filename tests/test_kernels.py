@@ -1,0 +1,75 @@
+import numpy as np
+import pytest
+
+from framewright.operators import kernels as k
+from framewright.sources.images import as_png, read_frames
+from framewright.sources.tables import SIDE, pixels
+from framewright.streaming.drift import drift_windows, read_events
+
+SF = "/root/testdata/sf0.001"
+
+
+def flood(mask, eight):
+    h, w = mask.shape
+    out, n = np.zeros((h, w), int), 0
+    for y in range(h):
+        for x in range(w):
+            if mask[y, x] and not out[y, x]:
+                n += 1
+                todo = [(y, x)]
+                while todo:
+                    a, b = todo.pop()
+                    if 0 <= a < h and 0 <= b < w and mask[a, b] and not out[a, b]:
+                        out[a, b] = n
+                        todo += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if eight or not (i and j)]
+    return out
+
+
+@pytest.mark.parametrize("eight", [False, True])
+def test_components_against_flood_fill(eight):
+    rng = np.random.default_rng(1)
+    for shape in ((1, 1), (8, 8), (13, 7), (30, 30)):
+        for share in (0.2, 0.5, 0.8):
+            mask = rng.random(shape) < share
+            assert (k.components_of(mask, eight) == flood(mask, eight)).all()
+
+
+def test_morphology():
+    mask = np.zeros((7, 7), bool)
+    mask[3, 3] = True
+    assert k.dilated(mask, 1).sum() == 9 and k.eroded(k.dilated(mask, 1), 1).sum() == 1
+    assert k.eroded(np.ones((4, 4), bool), 2).all()
+
+
+def test_frame_kernels_agree_with_pixel_queries(spark):
+    px = pixels(spark, SF)
+    frames = k.packed(px, SIDE, SIDE).cache()
+    areas = {(r.label, r.frame): r.a for r in k.regions(frames).groupBy("label", "frame").agg({"area": "sum"}).withColumnRenamed("sum(area)", "a").collect()}
+    from framewright.operators.raster import boxes
+
+    assert areas == {(r.label, r.frame): r.area for r in boxes(px, SIDE).collect()}
+    slivers = k.without_slivers(frames).collect()
+    assert {(r.label, r.frame): r.kept + r.removed for r in slivers if r.kept} == areas
+    assert k.holes(frames).filter("holes > 0 and pixels < holes").count() == 0
+    assert k.fringe(frames).filter("rim < 0 or rim > 1").count() == 0
+    assert k.held_levels(frames).filter("frame = 0 and changed > 0").count() == 0
+    assert k.palette(px, 4).count() == 4
+
+
+def test_png_files_read_back(spark, tmp_path):
+    frames = k.packed(pixels(spark, SF).filter("label = 0 and frame < 3"), SIDE, SIDE)
+    want = {r.frame: r.data for r in frames.collect()}
+    for r in as_png(frames).collect():
+        (tmp_path / f"{r.frame:03d}.png").write_bytes(r.bytes)
+    got = read_frames(spark, str(tmp_path)).collect()
+    assert len(got) == 3
+    for r in got:
+        bgr = np.frombuffer(r.data, np.uint8).reshape(r.h, r.w, 3)
+        assert bgr[..., ::-1].tobytes() == bytes(want[r.frame])
+
+
+def test_stream_equals_batch(spark):
+    batch = {tuple(r) for r in drift_windows(spark.read.parquet(f"{SF}/events.parquet")).collect()}
+    query = drift_windows(read_events(spark, SF)).writeStream.outputMode("complete").format("memory").queryName("drift").trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert {tuple(r) for r in spark.table("drift").collect()} == batch
