@@ -93,3 +93,10 @@ def sources(wanted: DataFrame, made: DataFrame, mirror: DataFrame) -> DataFrame:
     both = wanted.join(F.broadcast(mirror), "dir").join(own, ["key", "dir"], "left").join(other, ["key", "mirror"], "left")
     source = F.when(F.col("own"), F.col("dir")).when(F.col("other"), F.col("mirror"))
     return both.select("key", "dir", source.alias("source"), (F.col("own").isNull() & F.col("other").isNotNull()).alias("flip"))
+
+
+def engine_text(rects_: DataFrame) -> DataFrame:
+    """(key, text): one line per cell of each sheet, as a game engine's resource text lists regions."""
+    line = F.format_string("region_%d_%02d = Rect2(%d, %d, %d, %d)", "dir", "slot", "x", "y", "w", "h")
+    lines = rects_.select("key", F.struct("dir", "slot", line.alias("line")).alias("s")).groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return lines.select("key", F.array_join(F.col("s.line"), "\n").alias("text"))

@@ -187,3 +187,49 @@ def quality_issues(pixels: DataFrame, side: int) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def lab(pixels: DataFrame) -> DataFrame:
+    """(.., l, a, b2): CIE Lab of sRGB under D65, scaled to 0..255 as 8-bit Lab is, 4 decimals."""
+
+    def linear(c: str) -> Column:
+        v = F.col(c) / 255.0
+        return F.when(v > 0.04045, F.pow((v + 0.055) / 1.055, F.lit(2.4))).otherwise(v / 12.92)
+
+    def bent(v: Column) -> Column:
+        return F.when(v > 0.008856, F.cbrt(v)).otherwise(7.787 * v + 16.0 / 116)
+
+    lin = pixels.select(*FRAME, "y", "x", *[linear(c).alias(c) for c in "rgb"])
+    xyz = lin.select(
+        *FRAME, "y", "x", bent((0.412453 * F.col("r") + 0.357580 * F.col("g") + 0.180423 * F.col("b")) / 0.950456).alias("fx"),
+        bent(0.212671 * F.col("r") + 0.715160 * F.col("g") + 0.072169 * F.col("b")).alias("fy"),
+        bent((0.019334 * F.col("r") + 0.119193 * F.col("g") + 0.950227 * F.col("b")) / 1.088754).alias("fz"),
+    )
+    return xyz.select(
+        *FRAME, "y", "x", F.round((116 * F.col("fy") - 16) * 2.55, 4).alias("l"), F.round(500 * (F.col("fx") - F.col("fy")) + 128, 4).alias("a"),
+        F.round(200 * (F.col("fy") - F.col("fz")) + 128, 4).alias("b2"),
+    )
+
+
+def edited_share(pixels: DataFrame, limit: float = 14.0) -> DataFrame:
+    """(label, frame, share): pixels whose Lab colour is over ``limit`` from the clip's first frame."""
+    first = W.partitionBy("label", "y", "x").orderBy("frame")
+    gap = lambda c: F.pow(F.col(c) - F.first(c).over(first), F.lit(2.0))
+    far = lab(pixels).select(*FRAME, (gap("l") + gap("a") + gap("b2") > limit * limit).alias("far"))
+    return far.groupBy(*FRAME).agg(F.round(F.avg(F.col("far").cast("int")), 6).alias("share"))
+
+
+def area_outliers(pixels: DataFrame, side: int, over: float = 1.08, around: int = 6) -> DataFrame:
+    """(label, frame, clean): frames whose figure is over ``over`` times the median area, and how many clean ones are near."""
+    box = boxes(pixels, side).select(*FRAME, "area", F.median("area").over(W.partitionBy("label")).alias("mid"))
+    near = W.partitionBy("label").orderBy("frame").rangeBetween(-around, around)
+    marked = box.select(*FRAME, (F.col("area") > over * F.col("mid")).alias("out"))
+    return marked.select(*FRAME, "out", F.count_if(~F.col("out")).over(near).alias("clean")).filter("out").select(*FRAME, "clean")
+
+
+def even_heights(pixels: DataFrame, most: float = 0.08, spread: float = 1.15) -> DataFrame:
+    """(label, factor): what evens each clip's median body height with the median of all, within +-``most``; 1 where heights differ too much."""
+    clips = body_heights(pixels).groupBy("label").agg(F.median("height").alias("height"))
+    total = clips.agg(F.median("height").alias("mid"), F.max("height").alias("hi"), F.min("height").alias("lo"))
+    factor = F.greatest(F.lit(1 - most), F.least(F.lit(1 + most), F.col("mid") / F.col("height")))
+    return clips.join(F.broadcast(total), F.col("mid").isNotNull()).select("label", F.round(F.when(F.col("hi") > spread * F.col("lo"), 1.0).otherwise(factor), 6).alias("factor"))
