@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 6 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 #: White space of the vocabulary's own rules; regex's class has four control characters more.
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Fixed value: how the vocabulary splits words into pieces.
@@ -207,7 +207,8 @@ class Vocabulary:
         ``encode_pieces`` may replace the method of that name.
         """
         parts, owners, specials = words, None, {}
-        if self.special_split and any("<|" in w for w in words):
+        joined = "\n".join(words)
+        if self.special_split and self.special_split.search(joined):
             parts, owners = [], []
             for k, w in enumerate(words):
                 for part in self.special_split.split(w) if "<|" in w else [w]:
@@ -216,7 +217,7 @@ class Vocabulary:
                         part = ""
                     parts.append(part)
                     owners.append(k)
-        joined = "\n".join(parts)
+            joined = "\n".join(parts)
         if not joined.isascii():
             joined = unicodedata.normalize("NFC", joined).replace("Σ", "σ")  # no final sigma rule
         pieces = pa.array(regex.findall(rf"\n|{PIECE}", joined.lower()), pa.string()).dictionary_encode()
@@ -239,6 +240,31 @@ class Vocabulary:
         return np.bincount(owners, per_part, len(words)).astype(np.int64), out.astype(np.int32)
 
 
+class PieceCache:
+    """``encode_pieces`` that encodes each distinct piece once; starts anew beyond CACHE_WORDS."""
+
+    def __init__(self, encode_pieces):
+        self.encode_pieces = encode_pieces
+        self._reset()
+
+    def _reset(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.counts, self.ids, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > CACHE_WORDS:
+            self._reset()
+        new = [p for p in pieces if p not in self.known]
+        if new:
+            counts, ids = self.encode_pieces(new)
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+            self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        rows = np.fromiter((self.known[p] for p in pieces), np.int64, len(pieces))
+        counts = self.counts[rows]
+        return counts, self.ids[ragged(self.starts[rows], counts)]
+
+
 class WordCache:
     """Ids of words, each distinct word encoded once; starts anew beyond CACHE_WORDS."""
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.bpe import byte_letters, chunks, vocabulary, word_cache
+from framewright.llm.bpe import PieceCache, byte_letters, chunks, vocabulary, word_cache
 from framewright.llm.common import shared_dir
 from framewright.llm.range_coder import decode_block, encode_block
 
@@ -48,7 +48,7 @@ def library_encoder(path: str):
             counts = np.fromiter(map(len, found), np.int64, len(found))
             return counts, np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum()))
 
-        _LIBRARY[path] = partial(vocab.encode_words, encode_pieces=encode_pieces), tokenizer.get_vocab_size(with_added_tokens=True)
+        _LIBRARY[path] = partial(vocab.encode_words, encode_pieces=PieceCache(encode_pieces)), tokenizer.get_vocab_size(with_added_tokens=True)
     return _LIBRARY[path]
 
 
