@@ -65,3 +65,23 @@ def frame_grid(seconds: Column) -> Column:
 def frame_size(stored: Column, pixel: Column, asked: Column) -> Column:
     """The stored size, else 640; pixel art rounds the asked size down to 16."""
     return F.coalesce(stored, F.when(pixel, F.floor(asked / 16).cast("int") * 16).otherwise(640))
+
+
+def clamped(value: Column, least: float, most: float) -> Column:
+    """The value inside its limits; null stays null."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(least), F.least(F.lit(most), value)))
+
+
+def host_of(url: Column) -> Column:
+    return F.coalesce(F.parse_url(url, F.lit("HOST")), F.lit(""))
+
+
+def is_safe_name(name: Column) -> Column:
+    """Whether a stored name has only small letters, digits and hyphens."""
+    return F.rlike(F.coalesce(name, F.lit("")), F.lit("^[a-z0-9-]+$"))
+
+
+def kept_fields(json_text: Column, names: list[str]) -> Column:
+    """The fields of a flat JSON object that are in ``names``, as JSON; null texts give null."""
+    fields = F.map_filter(F.from_json(json_text, "map<string,string>"), lambda k, v: k.isin(*names))
+    return F.to_json(fields)

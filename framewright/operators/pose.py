@@ -65,3 +65,9 @@ def retimed_keys(keys: DataFrame, lead: float = 0.4, tail: float = 0.5, length:
         .otherwise(head + action * factor + (F.col("t") - F.col("e")) * rest / F.greatest(F.col("end") - F.col("e"), F.lit(1e-9)))
     )
     return spans.select("user_id", "j", F.round(new + 1e-7, 5).alias("t"))  # keeps ties on one side
+
+
+def drawn_order(views: DataFrame) -> DataFrame:
+    """(label, frame, side, joint, z): the order in which joints are drawn, the lowest seen first; ties by joint."""
+    order = W.partitionBy("label", "frame", "side").orderBy("v", "joint")
+    return views.select("label", "frame", "side", "joint", (F.row_number().over(order) - 1).alias("z"))

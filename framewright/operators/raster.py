@@ -233,3 +233,37 @@ def even_heights(pixels: DataFrame, most: float = 0.08, spread: float = 1.15) ->
     total = clips.agg(F.median("height").alias("mid"), F.max("height").alias("hi"), F.min("height").alias("lo"))
     factor = F.greatest(F.lit(1 - most), F.least(F.lit(1 + most), F.col("mid") / F.col("height")))
     return clips.join(F.broadcast(total), F.col("mid").isNotNull()).select("label", F.round(F.when(F.col("hi") > spread * F.col("lo"), 1.0).otherwise(factor), 6).alias("factor"))
+
+
+def head_rows(pixels: DataFrame, side: int) -> DataFrame:
+    """(label, frame, top, neck): the figure's first row, and the narrowest smoothed row at 15 to 55 % of its height.
+
+    Row widths are smoothed over three rows, missing rows count as zero. If the neck is over 0.8 of the widest row above
+    it, it is put at 30 % instead.
+    """
+    rows = row_widths(pixels)
+    span = rows.groupBy(*FRAME).agg(F.min("y").alias("top"), F.max("y").alias("bottom"))
+    grid = span.select("*", F.explode(F.sequence("top", "bottom")).alias("y")).join(rows, [*FRAME, "y"], "left").withColumn("width", F.coalesce("width", F.lit(0)))
+    order = W.partitionBy(*FRAME).orderBy("y")
+    smooth = F.round((F.coalesce(F.lag("width").over(order), F.lit(0)) + F.col("width") + F.coalesce(F.lead("width").over(order), F.lit(0))) / 3, 6)
+    height = F.col("bottom") - F.col("top") + 1
+    part = grid.withColumn("s", smooth).withColumn("at", (F.col("y") - F.col("top")) / height).withColumn("h", height)
+    above = F.max("s").over(order.rowsBetween(W.unboundedPreceding, 0))
+    inside = part.withColumn("above", above).filter(F.col("at").between(0.15, 0.55))
+    low = inside.groupBy(*FRAME, "top", "h").agg(F.min(F.struct("s", "y", "above")).alias("m"))
+    neck = F.when(F.col("m.s") > 0.8 * F.col("m.above"), F.col("top") + F.bround(0.3 * F.col("h")).cast("int")).otherwise(F.col("m.y"))
+    return low.select(*FRAME, "top", neck.alias("neck"))
+
+
+def best_shift(pixels: DataFrame, side: int, reach: int = 1, levels: int = 4) -> DataFrame:
+    """(label, frame, dy, dx, score): the shift within ``reach`` at which the top half of the clip's first frame fits best.
+
+    The score counts pixels of the same luma level; of equal scores the smallest shift in rows, then columns, wins.
+    """
+    q = pixels.select(*FRAME, "y", "x", F.floor(luma() * levels / 256).cast("int").alias("q"))
+    head = q.filter((F.col("frame") == 0) & (F.col("y") < side // 2)).select("label", "y", "x", "q")
+    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)])
+    moved = head.select("label", "q", "y", "x", F.explode(offsets).alias("o")).select("label", "q", "o.dy", "o.dx", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+    hits = q.join(moved, ["label", "y", "x", "q"]).groupBy(*FRAME, "dy", "dx").agg(F.count(F.lit(1)).alias("score"))
+    best = hits.groupBy(*FRAME).agg(F.max(F.struct("score", -F.abs("dy"), -F.abs("dx"), "dy", "dx")).alias("m"))
+    return best.select(*FRAME, F.col("m.dy").alias("dy"), F.col("m.dx").alias("dx"), F.col("m.score").alias("score"))

@@ -161,3 +161,9 @@ def mean_vectors(points: DataFrame) -> DataFrame:
     means = points.select("label", F.posexplode("e").alias("i", "v")).groupBy("label", "i").agg(F.round(F.avg("v"), 6).alias("v"))
     listed = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("l"))
     return listed.select(F.col("label").alias("k"), F.col("l.v").alias("e"))
+
+
+def shifted_picks(picks: DataFrame, lags: DataFrame, ends: DataFrame) -> DataFrame:
+    """(label, slot, pick): picks (label, slot, pick) moved by each label's lag (label, lag), kept inside its clip (label, n)."""
+    moved = picks.join(lags, "label").join(ends, "label")
+    return moved.select("label", "slot", F.greatest(F.lit(0), F.least(F.col("n") - 1, F.col("pick") + F.col("lag"))).alias("pick"))

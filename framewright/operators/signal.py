@@ -136,3 +136,11 @@ def played(sig: DataFrame, seconds: float = 2.0, fps: float = 12.0, ticks: float
     shown = shown.withColumn("frame", F.pmod(F.floor(F.col("tick") * fps / ticks), F.col("n")))
     scroll = F.round(F.pmod(-3.5 * F.col("tick"), F.lit(64.0)), 6)
     return shown.join(sig.select("user_id", "frame", "value"), ["user_id", "frame"]).select("user_id", "tick", "frame", "value", scroll.alias("scroll"))
+
+
+def stills(sig: DataFrame, count: int = 10) -> DataFrame:
+    """(user_id, i, frame, t): ``count`` evenly spaced frames, each once, with their time in seconds at 24 frames a second."""
+    ends = sig.select("user_id", "n").distinct()
+    at = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.bround(i * (F.col("n") - 1) / (count - 1)).cast("long"))
+    chosen = ends.select("user_id", F.posexplode(F.array_sort(F.array_distinct(at))).alias("i", "frame"))
+    return chosen.select("user_id", "i", "frame", F.round(F.col("frame") / 24, 6).alias("t"))
