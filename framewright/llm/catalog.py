@@ -17,5 +17,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLES = {
+    "op5_substring_dedup": recompress.OP5_SQL,
+    "op10_minhash_near_dedup": minhash.OP10_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }

@@ -74,13 +74,6 @@ class Model:
         self._prepare()
 
 
-def _settle(low, size):
-    """Which lanes have 16 settled bits; where the range is too small across a border, it is cut to the border."""
-    mixed = (low ^ (low + size)) >> U48
-    small = size < FLOOR
-    return mixed, small
-
-
 def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
     """One block. ``ids``: integers in [0, alphabet)."""
     n = len(ids)

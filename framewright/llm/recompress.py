@@ -317,3 +317,14 @@ def substring_dedup(
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return substring_dedup(docs, 13, ("n_words", "n_removed", "kept_sha256"), columns=["doc_id"])
+
+
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+ win AS (SELECT doc_id, p, array_to_string(ws[p : p + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM w WHERE len(ws) >= 13)),
+ least AS (SELECT k, min(doc_id) AS d FROM win GROUP BY k),
+ gone AS (SELECT DISTINCT win.doc_id, p + i AS pos FROM win JOIN least ON least.k = win.k AND least.d < win.doc_id, (SELECT unnest(range(13)) AS i)),
+ word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
