@@ -274,7 +274,7 @@ def substring_dedup(
     bits = min(filter_bits - 3, max(4, (2 * wide - 1).bit_length()))
     bitmap = _shared_slots(_key_blocks(firsts, window, bits), bits, filter_bits)
     slots = spark.sparkContext.broadcast(bitmap)
-    prints = _removed_windows(firsts, slots, window, max(4, (wide - 1).bit_length()), filter_bits)
+    prints = _removed_windows(firsts, slots, window, max(4, (wide // 4).bit_length()), filter_bits)
     gone = prints.groupBy("doc").agg(F.collect_list("prints").alias("prints"))
     gone = gone.withColumn("copy", F.lit(False)).unionByName(
         copies.select(F.col("id").alias("doc"), F.array().cast("array<binary>").alias("prints"), F.lit(True).alias("copy"))
