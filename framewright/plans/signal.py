@@ -62,6 +62,7 @@ SELECT user_id, frame AS t, round(v0 + (coalesce(v1, v0) - v0) * u * u * (3 - 2
     "sig_drift": f"WITH {SIG} SELECT user_id, 2 * count(*) FILTER (frame % 2 = 0 AND value > 60) AS bad, count(*) AS total FROM sig GROUP BY user_id",
     "sig_bg_changed": f"""WITH {SIG}, a AS (SELECT user_id, abs(value - first_value(value) OVER (PARTITION BY user_id ORDER BY frame)) > 60 AS away FROM sig)
 SELECT user_id, count(*) FILTER (away) AS changed, avg(away::INT) > 0.1 AS bad FROM a GROUP BY user_id""",
-    "sig_playback": f"""WITH {SIG}, t AS (SELECT unnest(range(120)) AS tick), c AS (SELECT DISTINCT user_id, n FROM sig)
-SELECT c.user_id, tick, sig.frame, sig.value, round(((-3.5 * tick) % 64 + 64) % 64, 6) AS scroll FROM c CROSS JOIN t JOIN sig ON sig.user_id = c.user_id AND sig.frame = CAST(floor(tick * 12 / 60.0) AS BIGINT) % c.n""",
+    "sig_playback": f"""WITH {SIG}, t AS (SELECT user_id, n, unnest(range(120)) AS tick FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)),
+ f AS (SELECT user_id, tick, CAST(floor(tick * 12 / 60.0) AS BIGINT) % n AS frame FROM t)
+SELECT f.user_id, f.tick, f.frame, (SELECT max(value) FROM sig WHERE sig.user_id = f.user_id AND sig.frame = f.frame) AS value, round(((-3.5 * f.tick) % 64 + 64) % 64, 6) AS scroll FROM f""",
 }
