@@ -309,11 +309,16 @@ def word_cache(key: tuple, encode_words) -> WordCache:
     return _CACHES[key]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about CHUNK_BYTES of text."""
+def release_caches() -> None:
+    """Frees the word caches that earlier encoding tasks left in this worker; other operators' tasks call it first."""
+    _CACHES.clear()
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``size`` bytes of text."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        group = np.cumsum(sizes) // CHUNK_BYTES
+        group = np.cumsum(sizes) // size
         cuts = [0, *(np.nonzero(np.diff(group))[0] + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:

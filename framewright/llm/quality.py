@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.bpe import Table, chunks
+from framewright.llm.bpe import Table, chunks, release_caches
 from framewright.llm.common import stored
 from framewright.llm.minhash import MAX_BROADCAST_IDS
 
@@ -32,6 +32,8 @@ SKETCH = 10_000
 #: One in so many trusted documents is held out of training; the thresholds come from them.
 HELD_OUT = 5
 GRAM_BITS = 8 * ORDER
+#: Bytes of text at a time; a byte takes about 50 bytes of working memory.
+CHUNK = 2 << 20
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +58,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): grams of rows (lang, text), counted per task and chunk; add them up by (lang, gram)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         rows = 0
 
@@ -66,7 +69,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], names=["lang", "gram", "n"])
             held.clear()
 
-        for batch in chunks(batches):
+        for batch in chunks(batches, size=CHUNK):
             langs = pc.fill_null(batch.column("lang"), "").dictionary_encode()
             keys, offsets = grams(batch.column("text"))
             which = np.repeat(langs.indices.to_numpy().astype(np.int64), np.diff(offsets))
@@ -76,7 +79,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 part = slice(cuts[k], cuts[k + 1])
                 held.setdefault(lang, []).append((both[part] & (1 << GRAM_BITS) - 1, n[part]))
             rows += len(both)
-            if rows > 4_000_000:
+            if rows > 3_000_000:
                 yield from send()
                 rows = 0
         yield from send()
@@ -135,10 +138,11 @@ def perplexities(docs: DataFrame, table: DataFrame, max_table_rows: int = MAX_TA
     model = spark.sparkContext.broadcast((langs, rows.column("gram").to_numpy() | which << GRAM_BITS, rows.column("logp").to_numpy().astype(np.float32)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         names, keys, logp = model.value
         found = Table(keys, np.arange(len(keys), dtype=np.int32))
         known = pa.array(list(names), pa.string())
-        for batch in chunks(batches):
+        for batch in chunks(batches, size=CHUNK):
             lang = pc.fill_null(batch.column("lang"), "")
             at = pc.fill_null(pc.index_in(lang, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             key, offsets = grams(batch.column("text"))
@@ -156,7 +160,7 @@ def _joined_perplexities(docs: DataFrame, table: DataFrame) -> DataFrame:
     """The same by joining each document's distinct grams with the table; rows are told apart by their text's hash."""
 
     def per_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, size=CHUNK):
             keys, offsets = grams(batch.column("text"))
             for k in range(batch.num_rows):
                 key, n = np.unique(keys[offsets[k] : offsets[k + 1]], return_counts=True)
