@@ -3,8 +3,9 @@
 Grams are ORDER bytes of UTF-8. Tasks count the distinct grams of what they read; the counts of all trusted documents
 are added up, and the continuation counts of every lower order, the context totals and the discounts follow from them by
 grouping. The distinct grams of all documents are then joined with these count tables, order by order, which gives each
-of them its probability. A document's perplexity is the mean over its bytes; a document is rejected if it lies above its
-language's quantile of the perplexities of trusted documents that were held out of training.
+of them its probability. A document's perplexity is the mean over its bytes, its peak the mean over its least likely word,
+which a few bad words in a long text raise as well as in a short one. A document is rejected if either lies above its
+language's quantile of the same figure over trusted documents that were held out of training.
 
 Scale: per byte only tasks work; what is shuffled are distinct grams per task. The joined table is broadcast for scoring
 while it has at most MAX_TABLE_ROWS rows; beyond that each document's grams are joined with it by shuffle.
@@ -34,6 +35,8 @@ HELD_OUT = 5
 GRAM_BITS = 8 * ORDER
 #: Bytes of text at a time; a byte takes about 50 bytes of working memory.
 CHUNK = 2 << 20
+#: Bytes of a word with its separator: shorter ones have no peak of their own, longer runs are judged in pieces.
+LEAST_WORD, LONGEST_WORD = 4, 24
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +57,27 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
+def doc_scores(key: np.ndarray, offsets: np.ndarray, logp: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(perplexity, peak) of each text, from its bytes' grams and their logarithms of probability; null where it has none."""
+    sizes = np.diff(offsets)
+    sums = np.add.reduceat(np.append(logp, 0.0), offsets[:-1]) if len(sizes) else np.zeros(0)
+    perplexity = pa.array(np.exp(-sums / np.maximum(sizes, 1)), mask=sizes == 0)
+    last = key & 0xFF
+    space = (last == 32) | ((last >= 9) & (last <= 13))
+    begins = np.zeros(len(key), bool)
+    begins[1:] = space[:-1]
+    begins[offsets[:-1][sizes > 0]] = True
+    at = np.arange(len(key))
+    begins |= (at - np.maximum.accumulate(np.where(begins, at, 0))) % LONGEST_WORD == 0
+    word = np.nonzero(begins)[0]
+    length = np.diff(np.append(word, len(key)))
+    mean = -(np.add.reduceat(logp, word) if len(word) else np.zeros(0)) / length
+    worst = np.full(len(sizes), -np.inf)
+    np.maximum.at(worst, np.searchsorted(offsets, word[length >= LEAST_WORD], "right") - 1, mean[length >= LEAST_WORD])
+    none = np.isinf(worst)
+    return perplexity, pa.array(np.exp(np.where(none, 0.0, worst)), mask=none)
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): grams of rows (lang, text), counted per task and chunk; add them up by (lang, gram)."""
 
@@ -128,7 +152,7 @@ def gram_probabilities(wanted: DataFrame, tables: dict[int, tuple[DataFrame, Dat
 
 
 def perplexities(docs: DataFrame, table: DataFrame, max_table_rows: int = MAX_TABLE_ROWS) -> DataFrame:
-    """(id, lang, trusted, perplexity) of rows (id, lang, trusted, text); null for texts without bytes."""
+    """(id, lang, trusted, perplexity, peak) of rows (id, lang, trusted, text); null for texts without bytes (or words)."""
     spark = docs.sparkSession
     if table.count() > max_table_rows:
         return _joined_perplexities(docs, table)
@@ -148,12 +172,13 @@ def perplexities(docs: DataFrame, table: DataFrame, max_table_rows: int = MAX_TA
             key, offsets = grams(batch.column("text"))
             sizes = np.diff(offsets)
             row = found(key | np.repeat(np.maximum(at, 0), sizes) << GRAM_BITS)
-            sums = np.add.reduceat(np.append(logp[row].astype(np.float64), 0.0), offsets[:-1]) if len(sizes) else np.zeros(0)
-            value = np.exp(-sums / np.maximum(sizes, 1))
-            made = pa.array(value, mask=sizes == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lang, batch.column("trusted"), made], names=["id", "lang", "trusted", "perplexity"])
+            made = doc_scores(key, offsets, logp[row].astype(np.float64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lang, batch.column("trusted"), *made], names=["id", "lang", "trusted", "perplexity", "peak"])
+
+    return docs.select("id", "lang", "trusted", "text").mapInArrow(score, SCORED)
+
 
-    return docs.select("id", "lang", "trusted", "text").mapInArrow(score, "id long, lang string, trusted boolean, perplexity double")
+SCORED = "id long, lang string, trusted boolean, perplexity double, peak double"
 
 
 def _joined_perplexities(docs: DataFrame, table: DataFrame) -> DataFrame:
@@ -163,28 +188,48 @@ def _joined_perplexities(docs: DataFrame, table: DataFrame) -> DataFrame:
         for batch in chunks(batches, size=CHUNK):
             keys, offsets = grams(batch.column("text"))
             for k in range(batch.num_rows):
-                key, n = np.unique(keys[offsets[k] : offsets[k + 1]], return_counts=True)
+                own = keys[offsets[k] : offsets[k + 1]]
+                order = np.argsort(own, kind="stable").astype(np.int32)
+                key, first = np.unique(own[order], return_index=True)
                 head = batch.slice(k, 1).select(["id", "lang", "trusted", "row"])
                 repeated = head.take(pa.array(np.zeros(max(1, len(key)), np.int64)))
-                made = [pa.array(key if len(key) else [None], pa.int64()), pa.array(n if len(key) else [0], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*repeated.columns, *made], names=["id", "lang", "trusted", "row", "gram", "n"])
+                where = [part.tobytes() for part in np.split(order, first[1:])]  # the bytes of the text that have the gram
+                made = [pa.array(key if len(key) else [None], pa.int64()), pa.array(where, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*repeated.columns, *made], names=["id", "lang", "trusted", "row", "gram", "at"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for k, held in enumerate(batch.column("grams")):
+                at = [np.frombuffer(b.as_buffer(), np.int32) for b in held.values.field("at")]
+                sizes = [len(a) for a in at]
+                key, logp = np.zeros(sum(sizes), np.int64), np.zeros(sum(sizes))
+                if len(key):
+                    where = np.concatenate(at)
+                    key[where] = np.repeat(held.values.field("gram").to_numpy(zero_copy_only=False), sizes)
+                    logp[where] = np.repeat(held.values.field("logp").to_numpy(zero_copy_only=False).astype(np.float32), sizes)
+                made.append([x[0].as_py() for x in doc_scores(key, np.array([0, len(key)]), logp)])
+            columns = [pa.array([m[j] for m in made], pa.float64()) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "lang", "trusted")), *columns], names=["id", "lang", "trusted", "perplexity", "peak"])
 
     rows = docs.select("id", F.coalesce("lang", F.lit("")).alias("lang"), "trusted", F.xxhash64("text").alias("row"), "text").distinct()
-    each = rows.mapInArrow(per_doc, "id long, lang string, trusted boolean, row long, gram long, n long")
-    sums = each.join(table, ["lang", "gram"], "left").groupBy("id", "lang", "trusted", "row").agg(F.sum(F.col("logp") * F.col("n")).alias("s"), F.sum("n").alias("n"))
-    return sums.select("id", "lang", "trusted", F.when(F.col("n") > 0, F.exp(-F.col("s") / F.col("n"))).alias("perplexity"))
+    each = rows.mapInArrow(per_doc, "id long, lang string, trusted boolean, row long, gram long, at binary")
+    whole = each.join(table, ["lang", "gram"], "left").groupBy("id", "lang", "trusted", "row").agg(F.collect_list(F.struct("gram", "logp", "at")).alias("grams"))
+    return whole.mapInArrow(score, SCORED)
 
 
 def quality(
     docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     max_table_rows: int = MAX_TABLE_ROWS,
 ) -> DataFrame:
-    """(doc_id, lang, perplexity, threshold, accepted) per row of ``docs``; ``trusted_ids`` (doc_id) names trusted documents.
-
-    Each language (null: one of its own, the empty name) has its own model and threshold: the ``quantile`` of its
-    perplexities of its held-out trusted documents (of all trusted ones where none is held out); which are held out
-    follows from their ids. A document is rejected if its perplexity is above it. Texts without bytes have no
-    perplexity, and a language without trusted text has no threshold; such documents are accepted. Ids that are null or
+    """(doc_id, lang, perplexity, threshold, peak, peak_threshold, accepted) per row of ``docs``; ``trusted_ids`` (doc_id) names trusted documents.
+
+    Each language (null: one of its own, the empty name) has its own model and thresholds: the ``quantile`` of the
+    perplexities and of the peaks of its held-out trusted documents (of all trusted ones where none is held out); which
+    are held out follows from their ids. A document is rejected if its perplexity or its peak is above its threshold.
+    The peak is the perplexity of the worst word (of LEAST_WORD bytes or more, with its separator; runs beyond
+    LONGEST_WORD bytes in pieces). Texts without bytes have no perplexity, texts without such words no peak, and a
+    language without trusted text has no thresholds; what is missing rejects nothing. Ids that are null or
     occur nowhere are not trusted; repeated rows have equal results. Other columns don't matter; an empty table gives an
     empty result.
     """
@@ -199,10 +244,11 @@ def quality(
     scored = stored(perplexities(rows, table, max_table_rows), "perplexities")
     limit = lambda value: F.percentile_approx(value, F.lit(quantile), F.lit(SKETCH))
     limits = scored.filter("trusted").groupBy("lang").agg(
-        F.coalesce(limit(F.when(held_out, F.col("perplexity"))), limit(F.col("perplexity"))).alias("threshold")
+        *[F.coalesce(limit(F.when(held_out, F.col(c))), limit(F.col(c))).alias(name) for c, name in (("perplexity", "threshold"), ("peak", "peak_threshold"))]
     )
+    fits = [F.coalesce(F.col(c) <= F.col(name), F.lit(True)) for c, name in (("perplexity", "threshold"), ("peak", "peak_threshold"))]
     return scored.join(F.broadcast(limits), "lang", "left").select(
-        F.col("id").alias("doc_id"), "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("accepted")
+        F.col("id").alias("doc_id"), "lang", "perplexity", "threshold", "peak", "peak_threshold", (fits[0] & fits[1]).alias("accepted")
     )
 
 

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -90,3 +91,27 @@ def test_grams_of_sliced_columns():
     keys, offsets = q.grams(pa.array(["zzz", "ab", None, "", "é"])[1:])
     assert offsets.tolist() == [0, 2, 2, 2, 4]
     assert keys.tolist() == [0x61, 0x6162, 0xC3, 0xC3A9]
+
+
+@pytest.mark.parametrize("limit", [q.MAX_TABLE_ROWS, 0])
+def test_one_bad_word_in_a_long_text(spark, limit):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices(["the", "ing", "re", "ou"], k=rng.randint(1, 3)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(20, 400))), "en") for i in range(60)]
+    for i in range(10):
+        rows.append((100 + i, " ".join([*(word() for _ in range(500)), "xyzzyq", *(word() for _ in range(500))]), "en"))
+    rows.append((120, "ab cd", "en"))
+    got = {r.doc_id: r for r in q.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.range(60).withColumnRenamed("id", "doc_id"), max_table_rows=limit).collect()}
+    assert sum(got[100 + i].perplexity <= got[100 + i].threshold for i in range(10)) >= 5  # the mean alone lets them pass
+    assert not any(got[100 + i].accepted for i in range(10))
+    assert sum(got[i].accepted for i in range(60)) >= 40  # thresholds are the largest of about 12
+    assert got[120].peak is None
+
+
+def test_doc_scores_by_word():
+    key, offsets = q.grams(pa.array(["abc de fgh", None, "ab", "z" * 30]))
+    logp = -np.arange(len(key), dtype=float)
+    perplexity, peak = (x.to_pylist() for x in q.doc_scores(key, offsets, logp))
+    assert perplexity == pytest.approx([math.exp(4.5), None, math.exp(10.5), math.exp(26.5)])
+    assert peak == pytest.approx([math.exp(1.5), None, None, math.exp(38.5)])  # "fgh" has 3 bytes; 30 bytes are 24 and 6
+    assert [len(x) for x in q.doc_scores(*q.grams(pa.array([], pa.string())), np.zeros(0))] == [0, 0]
