@@ -182,7 +182,10 @@ SCORED = "id long, lang string, trusted boolean, perplexity double, peak double"
 
 
 def _joined_perplexities(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """The same by joining each document's distinct grams with the table; rows are told apart by their text's hash."""
+    """The same by joining each document's distinct grams with the table; rows are told apart by their text's hash.
+
+    Repeated rows are scored once and given back as often as they came.
+    """
 
     def per_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, size=CHUNK):
@@ -191,11 +194,11 @@ def _joined_perplexities(docs: DataFrame, table: DataFrame) -> DataFrame:
                 own = keys[offsets[k] : offsets[k + 1]]
                 order = np.argsort(own, kind="stable").astype(np.int32)
                 key, first = np.unique(own[order], return_index=True)
-                head = batch.slice(k, 1).select(["id", "lang", "trusted", "row"])
+                head = batch.slice(k, 1).select(["id", "lang", "trusted", "row", "times"])
                 repeated = head.take(pa.array(np.zeros(max(1, len(key)), np.int64)))
                 where = [part.tobytes() for part in np.split(order, first[1:])]  # the bytes of the text that have the gram
                 made = [pa.array(key if len(key) else [None], pa.int64()), pa.array(where, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*repeated.columns, *made], names=["id", "lang", "trusted", "row", "gram", "at"])
+                yield pa.RecordBatch.from_arrays([*repeated.columns, *made], names=["id", "lang", "trusted", "row", "times", "gram", "at"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,12 +213,14 @@ def _joined_perplexities(docs: DataFrame, table: DataFrame) -> DataFrame:
                     logp[where] = np.repeat(held.values.field("logp").to_numpy(zero_copy_only=False).astype(np.float32), sizes)
                 made.append([x[0].as_py() for x in doc_scores(key, np.array([0, len(key)]), logp)])
             columns = [pa.array([m[j] for m in made], pa.float64()) for j in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "lang", "trusted")), *columns], names=["id", "lang", "trusted", "perplexity", "peak"])
-
-    rows = docs.select("id", F.coalesce("lang", F.lit("")).alias("lang"), "trusted", F.xxhash64("text").alias("row"), "text").distinct()
-    each = rows.mapInArrow(per_doc, "id long, lang string, trusted boolean, row long, gram long, at binary")
-    whole = each.join(table, ["lang", "gram"], "left").groupBy("id", "lang", "trusted", "row").agg(F.collect_list(F.struct("gram", "logp", "at")).alias("grams"))
-    return whole.mapInArrow(score, SCORED)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "lang", "trusted", "times")), *columns], names=["id", "lang", "trusted", "times", "perplexity", "peak"])
+
+    rows = docs.select("id", F.coalesce("lang", F.lit("")).alias("lang"), "trusted", F.xxhash64("text").alias("row"), "text")
+    rows = rows.groupBy("id", "lang", "trusted", "row", "text").agg(F.count(F.lit(1)).alias("times"))
+    each = rows.mapInArrow(per_doc, "id long, lang string, trusted boolean, row long, times long, gram long, at binary")
+    whole = each.join(table, ["lang", "gram"], "left").groupBy("id", "lang", "trusted", "row", "times").agg(F.collect_list(F.struct("gram", "logp", "at")).alias("grams"))
+    scored = whole.mapInArrow(score, SCORED.replace("perplexity", "times long, perplexity", 1))
+    return scored.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("_copy", "times")
 
 
 def quality(

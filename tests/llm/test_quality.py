@@ -115,3 +115,13 @@ def test_doc_scores_by_word():
     assert perplexity == pytest.approx([math.exp(4.5), None, math.exp(10.5), math.exp(26.5)])
     assert peak == pytest.approx([math.exp(1.5), None, None, math.exp(38.5)])  # "fgh" has 3 bytes; 30 bytes are 24 and 6
     assert [len(x) for x in q.doc_scores(*q.grams(pa.array([], pa.string())), np.zeros(0))] == [0, 0]
+
+
+@pytest.mark.parametrize("limit", [q.MAX_TABLE_ROWS, 0])
+def test_repeated_rows_come_back_each(spark, limit):
+    rows = [r for r in corpus() if r[0] < 60 or r[0] >= 300]
+    times = {r[0]: 1 + (r[0] % 3 == 0) * 2 for r in rows}
+    docs = spark.createDataFrame([r for r in rows for _ in range(times[r[0]])] + [(None, "the", "en")] * 2, "doc_id long, text string, lang string")
+    got = q.quality(docs, spark.range(50).withColumnRenamed("id", "doc_id"), max_table_rows=limit).collect()
+    assert Counter(r.doc_id for r in got) == Counter({**times, None: 2})
+    assert len(set(got)) == len(rows) + 1
