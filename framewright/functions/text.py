@@ -29,6 +29,21 @@ def slug(text: Column) -> Column:
     return F.when(F.rlike(key, F.lit("^[a-z][a-z0-9_]*$")), key).otherwise("motion")
 
 
+#: Korean names of common motions, and their keys; the first that a name holds counts.
+KO_KEYS = {
+    "대기": "idle", "걷기": "walk", "걷": "walk", "달리기": "run", "뛰": "run", "공격": "attack", "피격": "hit", "쓰러": "death", "죽": "death", "점프": "jump",
+    "춤": "dance", "문워크": "dance", "베기": "slash", "마법": "magic", "방어": "guard", "구르기": "roll", "앉": "sit", "인사": "wave",
+}
+
+
+def motion_key(name: Column, fixed: Column) -> Column:
+    """The fixed key if there is one, else that of a Korean motion in the name, else the slug of the whole name."""
+    name = F.coalesce(name, F.lit(""))
+    known = F.coalesce(*[F.when(F.contains(name, F.lit(ko)), en) for ko, en in KO_KEYS.items()])
+    usable = F.when(F.rlike(fixed, F.lit(r"\A[a-z][a-z0-9_]*\z")), fixed).otherwise("motion")
+    return F.when(F.coalesce(fixed, F.lit("")) != "", usable).otherwise(F.coalesce(known, slug(name)))
+
+
 def numbered_keys(rows: DataFrame, scope: str, order: str, key: str) -> DataFrame:
     """``rows`` with name: the key, or from its second use in the scope on the key and its number."""
     n = F.row_number().over(W.partitionBy(scope, key).orderBy(order))

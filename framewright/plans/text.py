@@ -19,6 +19,13 @@ def _slugs(spark, folder):
     return fn.numbered_keys(short, "conv_id", "turn", "key").select("conv_id", "turn", "name")
 
 
+def _motion_keys(spark, folder):
+    turns = table(spark, folder, "conversations")
+    name = F.when(F.col("turn") % 7 == 3, F.concat(F.lit("걷기 "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    keyed = turns.select("conv_id", "turn", fn.motion_key(name, F.when(F.col("turn") % 5 == 2, F.col("role"))).alias("key"))
+    return fn.numbered_keys(keyed, "conv_id", "turn", "key").select("conv_id", "turn", "name")
+
+
 def _templates(spark, folder):
     parts = table(spark, folder, "part")
     made = fn.filled(F.lit("{{NAME}} by {{BRAND}}, {{SIZE}} px, {{OTHER}}"), {"NAME": F.col("p_name"), "BRAND": F.col("p_brand"), "SIZE": F.col("p_size")})
@@ -38,6 +45,7 @@ QUERIES = {
     "txt_locomotion": lambda s, d: table(s, d, "conversations").select(
         "conv_id", "turn", fn.is_locomotion(F.col("role"), F.col("turn") % 2 == 0, F.col("text"), MOVES).alias("moves")),
     "txt_slug": _slugs,
+    "txt_motion_key": _motion_keys,
     "txt_template": _templates,
     "txt_camera": lambda s, d: table(s, d, "part").select("p_partkey", fn.camera_phrase((F.col("p_size") * 1.5)).alias("phrase")),
     "rule_seconds_frames": _rules,
@@ -50,6 +58,11 @@ ORACLES = {
     "txt_locomotion": f"SELECT conv_id, turn, role IN ('walk', 'run') OR (turn % 2 = 0 AND role <> 'idle' AND {_like('text', MOVES)}) AS moves FROM conversations",
     "txt_slug": """WITH k AS (SELECT conv_id, turn, trim(regexp_replace(lower(substr(text, 1, 12)), '[^a-z0-9]+', '_', 'g'), '_') AS k FROM conversations),
  s AS (SELECT conv_id, turn, CASE WHEN regexp_full_match(k, '[a-z][a-z0-9_]*') THEN k ELSE 'motion' END AS key FROM k),
+ n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY turn) AS n FROM s) SELECT conv_id, turn, CASE WHEN n > 1 THEN key || n ELSE key END AS name FROM n""",
+    "txt_motion_key": f"""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 2 THEN role END AS fixed, CASE WHEN turn % 7 = 3 THEN '걷기 ' || coalesce(text, '') ELSE coalesce(text, '') END AS name FROM conversations),
+ k AS (SELECT conv_id, turn, CASE WHEN coalesce(fixed, '') <> '' THEN fixed {" ".join(f"WHEN contains(name, '{ko}') THEN '{en}'" for ko, en in fn.KO_KEYS.items())}
+  ELSE trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_') END AS k FROM t),
+ s AS (SELECT conv_id, turn, CASE WHEN regexp_full_match(k, '[a-z][a-z0-9_]*') THEN k ELSE 'motion' END AS key FROM k),
  n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, key ORDER BY turn) AS n FROM s) SELECT conv_id, turn, CASE WHEN n > 1 THEN key || n ELSE key END AS name FROM n""",
     "txt_template": "SELECT p_partkey, p_name || ' by ' || p_brand || ', ' || p_size || ' px, {{OTHER}}' AS text FROM part",
     "txt_camera": """SELECT p_partkey, CASE WHEN a <= 5 THEN 'level with the figure' WHEN a < 25 THEN 'slightly above, ' || r || ' degrees' WHEN a < 55 THEN 'from above, ' || r || ' degrees'

@@ -90,3 +90,10 @@ def test_border_median_and_majority(spark):
     spot = [(0, 0, y, x) + ((250,) * 3 if (y, x) == (2, 2) else (5,) * 3) for y in range(5) for x in range(5)]
     px = spark.createDataFrame(spot, "label int, frame int, y int, x int, r int, g int, b int")
     assert {r.q for r in raster.majority(px).collect()} == {0}
+
+
+def test_motion_keys_of_whole_names(spark):
+    rows = [("Walking home left", None, "walking_home_left"), ("Walking home right", "", "walking_home_right"), ("천천히 걷기", None, "walk"), ("춤 걷", None, "walk"),
+            ("Jump", "hop_2", "hop_2"), ("걷기", "No Key", "motion"), ("x", "walk\n", "motion"), ("!!", None, "motion"), (None, None, "motion")]
+    df = spark.createDataFrame(rows, "name string, fixed string, want string")
+    assert [r.key for r in df.select(text.motion_key(F.col("name"), F.col("fixed")).alias("key")).collect()] == [r[2] for r in rows]
