@@ -1,19 +1,25 @@
 """BPE encoding by dynamic programming over prefixes, and decoding.
 
-Texts are split at white space, each distinct word of a partition is encoded once, and ids are gathered back per
-document, so that the work a word needs doesn't depend on how often it occurs. For every prefix of a piece, a suffix
+Texts are cut into the vocabulary's pieces, each distinct piece of a partition is encoded once, and ids are gathered back
+per document, so that the work a piece needs doesn't depend on how often it occurs. Cutting runs over the code points of a
+chunk at once; words with code points beyond Latin Extended-A take their pieces from the library's own normaliser and splitter. For every prefix of a piece, a suffix
 automaton (the vocabulary's tokens, read backwards) yields the tokens that the prefix ends with. Exactly one of them is
 compatible with the unique last token of the shorter prefix that remains; it is stored, and the ids of the piece are
 read off by back-pointers. Two tokens are compatible if undoing their merges, newest first, never meets a boundary pair
-that would have merged earlier. The automaton walks and pair tests of all words of a chunk run together in numpy.
+that would have merged earlier. The automaton walks and pair tests of all pieces of a chunk run together in numpy.
 
 It is a map over documents: nothing shuffles. Memory per task is bounded by CHUNK_BYTES of text (or one document) and
-CACHE_WORDS words.
+CACHE_PIECES pieces.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from hashlib import sha256
@@ -21,16 +27,18 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 6 << 20
-CACHE_WORDS = 700_000
-#: White space of the vocabulary's own rules; regex's class has four control characters more.
-SPACE = r"\t-\r \x85\xa0  -     　"
-#: Fixed value: how the vocabulary splits words into pieces.
-PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
+CHUNK_BYTES = 4 << 20
+CACHE_PIECES = 800_000
+#: Kinds of code points that tell pieces apart; ODD ones are left to the library's own rules.
+SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
+#: Code points from here on are ODD.
+PLAIN = 0x180
+#: White space below PLAIN, and the endings that an apostrophe keeps, of the vocabulary's splitter.
+SPACES = "\t\n\v\f\r \x85\xa0"
+ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
 
 
 def byte_letters() -> list[str]:
@@ -105,8 +113,8 @@ class Vocabulary:
         self.size = size
         self.pair_order = Table(self.left[made] * size + self.right[made], self.order[made].astype(np.int32))
         self._automaton(ids)
-        self.piece = regex.compile(PIECE)
-        self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.path, self._rules = path, None
+        self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _automaton(self, ids: dict[str, int]) -> None:
         """States of the tokens read backwards; symbol 256 is the word end."""
@@ -201,117 +209,159 @@ class Vocabulary:
             self._sizes = np.array([len(t.removesuffix(self.end)) if t != self.end else len(t) for t in self.tokens], np.int64)
         return self._sizes
 
-    def encode_words(self, words: list[str], encode_pieces=None) -> tuple[np.ndarray, np.ndarray]:
-        """(counts, ids) of words without ASCII white space, as the library's normaliser, splitter and model would.
-
-        ``encode_pieces`` may replace the method of that name.
-        """
-        parts, owners, specials = words, None, {}
-        joined = "\n".join(words)
-        if self.special_split and self.special_split.search(joined):
-            parts, owners = [], []
-            for k, w in enumerate(words):
-                for part in self.special_split.split(w) if "<|" in w else [w]:
-                    if part in self.special:
-                        specials[len(parts)] = self.special[part]
-                        part = ""
-                    parts.append(part)
-                    owners.append(k)
-            joined = "\n".join(parts)
-        if not joined.isascii():
-            joined = unicodedata.normalize("NFC", joined).replace("Σ", "σ")  # no final sigma rule
-        pieces = pa.array(regex.findall(rf"\n|{PIECE}", joined.lower()), pa.string()).dictionary_encode()
-        codes = pieces.indices.to_numpy().astype(np.int64)
-        distinct = [p.encode() for p in pieces.dictionary.to_pylist()]
-        border = distinct.index(b"\n") if b"\n" in distinct else -1
-        real = [p for k, p in enumerate(distinct) if k != border]
-        counts, ids = (encode_pieces or self.encode_pieces)(real)
-        if border >= 0:
-            counts = np.insert(counts, border, 0)
-        first = np.cumsum(counts) - counts
-        part_of = np.cumsum(codes == border)
-        per_part = np.bincount(part_of, counts[codes], len(parts)).astype(np.int64)
-        out = ids[ragged(first[codes], counts[codes])]
-        if owners is None:
-            return per_part, out
-        for k in sorted(specials, reverse=True):  # rare: a special token's id goes where its part is
-            out = np.insert(out, per_part[:k].sum(), specials[k])
-            per_part[k] = 1
-        return np.bincount(owners, per_part, len(words)).astype(np.int64), out.astype(np.int32)
-
-
-class PieceCache:
-    """``encode_pieces`` that encodes each distinct piece once; starts anew beyond CACHE_WORDS."""
-
-    def __init__(self, encode_pieces):
-        self.encode_pieces = encode_pieces
-        self._reset()
+    def odd_pieces(self, word: str) -> list[bytes | int]:
+        """Pieces, or special ids, of a word with odd code points or special tokens, by the library's normaliser and splitter."""
+        if self._rules is None:
+            from tokenizers import Tokenizer
 
-    def _reset(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.counts, self.ids, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+            library = Tokenizer.from_file(self.path)
+            self._rules = library.normalizer, library.pre_tokenizer, {c: b for b, c in enumerate(byte_letters())}
+        normalizer, splitter, byte = self._rules
+        found: list[bytes | int] = []
+        for part in self.special_split.split(word) if self.special_split else [word]:
+            if part in self.special:
+                found.append(self.special[part])
+            elif part:
+                found += [bytes(byte[c] for c in piece) for piece, _ in splitter.pre_tokenize_str(normalizer.normalize_str(part))]
+        return found
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """(kind, lower case) of every code point below PLAIN; the last entry stands for all others."""
+    kind, lower = np.full(PLAIN + 1, ODD, np.uint8), np.arange(PLAIN + 1, dtype=np.uint32)
+    for c in range(PLAIN):
+        small = chr(c).lower()
+        if len(small) == 1:
+            lower[c] = ord(small)
+            kind[c] = SPACE if chr(c) in SPACES else {"L": LETTER, "N": DIGIT}.get(unicodedata.category(chr(c))[0], OTHER)
+    return kind, lower
 
-    def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > CACHE_WORDS:
-            self._reset()
-        new = [p for p in pieces if p not in self.known]
-        if new:
-            counts, ids = self.encode_pieces(new)
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-            self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        rows = np.fromiter((self.known[p] for p in pieces), np.int64, len(pieces))
-        counts = self.counts[rows]
-        return counts, self.ids[ragged(self.starts[rows], counts)]
 
+KIND, LOWER = _tables()
 
-class WordCache:
-    """Ids of words, each distinct word encoded once; starts anew beyond CACHE_WORDS."""
 
-    def __init__(self, encode_words):
-        self.encode_words = encode_words
+def pieces_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(pieces, offsets): what the vocabulary's normaliser and splitter make of whole texts; text k has pieces offsets[k]:offsets[k+1].
+
+    A word with a code point from PLAIN on, or with the beginning of a special token, is one piece: a space, which no
+    other piece has, and the word as it stands.
+    """
+    joined = "\n".join(["", *pc.fill_null(texts, "").to_pylist(), ""])
+    code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    small = np.minimum(code, PLAIN)
+    kind = KIND[small]
+    odd = kind == ODD
+    odd[:-1] |= (code[:-1] == ord("<")) & (code[1:] == ord("|"))
+    text = np.where(kind == ODD, code, LOWER[small])
+    begins = kind == DIGIT
+    begins[0] = True
+    begins[1:] |= kind[1:] != kind[:-1]
+    keep = kind != SPACE
+    quote = np.nonzero(code == ord("'"))[0]
+    quote = quote[begins[quote] & (kind[quote + 1] == LETTER)]
+    for ending in ENDINGS:
+        at = quote
+        for j, c in enumerate(ending):
+            at = at[text[at + 1 + j] == ord(c)]
+        begins[at + 1] = False
+        after = at + 1 + len(ending)
+        begins[after[kind[after] == LETTER]] = True
+    if odd.any():
+        word = np.cumsum(kind == SPACE)
+        of_odd = np.zeros(int(word[-1]) + 1, bool)
+        of_odd[word[odd]] = True
+        inside = of_odd[word] & keep
+        heads = np.nonzero(inside[1:] & ~inside[:-1])[0]  # the space before the word
+        begins[inside], begins[heads], keep[heads] = False, True, True
+        text = np.where(inside, code, text)
+        text[heads] = ord(" ")
+    begins &= keep
+    kept = text[keep]
+    size = 1 + (kept >= 0x80).astype(np.int64) + (kept >= 0x800) + (kept >= 0x10000)
+    first = np.nonzero(begins[keep])[0]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    offsets = np.append(ends[first], ends[-1]).astype(np.int64)
+    data = kept.tobytes().decode("utf-32-le").encode()
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+    lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    bounds = np.concatenate([[0], np.cumsum(lengths + 1)])
+    return pieces.dictionary_encode(), np.searchsorted(np.nonzero(begins)[0], bounds)
+
+
+class Encoder:
+    """Ids of whole texts; each distinct piece is encoded once, and known ones are forgotten beyond CACHE_PIECES."""
+
+    def __init__(self, vocab: Vocabulary, encode_pieces=None):
+        self.vocab, self.encode_pieces = vocab, encode_pieces or vocab.encode_pieces
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.counts, self.ids, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
+    def _learn(self, pieces: list[bytes]) -> None:
+        plain = [p for p in pieces if p[:1] != b" "]
+        odd = [(p, self.vocab.odd_pieces(p[1:].decode())) for p in pieces if p[:1] == b" "]
+        parts = {q for _, found in odd for q in found if isinstance(q, bytes)} - {*plain}
+        counts, ids = self.encode_pieces([*plain, *parts])
+        if odd:
+            ends = np.cumsum(counts)
+            known = {p: ids[e - n : e] for p, e, n in zip([*plain, *parts], ends.tolist(), counts.tolist())}
+            counts = counts[: len(plain)]
+            made = [np.concatenate([known[q] if isinstance(q, bytes) else np.array([q], np.int32) for q in found] or [np.zeros(0, np.int32)]) for _, found in odd]
+            ids = np.concatenate([ids[: counts.sum()], *made])
+            counts = np.concatenate([counts, [len(m) for m in made]]).astype(np.int64)
+        self.known.update(zip([*plain, *(p for p, _ in odd)], range(len(self.known), len(self.known) + len(pieces))))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids.astype(np.int32)])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of whole texts: ids[offsets[k]:offsets[k+1]] are those of text k."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
-        flat = split.flatten().dictionary_encode()
-        words = flat.dictionary.to_pylist()
-        if len(self.known) > CACHE_WORDS:
+        pieces, bounds = pieces_of(texts)
+        distinct = pieces.dictionary.to_pylist()
+        if len(self.known) > CACHE_PIECES:
             self._reset()
-        new = [w for w in words if w not in self.known]
+        new = [p for p in distinct if p not in self.known]
         if new:
-            counts, ids = self.encode_words(new)
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-            self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
-            at = len(self.known)
-            self.known.update(zip(new, range(at, at + len(new))))
-        rows = np.fromiter((self.known[w] for w in words), np.int64, len(words))
-        codes = rows[flat.indices.to_numpy()]
-        counts = self.counts[codes]
-        ids = self.ids[ragged(self.starts[codes], counts)]
+            self._learn(new)
+        rows = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
+        counts = self.counts[rows]
         ends = np.concatenate([[0], np.cumsum(counts)])
-        lists = split.offsets.to_numpy()
-        return ends[lists - lists[0]], ids
+        return ends[bounds], self.ids[ragged(self.starts[rows], counts)]
+
+
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder(key: tuple, make) -> Encoder:
+    """A worker's encoder for ``key``: later tasks of the same worker find the pieces of earlier ones."""
+    if key not in _ENCODERS:
+        _ENCODERS[key] = make()
+    return _ENCODERS[key]
 
 
-_CACHES: dict[tuple, WordCache] = {}
+def release_memory() -> None:
+    """Gives back what ended tasks hold in this worker: caches, Arrow's pool and the allocator's free pages."""
+    _ENCODERS.clear()
+    _LOADED.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
-def word_cache(key: tuple, encode_words) -> WordCache:
-    """A worker's cache for ``key``: later tasks of the same worker find the words of earlier ones."""
-    if key not in _CACHES:
-        _CACHES[key] = WordCache(encode_words)
-    return _CACHES[key]
+def tidy(task):
+    """``task`` for mapInArrow, with the worker's memory given back before and after it."""
 
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
+        try:
+            yield from task(batches)
+        finally:
+            release_memory()
 
-def release_caches() -> None:
-    """Frees the word caches that earlier encoding tasks left in this worker; other operators' tasks call it first."""
-    _CACHES.clear()
+    return run
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -378,7 +428,7 @@ def bpe_encode(docs: DataFrame, path: str, results: tuple[str, ...] = ("n_tokens
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        cache = word_cache((path, "own"), v.encode_words)
+        cache = encoder((path, "own"), lambda: Encoder(v))
         decimals, tokens = pa.array(map(str, range(v.size))), pa.array(v.tokens)
         for batch in chunks(batches):
             offsets, ids = cache.encode(batch.column("text"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Groups larger than 1/HOT_SHARE of the rows are joined by broadcast; there are at most HOT_SHARE of them.
@@ -13,15 +14,15 @@ HOT_SHARE = 5_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir; where that is unset, one of our own in a single process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark, "_framewright_dir", None)
-        if path is None:
-            path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-            spark._framewright_dir = path
-            spark.sparkContext.setCheckpointDir(path)
-    return path
+    if path:
+        return path
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not hasattr(spark, "_framewright_dir"):
+        spark._framewright_dir = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return spark._framewright_dir
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -32,11 +33,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_defaults(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
-    """The id and the text (null: empty) as columns of ``docs``."""
-    return docs[id_col], F.coalesce(docs[text_col], F.lit(""))
-
-
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with one ``groups`` row per key, hot keys by broadcast.
 

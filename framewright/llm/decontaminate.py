@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.bpe import chunks, ragged, release_caches, words_of
+from framewright.llm.bpe import chunks, ragged, tidy, words_of
 from framewright.llm.common import stored
 from framewright.llm.minhash import MAX_BROADCAST_IDS
 from framewright.llm.recompress import fold
@@ -166,7 +166,6 @@ def leaks(
         index = spark.sparkContext.broadcast(build_index([tuple(r) for r in part.orderBy("item_id", "text").collect()]))
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            release_caches()
             for batch in chunks(batches):
                 got = list(find(index.value, batch.column("text"), threshold))
                 which = pa.array([g[0] for g in got], pa.int64())

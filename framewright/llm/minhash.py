@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.bpe import chunks, release_caches, words_of
+from framewright.llm.bpe import chunks, tidy, words_of
 from framewright.llm.common import join_groups, stored
 from framewright.llm.components import components
 
@@ -97,7 +97,6 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
     """(id, n_shingles, set_key, bands, sketch) of rows (id, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
         for batch in chunks(batches):
             sizes, keys, bands, sketches = [], [], [], []
             for s in shingle_sets(batch.column("text"), k):
@@ -115,7 +114,6 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
         for batch in chunks(batches):
             sets = pa.array([s.view(np.int64) for s in shingle_sets(batch.column("text"), k)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), sets], names=["id", "shingles"])

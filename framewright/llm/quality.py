@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.bpe import Table, chunks, release_caches
+from framewright.llm.bpe import Table, chunks, tidy
 from framewright.llm.common import stored
 from framewright.llm.minhash import MAX_BROADCAST_IDS
 
@@ -82,7 +82,6 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): grams of rows (lang, text), counted per task and chunk; add them up by (lang, gram)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         rows = 0
 
@@ -162,7 +161,6 @@ def perplexities(docs: DataFrame, table: DataFrame, max_table_rows: int = MAX_TA
     model = spark.sparkContext.broadcast((langs, rows.column("gram").to_numpy() | which << GRAM_BITS, rows.column("logp").to_numpy().astype(np.float32)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
         names, keys, logp = model.value
         found = Table(keys, np.arange(len(keys), dtype=np.int32))
         known = pa.array(list(names), pa.string())

@@ -1,10 +1,11 @@
 """Adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
 A block's ids are cut into lanes of equal length that are coded side by side, one id of every lane a step, with one
-model that all lanes share and that learns after each step. The model predicts an id from the two ids before it, one
-from the id before it, and a frequency for every id. How far each context has been right lately selects a cell; the
-counts of the cell weigh the three sources. A range coder writes which source was right and, for the last one, the id.
-Encoder and decoder do the same integer arithmetic, so what one writes the other reads.
+model that all lanes share and that learns after each step. Three predictions are mixed for every id: order 2 and order 1
+each put their mass on the id that last followed their context, order 0 is a frequency for every id. How far each context
+has been right lately, and whether both agree, selects a cell; what the cell's predictions have earned so far are the
+weights of the mixture. One arithmetic coding step writes the id by the mixture's cumulative frequencies. Encoder and
+decoder do the same integer arithmetic, so what one writes the other reads.
 
 Layout of a block (little-endian): magic, lanes, ids, alphabet, CRC-32 of the payload, CRC-32 of the ids as unsigned
 32-bit integers; then the payload: one 32-bit length per lane and the lanes' 16-bit words.
@@ -17,37 +18,44 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMR1"
+MAGIC = b"CMR2"
 HEADER = struct.Struct("<4sIQIII")
 MAX_LANES, LANE_IDS = 8192, 128
 #: Order-2 contexts are hashed to this many slots.
 SLOT_BITS = 19
 LEVELS = 8
-WEIGHT_BITS, STEP = 12, 32
+#: Weights of a cell add up to 2^WEIGHT_BITS, order-0 frequencies to 2^SUM_BITS; an id's coding interval has their product.
+WEIGHT_BITS, SUM_BITS = 12, 18
+STEP, EVERY = 32, 4
+MASS, SCALE = np.int64(1 << SUM_BITS), np.uint64(WEIGHT_BITS + SUM_BITS)
 FLOOR = np.uint64(1 << 32)
 LOW32 = np.uint64((1 << 32) - 1)
-U16, U48 = np.uint64(16), np.uint64(48)
+ONE, U16, U48 = np.uint64(1), np.uint64(16), np.uint64(48)
 
 
 class Model:
-    """Predictions for one step of all lanes, and what they learn from it."""
+    """The mixture for one step of all lanes, and what it learns from the ids."""
 
     def __init__(self, alphabet: int):
-        self.two = np.zeros(1 << SLOT_BITS, np.int32)
-        self.two_level = np.zeros(1 << SLOT_BITS, np.int8)
-        self.one = np.zeros(alphabet, np.int32)
-        self.one_level = np.zeros(alphabet, np.int8)
+        if not 0 < alphabet <= 1 << (SUM_BITS - 1):
+            raise ValueError(f"alphabets have 1 to {1 << (SUM_BITS - 1)} ids")
+        self.two, self.two_level = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.int8)
+        self.one, self.one_level = np.zeros(alphabet, np.int32), np.zeros(alphabet, np.int8)
         self.counts = np.ones(alphabet, np.int64)
         self.cells = np.ones((LEVELS * LEVELS * 2, 3), np.int64)
-        self.sums = np.zeros(alphabet + 1, np.int64)
-        self._prepare()
-
-    def _prepare(self) -> None:
-        np.cumsum(self.counts, out=self.sums[1:])
-        room = (1 << WEIGHT_BITS) - 3
-        share = self.cells * room // self.cells.sum(1, keepdims=True) + 1
-        share[:, 2] = (1 << WEIGHT_BITS) - share[:, 0] - share[:, 1]
-        self.weights = share.astype(np.uint64)
+        self.steps = 0
+        self._refresh()
+
+    def _refresh(self) -> None:
+        """Integer weights and order-0 sums from the counts; done every EVERY steps, on both sides."""
+        sums = np.concatenate([[0], np.cumsum(self.counts)])
+        alphabet = len(self.counts)
+        self.sums = sums * ((1 << SUM_BITS) - alphabet) // sums[-1] + np.arange(alphabet + 1)
+        self.size = np.diff(self.sums)
+        self.at_sum = None  # the id at every sum, made when a decoder asks
+        share = self.cells * ((1 << WEIGHT_BITS) - 3) // self.cells.sum(1, keepdims=True) + 1
+        self.of_two, self.of_one = share[:, 0] << SUM_BITS, share[:, 1] << SUM_BITS
+        self.of_all = (1 << WEIGHT_BITS) - share[:, 0] - share[:, 1]
 
     def predict(self, before: np.ndarray, last: np.ndarray) -> None:
         self.slot = ((last * 0x9E3779B1 + before * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - SLOT_BITS)
@@ -59,19 +67,64 @@ class Model:
         cell *= 2
         cell += self.guess2 == self.guess1
         self.cell = cell
-
-    def learn(self, ids: np.ndarray, source: np.ndarray, literals: np.ndarray) -> None:
-        self.cells += np.bincount(self.cell * 3 + source, minlength=self.cells.size).reshape(self.cells.shape)
-        if len(literals):
-            self.counts += STEP * np.bincount(literals, minlength=len(self.counts))
-        for table, levels, at, guess, level in (
-            (self.two, self.two_level, self.slot, self.guess2, self.level2),
-            (self.one, self.one_level, self.last, self.guess1, self.level1),
+        self.w2, self.w1, self.w0 = self.of_two[cell], self.of_one[cell], self.of_all[cell]
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cumulative frequency below, frequency) of each lane's id in its mixture."""
+        below = self.w0 * self.sums[ids] + self.w2 * (self.guess2 < ids) + self.w1 * (self.guess1 < ids)
+        return below, self.w0 * self.size[ids] + self.w2 * (self.guess2 == ids) + self.w1 * (self.guess1 == ids)
+
+    def find(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, cumulative frequencies below, frequencies) of the intervals that hold each lane's place."""
+        if self.at_sum is None:
+            self.at_sum = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+        two, one, w0, w1, w2 = self.guess2, self.guess1, self.w0, self.w1, self.w2
+        same = two == one
+        below = w0 * self.sums[two] + w1 * (one < two)
+        share = w0 * self.size[two] + w2 + w1 * same
+        below1 = w0 * self.sums[one] + w2 * (two < one)
+        share1 = w0 * self.size[one] + w1 + w2 * same
+        in_one = (place >= below1) & (place < below1 + share1)
+        in_two = (place >= below) & (place < below + share)
+        out = np.where(in_two, two, one).astype(np.int64)
+        rest = np.nonzero(~(in_one | in_two))[0]
+        past2, past1 = (place >= below + share)[rest] * w2[rest], (place >= below1 + share1)[rest] * w1[rest]
+        below, share = np.where(in_two, below, below1), np.where(in_two, share, share1)
+        if len(rest):
+            w0 = w0[rest]
+            found = self.at_sum[(place[rest] - past2 - past1) // w0]
+            out[rest] = found
+            below[rest], share[rest] = w0 * self.sums[found] + past2 + past1, w0 * self.size[found]
+        return out, below, share
+
+    def learn(self, ids: np.ndarray) -> None:
+        hit2, hit1 = self.guess2 == ids, self.guess1 == ids
+        missed = ~(hit2 | hit1)
+        cell = self.cell * 3
+        size = self.cells.size
+        earned = np.bincount(cell[hit2], minlength=size) + np.bincount(cell[hit1 & ~hit2] + 1, minlength=size) + np.bincount(cell[missed] + 2, minlength=size)
+        self.cells += earned.reshape(self.cells.shape)
+        self.counts += STEP * np.bincount(ids[missed], minlength=len(self.counts))
+        for table, levels, at, guess, level, hit in (
+            (self.two, self.two_level, self.slot, self.guess2, self.level2, hit2),
+            (self.one, self.one_level, self.last, self.guess1, self.level1, hit1),
         ):
-            hit = guess == ids
             table[at] = np.where(hit | (level > 1), guess, ids)
             levels[at] = np.where(hit, np.minimum(level + 1, LEVELS - 1), level >> 1)
-        self._prepare()
+        self.steps += 1
+        if self.steps % EVERY == 0:
+            self._refresh()
+
+
+def _settled(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Lanes whose next word is decided, or whose interval has become too small."""
+    return (((low ^ (low + size)) >> U48) == 0) | (size < FLOOR)
+
+
+def _shifted(lo: np.ndarray, sz: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Low ends and sizes one word further on; an interval across a border is cut at it."""
+    across = ((lo ^ (lo + sz)) >> U48) != 0
+    return lo << U16, np.where(across, (~lo + ONE) & LOW32, sz) << U16
 
 
 def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
@@ -86,44 +139,24 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     words, used = np.zeros((steps * 2 + 8, lanes), np.uint16), np.zeros(lanes, np.int64)
     before = last = np.zeros(lanes, np.int64)
-
-    def flush(at: np.ndarray | None) -> None:
-        """Writes settled bits of all lanes, or of those in ``at``."""
-        nonlocal words
-        lo, sz = (low, size) if at is None else (low[at], size[at])
-        todo = np.nonzero((((lo ^ (lo + sz)) >> U48) == 0) | (sz < FLOOR))[0]
-        if at is not None:
-            todo = at[todo]
+    for t in range(steps):
+        now = grid[t]
+        model.predict(before, last)
+        below, share = model.interval(now)
+        unit = size >> SCALE
+        low += unit * below.astype(np.uint64)
+        size = unit * share.astype(np.uint64)
+        todo = np.nonzero(_settled(low, size))[0]
         while len(todo):
             lo, sz = low[todo], size[todo]
-            across = ((lo ^ (lo + sz)) >> U48) != 0
-            sz = np.where(across, (~lo + np.uint64(1)) & LOW32, sz)
             if used[todo].max() >= len(words):
                 words = np.concatenate([words, np.zeros_like(words)])
             words[used[todo], todo] = lo >> U48
             used[todo] += 1
-            lo, sz = lo << U16, sz << U16
+            lo, sz = _shifted(lo, sz)
             low[todo], size[todo] = lo, sz
-            todo = todo[(((lo ^ (lo + sz)) >> U48) == 0) | (sz < FLOOR)]
-
-    for t in range(steps):
-        now = grid[t]
-        model.predict(before, last)
-        source = np.where(model.guess2 == now, 0, np.where(model.guess1 == now, 1, 2))
-        weight = model.weights[model.cell]
-        unit = size >> np.uint64(WEIGHT_BITS)
-        first, second = weight[:, 0], weight[:, 0] + weight[:, 1]
-        low += unit * np.where(source == 0, np.uint64(0), np.where(source == 1, first, second))
-        size[:] = unit * np.where(source == 0, first, np.where(source == 1, weight[:, 1], weight[:, 2]))
-        flush(None)
-        rest = np.nonzero(source == 2)[0]
-        literals = now[rest]
-        if len(rest):
-            unit = size[rest] // np.uint64(model.sums[-1])
-            low[rest] += unit * model.sums[literals].astype(np.uint64)
-            size[rest] = unit * model.counts[literals].astype(np.uint64)
-            flush(rest)
-        model.learn(now, source, literals)
+            todo = todo[_settled(lo, sz)]
+        model.learn(now)
         before, last = last, now
     end = low + LOW32
     for shift in (48, 32):
@@ -156,50 +189,25 @@ def decode_block(data: bytes) -> np.ndarray:
 
     def take(which) -> np.ndarray:
         k = at[which]
-        got = np.where(k < ends[which], flat[np.minimum(k, len(flat) - 1)], np.uint64(0))
         at[which] = k + 1
-        return got
+        return np.where(k < ends[which], flat[np.minimum(k, len(flat) - 1)], np.uint64(0))
 
     everyone = np.arange(lanes)
     for _ in range(4):
         code = (code << U16) | take(everyone)
-
-    def fill(which: np.ndarray | None) -> None:
-        lo, sz = (low, size) if which is None else (low[which], size[which])
-        todo = np.nonzero((((lo ^ (lo + sz)) >> U48) == 0) | (sz < FLOOR))[0]
-        if which is not None:
-            todo = which[todo]
+    for t in range(steps):
+        model.predict(before, last)
+        unit = size >> SCALE
+        now, below, share = model.find(((code - low) // unit).astype(np.int64))
+        low += unit * below.astype(np.uint64)
+        size = unit * share.astype(np.uint64)
+        todo = np.nonzero(_settled(low, size))[0]
         while len(todo):
-            lo, sz = low[todo], size[todo]
-            across = ((lo ^ (lo + sz)) >> U48) != 0
-            sz = np.where(across, (~lo + np.uint64(1)) & LOW32, sz)
             code[todo] = (code[todo] << U16) | take(todo)
-            lo, sz = lo << U16, sz << U16
+            lo, sz = _shifted(low[todo], size[todo])
             low[todo], size[todo] = lo, sz
-            todo = todo[(((lo ^ (lo + sz)) >> U48) == 0) | (sz < FLOOR)]
-
-    for t in range(steps):
-        model.predict(before, last)
-        weight = model.weights[model.cell]
-        unit = size >> np.uint64(WEIGHT_BITS)
-        first, second = weight[:, 0], weight[:, 0] + weight[:, 1]
-        target = code - low
-        source = (target >= unit * first).astype(np.int64) + (target >= unit * second)
-        low += unit * np.where(source == 0, np.uint64(0), np.where(source == 1, first, second))
-        size[:] = unit * np.where(source == 0, first, np.where(source == 1, weight[:, 1], weight[:, 2]))
-        fill(None)
-        now = np.where(source == 0, model.guess2, model.guess1).astype(np.int64)
-        rest = np.nonzero(source == 2)[0]
-        literals = rest
-        if len(rest):
-            unit = size[rest] // np.uint64(model.sums[-1])
-            place = ((code[rest] - low[rest]) // unit).astype(np.int64)
-            literals = np.searchsorted(model.sums, place, side="right") - 1
-            now[rest] = literals
-            low[rest] += unit * model.sums[literals].astype(np.uint64)
-            size[rest] = unit * model.counts[literals].astype(np.uint64)
-            fill(rest)
-        model.learn(now, source, literals)
+            todo = todo[_settled(lo, sz)]
+        model.learn(now)
         grid[t] = now
         before, last = last, now
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")

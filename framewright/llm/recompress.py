@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.bpe import chunks, digests, ragged, release_caches, words_of
+from framewright.llm.bpe import chunks, digests, ragged, tidy, words_of
 from framewright.llm.common import stored
 from framewright.llm.minhash import MAX_BROADCAST_IDS, mix, word_hashes
 
@@ -144,7 +144,6 @@ def _key_blocks(docs: DataFrame, window: int, bits: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
         held, rows, before = [], 0, 0
         for batch in chunks(batches):
             c = _Chunk(batch.column("text"), window)
@@ -213,7 +212,6 @@ def _removed_windows(docs: DataFrame, slots, window: int, bits: int, filter_bits
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
         held, rows = [], 0
         bitmap = slots.value
         for batch in chunks(batches):

@@ -13,7 +13,6 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,35 +20,31 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.bpe import PieceCache, byte_letters, chunks, vocabulary, word_cache
+from framewright.llm.bpe import Encoder, byte_letters, chunks, encoder, tidy, vocabulary
 from framewright.llm.common import shared_dir
 from framewright.llm.range_coder import decode_block, encode_block
 
 #: A block closes at the first document end beyond this many ids.
 BLOCK_IDS = 1 << 20
-_LIBRARY: dict = {}
 
 
-def library_encoder(path: str):
-    """(encode, alphabet): the library's encoding of words as (counts, ids), and the number of ids.
+def library_encoder(path: str) -> Encoder:
+    """An encoder of whole texts whose ids are the tokenizers library's: its model encodes each distinct piece.
 
-    Its model encodes each distinct piece; the vocabulary's normaliser and splitter, which look at no more than a word,
-    run once for all words of a chunk. The ids are those of whole texts.
+    The library's own pass over whole texts takes about four times the time budget of this operator; its normaliser and
+    splitter look at no more than a word, so they are run for odd words only (see bpe.pieces_of) and restated for others.
     """
-    if path not in _LIBRARY:
-        from tokenizers import Tokenizer
+    from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        letters = {b: c for b, c in enumerate(byte_letters())}
-        model, vocab = tokenizer.model, vocabulary(path)
+    tokenize = Tokenizer.from_file(path).model.tokenize
+    letters = {b: c for b, c in enumerate(byte_letters())}
 
-        def encode_pieces(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            found = [[t.id for t in model.tokenize(p.decode("latin-1").translate(letters))] for p in pieces]
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            return counts, np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum()))
+    def encode_pieces(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [[t.id for t in tokenize(p.decode("latin-1").translate(letters))] for p in pieces]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return counts, np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum()))
 
-        _LIBRARY[path] = partial(vocab.encode_words, encode_pieces=PieceCache(encode_pieces)), tokenizer.get_vocab_size(with_added_tokens=True)
-    return _LIBRARY[path]
+    return Encoder(vocabulary(path), encode_pieces)
 
 
 BLOCK_SCHEMA = "part int, block int, ids_before long, n_docs int, n_ids long, docs binary, data binary"
@@ -79,8 +74,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, alphabet = library_encoder(tokenizer)
-        cache = word_cache((tokenizer, "library"), encoder)
+        cache = encoder((tokenizer, "library"), lambda: library_encoder(tokenizer))
+        alphabet = cache.vocab.size
         block, before, part = 0, 0, 0
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
@@ -130,7 +125,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    return blocks.join(F.broadcast(base), "part").mapInArrow(decode, kind)
+    return blocks.join(F.broadcast(base), "part").mapInArrow(tidy(decode), kind)
 
 
 def op4_token_files(spark, sf_dir: str) -> DataFrame:

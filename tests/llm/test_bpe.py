@@ -5,7 +5,8 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from framewright.llm.bpe import bpe_encode, vocabulary, words_of
+from framewright.llm.bpe import Encoder, bpe_encode, vocabulary, words_of
+from framewright.llm.token_store import library_encoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 NASTY = [
@@ -39,12 +40,38 @@ def test_ids_and_decoding_match_the_library(spark):
 def test_random_letters_exercise_the_pair_tests():
     v, t, rng = vocabulary(PATH), library(), random.Random(3)
     words = ["".join(rng.choice("abcehilnorst") for _ in range(rng.randint(1, 30))) for _ in range(4000)]
-    counts, ids = v.encode_words(words)
-    assert counts.sum() == len(ids)
-    at = 0
-    for w, n in zip(words, counts):
-        assert t.encode(w, add_special_tokens=False).ids == ids[at : at + n].tolist()
-        at += n
+    offsets, ids = Encoder(v).encode(pa.array(words))
+    assert offsets[-1] == len(ids)
+    for k, w in enumerate(words):
+        assert t.encode(w, add_special_tokens=False).ids == ids[offsets[k] : offsets[k + 1]].tolist()
+
+
+def same_as_library(texts):
+    want = [e.ids for e in library().encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    for encoder in (Encoder(vocabulary(PATH)), library_encoder(PATH)):
+        offsets, ids = encoder.encode(pa.array(texts, pa.string()))
+        got = [ids[a:b].tolist() for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+        assert [x for x, a, b in zip(texts, got, want) if a != b] == []
+
+
+def test_every_code_point_of_the_first_two_planes():
+    """Letters, marks and digits that Python's own Unicode tables don't know yet included."""
+    same_as_library([f"a{chr(c)}b A{chr(c)}'s {chr(c)}" for c in range(0x20000) if not 0xD800 <= c < 0xE000])
+
+
+def test_mixtures_of_odd_characters():
+    rng = random.Random(1)
+    parts = [
+        "'", "'s", "'RE", "'ll", "'d", "a", "m", "re", "B", "é", "É", "ß", "ſ", "İ", "ŉ", "Σ", "日", "\u0301", "\U0001f4a9", " ", "\n", "\x85", "\xa0", "\x1c", "\x00", "1", "²", ".", "!",
+        "<|", "<|endoftext|>", "<|startoftext|>", "<|STARTOFTEXT|>",
+    ]
+    same_as_library(["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(20_000)] + [None, ""])
+
+
+def test_repeated_rows_null_ids_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y"), (1, "a b", "x", "y"), (None, "c", None, None)], "doc_id long, text string, c0 string, ids_sha256 string")
+    rows = bpe_encode(docs, PATH, ("n_tokens", "ids_sha256")).collect()
+    assert [(r.doc_id, r.c0, r.n_tokens) for r in sorted(rows, key=lambda r: r.doc_id or 0)] == [(None, None, 1), (1, "x", 2), (1, "x", 2)]
 
 
 def test_empty_table(spark):
