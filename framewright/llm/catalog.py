@@ -19,5 +19,6 @@ QUERIES = {
 ORACLES = {
     "op5_substring_dedup": recompress.OP5_SQL,
     "op10_minhash_near_dedup": minhash.OP10_SQL,
+    "op7_chat_format": chat_format.OP7_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Groups larger than 1/HOT_SHARE of the rows are joined by broadcast; there are at most HOT_SHARE of them.
@@ -33,6 +33,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def renamed(docs: DataFrame, carried: list[str], **named: Column) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the columns ``carried`` as c0, c1, ... and the columns ``named``; and the carried names by these.
+
+    Operators work on such tables, so that no column of the caller meets one of theirs.
+    """
+    back = {f"c{k}": c for k, c in enumerate(carried)}
+    return docs.select(*[docs[c].alias(k) for k, c in back.items()], *[v.alias(k) for k, v in named.items()]), back
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with one ``groups`` row per key, hot keys by broadcast.
 

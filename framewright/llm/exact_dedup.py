@@ -1,13 +1,15 @@
 """Exact dedup by two passes over a Bloom filter of text hashes.
 
-Pass one counts how many rows set each filter bit and keeps only bits set twice or more, as 64-bit words. Pass two tests
-every row against those words: a row with a bit that nobody else set is unique and passes straight through. The few
-other rows alone are shuffled, by SHA-256 of the text, and grouped exactly; a false positive of the filter only costs a
-shuffled row. Everything is built-in SQL functions.
-
-Scale: the filter has BITS_PER_ROW bits a row, so the words of repeated bits are broadcast only while their bound (from
-the row count) is under ``max_filter_bytes``. Beyond it the ids and digests (never the texts) of all rows are shuffled,
-with the same result. Groups holding a large share of all rows are pre-aggregated and joined back by broadcast.
+Pass one hashes every text to one filter bit and keeps only the bits that two rows or more set, as bitmaps of 32,768 bits.
+Pass two tests every row against them: a row whose bit nobody else set is unique and passes straight through. The other
+rows alone are shuffled, by SHA-256 of the text (ids and digests, never texts), and grouped exactly; a false positive of
+the filter only costs a shuffled row. Everything is built-in SQL functions.
+
+Scale: the filter has BITS_PER_ROW bits a row, in a power of two, up to MAX_FILTER_BITS (64 MB, which bounds the
+broadcast). One hash function suffices at these sizes: up to 16 million rows at most 3 % of the unique rows shuffle, and a
+second function would double what pass one shuffles, a bit number a row. With more rows than the largest filter has room
+for, more unique rows shuffle their digests, half of them at 370 million. Groups holding a large share of all rows are
+pre-aggregated and joined back by broadcast.
 """
 
 from __future__ import annotations
@@ -15,77 +17,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import join_groups, stored
+from framewright.llm.common import join_groups, renamed, stored
 
-BITS_PER_ROW = 16
-MAX_FILTER_BYTES = 64 << 20
-#: Bytes that one 64-bit word of the filter takes in a broadcast hash table, generously.
-WORD_BYTES = 64
+BITS_PER_ROW = 32
+MAX_FILTER_BITS = 1 << 29
 
 
-def _bits(text: Column, n_bits: int) -> tuple[Column, Column]:
-    first = F.xxhash64(text)
-    return F.pmod(first, F.lit(n_bits)), F.pmod(F.xxhash64(first, F.lit(1)), F.lit(n_bits))
+def filter_bit(text: Column, n_bits: int) -> Column:
+    """The filter bit of a text, from 1."""
+    return F.pmod(F.xxhash64(text), F.lit(n_bits)) + 1
 
 
-def repeated_words(texts: DataFrame, n_bits: int) -> DataFrame:
-    """(word long, mask long): the filter's bits that two or more rows set. ``texts`` has the one column text."""
-    bits = texts.select(F.explode(F.array(*_bits(F.col("text"), n_bits))).alias("bit"))
-    twice = bits.groupBy("bit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    word = F.shiftright("bit", 6).alias("word")
-    return twice.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask"))
+def repeated_bits(texts: DataFrame, n_bits: int) -> DataFrame:
+    """(bucket long, bitmap binary): the filter bits that two or more rows set. ``texts`` has the one column text."""
+    bits = texts.groupBy(filter_bit(F.col("text"), n_bits).alias("bit")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return bits.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
 
 
-def _flagged(rows: DataFrame, words: DataFrame, n_bits: int) -> DataFrame:
-    """``rows`` (with column _text) plus _maybe: true where both filter bits were set twice."""
-    one, two = _bits(F.col("_text"), n_bits)
-    small = F.broadcast(words)
-    marked = rows.withColumn("_b1", one).withColumn("_b2", two)
-    for k in (1, 2):
-        side = small.select(F.col("word").alias(f"_w{k}"), F.col("mask").alias(f"_m{k}"))
-        marked = marked.join(F.broadcast(side), F.shiftright(f"_b{k}", 6) == F.col(f"_w{k}"), "left")
-    hit = [F.expr(f"coalesce((shiftright(_m{k}, cast(_b{k} & 63 as int)) & 1L) = 1L, false)") for k in (1, 2)]
-    return marked.withColumn("_maybe", hit[0] & hit[1]).drop("_b1", "_b2", "_w1", "_w2", "_m1", "_m2")
+def _flagged(rows: DataFrame, bitmaps: DataFrame, n_bits: int) -> DataFrame:
+    """``rows`` (with column text) plus again: true where the row's filter bit was set twice."""
+    bit = filter_bit(F.col("text"), n_bits)
+    marked = rows.withColumn("bit", bit).withColumn("bucket", F.bitmap_bucket_number("bit")).join(F.broadcast(bitmaps), "bucket", "left")
+    at = F.bitmap_bit_position("bit")
+    byte = F.conv(F.hex(F.substring("bitmap", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (at % 8).cast("int")) == 1
+    return marked.withColumn("again", F.coalesce(hit, F.lit(False))).drop("bit", "bucket", "bitmap")
 
 
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = BITS_PER_ROW,
-    max_filter_bytes: int = MAX_FILTER_BYTES, columns: list[str] | None = None,
+    max_filter_bits: int = MAX_FILTER_BITS, columns: list[str] | None = None,
 ) -> DataFrame:
     """Rows of ``docs`` (``columns`` of it, all by default) with keep_id, group_size, kept and text_sha256.
 
     Texts are equal when identical after no change; null counts as empty, so null and empty texts are one group. Of
     equal texts the largest id stays. Rows repeated with the same id all count in group_size and share one verdict; a
     null id never beats another and is kept only in a group of null ids. An empty table gives an empty result. Columns
-    of ``docs`` named like the results are replaced by them.
+    of ``docs`` named like the results are replaced by them; other names don't matter.
     """
-    columns = list(docs.columns) if columns is None else columns
-    results = ("keep_id", "group_size", "kept", "text_sha256")
-    carried = [c for c in columns if c not in results]
-    rows = docs.select(
-        *[docs[c] for c in carried], docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text")
-    )
+    carried = [c for c in (docs.columns if columns is None else columns) if c not in ("keep_id", "group_size", "kept", "text_sha256")]
+    plain, back = renamed(docs, carried, id=docs[id_col], text=F.coalesce(docs[text_col], F.lit("")))
     total = docs.count()
-    n_bits = 1 << max(15, (total * bits_per_row - 1).bit_length())
-    # two bits a row and two rows a kept bit: at most ``total`` words, and at most n_bits / 64
-    if min(total, n_bits // 64) * WORD_BYTES <= max_filter_bytes:
-        words = stored(repeated_words(rows.select(F.col("_text").alias("text")), n_bits), "bloom")
-        rows = _flagged(rows, words, n_bits)
-    else:
-        rows = rows.withColumn("_maybe", F.lit(True))
-    rows = rows.withColumn("_sha", F.sha2(F.col("_text"), 256))
-    wide = [*carried, "_id", "_sha"]
-    alone = rows.filter(~F.col("_maybe")).select(
-        *wide, F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_size")
-    )
-    again = rows.filter("_maybe")
-    groups = stored(
-        again.groupBy("_sha").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size")), "groups"
-    )
-    grouped = join_groups(again.select(*wide), groups, "_sha", "_size", total).select(*wide, "_keep", "_size")
+    n_bits = max(1 << 15, min(max_filter_bits, 1 << (total * bits_per_row).bit_length()))
+    bitmaps = stored(repeated_bits(plain.select("text"), n_bits), "bloom")
+    rows = _flagged(plain, bitmaps, n_bits).withColumn("sha", F.sha2("text", 256)).drop("text")
+    alone = rows.filter("not again").select(*back, "id", "sha", F.col("id").alias("keep"), F.lit(1).cast("long").alias("size"))
+    again = rows.filter("again").drop("again")
+    groups = stored(again.groupBy("sha").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("size")), "groups")
+    grouped = join_groups(again, groups, "sha", "size", total).select(*back, "id", "sha", "keep", "size")
     return alone.unionByName(grouped).select(
-        *carried, F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"),
-        F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"), F.col("_sha").alias("text_sha256"),
+        *[F.col(k).alias(c) for k, c in back.items()], F.col("keep").alias("keep_id"), F.col("size").alias("group_size"),
+        F.col("id").eqNullSafe(F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256"),
     )
 
 
