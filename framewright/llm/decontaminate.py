@@ -1,18 +1,22 @@
 """Benchmark decontamination: every training passage queries a BM25 index of the test items.
 
 The index keeps, for each term, the items' BM25 weights divided by the item's own score, so that one threshold serves
-all items: a passage that holds a whole item scores 1. Items are cut into blocks with the largest weight of each term in
-each block. As in block-max WAND a block's postings are opened only where the sum of the passage's term maxima reaches
-the threshold; the bounds of all passages of a batch are added together in numpy. Candidates above the threshold are
-verified on word shingles of the item's question and answer.
+all items: a passage that holds a whole item scores 1. Item counts, document frequencies and the mean length are those of
+all items. Postings are cut into blocks of BLOCK_ITEMS items with the largest weight of each term in each block. As in
+block-max WAND a passage is given up where the sum of its terms' maxima is below the threshold, then a block where the sum
+of its block maxima is, and only the blocks that are left are opened; numpy adds up the bounds of many passages together
+instead of moving one cursor at a time. Candidates above the threshold are verified on word shingles of the item's
+question and answer.
 
 Scale: documents aren't shuffled. The index is broadcast while the items have at most ``max_index_bytes`` of text; more
-items are dealt into shards of about that size by their ids, and each shard is a query set of its own.
+items are dealt into shards of about that size by their ids. A shard is a query set of its own: one more pass over the
+documents, with the same scores, and one index in memory at a time.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +35,9 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 SHINGLE, WHOLE, PART = 5, 0.8, 0.5
 MAX_INDEX_BYTES = 16 << 20
-BLOCKS = 64
+BLOCK_ITEMS = 16
+#: Passages whose bounds are added up together.
+TOGETHER = 256
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -45,18 +51,32 @@ def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    """A BM25 index of test items, with block maxima, and their shingles."""
+    """A BM25 index of test items, with block maxima, and their shingles.
+
+    An entry is a term in a block: entries of term t are entry_of[t]:entry_of[t + 1], postings of entry e are posting_of[e]:posting_of[e + 1].
+    """
 
     items: list
     terms: pa.Array
-    block_items: int
-    bounds: np.ndarray  # term x block: the largest weight
-    pointers: np.ndarray  # term x (block + 1): where postings of the block start
+    entry_of: np.ndarray
+    entry_block: np.ndarray
+    entry_most: np.ndarray
+    posting_of: np.ndarray
     posting_item: np.ndarray
     posting_weight: np.ndarray
+    term_most: np.ndarray
     shingles: list  # per item: (size, hashes, whether each ends in the answer)
 
 
+@dataclass
+class Statistics:
+    """Of all items: how many, their mean length in words, and in how many each term occurs."""
+
+    n: int
+    mean: float
+    frequency: dict[str, int]
+
+
 def _answer_start(text: str, n: int) -> int:
     """The first word of the answer: the last sentence, or the last third of a single one."""
     sentences = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if terms_of(pa.array([s]))[2][-1]]
@@ -65,27 +85,40 @@ def _answer_start(text: str, n: int) -> int:
     return 2 * n // 3
 
 
-def build_index(items: list[tuple]) -> Index:
-    """The index of (item_id, text) rows. Items without words are in it, but no passage finds them."""
+def statistics(items: list[tuple]) -> Statistics:
+    """Of (item_id, text) rows."""
+    words, codes, offsets = terms_of(pa.array([t for _, t in items], pa.string()))
+    names = words.to_pylist()
+    frequency = Counter(t for a, b in zip(offsets, offsets[1:]) for t in {names[c] for c in codes[a:b]})
+    return Statistics(len(items), float(np.diff(offsets).mean()) if items else 0.0, frequency)
+
+
+def build_index(items: list[tuple], of_all: Statistics | None = None) -> Index:
+    """The index of (item_id, text) rows, a shard of the items that ``of_all`` describes (default: these rows).
+
+    Items without words are in it, but no passage finds them. Terms are sorted, so that sums don't depend on the shard.
+    """
+    of_all = of_all or statistics(items)
     texts = ["" if t is None else t for _, t in items]
     words, codes, offsets = terms_of(pa.array(texts, pa.string()))
-    distinct = words.dictionary_encode()
-    seq = distinct.indices.to_numpy().astype(np.int64)[codes]
-    terms = distinct.dictionary
+    names, of_word = np.unique(np.array(words.to_pylist(), object), return_inverse=True) if len(words) else (np.zeros(0, object), np.zeros(0, np.int64))
+    seq = of_word.astype(np.int64)[codes]
     n, size = len(items), np.diff(offsets)
     item = np.repeat(np.arange(n), size)
     pair, tf = np.unique(seq * max(1, n) + item, return_counts=True)
     term, item = pair // max(1, n), pair % max(1, n)
-    df = np.bincount(term, minlength=len(terms))
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    norm = K1 * (1 - B + B * size[item] / max(1.0, size.mean() if n else 1.0))
+    df = np.array([of_all.frequency.get(t, 0) for t in names], float)
+    idf = np.log(1 + (of_all.n - df + 0.5) / (df + 0.5))
+    norm = K1 * (1 - B + B * size[item] / max(1.0, of_all.mean))
     weight = idf[term] * tf * (K1 + 1) / (tf + norm)
     weight = weight / np.bincount(item, weight, minlength=n)[item]
-    block_items = max(1, -(-n // BLOCKS))
-    blocks = max(1, -(-n // block_items))
-    bounds = np.zeros((len(terms), blocks), np.float32)
-    np.maximum.at(bounds, (term, item // block_items), weight.astype(np.float32))
-    pointers = np.searchsorted(term * blocks + item // block_items, np.arange(len(terms))[:, None] * blocks + np.arange(blocks + 1))
+    blocks = -(-n // BLOCK_ITEMS)
+    entry, first = np.unique(term * max(1, blocks) + item // BLOCK_ITEMS, return_index=True)
+    most = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+    entry_of = np.searchsorted(entry, np.arange(len(names) + 1) * max(1, blocks))
+    term_most = np.maximum.reduceat(most, entry_of[:-1][np.diff(entry_of) > 0]) if len(most) else np.zeros(0)
+    of_term = np.zeros(len(names))
+    of_term[np.diff(entry_of) > 0] = term_most
     shingles = []
     for k in range(n):
         own = seq[offsets[k] : offsets[k + 1]].astype(np.uint64) + np.uint64(1)
@@ -94,7 +127,9 @@ def build_index(items: list[tuple]) -> Index:
             shingles.append((0, np.zeros(0, np.uint64), np.zeros(0, bool)))
             continue
         shingles.append((width, fold(own, width), np.arange(width - 1, len(own)) >= _answer_start(texts[k], len(own))))
-    return Index([i for i, _ in items], terms, block_items, bounds, pointers, item, weight, shingles)
+    return Index(
+        [i for i, _ in items], pa.array(names, pa.string()), entry_of, entry % max(1, blocks), most, np.append(first, len(item)), item, weight, of_term, shingles
+    )
 
 
 def find(index: Index, texts: pa.Array, threshold: float) -> Iterator[tuple[int, int, float, float, float]]:
@@ -110,28 +145,30 @@ def find(index: Index, texts: pa.Array, threshold: float) -> Iterator[tuple[int,
     of, term = pair // width, pair % width
     starts = np.nonzero(np.concatenate([[True], of[1:] != of[:-1]]))[0]
     ends = np.append(starts[1:], len(of))
-    slack = threshold - 1e-4  # bounds are single precision
-    enough = np.add.reduceat(index.bounds.max(1)[term], starts) >= slack
+    slack = threshold - 1e-6  # sums of bounds and of weights round differently
+    enough = np.add.reduceat(index.term_most[term], starts) >= slack
     starts, ends = starts[enough], ends[enough]
+    blocks = int(index.entry_block.max(initial=0)) + 1
     candidates: list[tuple[int, int, float]] = []
-    for a in range(0, len(starts), 256):
-        lo, hi = starts[a : a + 256], ends[a : a + 256]
+    for a in range(0, len(starts), TOGETHER):
+        lo, hi = starts[a : a + TOGETHER], ends[a : a + TOGETHER]
         rows = ragged(lo, hi - lo)
-        local = np.cumsum(hi - lo) - (hi - lo)
-        sums = np.add.reduceat(index.bounds[term[rows]], local, axis=0)
-        group, block = np.nonzero(sums >= slack)
-        if not len(group):
+        first, count = index.entry_of[term[rows]], index.entry_of[term[rows] + 1] - index.entry_of[term[rows]]
+        entry = ragged(first, count)
+        place = np.repeat(np.repeat(np.arange(len(lo)), hi - lo), count) * blocks + index.entry_block[entry]
+        bound = np.bincount(place, index.entry_most[entry], minlength=len(lo) * blocks)
+        opened = bound >= slack
+        if not opened.any():
             continue
-        count = (hi - lo)[group]
-        at = ragged(lo[group], count)  # the terms of each (text, block) that may hold an item
-        which = np.repeat(np.arange(len(group)), count)
-        first, last = index.pointers[term[at], block[which]], index.pointers[term[at], block[which] + 1]
-        open_ = ragged(first, last - first)
-        slot = np.repeat(which, last - first) * index.block_items + index.posting_item[open_] - np.repeat(block[which], last - first) * index.block_items
-        score = np.bincount(slot, index.posting_weight[open_], minlength=len(group) * index.block_items)
+        left = opened[place]
+        entry, place = entry[left], place[left]
+        count = index.posting_of[entry + 1] - index.posting_of[entry]
+        posting = ragged(index.posting_of[entry], count)
+        slot = np.repeat((np.cumsum(opened) - 1)[place], count) * BLOCK_ITEMS + index.posting_item[posting] % BLOCK_ITEMS
+        score = np.round(np.bincount(slot, index.posting_weight[posting], minlength=int(opened.sum()) * BLOCK_ITEMS), 9)
         good = np.nonzero(score >= threshold)[0]
-        g = good // index.block_items
-        candidates += zip(of[lo[group[g]]].tolist(), (block[g] * index.block_items + good % index.block_items).tolist(), score[good].tolist())
+        which = np.nonzero(opened)[0][good // BLOCK_ITEMS]
+        candidates += zip(of[lo[which // blocks]].tolist(), (which % blocks * BLOCK_ITEMS + good % BLOCK_ITEMS).tolist(), score[good].tolist())
     own: dict[tuple[int, int], np.ndarray] = {}
     for k, item, score in candidates:
         size, hashes, answer = index.shingles[item]
@@ -158,12 +195,17 @@ def leaks(
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     sets = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = sets.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    shards = max(1, -(-int(total) // max_index_bytes))
+    words = sets.mapInArrow(tidy(_words), "n long, terms array<string>")
+    n, size = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()
+    mean = words.agg(F.avg("n")).first()[0] or 0.0
+    frequency = stored(words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "frequency")
+    shards = max(1, -(-int(size) // max_index_bytes))
     found = None
     for shard in range(shards):
         part = sets.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
-        index = spark.sparkContext.broadcast(build_index([tuple(r) for r in part.orderBy("item_id", "text").collect()]))
+        terms = part.mapInArrow(tidy(_words), "n long, terms array<string>").select(F.explode("terms").alias("term")).distinct()
+        held = {r["term"]: r["n"] for r in frequency.join(terms, "term").collect()}
+        index = spark.sparkContext.broadcast(build_index([tuple(r) for r in part.orderBy("item_id", "text").collect()], Statistics(n, mean, held)))
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches):
@@ -174,11 +216,24 @@ def leaks(
                     names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
                 )
 
-        pairs = rows.mapInArrow(search, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        pairs = rows.mapInArrow(tidy(search), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        if shards == 1:
+            return pairs
+        pairs = stored(pairs, "leaks")
+        index.destroy()
         found = pairs if found is None else found.unionByName(pairs)
     return found
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(number of words, distinct terms) of each item."""
+    for batch in chunks(batches):
+        words, codes, offsets = terms_of(batch.column("text"))
+        names = words.to_pylist()
+        terms = [sorted({names[c] for c in codes[a:b]}) for a, b in zip(offsets, offsets[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(np.diff(offsets)), pa.array(terms, pa.list_(pa.string()))], names=["n", "terms"])
+
+
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; columns unchanged; rows with a null id stay."""
     leaked = stored(leaks(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")

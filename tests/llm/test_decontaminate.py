@@ -1,8 +1,11 @@
+import math
 import random
 import re
 import string
+from collections import Counter
 
 import pyarrow as pa
+import pytest
 
 from framewright.llm.decontaminate import build_index, drop_leaks, find, leaks
 
@@ -59,16 +62,50 @@ def test_against_brute_force(spark):
     assert all(r.score >= 0.5 and r.question_overlap >= 0.5 and r.answer_overlap >= 0.5 for r in got)
 
 
-def test_shards_find_the_same(spark):
+@pytest.mark.parametrize("threshold", [0.5, 0.85])
+def test_shards_find_the_same(spark, threshold):
+    docs, items = corpus()
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(leaks(a, b, threshold).collect())
+    assert len(whole) > 40
+    for size in (6000, 3000):
+        assert sorted(leaks(a, b, threshold, max_index_bytes=size).collect()) == whole
+
+
+def test_scores_against_plain_bm25():
+    docs, items = corpus()
+    n, sizes = len(items), [len(words(t)) for _, t in items]
+    mean, df = sum(sizes) / n, Counter(w for _, t in items for w in set(words(t)))
+
+    def weights(text, size):
+        tf = Counter(words(text))
+        return {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * size / mean)) for w, c in tf.items()}
+
+    of_item = [weights(t, s) for (_, t), s in zip(items, sizes)]
+    seen = 0
+    for k, i, score, *_ in find(build_index(items), pa.array([t for _, t in docs]), 0.5):
+        own = set(words(docs[k][1]))
+        assert score == pytest.approx(sum(v for w, v in of_item[i].items() if w in own) / sum(of_item[i].values()), abs=1e-8)
+        seen += 1
+    assert seen > 60
+
+
+def test_dropping(spark):
     docs, items = corpus()
     a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    pairs = lambda df: {(r.doc_id, r.item_id) for r in df.collect()}
-    assert pairs(leaks(a, b, max_index_bytes=6000)) == pairs(leaks(a, b))
     kept = drop_leaks(a, b)
     assert kept.columns == a.columns
     assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in brute(docs, items)}
 
 
+def test_null_ids_repeated_rows_and_long_texts(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    docs = spark.createDataFrame([(None, item), (1, item), (1, item), (2, "x " * 400_000 + item), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (7, item), (None, item)], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id) for r in leaks(docs, items).collect())
+    assert got == {(None, 7): 2, (None, None): 1, (1, 7): 4, (1, None): 2, (2, 7): 2, (2, None): 1}
+
+
 def test_block_bounds_lose_nothing():
     docs, items = corpus()
     index = build_index(items)
