@@ -1,4 +1,4 @@
-"""Connected components of a link table: alternating large and small stars, and a union-find once few links are left."""
+"""Connected components of a link table: union-find within each partition, and star steps between the partitions."""
 
 from __future__ import annotations
 
@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.bpe import tidy
 from framewright.llm.common import join_groups, stored
 
 MAX_ROUNDS = 60
-#: So many distinct links (16 bytes each) are few enough for one task; a larger table goes through star rounds.
-LOCAL_LINKS = 2_000_000
+#: Distinct links (16 bytes each) a task; the number of partitions follows from it.
+TASK_LINKS = 1_000_000
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,22 +51,26 @@ def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
     return out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
+def components(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b): component is the least node reachable.
 
-    Rounds are logarithmic in the longest path. A node with very many links is pre-aggregated and joined by broadcast, so
+    A round makes a forest of the links of each partition, then links nodes of different partitions to the least node they
+    know; with few links a single partition is left. Rounds are logarithmic in the longest path. A node with very many links is pre-aggregated and joined by broadcast, so
     that it doesn't fill one task. Links are any integers; repeated links and self-links are harmless; no link, no row.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = stored(edges, "edges")
-    if edges.count() <= local_links:
-        return edges.coalesce(1).mapInArrow(_union_find, "node long, component long")
     state = None
     for _ in range(MAX_ROUNDS):
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == state or not now[0]:
             break
         state = now
+        parts = -(-now[0] // task_links)
+        forest = (edges.coalesce(1) if parts == 1 else edges.repartition(parts, "v")).mapInArrow(tidy(_union_find), "node long, component long")
+        if parts == 1:  # no other partition has a link to these
+            return forest
+        edges = stored(forest.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).distinct(), "forest")
         edges = stored(_star(edges, 2 * now[0], large=True), "edges")
         edges = stored(_star(edges, now[0], large=False), "edges")
     else:

@@ -8,7 +8,8 @@ Documents with equal sets are one class. Of the classes in a bucket the one that
 others are compared with it on full sets. Components follow from the confirmed links. Pairs of a bucket that ended up in
 different components, and were not compared, are compared too, so no candidate pair is left out; groups of copies are
 joined by their pivots and don't grow into all pairs. A parity sketch of 1,024 bits tells most such pairs apart before
-they become rows: two sketches never differ in more bits than the sets do in shingles, so no link is lost.
+they become rows: two sketches never differ in more bits than the sets do in shingles, so no link is lost. Members of a
+bucket's largest component, which may be very many, are never paired with each other.
 
 Scale: signatures are made where the text is read; buckets shuffle 64-bit keys; full sets are made for candidates only.
 Hot classes, buckets and pivots are pre-aggregated and joined by broadcast or split by adaptive execution.
@@ -109,7 +110,7 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
                 names=["id", "n_shingles", "set_key", "bands", "sketch"],
             )
 
-    return docs.mapInArrow(sign, "id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(tidy(sign), "id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -118,7 +119,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             sets = pa.array([s.view(np.int64) for s in shingle_sets(batch.column("text"), k)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), sets], names=["id", "shingles"])
 
-    return docs.mapInArrow(make, "id long, shingles array<long>")
+    return docs.mapInArrow(tidy(make), "id long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -176,13 +177,18 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         .select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component")),
         "placed",
     )
-    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+    # members of a bucket's largest component aren't compared with each other: the others are, with all of the bucket
+    shares = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("share"))
+    split = shares.groupBy("bucket").agg(F.max(F.struct("share", "component")).alias("top"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    split = split.select("bucket", F.col("top")["component"].alias("major"))
     open_ = stored(placed.join(split, "bucket").join(classes.select("rep", "sketch"), "rep"), "open")
-    other = open_.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("sketch").alias("sketch2"))
+    other = open_.filter("component <> major").select(
+        "bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("sketch").alias("sketch2")
+    )
     differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
     near = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("n2"))
-    rest = open_.join(other, "bucket").filter("component <> component2 and rep < rep2").filter(fits(F.col("n"), F.col("n2")) & near)
-    rest = rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = open_.join(other, "bucket").filter("component <> component2").filter(fits(F.col("n"), F.col("n2")) & near)
+    rest = rest.select(*pair(F.col("rep"), F.col("rep2"))).distinct().join(tried, ["a", "b"], "left_anti")
     more = stored(_confirmed(stored(rest, "rest"), sets, percent), "links")
     if not more.isEmpty():
         found = stored(components(links.union(more)), "components")

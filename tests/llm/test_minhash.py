@@ -85,7 +85,7 @@ def test_hub_of_near_copies_and_null_ids(spark):
     assert kept.columns == docs.columns and kept.count() == len({c for _, c in want.values()}) + 2
 
 
-@pytest.mark.parametrize("local", [0, 10**6])
+@pytest.mark.parametrize("local", [40, 10**6])
 def test_components_of_a_long_path_and_a_star(spark, local):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(1000, 1100)] + [(5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), local).collect()}
@@ -102,6 +102,14 @@ def test_min_and_max_agree_as_often_as_the_sets_do():
     assert [len(s) for s in shingle_sets(pa.array(["a b a b a", None, "a"]), 2)] == [2, 0, 1]
 
 
+def test_very_long_text_and_clashing_names(spark):
+    long = " ".join(f"t{i}" for i in range(150_000))
+    docs = spark.createDataFrame([(3, long, "x"), (2, long + " end", "y"), (1, None, "z"), (2, long + " end", "y")], "doc_id long, text string, component_id string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs, 5).collect())
+    assert got == [(1, 0, 1), (2, 149_997, 2), (2, 149_997, 2), (3, 149_996, 2)]
+    assert sorted(r.component_id for r in drop_near_duplicates(docs, 5).collect()) == ["y", "y", "z"]
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
