@@ -15,10 +15,15 @@ QUERIES = {
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op6_license_scan": license_scan.op6_license_scan,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    # the parts of op6 and op8 that SQL can say
+    "license_base": license_scan.license_base,
+    "secret_base": secret_scan.secret_base,
 }
 ORACLES = {
     "op5_substring_dedup": recompress.OP5_SQL,
     "op10_minhash_near_dedup": minhash.OP10_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "license_base": license_scan.BASE_SQL,
+    "secret_base": secret_scan.BASE_SQL,
 }

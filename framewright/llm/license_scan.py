@@ -13,6 +13,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.common import renamed
 from framewright.llm.license_rules import build_rules
 
 #: Fixed values of the base scan: phrase and label.
@@ -84,21 +85,19 @@ def license_scan(docs: DataFrame, text_col: str = "text", columns: list[str] | N
     (label, rule, priority, start, stop, score) left after suppression; base_labels and labels (base and rules), distinct
     and sorted; score: the largest of the surviving detections, 0 without any. Start and stop are word indexes from 0,
     stop exclusive. Null texts count as empty and give 0 words and empty arrays; rows aren't merged, dropped or reordered.
-    Columns of ``docs`` named like the results are replaced.
+    Columns of ``docs`` named like the results are replaced; other names don't matter. An empty table gives an empty result.
     """
     rules = build_rules() if rules is None else rules
     results = ("n_words", "base", "detections", "base_labels", "labels", "score")
     carried = [c for c in (docs.columns if columns is None else columns) if c not in results]
     keywords = sorted({r[3] for r in rules} | {p.split(" ")[0] for p, _ in BASE} | {"license"})
     table = _table(rules)
-    rows = docs.select(*[docs[c] for c in carried], words_of(docs[text_col]).alias("_words"))
-    rows = rows.withColumn("n_words", count_words(F.col("_words")))
-    rows = rows.withColumn("_words", F.concat(F.lit(" "), F.col("_words"), F.lit(" ")))
-    padded = F.col("_words")
-    rows = rows.withColumn(
-        "_keys", F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(padded, F.concat(F.lit(" "), k, F.lit(" "))))
-    )
-    gate = F.size("_keys") > 0
+    rows, back = renamed(docs, carried, words=words_of(docs[text_col]))
+    rows = rows.withColumn("n_words", count_words(F.col("words")))
+    rows = rows.withColumn("words", F.concat(F.lit(" "), F.col("words"), F.lit(" ")))
+    padded = F.col("words")
+    rows = rows.withColumn("keys", F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(padded, F.concat(F.lit(" "), k, F.lit(" ")))))
+    gate = F.size("keys") > 0
     none = F.array().cast("array<struct<label:string,start:int,stop:int>>")
 
     def places(phrase: str, label: str) -> Column:
@@ -107,7 +106,7 @@ def license_scan(docs: DataFrame, text_col: str = "text", columns: list[str] | N
         return F.when(F.contains(padded, F.lit(f" {phrase} ")), named).otherwise(none)
 
     base = F.flatten(F.array(*[places(phrase, label) for phrase, label in BASE]))
-    live = F.filter(table, lambda r: F.array_contains(F.col("_keys"), r["keyword"]) & F.contains(padded, F.concat(F.lit(" "), r["literal"], F.lit(" "))))
+    live = F.filter(table, lambda r: F.array_contains(F.col("keys"), r["keyword"]) & F.contains(padded, F.concat(F.lit(" "), r["literal"], F.lit(" "))))
     found = F.flatten(F.transform(live, lambda r: F.transform(
         _spans(padded, r["regex"]),
         lambda s: F.struct(
@@ -116,17 +115,17 @@ def license_scan(docs: DataFrame, text_col: str = "text", columns: list[str] | N
         ),
     )))
     rows = rows.withColumn("base", F.when(gate, base).otherwise(none))
-    rows = rows.withColumn("_found", F.when(gate, found).otherwise(F.array().cast(SPAN_TYPE)))
-    rows = rows.withColumn("_kept", F.when(F.size("_found") > 0, _unsuppressed(F.col("_found"))).otherwise(F.col("_found")))
-    detections = F.transform("_kept", lambda s: F.struct(
+    rows = rows.withColumn("found", F.when(gate, found).otherwise(F.array().cast(SPAN_TYPE)))
+    rows = rows.withColumn("left", F.when(F.size("found") > 0, _unsuppressed(F.col("found"))).otherwise(F.col("found")))
+    detections = F.transform("left", lambda s: F.struct(
         s["label"].alias("label"), s["rule"].alias("rule"), (-s["neg_priority"]).alias("priority"),
         s["start"].alias("start"), (-s["neg_end"]).alias("stop"), s["score"].alias("score"),
     ))
     base_labels = F.array_sort(F.array_distinct(F.col("base.label")))
-    labels = F.array_sort(F.array_distinct(F.concat(F.col("base.label"), F.col("_kept.label"))))
+    labels = F.array_sort(F.array_distinct(F.concat(F.col("base.label"), F.col("left.label"))))
     return rows.select(
-        *[F.col(c) for c in carried], "n_words", "base", detections.alias("detections"), base_labels.alias("base_labels"),
-        labels.alias("labels"), F.coalesce(F.array_max(F.col("_kept.score")), F.lit(0.0)).alias("score"),
+        *[F.col(k).alias(c) for k, c in back.items()], "n_words", "base", detections.alias("detections"), base_labels.alias("base_labels"),
+        labels.alias("labels"), F.coalesce(F.array_max(F.col("left.score")), F.lit(0.0)).alias("score"),
     )
 
 
@@ -139,3 +138,19 @@ def op6_license_scan(spark, sf_dir: str) -> DataFrame:
         F.array_max(F.col("base.start")).cast("long").alias("last_word"),
         F.concat_ws(",", "base_labels").alias("base_labels"), F.concat_ws(",", "labels").alias("labels"), "score",
     )
+
+
+def license_base(spark, sf_dir: str) -> DataFrame:
+    """The columns of op6_license_scan that its rules don't change, which SQL can say."""
+    return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+BASE_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+ phrase(words, label) AS (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')),
+ place AS (SELECT doc_id, label, unnest(list_filter(range(1, len(ws) - len(words) + 2), lambda i: ws[i : i + len(words) - 1] = words)) - 1 AS pos FROM w, phrase WHERE list_has_all(ws, words))
+SELECT w.doc_id, len(any_value(ws)) AS n_words, count(pos) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM w LEFT JOIN place ON place.doc_id = w.doc_id GROUP BY w.doc_id
+"""

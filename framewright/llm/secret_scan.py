@@ -7,7 +7,8 @@ the p-value says how likely text of that encoding and length would look as unifo
 runs within each stratum of encoding and length class, over counts in fixed p-value bins, so that neither a sort of all
 tokens nor a collection of them is needed: the tables that reach the driver have at most strata x bins rows.
 
-Positions are code points. All scanning is per row; only the bin counts shuffle.
+Positions are code points. All scanning is per row, and done once: its spans and verdicts are stored, the bin counts, which
+alone shuffle, and the result are made of them.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.common import renamed, stored
+
 #: Fixed patterns of the base scan.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -181,21 +184,19 @@ def secret_scan(docs: DataFrame, text_col: str = "text", rate: float = 0.05, col
     kind is an index into KINDS; positions are code points, stop exclusive. base has the pattern kinds; secrets has them
     and the random tokens that lie in no base span, at a false-discovery rate of ``rate`` within each stratum. Null texts
     count as empty; rows aren't merged, dropped or reordered; an empty table gives an empty result. Columns of ``docs``
-    named base or secrets are replaced.
+    named base or secrets are replaced; other names don't matter.
     """
     carried = [c for c in (docs.columns if columns is None else columns) if c not in ("base", "secrets")]
-    text = F.coalesce(docs[text_col], F.lit(""))
-    verdicts = docs.select(F.explode(F.transform(_candidates(text), lambda c: c["verdict"])).alias("v")).select("v.*")
-    levels = discovery_levels(verdicts, rate)
+    rows, back = renamed(docs, carried, text=F.coalesce(docs[text_col], F.lit("")))
+    judged = stored(rows.select(*back, base_spans(F.col("text")).alias("base"), _candidates(F.col("text")).alias("tokens")), "verdicts")
+    levels = discovery_levels(judged.select(F.explode("tokens.verdict").alias("v")).select("v.*"), rate)
     accepted = F.map_from_arrays(
         F.array(*[F.lit(s) for s in levels]).cast("array<string>"), F.array(*[F.lit(b) for b in levels.values()]).cast("array<int>")
     )
-    rows = docs.select(*[docs[c] for c in carried], text.alias("_text"))
-    rows = rows.withColumn("_base", base_spans(F.col("_text"))).withColumn("_tokens", _candidates(F.col("_text")))
-    base = F.col("_base")
-    random = F.filter("_tokens", lambda c: (c["verdict"]["bin"] >= F.element_at(accepted, c["verdict"]["stratum"])) & ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (b["stop"] >= c["stop"])))
+    base = F.col("base")
+    random = F.filter("tokens", lambda c: (c["verdict"]["bin"] >= F.element_at(accepted, c["verdict"]["stratum"])) & ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (b["stop"] >= c["stop"])))
     added = F.transform(random, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["stop"].alias("stop")))
-    return rows.select(*[F.col(c) for c in carried], base.alias("base"), F.array_sort(F.concat(base, added)).alias("secrets"))
+    return judged.select(*[F.col(k).alias(c) for k, c in back.items()], "base", F.array_sort(F.concat(base, added)).alias("secrets"))
 
 
 def _joined(spans: Column) -> Column:
@@ -203,12 +204,34 @@ def _joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))))
 
 
+def _counts() -> list[Column]:
+    kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return [kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
+
+
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = secret_scan(docs, columns=["doc_id"])
-    counts = [
-        F.size(F.filter("base", lambda s: s["kind"] == 0)).cast("long").alias("n_assign"),
-        F.size(F.filter("base", lambda s: s["kind"] == 1)).cast("long").alias("n_access"),
-        F.size(F.filter("base", lambda s: s["kind"] == 2)).cast("long").alias("n_hex"),
-    ]
-    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("secrets")).alias("spans"))
+    return found.select("doc_id", *_counts(), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("secrets")).alias("spans"))
+
+
+def secret_base(spark, sf_dir: str) -> DataFrame:
+    """The columns of op8_secret_scan that its tests don't change, which SQL can say."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = docs.select("doc_id", base_spans(F.coalesce("text", F.lit(""))).alias("base"))
+    return found.select("doc_id", *_counts(), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"))
+
+
+_ASSIGN_SQL = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+BASE_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ k AS (SELECT doc_id, 0 AS kind, 12 AS least, string_split_regex(t, '{_ASSIGN_SQL}') AS gaps, regexp_extract_all(t, '{_ASSIGN_SQL}') AS hits, regexp_extract_all(t, '{_ASSIGN_SQL}', 2) AS body FROM d
+   UNION ALL SELECT doc_id, 1, 18, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') FROM d
+   UNION ALL SELECT doc_id, 2, 16, string_split_regex(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+') FROM d),
+ n AS (SELECT doc_id, kind, least, unnest(gaps[: len(hits)]) AS gap, unnest(hits) AS hit, unnest(body) AS body, unnest(range(len(hits))) AS i FROM k),
+ s AS (SELECT doc_id, kind, least, length(body) AS size, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop, length(hit) AS whole FROM n),
+ f AS (SELECT doc_id, kind, stop - whole AS start, stop FROM s WHERE size >= least)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, kind), '')) AS base_sha256
+FROM d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id
+"""

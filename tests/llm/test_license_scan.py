@@ -53,8 +53,20 @@ def test_against_brute_force(spark):
             assert rows[i].score == max((d[5] for d in kept), default=0.0)
 
 
-def test_clashing_columns_and_empty_table(spark):
-    docs = spark.createDataFrame([(1, "mit license", 5, "w")], "doc_id long, text string, score int, _words string")
-    out = license_scan(docs.select("doc_id", "text", "score"))
-    assert out.first().labels == ["mit"]
-    assert license_scan(docs.select("doc_id", "text").limit(0)).count() == 0
+def test_common_phrasings(spark):
+    texts = {
+        "Apache License v2.0": "apache-2.0", "GNU General Public License v3": "gpl-3", "under GPLv3 or later": "gpl-3", "LGPLv2.1": "lgpl-2.1", "GPL v2": "gpl-2", "GPL version 2": "gpl-2",
+        "Mozilla Public License, v. 2.0": "mpl-2.0", "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa", "CC0 1.0": "cc0", "the Unlicense": "unlicense",
+        "New BSD License": "bsd-3-clause", "https://www.apache.org/licenses/LICENSE-2.0": "apache-2.0", "Copyright 2020 Someone": "copyright", "AGPL-3.0-only": "agpl-3",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.text: r.labels for r in license_scan(docs).collect()}
+    assert {t: label for t, label in texts.items() if label not in rows[t]} == {}, rows
+
+
+def test_clashing_columns_repeated_rows_and_empty_table(spark):
+    names = ["_words", "words", "keys", "found", "left", "c0", "_kept"]
+    docs = spark.createDataFrame([(1, "mit license", 5, *names)] * 2 + [(None, None, 5, *names)], ["doc_id", "text", "score", *names])
+    rows = license_scan(docs).collect()
+    assert sorted(r.labels for r in rows) == [[], ["mit"], ["mit"]] and all(r[n] == n for r in rows for n in names)
+    assert license_scan(docs.limit(0)).count() == 0
