@@ -7,14 +7,17 @@ near their ends; for each symbol border the words that decide it are tracked. Ev
 name of the phrase that starts at its first border of the highest level that its own words decide (level 0, its first
 word, always is one). So equal windows have equal keys, and neighbouring windows share them.
 
-1. Keys of all documents are matched across the corpus. Each block of documents sends its distinct keys, with a mark if
-   two of its documents have it. The answer is a bitmap of fixed size over key slots that two documents share; a full
-   bitmap would cost time, never results.
-2. Windows whose key slot is set are fingerprinted in 96 bits. A block sends a fingerprint once, with its least document:
-   its other documents are decided on the spot. So a passage in a third of all documents is one record a block.
-3. Each document gets the fingerprints of its removed windows, and drops the words they cover.
-
-Texts with an equal digest are copies of the least id; they don't take part in 1 and 2.
+1. Keys of all documents are counted across the corpus. A block of documents sends its distinct keys once, so that a key
+   has at most a row a block. Keys that two documents share set a bit of a bitmap; its size follows from their number, up to
+   MAX_FILTER_BITS (a full bitmap costs time, never results).
+2. Windows whose key's bit is set are fingerprinted in 96 bits. A block sends a fingerprint once, with its least document;
+   its other documents are decided on the spot. So a passage in a third of all documents is one row a block. The least
+   document of each fingerprint keeps it.
+3. Each document with removed windows gets their fingerprints, and drops the words they cover. Other documents stay where
+   they are.
+
+A text that a smaller id has too is a copy: it loses all its words (given a window's length) and takes no part in 1 and 2.
+What a task holds is a chunk of texts and a block of BLOCK_ROWS rows; counting and settling are Spark's grouping and windows.
 """
 
 from __future__ import annotations
@@ -24,18 +27,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.llm.bpe import chunks, digests, ragged, tidy, words_of
-from framewright.llm.common import stored
+from framewright.llm.common import renamed, stored
 from framewright.llm.minhash import MAX_BROADCAST_IDS, mix, word_hashes
 
 ROUNDS, PHRASE = 3, 6
-#: Slots of the bitmap of shared keys (16 MB). Larger corpora are faster with more; results don't depend on it.
-FILTER_BITS = 27
+#: Bits of the bitmap of shared keys: so many a key, in a power of two within these bounds.
+BITS_PER_KEY, MIN_FILTER_BITS, MAX_FILTER_BITS = 16, 1 << 18, 1 << 29
 #: A block sends what it holds beyond so many keys or windows.
-BLOCK_ROWS = 4_000_000
+BLOCK_ROWS = 1_500_000
 FAR = 1 << 40
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -121,27 +124,16 @@ def _fingerprints(words: np.ndarray, starts: np.ndarray, window: int) -> tuple[n
     return one[starts], (two[starts] >> np.uint64(32)).astype(np.uint32)
 
 
-def _sharded(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """Slices of sorted keys by their top bits."""
-    cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-    for shard in np.nonzero(np.diff(cuts))[0].tolist():
-        yield shard, slice(cuts[shard], cuts[shard + 1])
+def _keys(docs: DataFrame, window: int) -> DataFrame:
+    """(key, documents): a block's distinct keys, with 2 where two of its documents have the key, else 1."""
 
-
-def _key_blocks(docs: DataFrame, window: int, bits: int) -> DataFrame:
-    """(shard, keys): a block's distinct keys, the lowest bit set where two of its documents have the key."""
-
-    def send(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def send(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         keys, docs_ = (np.concatenate(x) for x in zip(*held))
-        keys = keys & ~np.uint64(1)
         order = np.argsort(keys, kind="stable")  # documents of a key stay in order
         keys, docs_ = keys[order], docs_[order]
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        at = np.nonzero(new)[0]
+        at = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
         many = docs_[at] != docs_[np.append(at[1:], len(keys)) - 1]
-        packed = keys[at] | many.astype(np.uint64)
-        rows = [(shard, packed[part].tobytes()) for shard, part in _sharded(packed, bits)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(1 + many.astype(np.int32))], names=["key", "documents"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, before = [], 0, 0
@@ -152,96 +144,66 @@ def _key_blocks(docs: DataFrame, window: int, bits: int) -> DataFrame:
             held.append((c.keys[fresh], c.doc[fresh] + before))
             rows, before = rows + int(fresh.sum()), before + batch.num_rows
             if rows >= BLOCK_ROWS:
-                yield from send(held)
+                yield send(held)
                 held, rows = [], 0
         if rows:
-            yield from send(held)
-
-    return docs.mapInArrow(run, "shard int, keys binary")
-
-
-def _shared_slots(blocks: DataFrame, bits: int, filter_bits: int) -> np.ndarray:
-    """The bitmap of slots (top bits of a key) that two documents share: bytes, of a size that doesn't depend on the data."""
-    of_shard = 1 << (filter_bits - bits)
-
-    def match(table: pa.Table) -> pa.Table:
-        keys = np.sort(np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("keys")]))
-        plain = keys & ~np.uint64(1)
-        twice = (keys & np.uint64(1)).astype(bool)
-        twice[1:] |= plain[1:] == plain[:-1]
-        slots = (plain[twice] >> np.uint64(64 - filter_bits)).astype(np.int64) & (of_shard - 1)
-        flags = np.zeros(of_shard, bool)
-        flags[slots] = True
-        return pa.table({"shard": table.column("shard")[:1], "slots": pa.array([np.packbits(flags).tobytes()], pa.binary())})
-
-    found = blocks.groupBy("shard").applyInArrow(match, "shard int, slots binary").collect()
-    out = np.zeros(1 << (filter_bits - 3), np.uint8)
-    for row in found:
-        part = np.frombuffer(row["slots"], np.uint8)
-        out[row["shard"] * len(part) : (row["shard"] + 1) * len(part)] = part
-    return out
-
-
-def _removed_windows(docs: DataFrame, slots, window: int, bits: int, filter_bits: int) -> DataFrame:
-    """(doc, prints): for documents with removed windows, 64-bit fingerprints of them, in one or more rows."""
-    record = np.dtype([("one", "<u8"), ("two", "<u4"), ("doc", "<i8")])
-
-    def per_doc(doc: np.ndarray, one: np.ndarray, shard: np.ndarray | int) -> pa.RecordBatch:
-        order = np.argsort(doc, kind="stable")
-        doc, one = doc[order], one[order]
-        at = np.nonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))[0] if len(doc) else np.zeros(0, int)
-        prints = [one[a:b].tobytes() for a, b in zip(at.tolist(), [*at[1:].tolist(), len(doc)])]
-        where = np.full(len(at), shard) if np.isscalar(shard) else doc[at] % (1 << bits)
-        return pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(doc[at], pa.int64()), pa.array(prints, pa.binary())], names=["shard", "doc", "data"])
-
-    def decided(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted records with the least document of each fingerprint; which records have a larger one."""
+            yield send(held)
+
+    return docs.mapInArrow(tidy(run), "key long, documents int")
+
+
+def _shared_keys(keys: DataFrame, max_bits: int) -> tuple[int, np.ndarray]:
+    """(bits, bitmap): which slots, the low bits of a key, belong to a key that two documents have."""
+    shared = stored(keys.groupBy("key").agg(F.sum("documents").alias("documents")).filter("documents > 1").select("key"), "shared")
+    bits = max(MIN_FILTER_BITS, min(max_bits, 1 << (BITS_PER_KEY * shared.count()).bit_length()))
+    slot = F.col("key").bitwiseAND(F.lit(bits - 1)) + 1
+    parts = shared.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap"))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in parts.toLocalIterator():  # bits / 32,768 rows of 4 KB
+        part = np.frombuffer(row["bitmap"], np.uint8)
+        out[(row["bucket"] - 1) * len(part) :][: len(part)] = part
+    return bits, out
+
+
+def _removed_windows(docs: DataFrame, bitmap, bits: int, window: int) -> DataFrame:
+    """(doc, prints): for documents with removed windows, the fingerprints (one, two) of these."""
+    record = np.dtype([("one", "<i8"), ("two", "<i4"), ("doc", "<i8")])
+
+    def send(held: list[np.ndarray]) -> pa.RecordBatch:
+        """A block's fingerprints by document, once each; all but the least document of a fingerprint lose it."""
         rows = np.concatenate(held)
         rows = rows[np.lexsort((rows["doc"], rows["two"], rows["one"]))]
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows["one"][1:] != rows["one"][:-1]) | (rows["two"][1:] != rows["two"][:-1])
-        least = rows["doc"][new][np.cumsum(new) - 1]
-        return rows[new], rows[rows["doc"] > least]
-
-    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        least, gone = decided(held)
-        yield per_doc(gone["doc"], gone["one"], gone["one"])
-        rows = [(shard, least[part].tobytes()) for shard, part in _sharded(least["one"], bits)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.nulls(len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "doc", "data"]
-        )
+        same = (rows["one"][1:] == rows["one"][:-1]) & (rows["two"][1:] == rows["two"][:-1])
+        repeated = np.concatenate([[False], same & (rows["doc"][1:] == rows["doc"][:-1])])
+        least = rows["doc"][np.concatenate([[True], ~same])][np.cumsum(np.concatenate([[True], ~same])) - 1]
+        gone = (rows["doc"] > least)[~repeated]
+        rows = rows[~repeated]
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[c])) for c in record.names), pa.array(gone)], names=[*record.names, "gone"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        bitmap = slots.value
+        held, rows, flags = [], 0, bitmap.value
         for batch in chunks(batches):
             c = _Chunk(batch.column("text"), window)
-            slot = (c.keys >> np.uint64(64 - filter_bits)).astype(np.int64)
-            at = np.nonzero((bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)[0]
+            slot = (c.keys & np.uint64(bits - 1)).astype(np.int64)
+            at = np.nonzero((flags[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)[0]
             if len(at):
                 out = np.empty(len(at), record)
-                out["one"], out["two"] = _fingerprints(c.words, c.starts[at], window)
+                one, two = _fingerprints(c.words, c.starts[at], window)
+                out["one"], out["two"] = one.view(np.int64), two.view(np.int32)
                 out["doc"] = batch.column("id").to_numpy(zero_copy_only=False)[c.doc[at]]
                 held.append(out)
                 rows += len(at)
             if rows >= BLOCK_ROWS:
-                yield from send(held)
+                yield send(held)
                 held, rows = [], 0
         if rows:
-            yield from send(held)
-
-    def settle(table: pa.Table) -> pa.Table:
-        open_ = pc.is_null(table.column("doc"))
-        known = table.filter(pc.invert(open_)).select(["doc", "data"]).rename_columns(["doc", "prints"])
-        held = [np.frombuffer(b.as_buffer(), record) for b in table.filter(open_).column("data")]
-        if not held:
-            return known
-        _, gone = decided(held)
-        found = per_doc(gone["doc"], gone["one"], 0)
-        return pa.concat_tables([known, pa.table({"doc": found.column("doc"), "prints": found.column("data")})])
+            yield send(held)
 
-    sent = docs.mapInArrow(run, "shard int, doc long, data binary")
-    return sent.groupBy("shard").applyInArrow(settle, "doc long, prints binary")
+    sent = stored(docs.mapInArrow(tidy(run), "one long, two int, doc long, gone boolean"), "windows")
+    least = F.min("doc").over(Window.partitionBy("one", "two"))
+    late = sent.filter("not gone").withColumn("least", least).filter("doc > least").select("one", "two", "doc")
+    gone = late.unionByName(sent.filter("gone").select("one", "two", "doc"))
+    return gone.groupBy("doc").agg(F.collect_list(F.struct("one", "two")).alias("prints"))
 
 
 RESULTS = {"n_words": "long", "n_removed": "long", "kept": "string", "kept_sha256": "string"}
@@ -249,40 +211,40 @@ RESULTS = {"n_words": "long", "n_removed": "long", "kept": "string", "kept_sha25
 
 def substring_dedup(
     docs: DataFrame, window: int = 13, results: tuple[str, ...] = ("n_words", "n_removed", "kept"), id_col: str = "doc_id",
-    text_col: str = "text", columns: list[str] | None = None, filter_bits: int = FILTER_BITS,
+    text_col: str = "text", columns: list[str] | None = None, max_filter_bits: int = MAX_FILTER_BITS,
 ) -> DataFrame:
     """``columns`` of ``docs`` (all by default) with ``results``: n_words, n_removed, kept (text) and kept_sha256.
 
     Words are runs without ASCII white space, unchanged. A word goes if it lies in a window of ``window`` consecutive
     words whose sequence also starts in a document with a smaller id; windows are judged on the input. Kept words are
-    joined by single spaces. Null texts have no words. Documents of one id don't remove each other's words; a null id
-    neither removes nor loses any. An empty table gives an empty result; columns named like a result are replaced.
+    joined by single spaces. Null texts have no words. Rows of one id don't remove each other's words, whatever their texts;
+    a null id neither removes nor loses any. An empty table gives an empty result; columns named like a result are replaced,
+    other names don't matter.
     """
     spark = docs.sparkSession
     if window < PHRASE:
         raise ValueError(f"windows have {PHRASE} words or more")
     carried = [c for c in (docs.columns if columns is None else columns) if c not in results]
-    rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    named = rows.filter("id is not null").select("id", F.sha2("text", 256).alias("sha"))
-    least = stored(named.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last"), "copies")
-    copies = named.join(least, "sha").filter("id > first").select("id").distinct()
-    copies = stored(copies, "copies")
-    few = copies.count() <= MAX_BROADCAST_IDS
-    firsts = rows.filter("id is not null").join(F.broadcast(copies) if few else copies, "id", "left_anti")
-
-    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(filter_bits - 3, max(4, (2 * wide - 1).bit_length()))
-    bitmap = _shared_slots(_key_blocks(firsts, window, bits), bits, filter_bits)
-    slots = spark.sparkContext.broadcast(bitmap)
-    prints = _removed_windows(firsts, slots, window, max(4, (wide // 4).bit_length()), filter_bits)
-    gone = prints.groupBy("doc").agg(F.collect_list("prints").alias("prints"))
-    gone = gone.withColumn("copy", F.lit(False)).unionByName(
-        copies.select(F.col("id").alias("doc"), F.array().cast("array<binary>").alias("prints"), F.lit(True).alias("copy"))
-    )
-    gone = gone.groupBy("doc").agg(F.flatten(F.collect_list("prints")).alias("prints"), F.max("copy").alias("copy"))
-
-    plain = docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(carried)], docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    marked = plain.join(gone, plain["id"] == gone["doc"], "left").select(*[f"c{k}" for k in range(len(carried))], "text", "prints", "copy")
+    plain, back = renamed(docs, carried, id=docs[id_col].cast("long"), text=F.coalesce(docs[text_col], F.lit("")))
+    rows = plain.select("id", "text", F.sha2("text", 256).alias("sha")).filter("id is not null")
+    named = rows.select("id", "sha")
+    again = named.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("sha", "first")
+    copies = stored(named.join(stored(again, "again"), "sha").filter("id > first").select("id", "sha").distinct(), "copies")
+    copies = F.broadcast(copies) if copies.count() <= MAX_BROADCAST_IDS else copies
+    firsts = rows.join(copies, ["id", "sha"], "left_anti")
+
+    bits, flags = _shared_keys(_keys(firsts, window), max_filter_bits)
+    prints = stored(_removed_windows(firsts, spark.sparkContext.broadcast(flags), bits, window), "prints")
+    touched = prints.select(F.col("doc").alias("id"))
+    marked = plain.withColumn("sha", F.sha2("text", 256)).join(copies.withColumn("copy", F.lit(True)), ["id", "sha"], "left").drop("sha")
+    if touched.count() <= MAX_BROADCAST_IDS:  # only these documents are shuffled
+        none = F.lit(None).cast(prints.schema["prints"].dataType)
+        some = marked.filter("copy is null").join(F.broadcast(touched), "id", "left_semi").join(prints, F.col("id") == prints["doc"])
+        rest = marked.filter("copy is null").join(F.broadcast(touched), "id", "left_anti").unionByName(marked.filter("copy"))
+        marked = some.drop("doc").unionByName(rest.withColumn("prints", none))
+    else:
+        marked = marked.join(prints, F.col("id") == prints["doc"], "left")
+    marked = marked.select(*back, "text", "prints", "copy")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -297,8 +259,8 @@ def substring_dedup(
                 if copy[k]:
                     keep[a:b] = False
                 elif found.is_valid and len(found):
-                    gone_ = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in found.values])
-                    hit = np.isin(fold(words[a:b], window), gone_)
+                    one, two = _fingerprints(words[a:b], np.arange(b - a - window + 1), window)
+                    hit = np.isin(one.view(np.int64), found.values.field("one").to_numpy()) & np.isin(two.view(np.int32), found.values.field("two").to_numpy())
                     cover = np.cumsum(np.concatenate([hit.astype(int), np.zeros(window, int)]) - np.concatenate([np.zeros(window, int), hit.astype(int)]))
                     keep[a:b] = cover[: b - a] == 0
             ends = np.concatenate([[0], np.cumsum(keep)])[offsets]
@@ -307,11 +269,11 @@ def substring_dedup(
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pc.take(distinct.cast(pa.string()), pa.array(codes[keep])))
                 made["kept"] = pc.binary_join(lists, " ")
                 made["kept_sha256"] = digests(made["kept"])
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(carried))] + [made[r] for r in results], names=[*[f"c{k}" for k in range(len(carried))], *results])
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(carried))] + [made[r] for r in results], names=[*back, *results])
 
-    fields = [f"c{k} {kind}" for k, (_, kind) in enumerate(plain.dtypes[: len(carried)])] + [f"{r} {RESULTS[r]}" for r in results]
-    out = marked.mapInArrow(drop, ", ".join(fields))
-    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(carried)], *results)
+    fields = [f"{k} {kind}" for k, kind in plain.dtypes[: len(carried)]] + [f"{r} {RESULTS[r]}" for r in results]
+    out = marked.mapInArrow(tidy(drop), ", ".join(fields))
+    return out.select(*[F.col(k).alias(c) for k, c in back.items()], *results)
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
