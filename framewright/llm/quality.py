@@ -8,7 +8,8 @@ which a few bad words in a long text raise as well as in a short one. A document
 language's quantile of the same figure over trusted documents that were held out of training.
 
 Scale: per byte only tasks work; what is shuffled are distinct grams per task. The joined table is broadcast for scoring
-while it has at most MAX_TABLE_ROWS rows; beyond that each document's grams are joined with it by shuffle.
+while it has at most MAX_TABLE_ROWS rows (96 MB, held once a worker as sorted arrays); beyond that each document's grams are
+joined with it by shuffle, with the same results.
 """
 
 from __future__ import annotations
@@ -21,18 +22,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.bpe import Table, chunks, tidy
+from framewright.llm.bpe import chunks, tidy
 from framewright.llm.common import stored
 from framewright.llm.minhash import MAX_BROADCAST_IDS
 
 ORDER = 5
 QUANTILE = 0.995
-MAX_TABLE_ROWS = 8_000_000
+#: The table of probabilities is broadcast up to so many rows (12 bytes each) and languages.
+MAX_TABLE_ROWS, MAX_LANGS = 8_000_000, 1000
 #: Accuracy of the quantile sketch: ranks are right within one in so many.
 SKETCH = 10_000
 #: One in so many trusted documents is held out of training; the thresholds come from them.
 HELD_OUT = 5
 GRAM_BITS = 8 * ORDER
+#: A counting task sends what it holds beyond so many distinct grams of chunks (16 bytes each).
+HELD_ROWS = 2_000_000
 #: Bytes of text at a time; a byte takes about 50 bytes of working memory.
 CHUNK = 2 << 20
 #: Bytes of a word with its separator: shorter ones have no peak of their own, longer runs are judged in pieces.
@@ -102,12 +106,12 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 part = slice(cuts[k], cuts[k + 1])
                 held.setdefault(lang, []).append((both[part] & (1 << GRAM_BITS) - 1, n[part]))
             rows += len(both)
-            if rows > 3_000_000:
+            if rows > HELD_ROWS:
                 yield from send()
                 rows = 0
         yield from send()
 
-    return docs.select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
+    return docs.select("lang", "text").mapInArrow(tidy(count), "lang string, gram long, n long")
 
 
 def count_tables(trusted: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
@@ -152,28 +156,26 @@ def gram_probabilities(wanted: DataFrame, tables: dict[int, tuple[DataFrame, Dat
 
 def perplexities(docs: DataFrame, table: DataFrame, max_table_rows: int = MAX_TABLE_ROWS) -> DataFrame:
     """(id, lang, trusted, perplexity, peak) of rows (id, lang, trusted, text); null for texts without bytes (or words)."""
-    spark = docs.sparkSession
-    if table.count() > max_table_rows:
+    langs = [r["lang"] for r in table.select("lang").distinct().limit(MAX_LANGS + 1).collect()]
+    if len(langs) > MAX_LANGS or table.count() > max_table_rows:
         return _joined_perplexities(docs, table)
-    rows = table.toArrow()
-    langs = {lang: k for k, lang in enumerate(sorted(set(rows.column("lang").unique().to_pylist())))}
-    which = pc.index_in(rows.column("lang").combine_chunks(), value_set=pa.array(list(langs), pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
-    model = spark.sparkContext.broadcast((langs, rows.column("gram").to_numpy() | which << GRAM_BITS, rows.column("logp").to_numpy().astype(np.float32)))
+    code = F.element_at(F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (lang, k << GRAM_BITS)]), F.col("lang")) if langs else F.lit(0)
+    rows = table.select(F.col("gram").bitwiseOR(code).alias("key"), F.col("logp").cast("float").alias("logp")).toArrow()
+    keys = rows.column("key").to_numpy()
+    order = np.argsort(keys)
+    model = docs.sparkSession.sparkContext.broadcast((langs, keys[order], rows.column("logp").to_numpy()[order]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, keys, logp = model.value
-        found = Table(keys, np.arange(len(keys), dtype=np.int32))
-        known = pa.array(list(names), pa.string())
+        names, known, logp = model.value  # loaded once a worker
         for batch in chunks(batches, size=CHUNK):
             lang = pc.fill_null(batch.column("lang"), "")
-            at = pc.fill_null(pc.index_in(lang, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = pc.fill_null(pc.index_in(lang, value_set=pa.array(names, pa.string())), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             key, offsets = grams(batch.column("text"))
-            sizes = np.diff(offsets)
-            row = found(key | np.repeat(np.maximum(at, 0), sizes) << GRAM_BITS)
-            made = doc_scores(key, offsets, logp[row].astype(np.float64))
+            own, which = np.unique(key | np.repeat(at, np.diff(offsets)) << GRAM_BITS, return_inverse=True)
+            made = doc_scores(key, offsets, logp[np.searchsorted(known, own)].astype(np.float64)[which])
             yield pa.RecordBatch.from_arrays([batch.column("id"), lang, batch.column("trusted"), *made], names=["id", "lang", "trusted", "perplexity", "peak"])
 
-    return docs.select("id", "lang", "trusted", "text").mapInArrow(score, SCORED)
+    return docs.select("id", "lang", "trusted", "text").mapInArrow(tidy(score), SCORED)
 
 
 SCORED = "id long, lang string, trusted boolean, perplexity double, peak double"
@@ -215,9 +217,9 @@ def _joined_perplexities(docs: DataFrame, table: DataFrame) -> DataFrame:
 
     rows = docs.select("id", F.coalesce("lang", F.lit("")).alias("lang"), "trusted", F.xxhash64("text").alias("row"), "text")
     rows = rows.groupBy("id", "lang", "trusted", "row", "text").agg(F.count(F.lit(1)).alias("times"))
-    each = rows.mapInArrow(per_doc, "id long, lang string, trusted boolean, row long, times long, gram long, at binary")
+    each = rows.mapInArrow(tidy(per_doc), "id long, lang string, trusted boolean, row long, times long, gram long, at binary")
     whole = each.join(table, ["lang", "gram"], "left").groupBy("id", "lang", "trusted", "row", "times").agg(F.collect_list(F.struct("gram", "logp", "at")).alias("grams"))
-    scored = whole.mapInArrow(score, SCORED.replace("perplexity", "times long, perplexity", 1))
+    scored = whole.mapInArrow(tidy(score), SCORED.replace("perplexity", "times long, perplexity", 1))
     return scored.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("_copy", "times")
 
 
