@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from framewright.plans import kernels, layout, more, pose, raster, sequence, signal, store, text
+from framewright.plans import export, kernels, layout, more, pose, raster, sequence, signal, store, text
 
-_PARTS = (sequence, signal, layout, text, store, raster, kernels, pose, more)
+_PARTS = (sequence, signal, layout, text, store, raster, kernels, pose, more, export)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
