@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.llm.common import stored
+
 END = " </turn>\n"
 #: Plain and escaped strings, in the order in which they are escaped. No escaped string holds a plain one, but for the first.
 ESCAPES = [("\\", "\\b"), ("</turn>", "\\t"), ("#", "\\h")]
@@ -114,21 +116,21 @@ def _render(turns: Column, window: Column, system: Column) -> Column:
 
 
 def _segments(turns: DataFrame, segment_cost: int, block_turns: int) -> DataFrame:
-    """(conv, segment, before, turns): the turns of a segment in order, and what the turns before it cost."""
+    """(key, conv, segment, before, turns): the turns of a segment in order, and what the turns before it cost; key has no nulls."""
     rows = turns.select(
-        F.col("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+        F.col("conv_id").alias("conv"), F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("key"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-(1 << 62))).alias("block"),
     ).withColumn("cost", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))) + 1)
-    blocks = rows.groupBy("conv", "block").agg(F.sum("cost").alias("cost"))
-    of_blocks = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("conv").alias("conv_"), F.col("block").alias("block_"), F.coalesce(F.sum("cost").over(of_blocks), F.lit(0)).alias("offset"))
-    of_turns = Window.partitionBy("conv", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = rows.groupBy("key", "block").agg(F.sum("cost").alias("cost"))
+    of_blocks = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("key", "block", F.coalesce(F.sum("cost").over(of_blocks), F.lit(0)).alias("offset"))
+    of_turns = Window.partitionBy("key", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumn("upto", F.sum("cost").over(of_turns))
-    summed = summed.join(blocks, F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("block") == F.col("block_"))).withColumn("upto", F.col("upto") + F.col("offset"))
-    whole = summed.groupBy("conv", F.floor((F.col("upto") - 1) / segment_cost).alias("segment")).agg(
-        F.array_sort(F.collect_list(F.struct("upto", "role", "text", "cost"))).alias("turns"), F.min(F.col("upto") - F.col("cost")).alias("before")
+    summed = summed.join(blocks, ["key", "block"]).withColumn("upto", F.col("upto") + F.col("offset"))
+    whole = summed.groupBy("key", F.floor((F.col("upto") - 1) / segment_cost).alias("segment")).agg(
+        F.array_sort(F.collect_list(F.struct("upto", "role", "text", "cost"))).alias("turns"), F.min(F.col("upto") - F.col("cost")).alias("before"), F.min("conv").alias("conv")
     )
-    return whole.select("conv", "segment", "before", F.transform("turns", lambda t: F.struct(
+    return whole.select("key", "conv", "segment", "before", F.transform("turns", lambda t: F.struct(
         t["role"].alias("role"), t["cost"].alias("cost"),
         F.concat(F.lit("### "), escaped(t["role"], ROLE_ESCAPES), F.lit(": ")).alias("head"), escaped(t["text"]).alias("body"),
     )).alias("turns"))
@@ -146,19 +148,19 @@ def chat_windows(
     turns that an earlier window has as new ones; loss has code point spans (start, stop). Windows of a conversation go by
     (segment, window). Other columns are ignored; an empty table gives an empty result.
     """
-    segments = _segments(turns, segment_cost, block_turns)
+    segments = stored(_segments(turns, segment_cost, block_turns), "segments")
     none = F.array().cast(f"array<{TURN}>")
-    first = segments.filter("before = 0").select("conv", "segment", "turns", F.when(F.col("turns")[0]["role"] == "system", 1).otherwise(0).alias("system"), F.lit(0).alias("begin"))
-    tails = segments.select(F.col("conv").alias("conv_"), F.col("segment").alias("last"), F.slice("turns", -F.least(F.size("turns"), F.lit(history_turns)), F.lit(history_turns)).alias("tail"))
-    heads = first.filter("system = 1").select(F.col("conv").alias("of"), F.slice("turns", 1, 1).alias("head"), F.size("turns").alias("n"), F.col("segment").alias("at"))
+    first = segments.filter("before = 0").select("key", "conv", "segment", "turns", F.when(F.col("turns")[0]["role"] == "system", 1).otherwise(0).alias("system"), F.lit(0).alias("begin"))
+    tails = segments.select("key", F.col("segment").alias("last"), F.slice("turns", -F.least(F.size("turns"), F.lit(history_turns)), F.lit(history_turns)).alias("tail"))
+    heads = first.filter("system = 1").select("key", F.slice("turns", 1, 1).alias("head"), F.size("turns").alias("n"), F.col("segment").alias("at"))
     later = segments.filter("before > 0").withColumn("previous", F.floor((F.col("before") - 1) / segment_cost))
-    later = later.join(tails, F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("previous") == F.col("last")))
-    later = later.join(heads, F.col("conv").eqNullSafe(F.col("of")), "left").withColumn("head", F.coalesce("head", none))
+    later = later.join(tails, (later["key"] == tails["key"]) & (F.col("previous") == F.col("last"))).drop(tails["key"])
+    later = later.join(heads, "key", "left").withColumn("head", F.coalesce("head", none))
     # the system turn isn't repeated twice where the segment before has only it and a few more
     whole_tail = (F.col("previous") == F.col("at")) & (F.col("n") <= history_turns)
     tail = F.when(whole_tail, F.slice("tail", F.lit(2), F.lit(history_turns))).otherwise(F.col("tail"))
     later = later.select(
-        "conv", "segment", F.concat("head", tail, "turns").alias("turns"), F.size("head").alias("system"), (F.size("head") + F.size(tail)).alias("begin")
+        "key", "conv", "segment", F.concat("head", tail, "turns").alias("turns"), F.size("head").alias("system"), (F.size("head") + F.size(tail)).alias("begin")
     )
     every = first.unionByName(later)
     every = every.withColumn("spans", _windows(F.col("turns"), F.col("system"), F.col("begin"), budget, history_tokens, history_turns))
