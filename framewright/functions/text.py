@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -44,12 +43,6 @@ def motion_key(name: Column, fixed: Column) -> Column:
     return F.when(F.coalesce(fixed, F.lit("")) != "", usable).otherwise(F.coalesce(known, slug(name)))
 
 
-def numbered_keys(rows: DataFrame, scope: str, order: str, key: str) -> DataFrame:
-    """``rows`` with name: the key, or from its second use in the scope on the key and its number."""
-    n = F.row_number().over(W.partitionBy(scope, key).orderBy(order))
-    return rows.withColumn("name", F.when(n > 1, F.concat(F.col(key), n.cast("string"))).otherwise(F.col(key)))
-
-
 def filled(template: Column, values: dict[str, Column]) -> Column:
     """The template with {{NAME}} replaced by values; unknown names stay."""
     for name, value in values.items():
@@ -57,13 +50,56 @@ def filled(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
+#: What a camera at an angle of up to 5, under 25, under 55 and more degrees is called.
+CAMERAS = (
+    "a fixed eye-level camera (straight horizontal view, not looking down)",
+    "a fixed camera slightly above the character, looking down at about %s degrees",
+    "a fixed high-angle camera looking down at the character from about %s degrees above, like the classic high quarter-view camera of isometric-style MMORPGs",
+    "a fixed top-down camera looking down at the character from about %s degrees above, so the top of the head and the shoulders dominate the view",
+)
+#: Pixel art of so many pixels, and any other style.
+STYLES = (
+    "TRUE PIXEL ART game sprite: each character is about %s pixel-art pixels tall; every pixel-art pixel is a crisp square block of exactly the same size across the whole image, aligned to one grid; "
+    "no anti-aliasing, no gradients, no blur, no soft edges; a limited palette of about 24 colors; a clean 1-pixel dark outline around each character; simple cel shading with 2 to 3 shades per material",
+    "the same clean 2D game illustration style as the reference, with cel shading and clear dark outlines",
+)
+
+
 def camera_phrase(angle: Column) -> Column:
-    """Words for a camera's height over the ground, in degrees."""
-    rounded = F.bround(angle).cast("int").cast("string")
-    return (
-        F.when(angle <= 5, "level with the figure").when(angle < 25, F.concat(F.lit("slightly above, "), rounded, F.lit(" degrees")))
-        .when(angle < 55, F.concat(F.lit("from above, "), rounded, F.lit(" degrees"))).otherwise(F.concat(F.lit("steeply from above, "), rounded, F.lit(" degrees")))
-    )
+    """Words for a camera's height over the ground, in degrees, which are rounded first."""
+    whole = F.bround(angle).cast("int")
+    level, low, high, top = (F.format_string(c, whole.cast("string")) for c in CAMERAS)
+    return F.when(whole <= 5, level).when(whole < 25, low).when(whole < 55, high).otherwise(top)
+
+
+def style_phrase(style: Column, pixels: Column) -> Column:
+    """Words for a drawing style; pixel art names the figure's height in pixels."""
+    return F.when(style == "pixel", F.format_string(STYLES[0], pixels.cast("string"))).otherwise(STYLES[1])
+
+
+def effects_of(explicit: Column, strip: Column) -> Column:
+    """How light effects are treated: as asked, else stripped if flagged, else vivid."""
+    return F.when(F.coalesce(explicit, F.lit("")) != "", explicit).when(strip, "strip").otherwise("vivid")
+
+
+def frame_fit(oneshot: Column) -> Column:
+    """struct<size, foot>: the figure's height and its feet's distance from the bottom, as shares of the picture's height."""
+    size = lambda s, f: F.struct(F.lit(s).alias("size"), F.lit(f).alias("foot"))
+    return F.when(oneshot, size(0.52, 0.14)).otherwise(size(0.72, 0.12))
+
+
+def mannequin_elevation(angle: Column) -> Column:
+    return angle * 2 / 3
+
+
+def mannequin_background(setting: Column) -> Column:
+    """Mid grey if set, else key magenta."""
+    return F.when(setting == "gray", "#808080").otherwise("#FF00FF")
+
+
+def is_valid_setting(count: Column, style: Column, pixels: Column) -> Column:
+    """Whether a request's direction count, style and pixel height are allowed."""
+    return F.coalesce(count.isin(2, 4, 8) & style.isin("hd", "pixel") & pixels.between(24, 160), F.lit(False))
 
 
 def clip_seconds(mode: Column, loop: Column, hold: Column) -> Column:

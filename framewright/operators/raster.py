@@ -40,15 +40,20 @@ def edge_share(pixels: DataFrame, side: int, band: int = 2, limit: int = 110) ->
     return pixels.filter(edge).groupBy(*FRAME).agg(F.round(F.avg((F.least("r", "b") - F.col("g") < limit).cast("int")), 6).alias("share"))
 
 
-def key_alpha(pixels: DataFrame, side: int) -> DataFrame:
-    """(label, frame, y, x, alpha): a ramp of keyness against the border's."""
+def _keyed(pixels: DataFrame, side: int) -> DataFrame:
+    """``pixels`` with their frame's border colour bg_r, bg_g, bg_b and the alpha of a ramp of keyness against the border's."""
     green = F.col("bg_g") - F.greatest("bg_r", "bg_b") > 50
     back = border_median(pixels, side).select(*FRAME, *[F.col(c).alias(f"bg_{c}") for c in "rgb"])
     keyed = pixels.join(back, list(FRAME)).withColumn("m", keyness(green) / 255.0)
     border = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == side - 1) | (F.col("x") == side - 1)
     level = F.greatest(F.lit(0.2), F.median(F.when(border, F.col("m"))).over(W.partitionBy(*FRAME)))
     ramp = 1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("m") / F.col("mk") - 0.2) / 0.4))
-    return keyed.withColumn("mk", level).select(*FRAME, "y", "x", F.round(ramp, 6).alias("alpha"))
+    return keyed.withColumn("mk", level).withColumn("alpha", F.round(ramp, 6))
+
+
+def key_alpha(pixels: DataFrame, side: int) -> DataFrame:
+    """(label, frame, y, x, alpha): a ramp of keyness against the border's."""
+    return _keyed(pixels, side).select(*FRAME, "y", "x", "alpha")
 
 
 def despilled(pixels: DataFrame) -> DataFrame:
@@ -60,9 +65,7 @@ def despilled(pixels: DataFrame) -> DataFrame:
 
 def decontaminated(pixels: DataFrame, side: int) -> DataFrame:
     """(.., r, g, b, a): the background taken out of half transparent pixels, packed with a rounded alpha."""
-    alpha = key_alpha(pixels, side)
-    back = border_median(pixels, side).select(*FRAME, *[F.col(c).alias(f"bg_{c}") for c in "rgb"])
-    both = pixels.join(alpha, [*FRAME, "y", "x"]).join(back, list(FRAME))
+    both = _keyed(pixels, side)
     a = F.bround(F.col("alpha") * 255).cast("int")
 
     def clean(c: str) -> Column:
@@ -88,8 +91,12 @@ def boxes(pixels: DataFrame, side: int) -> DataFrame:
 
 
 def centre_drift(pixels: DataFrame, side: int) -> DataFrame:
-    """(label, drift, touching): how far the centre moves over a clip, and how many frames touch the border."""
-    return boxes(pixels, side).groupBy("label").agg(F.round(F.max("cx") - F.min("cx"), 4).alias("drift"), F.count_if(F.col("touches")).alias("touching"))
+    """(label, drift, touching): how far the alpha-weighted centre moves over a clip, and how many frames touch the border."""
+    edge = (F.least("y", "x") == 0) | (F.greatest("y", "x") == side - 1)
+    tiny, columns = 1e-6, side * (side - 1) / 2  # each column weighs a little, so that empty frames have a centre
+    cx = (F.sum(F.col("x") * F.col("alpha")) + tiny * columns) / (F.sum("alpha") + tiny * side)
+    frames = key_alpha(pixels, side).groupBy(*FRAME).agg(F.round(cx, 6).alias("cx"), F.bool_or(edge & (F.col("alpha") > 0.5)).alias("touches"))
+    return frames.groupBy("label").agg(F.bround(F.round(F.max("cx") - F.min("cx"), 6), 1).alias("drift"), F.count_if(F.col("touches")).alias("touching"))
 
 
 def row_widths(pixels: DataFrame) -> DataFrame:
@@ -103,19 +110,27 @@ def body_heights(pixels: DataFrame, share: float = 0.25) -> DataFrame:
     return widths.filter(F.col("width") >= share * F.col("widest")).groupBy(*FRAME).agg((F.max("y") - F.min("y") + 1).alias("height"))
 
 
-def step_lengths(pixels: DataFrame, rows: int = 3, frames: int = 4) -> DataFrame:
-    """(label, step): largest less least width of the figure's lowest rows, over clips with enough frames."""
-    low = solid(pixels).withColumn("bottom", F.max("y").over(W.partitionBy(*FRAME))).filter(F.col("y") > F.col("bottom") - rows)
+def step_lengths(pixels: DataFrame, share: float = 0.07, least_rows: int = 10, frames: int = 4) -> DataFrame:
+    """(label, step): largest less least width of the figure's lowest band, over clips with enough frames that are tall enough.
+
+    The band has a share of the figure's height, and three rows above the lowest at least.
+    """
+    of_frame = W.partitionBy(*FRAME)
+    rows = solid(pixels).withColumn("top", F.min("y").over(of_frame)).withColumn("bottom", F.max("y").over(of_frame)).withColumn("rows", F.size(F.collect_set("y").over(of_frame)))
+    start = F.greatest(F.col("top"), F.col("bottom") - F.greatest(F.lit(3), F.bround(share * (F.col("bottom") - F.col("top")))))
+    low = rows.filter((F.col("rows") >= least_rows) & (F.col("y") >= start))
     feet = low.groupBy(*FRAME).agg((F.max("x") - F.min("x") + 1).alias("width"))
     return feet.groupBy("label").agg(F.count(F.lit(1)).alias("m"), (F.max("width") - F.min("width")).alias("step")).filter(F.col("m") >= frames).select("label", "step")
 
 
-def head_histogram(pixels: DataFrame, side: int) -> DataFrame:
-    """(label, bin, share): colours of the top 45 % of the cell in 8 x 8 x 8 bins."""
+def head_histogram(pixels: DataFrame, side: int, least: int = 50) -> DataFrame:
+    """(label, bin, share): colours of the top 45 % of the cell in 8 x 8 x 8 bins; no rows at all if a label has under ``least`` pixels."""
     top = pixels.filter(F.col("y") < F.lit(int(side * 0.45)))
     bin_ = F.floor(F.col("r") / 32) * 64 + F.floor(F.col("g") / 32) * 8 + F.floor(F.col("b") / 32)
     counts = top.groupBy("label", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("m"))
-    return counts.select("label", "bin", F.round(F.col("m") / F.sum("m").over(W.partitionBy("label")), 8).alias("share"))
+    sums = counts.withColumn("total", F.sum("m").over(W.partitionBy("label")))
+    few = sums.agg(F.min("total").alias("fewest")).filter(F.col("fewest") >= least)
+    return sums.join(F.broadcast(few)).select("label", "bin", F.round(F.col("m") / F.col("total"), 8).alias("share"))
 
 
 def face_shares(shares: DataFrame, front: int, back: int, ratio: float = 2.0) -> DataFrame:
@@ -135,13 +150,14 @@ def block_votes(pixels: DataFrame, levels: int = 4, block: int = 2) -> DataFrame
     return counts.groupBy(*FRAME, "by", "bx").agg(F.max(F.struct("m", -F.col("q"))).alias("v")).select(*FRAME, "by", "bx", (-F.col("v.col2")).alias("q"))
 
 
-def majority(pixels: DataFrame, levels: int = 4, least: int = 6) -> DataFrame:
-    """(label, frame, y, x, q): levels after taking on that of ``least`` or more of the 8 neighbours."""
+def majority(pixels: DataFrame, levels: int = 4, least: int = 6, kept: tuple = (0,)) -> DataFrame:
+    """(label, frame, y, x, q): levels after taking on that of ``least`` or more of the 8 neighbours; the levels ``kept`` (dark lines) stay."""
     q = pixels.select(*FRAME, "y", "x", F.floor(luma() * levels / 256).cast("int").alias("q"))
     around = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
     near = q.select(*FRAME, "q", F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in around])).alias("p"))
     votes = near.select(*FRAME, "p.y", "p.x", "q").groupBy(*FRAME, "y", "x", "q").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= least)
-    return q.join(votes.select(*FRAME, "y", "x", F.col("q").alias("vote")), [*FRAME, "y", "x"], "left").select(*FRAME, "y", "x", F.coalesce("vote", "q").alias("q"))
+    new = F.when(F.col("q").isin(*kept), F.col("q")).otherwise(F.coalesce("vote", "q"))
+    return q.join(votes.select(*FRAME, "y", "x", F.col("q").alias("vote")), [*FRAME, "y", "x"], "left").select(*FRAME, "y", "x", new.alias("q"))
 
 
 def light_alpha(pixels: DataFrame) -> DataFrame:
@@ -161,34 +177,6 @@ def grid_fold(pixels: DataFrame, periods: int = 4, bins: int = 4) -> DataFrame:
     return sums.groupBy("label", "period").agg(F.round(F.max("d") / F.sum("d"), 6).alias("share"))
 
 
-def quality_issues(pixels: DataFrame, side: int) -> DataFrame:
-    """(label, kind, frames, ratio): the quality rules that clips break, by kind, with the number of frames or a ratio.
-
-    empty: area under 30 % of the median; edge: over 3 frames touch the border; pink: more pink than in the first frame;
-    shadow: mostly grey lowest rows; size: the clip's median height is over 15 % off the median of all clips.
-    """
-    box = boxes(pixels, side)
-    of_clip = W.partitionBy("label")
-    empty = box.withColumn("mid", F.median("area").over(of_clip)).filter(F.col("area") < 0.3 * F.col("mid")).groupBy("label").agg(F.count(F.lit(1)).alias("frames"))
-    edge = box.groupBy("label").agg(F.count_if(F.col("touches")).alias("frames")).filter("frames > 3")
-    share = pixels.groupBy(*FRAME).agg(F.avg(((F.least("r", "b") - F.col("g") > 50) & (F.col("r") > 150)).cast("int")).alias("share"))
-    pink = share.withColumn("first", F.first("share").over(of_clip.orderBy("frame"))).filter(F.col("share") > F.col("first") + 0.01)
-    pink = pink.groupBy("label").agg(F.count(F.lit(1)).alias("frames"))
-    low = solid(pixels).withColumn("bottom", F.max("y").over(W.partitionBy(*FRAME))).filter(F.col("y") > F.col("bottom") - 2)
-    grey = (F.greatest("r", "g", "b") - F.least("r", "g", "b") < 48) & F.greatest("r", "g", "b").between(61, 214)
-    shadow = low.groupBy(*FRAME).agg(F.avg(grey.cast("int")).alias("grey")).filter("grey > 0.5").groupBy("label").agg(F.count(F.lit(1)).alias("frames"))
-    heights = box.groupBy("label").agg(F.median(F.col("y1") - F.col("y0")).alias("height"))
-    middle = heights.agg(F.median("height").alias("middle"))
-    size = heights.join(F.broadcast(middle), F.abs(F.col("height") / F.col("middle") - 1) > 0.15).select("label", F.bround(F.col("height") / F.col("middle"), 2).alias("ratio"))
-    none = F.lit(None).cast("double").alias("ratio")
-    parts = [part.select("label", F.lit(kind).alias("kind"), "frames", none) for kind, part in (("empty", empty), ("edge", edge), ("pink", pink), ("shadow", shadow))]
-    parts.append(size.select("label", F.lit("size").alias("kind"), F.lit(None).cast("long").alias("frames"), "ratio"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 def lab(pixels: DataFrame) -> DataFrame:
     """(.., l, a, b2): CIE Lab of sRGB under D65, scaled to 0..255 as 8-bit Lab is, 4 decimals."""
 

@@ -49,7 +49,7 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
 def pixels(spark: SparkSession, folder: str) -> DataFrame:
     """(label, frame, y, x, r, g, b): each vector as a square frame; three neighbouring values give a pixel's channels."""
     e = F.col("e")
-    channel = lambda shift: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 90 * F.element_at(e, ((F.col("pos") + shift) % (SIDE * SIDE) + 1).cast("int"))))).cast("int")
+    channel = lambda shift: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 700 * F.element_at(e, ((F.col("pos") + shift) % (SIDE * SIDE) + 1).cast("int"))))).cast("int")
     spread = clips(spark, folder).select("label", "frame", "e", F.posexplode("e").alias("pos", "v"))
     return spread.select(
         "label", "frame", F.floor(F.col("pos") / SIDE).cast("int").alias("y"), (F.col("pos") % SIDE).cast("int").alias("x"),

@@ -2,8 +2,10 @@
 
 import math
 
+import pytest
+
 from framewright.functions import text
-from framewright.operators import layout, raster, sequence, signal, store
+from framewright.operators import directions, documents, layout, quality, raster, sequence, signal, store
 from pyspark.sql import functions as F
 
 
@@ -54,8 +56,20 @@ def test_stance_slope(spark):
 def test_frame_grid_slug_and_numbering(spark):
     row = spark.range(1).select(text.frame_grid(F.lit(3)).alias("a"), text.frame_grid(F.lit(5)).alias("b"), text.slug(F.lit("Moon Walk!")).alias("c"), text.slug(F.lit("걷기 1")).alias("d"), text.slug(F.lit(None).cast("string")).alias("e")).first()
     assert tuple(row) == (73, 124, "moon_walk", "motion", "motion")
-    named = text.numbered_keys(spark.createDataFrame([(1, 1, "walk"), (1, 2, "walk"), (2, 1, "walk")], "p int, o int, k string"), "p", "o", "k")
-    assert sorted(r.name for r in named.collect()) == ["walk", "walk", "walk2"]
+    keys = ["walk", "walk", "walk2", "walk", "run", "walk2"]
+    named = documents.unique_keys(spark.createDataFrame([(1, i, k) for i, k in enumerate(keys)] + [(2, 1, "walk")], "p int, o int, k string"), "p", ["o"], "k")
+    assert [(r.p, r.name) for r in named.orderBy("p", "place").collect()] == [(1, n) for n in ("walk", "walk2", "walk22", "walk3", "run", "walk23")] + [(2, "walk")]
+
+
+def test_documents_that_are_missing_or_empty(spark):
+    motions = spark.createDataFrame([("p1", "m1", "walk", "done")], "project string, id string, name string, status string")
+    wanted = spark.createDataFrame([("p1", "m2")], "project string, id string")
+    with pytest.raises(Exception, match="no motion m2 in p1"):
+        documents.found(wanted, motions).collect()
+    with pytest.raises(Exception, match="no keyframes"):
+        spark.range(1).select(documents.keyframes(F.lit('x {"keys": []} y'))).collect()
+    with pytest.raises(Exception, match="no direction set of 5"):
+        directions.of_motions(spark.createDataFrame([(1, 5, True)], "key int, count int, mirror boolean")).collect()
 
 
 def test_gap_fill_at_both_ends(spark):
