@@ -1,7 +1,7 @@
 """Sequence operators over clips: period search, loop and one-shot picks, seams, consensus periods.
 
-A clip table has (label, frame, e, n). Lags are exploded and joined by key (label, frame + lag): an equi join, never a
-range join, so that it shuffles by label and frame and needs no task that holds a whole clip.
+A clip table has (label, frame, e, n), frames from 0 without gaps. Lags are taken within segments of a clip that overlap by
+the largest lag: a vector shuffles once or twice, whatever the number of lags, and no task needs a whole clip.
 """
 
 from __future__ import annotations
@@ -11,6 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FPS = 24
+#: Centres that are compared with every point.
+MAX_CENTRES = 10_000
+#: Frames of a segment.
+SEGMENT = 64
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -20,15 +24,32 @@ def distance(a: Column, b: Column) -> Column:
 
 def lag_curves(clip: DataFrame, lo: int, hi: int) -> DataFrame:
     """(label, period, frame, d): distance of each frame to the one ``period`` later."""
-    early = clip.select("label", "frame", "e", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("period"))
-    early = early.withColumn("to", F.col("frame") + F.col("period"))
-    late = clip.select(F.col("label"), F.col("frame").alias("to"), F.col("e").alias("e2"))
-    return early.join(late, ["label", "to"]).select("label", "period", "frame", distance(F.col("e"), F.col("e2")).alias("d"))
+    own = F.floor(F.col("frame") / SEGMENT)
+    first = F.greatest(F.lit(0), F.floor((F.col("frame") - hi) / SEGMENT))
+    spread = clip.select("label", "frame", "e", F.explode(F.sequence(first, own)).alias("segment"))
+    rows = spread.groupBy("label", "segment").agg(F.array_sort(F.collect_list(F.struct("frame", "e"))).alias("r"))
+    size = F.size("r")
+
+    def of_frame(i: Column) -> Column:
+        here = F.col("r")[i]
+        last = F.least(F.lit(hi), size - 1 - i)
+        lags = F.when(last >= lo, F.sequence(F.lit(lo), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(lags, lambda p: F.struct(p.alias("period"), here["frame"].alias("frame"), distance(here["e"], F.col("r")[i + p]["e"]).alias("d")))
+
+    early = F.sequence(F.lit(0), F.least(F.lit(SEGMENT), size) - 1)
+    curves = rows.select("label", F.explode(F.flatten(F.transform(early, of_frame))).alias("c"))
+    return curves.select("label", "c.period", "c.frame", "c.d")
+
+
+def lag_sums(curves: DataFrame) -> DataFrame:
+    """(label, period, score, d, frame): the mean distance of each lag, its least one, and the first frame that has it."""
+    sums = curves.groupBy("label", "period").agg(F.avg("d").alias("score"), F.min(F.struct("d", "frame")).alias("m"))
+    return sums.select("label", "period", "score", "m.d", "m.frame")
 
 
 def score_curve(clip: DataFrame, lo: int = 8, hi: int = 30) -> DataFrame:
     """(label, period, score): mean distance per lag, 4 decimals."""
-    return lag_curves(clip, lo, hi).groupBy("label", "period").agg(F.round(F.avg("d"), 4).alias("score"))
+    return lag_sums(lag_curves(clip, lo, hi)).select("label", "period", F.round("score", 4).alias("score"))
 
 
 def valleys(scores: DataFrame) -> DataFrame:
@@ -41,34 +62,49 @@ def valleys(scores: DataFrame) -> DataFrame:
     return near.filter("score <= before and score <= after").select("label", "period", "score", "best")
 
 
+def _listed(sums: DataFrame) -> DataFrame:
+    """(label, lags): the sums of a clip's lags in one row, by period; there are as many as lags were asked for."""
+    return sums.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("period", "score", "d", "frame"))).alias("lags"))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _chosen(lags: Column, tolerance: float) -> Column:
+    """Of a clip's lags the shortest valley within ``tolerance`` of the best one, else the best one."""
+    score = lambda i: lags[i]["score"]
+    inner = F.when(F.size(lags) > 2, F.sequence(F.lit(1), F.size(lags) - 2)).otherwise(F.array().cast("array<int>"))
+    best = F.array_min(lags["score"])
+    fits = F.filter(inner, lambda i: (score(i) <= score(i - 1)) & (score(i) <= score(i + 1)) & (score(i) <= best * tolerance))
+    least = F.array_min(F.transform(lags, lambda x, i: F.struct(x["score"].alias("score"), i.alias("i"))))["i"]
+    return lags[F.coalesce(F.array_min(fits), least)]
+
+
 def find_cycle(curves: DataFrame, tolerance: float = 1.15) -> DataFrame:
     """(label, period, start, seam): the shortest valley within ``tolerance`` of the best lag, else the best lag."""
-    scores = curves.groupBy("label", "period").agg(F.avg("d").alias("score"))
-    least = scores.groupBy("label").agg(F.min(F.struct("score", "period"))["period"].alias("fallback"))
-    short = valleys(scores).filter(F.col("score") <= F.col("best") * tolerance).groupBy("label").agg(F.min("period").alias("valley"))
-    chosen = least.join(short, "label", "left").select("label", F.coalesce("valley", "fallback").alias("period"))
-    at = curves.join(chosen, ["label", "period"]).groupBy("label", "period").agg(F.min(F.struct("d", "frame")).alias("m"))
-    return at.select("label", "period", F.col("m.frame").alias("start"), F.round("m.d", 6).alias("seam"))
+    found = _listed(lag_sums(curves)).select("label", _chosen(F.col("lags"), tolerance).alias("c"))
+    return found.select("label", "c.period", F.col("c.frame").alias("start"), F.round("c.d", 6).alias("seam"))
 
 
-def loop_picks(clip: DataFrame, n: int = 8, lo: int = 8, hi: int = 30) -> DataFrame:
+def loop_picks(clip: DataFrame, n: int = 8, lo: int = 8, hi: int = 30, tolerance: float = 1.15) -> DataFrame:
     """(label, slot, pick, fps): up to ``n`` evenly spaced frames of the loop, from the frame with the lowest head on.
 
     A loop that is half of a better one (0.95 of the score near twice the period) is searched again there. The head's
     height is the vector's first value.
     """
-    curves = lag_curves(clip, lo, hi)
-    once = find_cycle(curves)
-    rounded = score_curve(clip, lo, hi)
-    own = once.select("label", F.col("period").alias("p")).join(rounded.withColumnRenamed("period", "q"), "label")
-    judged = own.groupBy("label", "p").agg(
-        F.min(F.when(F.col("q") == F.col("p"), F.col("score"))).alias("own"),
-        F.min(F.when(F.col("q").between(2 * F.col("p") - 2, 2 * F.col("p") + 2), F.col("score"))).alias("twice"),
-    )
-    half = judged.filter(F.col("twice") < 0.95 * F.col("own")).select("label", "p")
-    again = find_cycle(curves.join(half, "label").filter(F.col("period").between(2 * F.col("p") - 2, 2 * F.col("p") + 2)).drop("p"))
-    cycle = once.join(half, "label", "left_anti").unionByName(again)
-    heads = clip.select("label", "frame", F.element_at("e", 1).alias("head")).join(cycle, "label")
+    rounded = lambda x: F.round(x["score"], 4)
+
+    def cycle(lags: Column, once: Column) -> Column:
+        near = F.filter(lags, lambda x: x["period"].between(2 * once["period"] - 2, 2 * once["period"] + 2))
+        better = F.array_min(F.transform(near, rounded)) < 0.95 * rounded(once)
+        return F.when(F.coalesce(better, F.lit(False)), _let(near, lambda x: _chosen(x, tolerance))).otherwise(once)
+
+    lags = F.col("lags")
+    found = _listed(lag_sums(lag_curves(clip, lo, hi))).select("label", _let(_chosen(lags, tolerance), lambda once: cycle(lags, once)).alias("c"))
+    cycles = found.select("label", "c.period", F.col("c.frame").alias("start"))
+    heads = clip.select("label", "frame", F.element_at("e", 1).alias("head")).join(cycles, "label")
     heads = heads.filter(F.col("frame").between(F.col("start"), F.col("start") + F.col("period") - 1))
     phase = heads.groupBy("label", "period", "start").agg(F.max(F.struct("head", -F.col("frame"))).alias("m"))
     phase = phase.select("label", "period", "start", (-F.col("m.col2") - F.col("start")).alias("phase"), F.least(F.lit(n), F.col("period")).alias("n"))
@@ -82,6 +118,7 @@ def loop_picks(clip: DataFrame, n: int = 8, lo: int = 8, hi: int = 30) -> DataFr
 
 def common_cycle(scores: DataFrame, lo: int = 10, hi: int = 40) -> DataFrame:
     """(label, cycle, length): one period that fits the curves of all labels, and each label's own lag near it."""
+    scores = scores.persist()  # a row a lag, read several times
     low = valleys(scores).select("label", "period", (F.col("score") / F.col("best")).alias("rel"))
     best = scores.groupBy("label").agg(F.min(F.struct("score", "period"))["period"].alias("best"))
     parts = best.select("label", F.explode(F.array(*[F.col("best") / k for k in (1, 2, 3)])).alias("f")).filter("f >= 7")
@@ -150,7 +187,9 @@ def seams(clip: DataFrame) -> DataFrame:
 
 
 def nearest_of(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """(id, k): the centre (k, e) nearest to each point (id, e); ties go to the least k. Centres must be few."""
+    """(id, k): the centre (k, e) nearest to each point (id, e); ties go to the least k. More than MAX_CENTRES centres are an error."""
+    if centres.limit(MAX_CENTRES + 1).count() > MAX_CENTRES:
+        raise ValueError(f"nearest_of takes up to {MAX_CENTRES} centres")
     table = centres.agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("centres"))
     gap = lambda c: F.aggregate(F.zip_with(F.col("e"), c["e"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     return points.join(F.broadcast(table)).select("id", F.array_min(F.transform("centres", lambda c: F.struct(F.round(gap(c), 9).alias("d"), c["k"].alias("k"))))["k"].alias("k"))
