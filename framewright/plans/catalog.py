@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from framewright.plans import documents, export, kernels, layout, more, pose, quality, raster, sequence, sheets, signal, store, text
+from framewright.plans import documents, export, kernels, layout, more, pixel_art, pose, quality, raster, sequence, sheets, signal, store, text
 
-_PARTS = (sequence, signal, layout, text, store, raster, kernels, pose, more, export, documents, quality, sheets)
+_PARTS = (sequence, signal, layout, text, store, raster, kernels, pose, more, export, documents, quality, sheets, pixel_art)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -14,9 +14,7 @@ def _frames(spark, folder):
 QUERIES = {
     "img_regions": lambda s, d: op.regions(_frames(s, d)),
     "img_slivers": lambda s, d: op.without_slivers(_frames(s, d)),
-    "img_holes": lambda s, d: op.holes(_frames(s, d)),
-    "img_fringe": lambda s, d: op.fringe(_frames(s, d)),
-    "img_temporal_hold": lambda s, d: op.held_levels(_frames(s, d)),
+    "img_holes": lambda s, d: op.holes(_frames(s, d), least=2),
     "img_palette": lambda s, d: op.palette(pixels(s, d)),
     "stream_drift_windows": lambda s, d: drift_windows(table(s, d, "events")),
 }

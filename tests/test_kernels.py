@@ -50,12 +50,22 @@ def test_frame_kernels_agree_with_pixel_queries(spark):
     assert areas == {(r.label, r.frame): r.area for r in boxes(px, SIDE).collect()}
     slivers = k.without_slivers(frames).collect()
     assert {(r.label, r.frame): r.kept + r.removed for r in slivers if r.kept} == areas
-    assert k.holes(frames).filter("holes > 0 and pixels < holes").count() == 0
-    assert k.fringe(frames).filter("rim < 0 or rim > 1").count() == 0
-    assert k.held_levels(frames).filter("frame = 0 and changed > 0").count() == 0
+    assert k.holes(frames, 1).filter("holes > 0 and pixels < holes").count() == 0
     assert k.palette(px, 4).count() == 4
 
 
+def test_a_torn_hole_counts_and_a_gap_with_an_outline_does_not(spark):
+    image = np.full((2, 20, 20, 3), 200, np.uint8)
+    image[:, :2], image[:, -2:], image[:, :, :2], image[:, :, -2:] = 0, 0, 0, 0
+    image[:, 8:12, 8:12] = 0
+    image[1, 6:14, 6:14] = np.where(image[1, 6:14, 6:14] == 200, 130, 0)  # a dim ring
+    rows = [(0, f, y, x, *map(int, image[f, y, x])) for f in range(2) for y in range(20) for x in range(20) if image[f, y, x].any()]
+    px = spark.createDataFrame(rows, "label int, frame int, y int, x int, r int, g int, b int")
+    got = {r.frame: (r.holes, r.pixels) for r in k.holes(k.packed(px, 20, 20)).collect()}
+    assert got == {0: (1, 16), 1: (0, 0)}
+    assert k.holes(k.packed(px, 20, 20), least=17).filter("holes > 0").count() == 0
+
+
 def test_png_files_read_back(spark, tmp_path):
     frames = k.packed(pixels(spark, SF).filter("label = 0 and frame < 3"), SIDE, SIDE)
     want = {r.frame: r.data for r in frames.collect()}
