@@ -8,8 +8,9 @@ which a few bad words in a long text raise as well as in a short one. A document
 language's quantile of the same figure over trusted documents that were held out of training.
 
 Scale: per byte only tasks work; what is shuffled are distinct grams per task. The joined table is broadcast for scoring
-while it has at most MAX_TABLE_ROWS rows (96 MB, held once a worker as sorted arrays); beyond that each document's grams are
-joined with it by shuffle, with the same results.
+while it has at most MAX_TABLE_ROWS rows (96 MB, held once a worker as sorted arrays). A larger model stays in shards, and
+blocks of documents ask it for their grams by a join, with the same results. That way always would cost more disk than this
+operator may take (its texts once to the store and once through a shuffle), so the small model has the short way.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ GRAM_BITS = 8 * ORDER
 HELD_ROWS = 2_000_000
 #: Bytes of text at a time; a byte takes about 50 bytes of working memory.
 CHUNK = 2 << 20
+#: Bytes of text that ask a sharded model together.
+BLOCK = 8 << 20
 #: Bytes of a word with its separator: shorter ones have no peak of their own, longer runs are judged in pieces.
 LEAST_WORD, LONGEST_WORD = 4, 24
 
@@ -158,7 +161,7 @@ def perplexities(docs: DataFrame, table: DataFrame, max_table_rows: int = MAX_TA
     """(id, lang, trusted, perplexity, peak) of rows (id, lang, trusted, text); null for texts without bytes (or words)."""
     langs = [r["lang"] for r in table.select("lang").distinct().limit(MAX_LANGS + 1).collect()]
     if len(langs) > MAX_LANGS or table.count() > max_table_rows:
-        return _joined_perplexities(docs, table)
+        return _blocked_perplexities(docs, table)
     code = F.element_at(F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (lang, k << GRAM_BITS)]), F.col("lang")) if langs else F.lit(0)
     rows = table.select(F.col("gram").bitwiseOR(code).alias("key"), F.col("logp").cast("float").alias("logp")).toArrow()
     keys = rows.column("key").to_numpy()
@@ -168,12 +171,7 @@ def perplexities(docs: DataFrame, table: DataFrame, max_table_rows: int = MAX_TA
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, known, logp = model.value  # loaded once a worker
         for batch in chunks(batches, size=CHUNK):
-            lang = pc.fill_null(batch.column("lang"), "")
-            at = pc.fill_null(pc.index_in(lang, value_set=pa.array(names, pa.string())), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            key, offsets = grams(batch.column("text"))
-            own, which = np.unique(key | np.repeat(at, np.diff(offsets)) << GRAM_BITS, return_inverse=True)
-            made = doc_scores(key, offsets, logp[np.searchsorted(known, own)].astype(np.float64)[which])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lang, batch.column("trusted"), *made], names=["id", "lang", "trusted", "perplexity", "peak"])
+            yield _scored(batch, names, known, logp)
 
     return docs.select("id", "lang", "trusted", "text").mapInArrow(tidy(score), SCORED)
 
@@ -181,46 +179,73 @@ def perplexities(docs: DataFrame, table: DataFrame, max_table_rows: int = MAX_TA
 SCORED = "id long, lang string, trusted boolean, perplexity double, peak double"
 
 
-def _joined_perplexities(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """The same by joining each document's distinct grams with the table; rows are told apart by their text's hash.
+def _scored(rows: pa.RecordBatch | pa.Table, langs: list[str], known: np.ndarray, logp: np.ndarray) -> pa.RecordBatch:
+    """SCORED columns of rows (id, lang, trusted, text), from sorted keys (gram, with its language's index above) and their logarithms."""
+    lang = pc.fill_null(rows.column("lang"), "")
+    at = pc.fill_null(pc.index_in(lang, value_set=pa.array(langs, pa.string())), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    key, offsets = grams(rows.column("text"))
+    own, which = np.unique(key | np.repeat(at, np.diff(offsets)) << GRAM_BITS, return_inverse=True)
+    made = doc_scores(key, offsets, logp[np.searchsorted(known, own)].astype(np.float64)[which])
+    return pa.RecordBatch.from_arrays([rows.column("id"), lang, rows.column("trusted"), *made], names=["id", "lang", "trusted", "perplexity", "peak"])
 
-    Repeated rows are scored once and given back as often as they came.
+
+def _blocked_perplexities(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """The same with the model in shards: each block of documents asks for its distinct grams, and is scored where the answers meet it.
+
+    A block has about BLOCK bytes of text (or one document), packed; a gram has a row a block, whatever its share of the text.
     """
 
-    def per_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, size=CHUNK):
-            keys, offsets = grams(batch.column("text"))
-            for k in range(batch.num_rows):
-                own = keys[offsets[k] : offsets[k + 1]]
-                order = np.argsort(own, kind="stable").astype(np.int32)
-                key, first = np.unique(own[order], return_index=True)
-                head = batch.slice(k, 1).select(["id", "lang", "trusted", "row", "times"])
-                repeated = head.take(pa.array(np.zeros(max(1, len(key)), np.int64)))
-                where = [part.tobytes() for part in np.split(order, first[1:])]  # the bytes of the text that have the gram
-                made = [pa.array(key if len(key) else [None], pa.int64()), pa.array(where, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*repeated.columns, *made], names=["id", "lang", "trusted", "row", "times", "gram", "at"])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = number = 0
+        part = 0
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for k, held in enumerate(batch.column("grams")):
-                at = [np.frombuffer(b.as_buffer(), np.int32) for b in held.values.field("at")]
-                sizes = [len(a) for a in at]
-                key, logp = np.zeros(sum(sizes), np.int64), np.zeros(sum(sizes))
-                if len(key):
-                    where = np.concatenate(at)
-                    key[where] = np.repeat(held.values.field("gram").to_numpy(zero_copy_only=False), sizes)
-                    logp[where] = np.repeat(held.values.field("logp").to_numpy(zero_copy_only=False).astype(np.float32), sizes)
-                made.append([x[0].as_py() for x in doc_scores(key, np.array([0, len(key)]), logp)])
-            columns = [pa.array([m[j] for m in made], pa.float64()) for j in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "lang", "trusted", "times")), *columns], names=["id", "lang", "trusted", "times", "perplexity", "peak"])
-
-    rows = docs.select("id", F.coalesce("lang", F.lit("")).alias("lang"), "trusted", F.xxhash64("text").alias("row"), "text")
-    rows = rows.groupBy("id", "lang", "trusted", "row", "text").agg(F.count(F.lit(1)).alias("times"))
-    each = rows.mapInArrow(tidy(per_doc), "id long, lang string, trusted boolean, row long, times long, gram long, at binary")
-    whole = each.join(table, ["lang", "gram"], "left").groupBy("id", "lang", "trusted", "row", "times").agg(F.collect_list(F.struct("gram", "logp", "at")).alias("grams"))
-    scored = whole.mapInArrow(tidy(score), SCORED.replace("perplexity", "times long, perplexity", 1))
-    return scored.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("_copy", "times")
+        def send() -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(whole)
+            block = part << 24 | number
+            langs = pc.fill_null(whole.column("lang"), "").dictionary_encode()
+            key, offsets = grams(whole.column("text"))
+            which = np.repeat(langs.indices.to_numpy().astype(np.int64), np.diff(offsets))
+            both = np.unique(key | which << GRAM_BITS)
+            cuts = np.searchsorted(both, np.arange(len(langs.dictionary) + 1) << GRAM_BITS)
+            asked = [both[a:b] & (1 << GRAM_BITS) - 1 for a, b in zip(cuts, cuts[1:])]
+            n = 1 + len(asked)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block] * n, pa.int64()), pa.array([sink.getvalue().to_pybytes()] + [None] * len(asked), pa.binary()), pa.array([None, *langs.dictionary.to_pylist()], pa.string()), pa.array([None, *asked], pa.list_(pa.int64()))],
+                names=["block", "data", "lang", "grams"],
+            )
+
+        for batch in chunks(batches, size=BLOCK):
+            part = batch.column("part")[0].as_py()
+            held.append(batch.drop_columns(["part"]))
+            size += batch.nbytes
+            if size >= BLOCK:
+                yield from send()
+                held, size, number = [], 0, number + 1
+        if held:
+            yield from send()
+
+    def score(block: pa.Table, answers: pa.Table) -> pa.Table:
+        langs = answers.column("lang").unique().to_pylist()
+        at = pc.index_in(answers.column("lang"), value_set=pa.array(langs, pa.string())).to_numpy().astype(np.int64)
+        known = answers.column("gram").to_numpy() | at << GRAM_BITS
+        order = np.argsort(known)
+        known, logp = known[order], answers.column("logp").to_numpy().astype(np.float32)[order]
+        out = []
+        for data in block.column("data"):
+            for batch in pa.ipc.open_stream(data.as_buffer()):
+                out += [_scored(part, langs, known, logp) for part in chunks(iter([batch]), size=CHUNK)]
+        return pa.Table.from_batches(out)
+
+    rows = docs.select("id", "lang", "trusted", "text", F.spark_partition_id().alias("part"))
+    blocks = stored(rows.mapInArrow(tidy(pack), "block long, data binary, lang string, grams array<long>"), "blocks")
+    asked = blocks.filter("grams is not null").select("block", "lang", F.explode("grams").alias("gram"))
+    answers = asked.join(table, ["lang", "gram"]).select("block", "lang", "gram", "logp")
+    packed = blocks.filter("data is not null").select(F.col("block").alias("of"), "data")
+    return packed.groupBy("of").cogroup(answers.groupBy("block")).applyInArrow(score, SCORED)
 
 
 def quality(
