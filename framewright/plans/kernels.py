@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from framewright.operators import kernels as op
+from framewright.operators.pixel_art import voted
+from framewright.plans.pixel_art import PALETTE
+from framewright.plans.quality import keyed
 from framewright.sources.tables import SIDE, pixels, table
 from framewright.streaming.drift import drift_windows
 
@@ -15,6 +18,9 @@ QUERIES = {
     "img_regions": lambda s, d: op.regions(_frames(s, d)),
     "img_slivers": lambda s, d: op.without_slivers(_frames(s, d)),
     "img_holes": lambda s, d: op.holes(_frames(s, d), least=2),
+    "img_sheet_cells": lambda s, d: op.sheet_cells(_frames(s, d), far=260.0, least=4),
+    "img_detached": lambda s, d: op.detached_removed(_frames(s, d)),
+    "img_specks": lambda s, d: op.without_specks(voted(keyed(s, d), PALETTE, 2), SIDE // 2, SIDE // 2, {0}),
     "img_palette": lambda s, d: op.palette(pixels(s, d)),
     "stream_drift_windows": lambda s, d: drift_windows(table(s, d, "events")),
 }

@@ -83,3 +83,36 @@ def test_stream_equals_batch(spark):
     query = drift_windows(read_events(spark, SF)).writeStream.outputMode("complete").format("memory").queryName("drift").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert {tuple(r) for r in spark.table("drift").collect()} == batch
+
+
+def test_direction_sheet_of_boxes(spark):
+    image = np.zeros((60, 60, 3), np.uint8)
+    image[5:15, 25:35], image[45:55, 5:12], image[25:35, 25:35] = 200, 150, 255  # N, SW, and one in the middle
+    image[17:19, 26:30] = 200  # a shoe that nearly touches N
+    image[2:4, 2:4] = 250  # too small
+    rows = [(0, 0, y, x, *map(int, image[y, x])) for y in range(60) for x in range(60) if image[y, x].any()]
+    got = k.sheet_cells(k.packed(spark.createDataFrame(rows, "label int, frame int, y int, x int, r int, g int, b int"), 60, 60), least=40).collect()
+    assert {r.dir: (r.x0, r.y0, r.x1, r.y1, r.area) for r in got} == {"N": (25, 5, 35, 19, 108), "SW": (5, 45, 12, 55, 70)}
+
+
+def test_small_parts_far_away_go(spark):
+    image = np.zeros((40, 40), np.uint8)
+    image[10:30, 10:20], image[12:14, 22:24], image[5:7, 35:37], image[30:38, 30:38] = 200, 200, 200, 200  # body, near, far, large
+    rows = [(0, 0, y, x, int(v), int(v), int(v)) for y, line in enumerate(image) for x, v in enumerate(line) if v]
+    got = k.detached_removed(k.packed(spark.createDataFrame(rows, "label int, frame int, y int, x int, r int, g int, b int"), 40, 40)).first()
+    assert (got.kept, got.removed) == (200 + 4 + 64, 4)
+
+
+def test_specks_of_a_label_grid():
+    q = np.zeros((7, 7), int)
+    q[3, 3] = 1  # a speck inside
+    q[5, 2:5] = 2  # three cells
+    q[0, 3] = 3  # at the frame's edge
+    q[1, 1] = 4  # kept
+    opaque = np.ones((7, 7), bool)
+    want = q.copy()
+    want[3, 3], want[5, 2:5] = 0, 0
+    assert (k.merged_specks(q, opaque, {4}) == want).all()
+    assert (k.merged_specks(q, opaque, {4}, most=2) == np.where(q == 2, 2, want)).all()
+    opaque[3, 4] = False  # now at the figure's edge
+    assert k.merged_specks(q, opaque, {4})[3, 3] == 1
