@@ -1,6 +1,6 @@
 """Quality rules over keyed frames (label, frame, y, x, r, g, b, alpha 0..255): what is wrong with which frames of a sheet.
 
-A label is a direction; its frames are in order. Neighbourhoods are equality joins on shifted positions.
+A label is a direction; its frames are in order, and complete grids of pixels.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framewright.operators.raster import FRAME, border_median, edge_share, luma
+from framewright.operators.raster import FRAME, luma
 
 SOLID = 128
 #: Rules in the order in which a direction's issues are listed; size comes after all directions.
@@ -30,32 +30,50 @@ def shrunk(frames: DataFrame, inside: Column, side: int, radius: int = 1) -> Dat
     return frames.filter(inside).select(*place).join(grown(frames.filter(~inside).select(*place), side, radius), place, "left_anti")
 
 
+def borders(pixels: DataFrame, side: int, band: int = 2, limit: int = 110) -> DataFrame:
+    """(label, frame, r, g, b, share): the median of the four border lines, corners counted twice, and the edge band's pattern share, in one pass."""
+    last = side - 1
+    times = (F.col("y") == 0).cast("int") + (F.col("y") == last).cast("int") + (F.col("x") == 0).cast("int") + (F.col("x") == last).cast("int")
+    edge = (F.least("y", "x") < band) | (F.greatest("y", "x") >= side - band)
+    odd = F.when(edge, (F.least("r", "b") - F.col("g") < limit).cast("int"))
+    return pixels.groupBy(*FRAME).agg(*[F.percentile(c, F.lit(0.5), times).alias(c) for c in "rgb"], F.round(F.avg(odd), 6).alias("share"))
+
+
 def background_changes(pixels: DataFrame, side: int, far: float = 60.0, pattern: float = 0.1) -> DataFrame:
     """(label, frames, changed): frames whose border colour is far from the first one's, or whose edge band has a pattern."""
     first = W.partitionBy("label").orderBy("frame")
     gap = sum((F.pow(F.col(c) - F.first(c).over(first), F.lit(2.0)) for c in "rgb"), F.lit(0.0))
-    borders = border_median(pixels, side).select(*FRAME, (gap > far * far).alias("far"))
-    both = borders.join(edge_share(pixels, side).select(*FRAME, (F.col("share") > pattern).alias("pattern")), list(FRAME))
-    return both.groupBy("label").agg(F.count(F.lit(1)).alias("frames"), F.count_if(F.col("far") | F.col("pattern")).alias("changed"))
+    odd = borders(pixels, side).select("label", ((gap > far * far) | (F.col("share") > pattern)).alias("odd"))
+    return odd.groupBy("label").agg(F.count(F.lit(1)).alias("frames"), F.count_if("odd").alias("changed"))
 
 
 def drifting(pixels: DataFrame, side: int, step: int = 2) -> DataFrame:
     """(label, drifted, total): of every ``step``-th frame those whose border isn't magenta or has a pattern, times ``step``; and all frames."""
-    pink = border_median(pixels, side).select(*FRAME, (F.least("r", "b") - F.col("g") <= 80).alias("odd"))
-    both = pink.join(edge_share(pixels, side), list(FRAME))
-    bad = (F.col("odd") | (F.col("share") > 0.1)) & (F.col("frame") % step == 0)
-    return both.groupBy("label").agg((F.count_if(bad) * step).alias("drifted"), F.count(F.lit(1)).alias("total"))
+    bad = ((F.least("r", "b") - F.col("g") <= 80) | (F.col("share") > 0.1)) & (F.col("frame") % step == 0)
+    return borders(pixels, side).groupBy("label").agg((F.count_if(bad) * step).alias("drifted"), F.count(F.lit(1)).alias("total"))
 
 
-def fringed(frames: DataFrame, side: int) -> DataFrame:
-    """(label, frame): frames with key colour on the figure's outline, and much less of it inside."""
-    place = [*FRAME, "y", "x"]
+def spread(value: Column, radius: int, most: bool) -> list[Column]:
+    """Largest (or least) values within ``radius`` columns, and the function that goes on over rows; frames must be complete grids."""
+    pick = F.max if most else F.min
+    rows = lambda v, line, along: pick(v).over(W.partitionBy(*FRAME, line).orderBy(along).rowsBetween(-radius, radius))
+    return rows(value, "y", "x"), lambda v: rows(v, "x", "y")
+
+
+def fringed(frames: DataFrame) -> DataFrame:
+    """(label, frame): frames with key colour on the figure's outline, and much less of it inside.
+
+    The outline is the figure grown by a pixel less the figure shrunk by one; inside is three pixels in. Neighbourhoods are
+    windows over rows, then columns, of complete frames; beyond the frame nothing counts.
+    """
     key = (F.least("r", "b") - F.col("g") > 60) | (F.col("g") - F.greatest("r", "b") > 60)
-    solid = F.col("alpha") > SOLID
-    outer = grown(frames.filter(solid).select(*place), side).join(shrunk(frames, solid, side), place, "left_anti").withColumn("part", F.lit("band"))
-    inner = shrunk(frames, solid, side, 3).withColumn("part", F.lit("inner"))
-    marked = frames.select(*place, key.cast("int").alias("key"), "alpha").join(outer.unionByName(inner), place).filter("part = 'inner' or alpha > 20")
-    shares = marked.groupBy(*FRAME).agg(F.avg(F.when(F.col("part") == "band", F.col("key"))).alias("edge"), F.coalesce(F.avg(F.when(F.col("part") == "inner", F.col("key"))), F.lit(0.0)).alias("inside"))
+    marked = frames.select(*FRAME, "y", "x", key.cast("int").alias("key"), "alpha", (F.col("alpha") > SOLID).cast("int").alias("solid"))
+    steps = {"grown": (1, True), "shrunk": (1, False), "inner": (3, False)}
+    across = {n: spread(F.col("solid"), *how)[0] for n, how in steps.items()}
+    down = {n: spread(F.col("solid"), *how)[1](F.col(n)) for n, how in steps.items()}
+    near = marked.withColumns(across).withColumns(down)
+    band = (F.col("grown") == 1) & (F.col("shrunk") == 0) & (F.col("alpha") > 20)
+    shares = near.groupBy(*FRAME).agg(F.avg(F.when(band, F.col("key"))).alias("edge"), F.coalesce(F.avg(F.when(F.col("inner") == 1, F.col("key"))), F.lit(0.0)).alias("inside"))
     return shares.filter((F.col("edge") > 0.04) & (F.col("edge") > 3 * F.col("inside") + 0.02)).select(*FRAME)
 
 
@@ -87,51 +105,57 @@ def issues(frames: DataFrame, raw: DataFrame, side: int, loop: bool = True, vivi
     than two frames, sizes over more than two directions. Only directions that were made should be given.
     """
     solid = F.col("alpha") > SOLID
+    of_frame, of_label = W.partitionBy(*FRAME), W.partitionBy("label")
     tall = F.when(solid, F.col("y"))
-    box = frames.groupBy(*FRAME).agg(
-        F.count_if(solid).alias("area"), F.coalesce(F.max(tall) - F.min(tall) + 1, F.lit(0)).alias("height"), F.max(tall).alias("bottom"), F.min(tall).alias("top"),
+    edges = frames.withColumn("bottom", F.max(tall).over(of_frame)).withColumn("top", F.min(tall).over(of_frame))
+    low = solid & (F.col("y") >= F.greatest(F.lit(0), F.col("bottom") - F.greatest(F.lit(2), F.floor(0.06 * (F.col("bottom") - F.col("top"))))))
+    most, least = F.greatest("r", "g", "b"), F.least("r", "g", "b")
+    grey = (most - least < 18) & (most > 60) & (most < 215)
+    box = edges.groupBy(*FRAME).agg(
+        F.count_if(solid).alias("area"), F.coalesce(F.max(tall) - F.min(tall) + 1, F.lit(0)).alias("height"), F.count_if(low).alias("low"), F.count_if(low & grey).alias("grey"),
         F.count_if(solid & (F.least("r", "b") - F.col("g") > 50) & (F.col("r") > 150)).alias("pink"),
-        F.bool_or(solid & (F.least("y", "x") == 0) | solid & (F.greatest("y", "x") == side - 1)).alias("touches"),
+        F.bool_or(solid & ((F.least("y", "x") == 0) | (F.greatest("y", "x") == side - 1))).alias("touches"),
     )
-    of_label = W.partitionBy("label")
-    middle = F.coalesce(F.nullif(F.median("area").over(of_label), F.lit(0.0)), F.lit(1.0))
-    empty = box.withColumn("mid", middle).filter(F.col("area") < 0.3 * F.col("mid"))
     share = F.coalesce(F.try_divide("pink", "area"), F.lit(0.0))
-    pink = box.withColumn("share", share).withColumn("base", F.first("share").over(of_label.orderBy("frame"))).filter(F.col("share") > F.col("base") + 0.01)
-    low = F.greatest(F.lit(0), F.col("bottom") - F.greatest(F.lit(2), F.floor(0.06 * (F.col("bottom") - F.col("top")))))
-    most, least = F.greatest("r", "g", "b"), F.least("r", "g", "b")
-    grey = (most - least < 18) & (most > 60) & (most < 215)
-    feet = frames.filter(solid).join(box.select(*FRAME, low.alias("low")), list(FRAME)).filter("y >= low").groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n"), F.count_if(grey).alias("grey"))
-    shadow = feet.filter((F.col("n") > 20) & (F.col("grey") > 0.5 * F.col("n")))
-    lists = [("fringe", fringed(frames, side)), ("pink", pink), ("shadow", shadow)]
+    middle = F.coalesce(F.nullif(F.median("area").over(of_label), F.lit(0.0)), F.lit(1.0))
+    judged = box.withColumn("share", share).withColumn("base", F.first("share").over(of_label.orderBy("frame"))).withColumn("middle", middle)
+    listed = lambda flag: F.array_sort(F.collect_list(F.when(flag, F.col("frame").cast("long"))))
+    facts = judged.groupBy("label").agg(
+        listed(F.col("share") > F.col("base") + 0.01).alias("pink"), listed((F.col("low") > 20) & (F.col("grey") > 0.5 * F.col("low"))).alias("shadow"),
+        listed(F.col("area") < 0.3 * F.col("middle")).alias("empty"), F.count_if("touches").alias("touching"), F.median("height").alias("height"),
+    )
+    every = W.partitionBy(F.lit(1))  # a row a direction
+    facts = facts.withColumn("mid", F.coalesce(F.nullif(F.median("height").over(every), F.lit(0.0)), F.lit(1.0))).withColumn("dirs", F.count(F.lit(1)).over(every))
+    nothing = F.array().cast("array<long>")
+
+    def issue(kind: str, when: Column, frames_: Column = nothing, count: Column | None = None, ratio: Column | None = None) -> Column:
+        count = F.lit(None) if count is None else count
+        ratio = F.lit(None) if ratio is None else ratio
+        row = F.struct(
+            F.lit(RULES.index(kind)).alias("rule"), F.lit(kind).alias("kind"), frames_.cast("array<long>").alias("frames"), count.cast("long").alias("count"), ratio.cast("double").alias("ratio")
+        )
+        return F.when(when, row)
+
+    found = [issue(kind, F.size(kind) > 0, F.col(kind)) for kind in (("pink", "shadow") if vivid else ("pink", "shadow", "empty"))]
     if not vivid:
-        lists += [("empty", empty)] + ([("hole", holes)] if holes is not None else [])
-    none = {"count": F.lit(None).cast("long"), "ratio": F.lit(None).cast("double")}
-
-    def listed(kind: str, rows: DataFrame, frames_: Column, **extra: Column) -> DataFrame:
-        columns = none | extra
-        return rows.select(F.lit(RULES.index(kind)).alias("rule"), F.lit(kind).alias("kind"), "label", frames_.cast("array<long>").alias("frames"), *[c.alias(n) for n, c in columns.items()])
-
-    nothing = F.array()
-    parts = [listed(kind, rows.groupBy("label").agg(F.array_sort(F.collect_list("frame")).alias("f")), F.col("f")) for kind, rows in lists]
+        found.append(issue("edge", F.col("touching") > 3))
+        if loop:
+            off = F.abs(F.col("height") - F.col("mid")) / F.col("mid") > 0.15
+            found.append(issue("size", (F.col("dirs") > 2) & off, ratio=F.bround(F.col("height") / F.col("mid"), 2)))
+    parts = [facts.select("label", F.explode(F.array_compact(F.array(*found))).alias("i"))]
+    lists = [("fringe", fringed(frames))] + ([("hole", holes)] if holes is not None and not vivid else [])
+    parts += [rows.groupBy("label").agg(F.array_sort(F.collect_list(F.col("frame").cast("long"))).alias("f")).select("label", issue(kind, F.lit(True), F.col("f")).alias("i")) for kind, rows in lists]
     if loop:
         seams = small_steps(frames).filter((F.col("frames") > 2) & (F.col("jump") > 0.01) & (F.col("jump") > 2.2 * F.col("step")))
-        parts.append(listed("seam", seams, F.array(F.col("frames") - 1, F.lit(0))))
-    if not vivid:
-        parts.append(listed("edge", box.groupBy("label").agg(F.count_if("touches").alias("n")).filter("n > 3"), nothing))
-    changed = background_changes(raw, side).withColumnRenamed("frames", "total").filter(F.col("changed") > 0.1 * F.col("total"))
-    parts.append(listed("bg", changed, nothing, count=F.col("changed")))
-    if loop and not vivid:
-        heights = box.groupBy("label").agg(F.median("height").alias("height"))
-        whole = heights.agg(F.coalesce(F.nullif(F.median("height"), F.lit(0.0)), F.lit(1.0)).alias("mid"), F.count(F.lit(1)).alias("dirs"))
-        odd = heights.join(F.broadcast(whole), F.col("dirs") > 2).filter(F.abs(F.col("height") - F.col("mid")) / F.col("mid") > 0.15)
-        parts.append(listed("size", odd, nothing, ratio=F.bround(F.col("height") / F.col("mid"), 2)))
-    every = parts[0]
+        parts.append(seams.select("label", issue("seam", F.lit(True), F.array(F.col("frames") - 1, F.lit(0))).alias("i")))
+    changed = background_changes(raw, side).filter(F.col("changed") > 0.1 * F.col("frames"))
+    parts.append(changed.select("label", issue("bg", F.lit(True), count=F.col("changed")).alias("i")))
+    out = parts[0]
     for part in parts[1:]:
-        every = every.unionByName(part)
+        out = out.unionByName(part)
     # an issue list is as long as there are directions and rules, whatever the frames' number
-    order = W.orderBy((F.col("rule") == len(RULES) - 1).cast("int"), "label", "rule")
-    return every.select((F.row_number().over(order) - 1).alias("place"), "kind", "label", "frames", "count", "ratio")
+    order = W.orderBy((F.col("i.rule") == len(RULES) - 1).cast("int"), "label", "i.rule")
+    return out.select((F.row_number().over(order) - 1).alias("place"), "i.kind", "label", "i.frames", "i.count", "i.ratio")
 
 
 def thumbnails(frames: DataFrame, block: int) -> DataFrame:

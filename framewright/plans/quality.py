@@ -50,7 +50,7 @@ _STEPS = """cl AS (SELECT label, frame, y, x, r * alpha / 255.0::DOUBLE / 255 AS
  ss AS (SELECT label, max(jump) AS jump, median(step) AS step, count(*) AS frames FROM sf GROUP BY label)"""
 QUERIES = {
     "qa_report": _issues,
-    "qa_fringe": lambda s, d: op.fringed(keyed(s, d), SIDE),
+    "qa_fringe": lambda s, d: op.fringed(keyed(s, d)),
     "qa_seam_steps": lambda s, d: op.small_steps(keyed(s, d)),
     "img_bg_changes": lambda s, d: op.background_changes(pixels(s, d), SIDE),
     "img_bg_drift": lambda s, d: op.drifting(pixels(s, d), SIDE),
