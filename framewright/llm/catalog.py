@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from framewright.llm import bpe, chat_format, decontaminate, exact_dedup, license_scan, minhash, quality, recompress, secret_scan, token_store
+from framewright.llm import (
+    bpe, caps, chat_format, decontaminate, exact_dedup, fill_middle, license_scan, minhash, quality, recompress, secret_scan, spelling, token_store,
+)
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op6_license_scan": license_scan.op6_license_scan,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
+    "op12_cap_near_vectors": caps.op12_cap_near_vectors,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
     # the parts of op6 and op8 that SQL can say
     "license_base": license_scan.license_base,
     "secret_base": secret_scan.secret_base,
@@ -24,6 +29,7 @@ ORACLES = {
     "op10_minhash_near_dedup": minhash.OP10_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op11_fill_in_middle": fill_middle.OP11_SQL,
     "license_base": license_scan.BASE_SQL,
     "secret_base": secret_scan.BASE_SQL,
 }
