@@ -9,11 +9,12 @@ they share a filter; with 64 dimensions a pair at a cosine of 0.98 shares none w
 random pairs), and nearer pairs practically never. There are as many filters as vectors, at least a million, so that a
 filter of spread-out data holds a bounded number of vectors at every size.
 
-Groups of near vectors don't grow into pairs. Equal vectors are one class. A class within half the angle of the leader of
-one of its filters joins the leader's cell: cells' members are all linked, by the triangle inequality. Filters are joined
-by cells, not by members. Two cells whose centres and radii settle the matter count their links by size; only members of
-cells that are partly within reach are compared, in blocks of BLOCK_ROWS by matrix products that return counts.
+Groups of near vectors don't grow into rows of pairs. Equal vectors are one class. A class that is linked with the leader of
+one of its filters joins the leader's cell. Filters are joined by cells, not by members. Where the centres and radii of
+two cells (or of one cell with itself) settle the matter by the triangle inequality, links are counted by size; the
+members of others are compared in blocks of BLOCK_ROWS by matrix products, a row a pair of blocks, which return counts.
 A sketch of 128 sign bits keeps far pairs from fetching their vectors; every link is confirmed in double precision.
+A group of g near vectors that fills no small ball still takes g * g / 2 products, as its links are to be counted one by one.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ BLOCKS = 2
 LISTED, LEAST = 20, 12
 LEAST_CODEWORDS = 1024
 SKETCH_WORDS = 2
-#: Sign bits in which the centres of two cells may differ: six standard deviations above what links of 0.98 need.
-FAR_BITS = 40
+#: Sketches may differ in so many standard deviations more bits than vectors at the angle in question do.
+DEVIATIONS = 6
 BLOCK_ROWS = 256
 #: Angles that settle a matter without looking at the vectors keep this distance from the limit.
 MARGIN = 1e-7
@@ -152,14 +153,18 @@ def _cosines(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(tidy(measure), f"{kinds}, cosine double")
 
 
-def _near_sketch(right: str) -> Column:
-    return sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"{right}{k}"))) for k in range(SKETCH_WORDS)), F.lit(0)) <= FAR_BITS
+def _near_sketch(right: str, angle: Column) -> Column:
+    """Whether sketches s0, .. and <right>0, .. may belong to vectors within ``angle``."""
+    bits, share = 64 * SKETCH_WORDS, F.least(F.lit(1.0), angle / math.pi)
+    differ = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"{right}{k}"))) for k in range(SKETCH_WORDS)), F.lit(0))
+    return differ <= bits * share + DEVIATIONS * F.sqrt(bits * share * (1 - share))
 
 
 def _compared(pairs: DataFrame, members: DataFrame, cosine: float) -> DataFrame:
-    """(class, cell, other, many): links of members of cell with those of other, for pairs (a, b) of cells.
+    """(class, cell, other, many): links of members of cell with those of other, for pairs (a, b) of cells, a = b too.
 
     ``members`` has (cell, class, size, v). Blocks of members meet in matrix products; a block with another is a row.
+    A member isn't linked with itself here.
     """
     sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("classes"))
     wanted = pairs.select(F.col("a").alias("cell")).union(pairs.select(F.col("b").alias("cell"))).distinct()
@@ -167,8 +172,9 @@ def _compared(pairs: DataFrame, members: DataFrame, cosine: float) -> DataFrame:
     block = F.pmod(F.xxhash64("class"), F.ceil(F.col("classes") / BLOCK_ROWS))
     blocks = rows.groupBy("cell", block.alias("block")).agg(F.collect_list(F.struct("class", "size", "v")).alias("rows"))
     blocks = stored(blocks, "blocks")
-    left, right = (blocks.select(F.col("cell").alias(c), F.col("rows").alias(r)) for c, r in (("a", "ra"), ("b", "rb")))
-    both = pairs.join(left, "a").join(right, "b")
+    left, right = (blocks.select(F.col("cell").alias(c), F.col("block").alias(f"k{c}"), F.col("rows").alias(f"r{c}")) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").filter((F.col("a") != F.col("b")) | (F.col("ka") <= F.col("kb")))
+    both = both.select("a", "b", ((F.col("a") == F.col("b")) & (F.col("ka") == F.col("kb"))).alias("own"), "ra", "rb")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +185,12 @@ def _compared(pairs: DataFrame, members: DataFrame, cosine: float) -> DataFrame:
                 size = [x.field("size").to_numpy() for x in (one, two)]
                 u, v = (_unit(_matrix(x.field("v"), len(one.field("v")[0]))) for x in (one, two))
                 near = u @ v.T >= cosine
-                for ids, counts, cell, other in ((own[0], near @ size[1], a, b), (own[1], size[0] @ near, b, a)):
+                ways = [(own[0], near, size[1], a, b), (own[1], near.T, size[0], b, a)]
+                if batch.column("own")[k].as_py():
+                    np.fill_diagonal(near, False)
+                    del ways[1]
+                for ids, links, sizes, cell, other in ways:
+                    counts = links @ sizes
                     hit = np.nonzero(counts)[0]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[hit]), pa.array(np.full(len(hit), cell, np.int64)), pa.array(np.full(len(hit), other, np.int64)), pa.array(counts[hit].astype(np.int64))],
@@ -210,7 +221,7 @@ def near_vectors(
     classes = stored(classes.select(F.monotonically_increasing_id().alias("class"), "key", F.col("key.v").alias("v"), F.size("key.v").alias("dim"), "least", "size"), "classes")
     total = max(1, classes.count())
     words = codewords or max(LEAST_CODEWORDS, math.isqrt(total))
-    half = math.sqrt((1 + cosine) / 2)
+    limit = math.acos(cosine)
 
     labels = classes.select("class", F.col("key.label").alias("label"))
     sketch = [f"s{k}" for k in range(SKETCH_WORDS)]
@@ -221,32 +232,35 @@ def near_vectors(
     heads = met.groupBy("filter").agg(F.min(F.struct(rank.alias("rank"), "class", *sketch)).alias("head"), F.count(F.lit(1)).alias("many")).filter("many > 1")
     heads = stored(heads.select("filter", "many", F.col("head.class").alias("leader"), *[F.col(f"head.s{k}").alias(f"t{k}") for k in range(SKETCH_WORDS)]), "leaders")
     n_met = max(1, met.count())
-    led = stored(join_groups(met, heads, "filter", "many", n_met).filter((F.col("class") != F.col("leader")) & _near_sketch("t")).select("class", "leader").distinct(), "led")
+    led = stored(join_groups(met, heads, "filter", "many", n_met).filter((F.col("class") != F.col("leader")) & _near_sketch("t", F.lit(limit))).select("class", "leader").distinct(), "led")
     key = classes.select(F.col("class"), "key", "v")
     followers = stored(led.groupBy("leader").agg(F.count(F.lit(1)).alias("many")).join(key.select(F.col("class").alias("leader"), F.col("key.label").alias("label2"), F.col("v").alias("u")), "leader"), "followers")
     tried = join_groups(led, followers, "leader", "many", max(1, led.count())).join(key, "class")
     tried = tried.filter((F.col("key.label") == F.col("label2")) & (F.size("u") == F.size("v"))).select("class", "leader", "u", "v")
-    joined = _cosines(tried).filter(F.col("cosine") >= half + MARGIN)
+    joined = _cosines(tried).filter(F.col("cosine") >= cosine)
     chosen = joined.groupBy("class").agg(F.min(F.struct(F.xxhash64("leader").alias("rank"), "leader", "cosine")).alias("best"))
     placed = classes.join(chosen, "class", "left")
     placed = placed.select("class", F.coalesce("best.leader", "class").alias("cell"), F.coalesce("best.cosine", F.lit(1.0)).alias("cosine"), "least", "size", "v")
     placed = stored(placed, "placed")
     cells = placed.groupBy("cell").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("classes"), F.min("cosine").alias("inner"), F.min("least").alias("least"))
-    cells = stored(cells.withColumn("radius", F.when(F.col("inner") < 1, F.acos("inner")).otherwise(0.0)), "cells")
+    cells = cells.withColumn("radius", F.when(F.col("inner") < 1, F.acos("inner")).otherwise(0.0))
+    cells = stored(cells.withColumn("tight", (F.col("classes") == 1) | (2 * F.col("radius") <= limit - MARGIN)), "cells")
 
     # filters hold cells; each cell is there with the sketch of its centre
-    centre = stored(met.groupBy("class").agg(*[F.first(c).alias(c) for c in sketch]), "centres")
+    centre = met.groupBy("class").agg(*[F.first(c).alias(c) for c in sketch]).withColumnRenamed("class", "cell")
+    centre = stored(centre.join(cells.select("cell", "radius"), "cell"), "centres")
     sets = met.select("filter", "class").join(placed.select("class", "cell"), "class").select("filter", "cell").distinct()
     crowded = sets.groupBy("filter").agg(F.collect_set("cell").alias("cells")).filter("size(cells) > 1")
     pairs = crowded.select("cells", F.explode("cells").alias("a")).select("a", F.explode(F.filter("cells", lambda x: x > F.col("a"))).alias("b")).distinct()
-    one = centre.select(F.col("class").alias("a"), *sketch)
-    two = centre.select(F.col("class").alias("b"), *[F.col(c).alias(f"t{c[1:]}") for c in sketch])
-    pairs = stored(pairs.join(one, "a").join(two, "b").filter(_near_sketch("t")).select("a", "b"), "pairs")
+    one = centre.select(F.col("cell").alias("a"), F.col("radius").alias("ra"), *sketch)
+    two = centre.select(F.col("cell").alias("b"), F.col("radius").alias("rb"), *[F.col(c).alias(f"t{c[1:]}") for c in sketch])
+    near = _near_sketch("t", F.lit(limit) + F.col("ra") + F.col("rb"))
+    pairs = stored(pairs.join(one, "a").join(two, "b").filter(near).select("a", "b"), "pairs")
     side = lambda c, v: cells.select(F.col("cell").alias(c), F.col("radius").alias(f"r{c}"), F.col("total").alias(f"n{c}")).join(
         key.select(F.col("class").alias(c), F.col("key.label").alias(f"l{c}"), F.col("v").alias(v)), c
     )
     fetched = pairs.join(side("a", "u"), "a").join(side("b", "v"), "b").filter((F.col("la") == F.col("lb")) & (F.size("u") == F.size("v")))
-    angle, reach, limit = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), "cosine"))), F.col("ra") + F.col("rb"), math.acos(cosine)
+    angle, reach = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), "cosine"))), F.col("ra") + F.col("rb")
     verdict = (
         F.when(reach == 0, F.when(F.col("cosine") >= cosine, "all").otherwise("none"))
         .when(angle + reach <= limit - MARGIN, "all").when(angle - reach > limit + MARGIN, "none").otherwise("some")
@@ -254,19 +268,22 @@ def near_vectors(
     judged = _cosines(fetched.select("a", "b", "ra", "rb", "na", "nb", "u", "v")).withColumn("verdict", verdict).filter("verdict <> 'none'")
     judged = stored(judged.select("a", "b", "na", "nb", "verdict"), "judged")
     whole = judged.filter("verdict = 'all'")
-    partly = stored(_compared(judged.filter("verdict = 'some'").select("a", "b"), placed.select("cell", "class", "size", "v"), cosine), "partly")
+    loose = cells.filter("not tight").select(F.col("cell").alias("a"), F.col("cell").alias("b"))
+    partly = stored(_compared(judged.filter("verdict = 'some'").select("a", "b").union(loose), placed.select("cell", "class", "size", "v"), cosine), "partly")
 
     around = whole.select(F.col("a").alias("cell"), F.col("nb").alias("more")).union(whole.select(F.col("b").alias("cell"), F.col("na").alias("more")))
     around = around.groupBy("cell").agg(F.sum("more").alias("around"))
     beside = partly.groupBy("class").agg(F.sum("many").alias("beside"))
-    links = whole.select("a", "b").union(partly.select(F.col("cell").alias("a"), F.col("other").alias("b")))
+    # members are linked with their cell's leader, wherever that is placed itself
+    led_by = placed.select(F.col("class").alias("a"), F.col("cell").alias("b")).join(cells.select(F.col("cell").alias("a")), "a", "left_semi")
+    links = whole.select("a", "b").union(partly.select(F.col("cell").alias("a"), F.col("other").alias("b"))).union(led_by)
     group = stored(components(links), "components").withColumnRenamed("node", "cell")
     known = cells.select("cell", "total", F.col("least").alias("cell_least")).join(around, "cell", "left").join(group, "cell", "left")
     known = stored(known.select("cell", "total", "cell_least", F.coalesce("around", F.lit(0)).alias("around"), F.coalesce("component", "cell").alias("component")), "known")
     least = known.groupBy("component").agg(F.min("cell_least").alias("component_id"))
-    of_cell = stored(known.join(least, "component").join(cells.select("cell", "classes"), "cell").drop("component", "cell_least"), "of-cell")
+    of_cell = stored(known.join(least, "component").join(cells.select("cell", "classes", "tight"), "cell").drop("component", "cell_least"), "of-cell")
     of_class = join_groups(placed.select("class", "cell", "size"), of_cell, "cell", "classes", total).join(beside, "class", "left")
-    links_of = F.col("total") - 1 + F.col("around") + F.coalesce("beside", F.lit(0))
+    links_of = F.when(F.col("tight"), F.col("total")).otherwise(F.col("size")) - 1 + F.col("around") + F.coalesce("beside", F.lit(0))
     answer = stored(of_class.select("class", links_of.alias("n_links"), "component_id").join(classes.select("class", "key", "size"), "class").drop("class"), "answers")
     together = join_groups(valid, answer, "key", "size", max(1, rows.count())).select("id", "n_links", "component_id")
     alone = rows.filter("key is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
