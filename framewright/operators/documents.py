@@ -82,7 +82,7 @@ def redone(held: DataFrame, fresh: DataFrame) -> DataFrame:
 def active_jobs(jobs: DataFrame) -> DataFrame:
     """(project, id, kind, progress) of jobs that wait or run, newest first by place."""
     live = jobs.filter(F.col("state").isin("queued", "running"))
-    return live.select("project", "id", "kind", F.round("progress", 3).alias("progress"), (F.row_number().over(W.partitionBy("project").orderBy(F.col("created").desc(), "id")) - 1).alias("place"))
+    return live.select("project", "id", "kind", (F.floor(F.col("progress") * 1000 + 0.5) / 1000).alias("progress"), (F.row_number().over(W.partitionBy("project").orderBy(F.col("created").desc(), "id")) - 1).alias("place"))
 
 
 def expected_seconds(selected: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ FROM orders WHERE o_custkey % 13 > 0 AND o_custkey % 10 <> 5 GROUP BY o_custkey"
     "set_last_wins": "SELECT l_partkey AS path, (max({'l': l_linenumber, 'o': l_orderkey, 'e': l_extendedprice, 'v': l_quantity})).v AS value FROM lineitem GROUP BY l_partkey",
     "pick_override_edits": f"WITH {_CELL} SELECT key || '-' || dir AS key, slot, CASE WHEN h % 3 = 0 THEN h ELSE w END AS frame FROM cell WHERE (h % 3 = 0 AND h % 2 = 0) OR (h % 3 > 0 AND w % 2 = 0)",
     "store_partial_redo": f"WITH {_CELL} SELECT key, dir, sum(w) * CASE WHEN dir % 3 = 0 AND key % 2 = 0 THEN 10 ELSE 1 END AS value, CASE WHEN dir % 3 = 0 AND key % 2 = 0 THEN NULL ELSE max(h) END AS chosen FROM cell GROUP BY key, dir",
-    "job_active": """SELECT o_custkey AS project, o_orderkey AS id, o_orderpriority AS kind, round(o_totalprice % 1000 / 1000, 3) AS progress, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) - 1 AS place
+    "job_active": """SELECT o_custkey AS project, o_orderkey AS id, o_orderpriority AS kind, floor(o_totalprice % 1000 / 1000 * 1000 + 0.5::DOUBLE) / 1000 AS progress, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) - 1 AS place
 FROM orders WHERE o_orderstatus <> 'F'""",
     "job_eta": "SELECT o_custkey AS project, sum(CASE WHEN o_orderkey % 4 = 2 THEN 50 ELSE 0 END + (1 + o_orderkey % 8) * ([125, 720, 320, 720])[o_orderkey % 4 + 1])::BIGINT AS seconds FROM orders GROUP BY o_custkey",
     "sheet_pixel_cells": f"WITH {_PIXEL} SELECT key, cells FROM pc",

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,6 +32,25 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
 
 
+def packed(pixels: DataFrame, height: int, width: int) -> DataFrame:
+    """(label, frame, h, w, data) of a pixel table: height * width * 3 channel bytes a frame; pixels that are missing are black."""
+    cell = F.struct((F.col("y") * width + F.col("x")).cast("int").alias("at"), *[F.col(c).cast("int").alias(c) for c in "rgb"])
+    rows = pixels.groupBy(F.col("label").cast("int"), F.col("frame").cast("int")).agg(F.collect_list(cell).alias("cells"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column("cells")
+            flat = cells.flatten()
+            of_row = np.repeat(np.arange(batch.num_rows), np.diff(cells.offsets.to_numpy()))
+            data = np.zeros((batch.num_rows, height * width, 3), np.uint8)
+            for k, c in enumerate("rgb"):
+                data[of_row, flat.field("at").to_numpy(zero_copy_only=False), k] = flat.field(c).to_numpy(zero_copy_only=False)
+            sizes = [pa.array(np.full(batch.num_rows, n, np.int32)) for n in (height, width)]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("frame"), *sizes, pa.array([d.tobytes() for d in data], pa.binary())], names=["label", "frame", "h", "w", "data"])
+
+    return rows.mapInArrow(pack, "label int, frame int, h int, w int, data binary")
+
+
 def as_png(frames: DataFrame) -> DataFrame:
     """(label, frame, bytes) of packed RGB frames; write them with any binary sink."""
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: Side of the square rasters that 64-long vectors hold.
 SIDE = 8
+#: Side of the pictures drawn from vectors, a square of pixels a component, and the background colours of their clips.
+PICTURE = 32
+BACKGROUNDS = [(250, 6, 248), (20, 220, 30), (128, 128, 128)]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,3 +58,35 @@ def pixels(spark: SparkSession, folder: str) -> DataFrame:
         "label", "frame", F.floor(F.col("pos") / SIDE).cast("int").alias("y"), (F.col("pos") % SIDE).cast("int").alias("x"),
         channel(0).alias("r"), channel(21).alias("g"), channel(42).alias("b"),
     )
+
+
+def pictures(spark: SparkSession, folder: str) -> DataFrame:
+    """(label, frame, y, x, r, g, b, a, model): each vector as a picture of figures on a magenta, green or grey background.
+
+    A component is a square of four pixels; its value decides between figure, shade and background, with ragged edges.
+    Other components give the colours (some squares are glowing blue or white), a is the opacity of a sprite (0 to 255),
+    and model (0 to 1) is what a matting model might see.
+    """
+    unit = PICTURE // SIDE
+    whole = clips(spark, folder).select("label", "frame", "e", F.explode(F.sequence(F.lit(0), F.lit(PICTURE * PICTURE - 1))).alias("p"))
+    at = whole.select("label", "frame", "e", F.floor(F.col("p") / PICTURE).cast("int").alias("y"), (F.col("p") % PICTURE).cast("int").alias("x"))
+    by, bx = F.floor(F.col("y") / unit).cast("int"), F.floor(F.col("x") / unit).cast("int")
+    at = at.withColumns({"c": by * SIDE + bx, "j": ((F.col("y") * 7 + F.col("x") * 13 + F.col("frame") * 5) % 9 - 4).cast("int")})
+    rim = (F.least(by, bx) == 0) | (F.greatest(by, bx) == SIDE - 1)
+    near = lambda shift: F.element_at("e", ((F.col("c") + shift) % (SIDE * SIDE) + 1).cast("int"))
+    value = near(0) - F.when(rim, 0.1).otherwise(0.0)
+    at = at.withColumns({"v": value, "glow": near(11), "back": (F.col("label") % 3).cast("int")})
+    figure, shade = F.col("v") + 0.0075 * F.col("j") > 0.02, F.col("v") > -0.04
+    byte = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), v)).cast("int")
+
+    def channel(k: int, shift: int) -> F.Column:
+        back = F.when(F.col("back") == 0, BACKGROUNDS[0][k]).when(F.col("back") == 1, BACKGROUNDS[1][k]).otherwise(BACKGROUNDS[2][k])
+        own = F.when(F.col("glow") > 0.2, (90, 150, 250)[k] + 2 * F.col("j")).when(F.col("glow") < -0.2, 247 + 2 * F.col("j")).otherwise(F.floor(128 + 700 * near(shift)) + F.col("j"))
+        flat = F.when(F.col("j") == 4, 1).when(F.col("j") == -4, -1).otherwise(0)
+        return byte(F.when(figure, own).when(shade, back - 15 + F.col("j")).otherwise(back + flat))
+
+    return at.select(
+        "label", "frame", "y", "x", channel(0, 5).alias("r"), channel(1, 21).alias("g"), channel(2, 42).alias("b"),
+        F.when(figure, 255).when(shade, 40 + 5 * F.col("j")).otherwise(0).cast("int").alias("a"),
+        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + 4 * F.col("v") + 1.5 * near(33))), 6).alias("model"),
+    )
