@@ -113,8 +113,8 @@ def without_effects(rows: DataFrame, height: int, figure: DataFrame | None = Non
     the figure. ``figure`` are palettes, of each label's first frame if not given. All frames of a label must be there.
     """
     kept = rows.columns
-    colours = with_colours(rows, character_palette(rows) if figure is None else figure)
-    masked = temporal_mask(clean_silhouette(effect_mask(colours)), height)
+    colours = with_colours(clean_silhouette(rows), character_palette(rows) if figure is None else figure)
+    masked = temporal_mask(effect_mask(colours), height)
     hit = masked.withColumns({"before": F.col("a") > 0, "hit": F.bool_or(F.col("effect") | F.col("outburst")).over(W.partitionBy(*FRAME))})
     clean = erased(hit, F.col("effect") | F.col("outburst"))
     whole = without_detached(without_slivers(clean, judged=F.col("hit")), height)

@@ -365,9 +365,10 @@ def _light(spark, folder):
     return _back(spark, folder).withColumn("alpha", F.col("a") / 255.0)
 
 
-def _coloured(spark, folder):
+def _coloured(spark, folder, silhouettes=False):
     rows = _light(spark, folder)
-    return effects.effect_mask(effects.with_colours(rows, effects.character_palette(rows)))
+    seen = effects.clean_silhouette(rows) if silhouettes else rows
+    return effects.effect_mask(effects.with_colours(seen, effects.character_palette(rows)))
 
 
 WITH = f"WITH RECURSIVE {PIC}"
@@ -399,7 +400,7 @@ QUERIES = {
     "img_palette": lambda s, d: _centres(palette.palettes(palette.histogram(pictures(s, d)))),
     "img_character_palette": lambda s, d: _centres(effects.character_palette(pictures(s, d))),
     "img_effects": lambda s, d: flag_digest(_coloured(s, d), F.col("effect")),
-    "img_bursts": lambda s, d: flag_digest(effects.temporal_mask(effects.clean_silhouette(_coloured(s, d)), N), F.col("outburst")),
+    "img_bursts": lambda s, d: flag_digest(effects.temporal_mask(_coloured(s, d, silhouettes=True), N), F.col("outburst")),
     "img_remove_effects": lambda s, d: effects.removed_counts(effects.without_effects(_light(s, d), N)),
     "stream_drift_windows": lambda s, d: drift_windows(table(s, d, "events")),
     "img_merge_edit": lambda s, d: sprite_digest(matting.merged_edit(_edit(pictures(s, d)), N)),
