@@ -121,7 +121,7 @@ def common_cycle(scores: DataFrame, lo: int = 10, hi: int = 40) -> DataFrame:
     scores = scores.persist()  # a row a lag, read several times
     low = valleys(scores).select("label", "period", (F.col("score") / F.col("best")).alias("rel"))
     best = scores.groupBy("label").agg(F.min(F.struct("score", "period"))["period"].alias("best"))
-    parts = best.select("label", F.explode(F.array(*[F.col("best") / k for k in (1, 2, 3)])).alias("f")).filter("f >= 7")
+    parts = best.select("label", F.explode(F.array(*[F.col("best") / k for k in (1, 2, 3)])).alias("f")).filter(F.col("f") >= 0.7 * lo)
     backed = parts.join(low.filter("rel <= 1.8"), "label", "left").groupBy("label", "f").agg(
         F.max(F.col("period").between(0.8 * F.col("f"), 1.25 * F.col("f")).cast("int")).alias("ok")
     )
