@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from framewright.llm.components import components
-from framewright.llm.minhash import band_keys, drop_near_duplicates, near_duplicates, parity_sketch, shingle_sets
+from framewright.llm.minhash import SLOTS, _unsettled, band_keys, drop_near_duplicates, near_duplicates, parity_sketch, rare_prefix, shingle_sets
 
 
 def brute(rows, k, percent=80):
@@ -121,3 +121,47 @@ def test_sketches_never_differ_more_than_sets():
         a, b = x[:n], x[60 : n + 60] if n > 60 else x[1 : n + 1]
         bits = sum(int(v).bit_count() for v in (parity_sketch(a) ^ parity_sketch(b)).view(np.uint64))
         assert bits <= len(np.setxor1d(a, b))
+
+
+def edited(words, at, tag):
+    return " ".join(f"{tag}{i}" if i in at else w for i, w in enumerate(words))
+
+
+def test_one_id_with_different_texts(spark):
+    a, b = [f"a{i}" for i in range(80)], [f"b{i}" for i in range(80)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, edited(b, {3}, "x")), (3, edited(a, {9}, "y")), (4, "by itself")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+def test_two_texts_of_one_id_link_by_their_own_words_only(spark):
+    a, b = [f"a{i}" for i in range(80)], [f"b{i}" for i in range(80)]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (2, edited(b, {3}, "x")), (7, edited(a, {9}, "y"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near_duplicates(docs, 2).collect()) == [(2, 2), (5, 2), (5, 5), (7, 5)]
+    assert sorted((r.doc_id, r.text) for r in drop_near_duplicates(docs, 2).collect()) == sorted([rows[2], rows[0]])
+
+
+def test_template_family_makes_few_pairs(spark):
+    rng = random.Random(21)
+    base = [f"t{i}" for i in range(140)]
+    rows = [(i, " ".join(base + [f"own{i}_{j}" for j in range(50)])) for i in range(2_000)]
+    near = rng.sample(range(2_000), 40)
+    rows += [(2_000 + i, rows[i][1] + f" tail{i}") for i in near]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, 2).collect()}
+    assert got == {i: i - 2_000 if i >= 2_000 else i for i, _ in rows}
+    sets = [(i, s) for (i, _), s in zip(rows, shingle_sets(pa.array([t for _, t in rows]), 2))]
+    table = spark.createDataFrame([(i, len(s), i, s.view(np.int64).tolist()) for i, s in sets], "node long, n long, component long, shingles array<long>")
+    assert _unsettled(table, 80).count() <= 20 * len(rows)
+
+
+def test_rare_prefixes_of_linked_sets_meet():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5, 9, 10, 100):
+        counts = rng.integers(0, 9, SLOTS)
+        for cut in range(n):
+            x = np.unique(rng.integers(0, 1 << 62, 2 * n, dtype=np.int64))
+            a, b = x[:n], x[cut : n + cut]
+            if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+                assert len(np.intersect1d(rare_prefix(a, counts, 80), rare_prefix(b, counts, 80)))
