@@ -9,7 +9,8 @@ bucket the one that meets most others is the pivot; the others are compared with
 the confirmed links. A bucket that still holds several components is open. Its members aren't paired by bucket, as texts
 of one template may be very many there and linked with nothing: they meet on their rare shingles. Under one order of all
 shingles, rarest first, two sets with ``percent`` of their union in common share one of the first n - ceil(percent n) + 1
-of each, so no link is lost, and what a template's texts have in common comes last and makes no pair. The order is that
+of each, with enough others to follow, so no link is lost, and what a template's texts have in common comes last and makes
+no pair. The order is that
 of counts in SLOTS counters, which needn't be exact: any order that all tasks share keeps the rule. Within a rare shingle,
 members of the largest component are never paired with each other. A parity sketch of 1,024 bits tells most other pairs
 apart before full sets are compared: two sketches never differ in more bits than the sets do in shingles.
@@ -177,7 +178,7 @@ def rare_prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.nd
 
 
 def _rare(sets: DataFrame, percent: int) -> DataFrame:
-    """(rare, node, n, component) for the rare shingles of sets (node, n, component, shingles)."""
+    """(rare, place, node, n, component) for the rare shingles of sets (node, n, component, shingles), places from 0."""
     counts = sets.sparkSession.sparkContext.broadcast(_slot_counts(sets))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,25 +186,33 @@ def _rare(sets: DataFrame, percent: int) -> DataFrame:
             for i in range(batch.num_rows):
                 rare = rare_prefix(batch.column("shingles")[i].values.to_numpy(), counts.value, percent)
                 same = lambda c: pa.array(np.full(len(rare), batch.column(c)[i].as_py(), np.int64))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(rare), same("node"), same("n"), same("component")], names=["rare", "node", "n", "component"])
+                place = pa.array(np.arange(len(rare), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(rare), place, same("node"), same("n"), same("component")], names=["rare", "place", "node", "n", "component"])
 
-    return sets.select("node", "n", "component", "shingles").mapInArrow(make, "rare long, node long, n long, component long")
+    return sets.select("node", "n", "component", "shingles").mapInArrow(make, "rare long, place long, node long, n long, component long")
 
 
 def _unsettled(open_sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): nodes of different components that share a rare shingle and may have ``percent`` percent in common."""
+    """(a, b): nodes of different components that share a rare shingle and may have ``percent`` percent in common.
+
+    A pair comes once for each shared rare shingle after which enough others may follow in both sets.
+    """
     rare = stored(_rare(open_sets, percent), "rare")
     shares = rare.groupBy("rare", "component").agg(F.count(F.lit(1)).alias("share"))
     split = shares.groupBy("rare").agg(F.max(F.struct("share", "component")).alias("top"), F.sum("share").alias("size"), F.count(F.lit(1)).alias("many")).filter("many > 1")
     split = stored(split.select("rare", "size", F.col("top")["component"].alias("major")), "split")
-    met = stored(join_groups(rare, split, "rare", "size", rare.count()), "met")
-    other = met.filter("component <> major").select("rare", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+    met = join_groups(rare, split, "rare", "size", rare.count())
+    met = stored(met.join(open_sets.select("node", "sketch"), "node"), "met")
+    other = met.filter("component <> major").select("rare", *[F.col(c).alias(f"{c}2") for c in ("place", "node", "n", "component", "sketch")])
     fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    follow = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    enough = (100 + percent) * follow >= percent * (F.col("n") + F.col("n2"))
+    differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    near = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("n2"))
     # a pair of two others is met from both sides
     once = (F.col("component") == F.col("major")) | (F.col("node") < F.col("node2"))
-    return met.join(other, "rare").filter((F.col("component") != F.col("component2")) & once & fits).select(
-        F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")
-    ).distinct()
+    pairs = met.join(other, "rare").filter((F.col("component") != F.col("component2")) & once & fits & enough & near)
+    return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
 
 
 def _placed(docs: DataFrame, shingle_words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -246,12 +255,9 @@ def _placed(docs: DataFrame, shingle_words: int, percent: int, id_col: str, text
     split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("many"))
     split = stored(split.filter("low < high").select("bucket", "many"), "split")
     open_ = stored(join_groups(placed, split, "bucket", "many", n_shared).select("node", "n", "component").distinct(), "open")
-    rest = stored(_unsettled(stored(open_.join(sets, "node"), "open-sets"), percent).join(tried, ["a", "b"], "left_anti"), "rest")
-    sketch = lambda c: open_.join(classes.select("node", "n", "sketch"), ["node", "n"]).select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-    near = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
-    close = stored(rest.join(sketch("a"), "a").join(sketch("b"), "b").filter(near).select("a", "b"), "close")
-    more = stored(_confirmed(close, sets, percent), "links")
+    open_sets = stored(open_.join(sets, "node").join(classes.select("node", "sketch"), "node"), "open-sets")
+    rest = _unsettled(open_sets, percent).distinct().join(tried, ["a", "b"], "left_anti")
+    more = stored(_confirmed(stored(rest, "rest"), sets, percent), "links")
     if not more.isEmpty():
         found = stored(components(links.union(more)), "components")
     joined = stored(found.join(classes.select("node", "rep"), "node"), "joined")

@@ -152,7 +152,7 @@ def test_template_family_makes_few_pairs(spark):
     got = {r.doc_id: r.component_id for r in near_duplicates(docs, 2).collect()}
     assert got == {i: i - 2_000 if i >= 2_000 else i for i, _ in rows}
     sets = [(i, s) for (i, _), s in zip(rows, shingle_sets(pa.array([t for _, t in rows]), 2))]
-    table = spark.createDataFrame([(i, len(s), i, s.view(np.int64).tolist()) for i, s in sets], "node long, n long, component long, shingles array<long>")
+    table = spark.createDataFrame([(i, len(s), i, s.view(np.int64).tolist(), parity_sketch(s).tolist()) for i, s in sets], "node long, n long, component long, shingles array<long>, sketch array<long>")
     assert _unsettled(table, 80).count() <= 20 * len(rows)
 
 
