@@ -10,7 +10,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from framewright.operators import cutout, effects, matting, palette, regions
+from framewright.operators import cutout, effects, matting, palette, regions, resample
 from framewright.operators.pixel_art import voted
 from framewright.operators.quality import borders
 from framewright.operators.raster import FRAME, luma
@@ -38,6 +38,12 @@ def sprite_digest(rows):
     return rows.groupBy(*FRAME).agg(F.count_if(F.col("a") > 0).alias("shown"), F.sum("a").cast("long").alias("opacity"), F.sum((colour * _at()).cast("long")).alias("moment"))
 
 
+def _small_digest(rows):
+    """(label, frame, moment, places) of pixels with colours from 0 to 1."""
+    value = F.floor((F.col("r") + 2 * F.col("g") + 4 * F.col("b")) * 10000 + 0.3).cast("long")
+    return rows.groupBy(*FRAME).agg(F.sum(value * (F.col("y") * 20 + F.col("x") + 1)).alias("moment"), F.count(F.lit(1)).alias("places"))
+
+
 def flag_digest(rows, flag):
     return rows.groupBy(*FRAME).agg(F.count_if(flag).alias("pixels"), F.sum(F.when(flag, _at()).otherwise(0).cast("long")).alias("moment"))
 
@@ -131,6 +137,21 @@ def back_sql(pic: str = "pic", out: str = "src") -> str:
 
 
 BACK = back_sql()
+
+
+def lanczos_sql(src: str, names: str, to: int, out: str) -> str:
+    """CTEs up to ``out``: ``src`` resized to ``to`` x ``to`` by Lanczos weights of 22 binary digits, lines first; bytes after each pass."""
+    step = N / to
+    byte = lambda c: f"CAST(greatest(0, least(255, (sum({c} * w) + 2097152) >> 22)) AS INT) AS {c}"
+    both = ", ".join(byte(c) for c in names)
+    return f"""{out}_0 AS (SELECT t, s, (t + 0.5::DOUBLE) * {step!r}::DOUBLE AS mid FROM range({to}) a(t), range({N}) b(s)),
+ {out}_1 AS (SELECT t, s, pi() * (s + 0.5::DOUBLE - mid) / {max(step, 1.0)!r}::DOUBLE AS v FROM {out}_0 WHERE s >= greatest(0, trunc(mid - {3 * max(step, 1.0)!r}::DOUBLE + 0.5)) AND s < least({N}, trunc(mid + {3 * max(step, 1.0)!r}::DOUBLE + 0.5))),
+ {out}_2 AS (SELECT t, s, CASE WHEN v = 0 THEN 1 WHEN abs(v) < 3 * pi() THEN sin(v) * sin(v / 3) * 3 / (v * v) ELSE 0 END AS raw FROM {out}_1),
+ {out}_w AS (SELECT t, s, CAST(sign(raw) * floor(abs(raw / sum(raw) OVER (PARTITION BY t)) * 4194304 + 0.5) AS BIGINT) AS w FROM {out}_2),
+ {out}_x AS (SELECT label, frame, y, CAST(t AS INT) AS x, {both} FROM {src} JOIN {out}_w ON s = x GROUP BY label, frame, y, t),
+ {out} AS (SELECT label, frame, CAST(t AS INT) AS y, x, {both} FROM {out}_x JOIN {out}_w ON s = y GROUP BY label, frame, t, x)"""
+
+
 BORDER = f"(x = 0 OR y = 0 OR x = {N - 1} OR y = {N - 1})"
 clip = lambda v: f"greatest(0::DOUBLE, least(1::DOUBLE, {v}))"
 
@@ -402,6 +423,10 @@ QUERIES = {
     "img_effects": lambda s, d: flag_digest(_coloured(s, d), F.col("effect")),
     "img_bursts": lambda s, d: flag_digest(effects.temporal_mask(_coloured(s, d, silhouettes=True), N), F.col("outburst")),
     "img_remove_effects": lambda s, d: effects.removed_counts(effects.without_effects(_light(s, d), N)),
+    "img_shrink": lambda s, d: sprite_digest(resample.shrunk_sprites(pictures(s, d), N, N, 0.4)),
+    "img_cell_cutouts": lambda s, d: sprite_digest(resample.cell_cutouts(pictures(s, d).withColumn("mask", F.col("a") > 128), N, N, 0.75)),
+    "img_small_frames": lambda s, d: _small_digest(resample.small_frames(pictures(s, d), N, N, 20)),
+    "img_frame_steps": lambda s, d: resample.frame_steps(pictures(s, d), N, N).withColumn("step", F.round("step", 6)),
     "stream_drift_windows": lambda s, d: drift_windows(table(s, d, "events")),
     "img_merge_edit": lambda s, d: sprite_digest(matting.merged_edit(_edit(pictures(s, d)), N)),
 }
@@ -457,6 +482,16 @@ SELECT f.label, f.frame, round(sum(d), 6) AS total, round(max(d), 6) AS deepest
     "img_effects": f"{WITH}, {BACK}, {EFFECT} {_flag_sql('ef', 'effect')}",
     "img_bursts": f"{WITH}, {BACK}, {EFFECT}, {BURST} {_flag_sql('bu', 'outburst')}",
     "img_remove_effects": f"{WITH}, {BACK}, {EFFECT}, {BURST}, {REMOVED} SELECT label, frame, count(*) FILTER (a0 > 0 AND a = 0) AS removed, count(*) FILTER (a > 0) AS remaining FROM rc GROUP BY label, frame",
+    "img_shrink": f"""{WITH}, so AS (SELECT label, frame, y, x, a, {', '.join(f'(2 * {c} * a + 255) // 510 AS {c}' for c in 'rgb')} FROM pic), {lanczos_sql('so', 'rgba', 13, 'sm')},
+ sh AS (SELECT label, frame, y, x, {', '.join(f'CASE WHEN a > 12 THEN least(255, 255 * {c} // greatest(a, 1)) ELSE 0 END AS {c}' for c in 'rgb')}, CASE WHEN a > 12 THEN a ELSE 0 END AS a FROM sm) {_sprite_sql('sh')}""",
+    "img_cell_cutouts": f"""{WITH}, {spread_sql('pic', 'wide', 'a > 128', 'wd', 2)}, wf AS (SELECT * EXCLUDE (a), CAST(wide AS INT)::DOUBLE AS soft FROM wd), {blur_sql('wf', ['soft'], 1.0, 'bl')},
+ op AS (SELECT label, frame, y, x, r, g, b, CAST(floor(round(255 * b_soft, 6) + 0.5::DOUBLE) AS INT) AS a FROM bl), {lanczos_sql('op', 'rgba', 24, 'sm')} {_sprite_sql('sm')}""",
+    "img_small_frames": f"""{WITH}, ov AS (SELECT t, s, (least((t + 1) * {N}, (s + 1) * 20) - greatest(t * {N}, s * 20)) / {N}::DOUBLE AS w FROM range(20) a(t), range({N}) b(s) WHERE least((t + 1) * {N}, (s + 1) * 20) > greatest(t * {N}, s * 20)),
+ sm AS (SELECT label, frame, u.t AS y, v.t AS x, {', '.join(f'sum(u.w * v.w * {c} * a / 65025::DOUBLE) AS {c}' for c in 'rgb')} FROM pic JOIN ov u ON u.s = y JOIN ov v ON v.s = x GROUP BY label, frame, u.t, v.t)
+SELECT label, frame, CAST(sum(floor((r + 2 * g + 4 * b) * 10000 + 0.3::DOUBLE) * (y * 20 + x + 1)) AS BIGINT) AS moment, count(*) AS places FROM sm GROUP BY label, frame""",
+    "img_frame_steps": f"""{WITH}, od AS (SELECT label, frame, coalesce(lead(frame) OVER (PARTITION BY label ORDER BY frame), min(frame) OVER (PARTITION BY label)) AS next FROM (SELECT DISTINCT label, frame FROM pic))
+SELECT od.label, od.frame, od.next, round(avg(({' + '.join(f'abs(q.{c} * q.a - p.{c} * p.a)' for c in 'rgb')}) / 195075::DOUBLE), 6) AS step FROM od JOIN pic p ON p.label = od.label AND p.frame = od.frame
+ JOIN pic q ON q.label = od.label AND q.frame = od.next AND q.y = p.y AND q.x = p.x WHERE od.frame <> od.next GROUP BY od.label, od.frame, od.next""",
     "stream_drift_windows": """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) FILTER (value > 60) AS bad, count(*) AS total
 FROM events GROUP BY 1, 2""",
 }
