@@ -110,26 +110,43 @@ def reseeded(workflow: Column, seed: Column) -> Column:
 
 
 def filled_json(template: Column, values: dict[str, Column]) -> Column:
-    """A JSON template with {{NAME}} filled in at any depth: a whole string takes the value's type, a part its text."""
+    """A JSON template with {{NAME}} filled in at any depth: a whole string takes the value's type, a part its text.
+
+    All marks are filled at once: a value that holds a mark stays as it is.
+    """
+    names = "|".join(values)
+    marks = "\"\\{\\{(?:" + names + ")\\}\\}\"|\\{\\{(?:" + names + ")\\}\\}"
+    texts = []
     for name, value in values.items():
-        mark = "{{" + name + "}}"
         typed = F.coalesce(F.regexp_extract(F.to_json(F.array(value)), r"(?s)^\[(.*)\]$", 1), F.lit("null"))
         inner = F.coalesce(F.regexp_extract(F.to_json(F.array(value.cast("string"))), r'(?s)^\["(.*)"\]$', 1), F.lit(""))
-        template = F.replace(F.replace(template, F.lit(f'"{mark}"'), typed), F.lit(mark), inner)
-    return template
+        texts += [F.lit('"{{' + name + '}}"'), typed, F.lit("{{" + name + "}}"), inner]
+    found = F.regexp_extract_all(template, F.lit(f"({marks})"), 1)
+    pieces = F.zip_with(F.split(template, marks, -1), found, lambda text, mark: F.concat(text, F.coalesce(F.element_at(F.create_map(*texts), mark), F.lit(""))))
+    return F.array_join(pieces, "")
 
 
 def unique_keys(rows: DataFrame, scope: str, order: list[str], key: str) -> DataFrame:
     """(scope, place, name): keys in order; one that is taken gets the least number from 2 on that makes it new.
 
-    The keys of a scope (a project's motions) are named one after another, so they stand in one row.
+    Only keys that are equal but for the digits they end in can meet. Where such keys are all equal, or all different, a
+    name follows from its place among them; only the others are named one after another, in a row of their scope.
     """
-    listed = rows.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(key).alias("key")))).alias("s"))
+    at = W.partitionBy(scope).orderBy(*order, key)
+    placed = rows.select(F.col(scope).alias("_scope"), F.col(key).alias("key"), (F.row_number().over(at) - 1).alias("place"), F.regexp_extract(F.col(key), r"(?s)^(.*?)[0-9]*$", 1).alias("stem"))
+    equal = W.partitionBy("_scope", "stem", "key").orderBy("place")
+    alike = W.partitionBy("_scope", "stem")
+    placed = placed.withColumn("nth", F.row_number().over(equal))
+    mixed = (F.max("nth").over(alike) > 1) & ~F.min("key").over(alike).eqNullSafe(F.max("key").over(alike))
+    placed = placed.withColumn("mixed", F.coalesce(mixed, F.lit(False)))
+    plain = placed.filter("NOT mixed").select("_scope", "place", F.when(F.col("nth") > 1, F.concat("key", F.col("nth").cast("string"))).otherwise(F.col("key")).alias("name"))
 
     def step(taken: Column, base: Column) -> Column:
         numbered = F.transform(F.sequence(F.lit(2), F.size(taken) + 2), lambda n: F.concat(base, n.cast("string")))
         new = F.when(F.array_contains(taken, base), F.filter(numbered, lambda k: ~F.array_contains(taken, k))[0]).otherwise(base)
         return F.concat(taken, F.array(new))
 
+    listed = placed.filter("mixed").groupBy("_scope", "stem").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("s"))
     names = F.aggregate(F.col("s.key"), F.array().cast("array<string>"), step)
-    return listed.select(scope, F.posexplode(names).alias("place", "name"))
+    folded = listed.select("_scope", F.explode(F.arrays_zip(F.col("s.place").alias("place"), names.alias("name"))).alias("r")).select("_scope", "r.place", "r.name")
+    return plain.unionByName(folded).withColumnRenamed("_scope", scope)

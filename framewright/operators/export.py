@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.operators.documents import unique_keys
+
 
 def frame_documents(cells: DataFrame, app: str = "framewright") -> DataFrame:
     """(key, json): frames by running number, animations by direction, and sheet metadata with a tag per direction.
@@ -148,8 +150,9 @@ def common_cells(motions: DataFrame) -> DataFrame:
 
 
 def archive_paths(files: DataFrame) -> DataFrame:
-    """(project, path) of (project, motion, created, key, path): files under their motion's key; a repeated key gets its number."""
+    """(project, path) of (project, motion, created, key, path): files under their motion's key; a taken key gets the next free number."""
     motions = files.select("project", "motion", "created", "key").distinct()
-    n = F.row_number().over(W.partitionBy("project", "key").orderBy("created", "motion"))
-    named = motions.select("project", "motion", F.when(n > 1, F.concat("key", n.cast("string"))).otherwise(F.col("key")).alias("folder"))
+    at = W.partitionBy("project").orderBy("created", "motion", "key")
+    placed = motions.select("project", "motion", "created", "key", (F.row_number().over(at) - 1).alias("place"))
+    named = placed.join(unique_keys(motions, "project", ["created", "motion"], "key"), ["project", "place"]).select("project", "motion", F.col("name").alias("folder"))
     return files.join(named, ["project", "motion"]).select("project", F.concat_ws("/", "folder", "path").alias("path"))

@@ -1,11 +1,13 @@
 """Golden values and edge cases that the stored tables don't reach."""
 
+import json
 import math
+import random
 
 import pytest
 
 from framewright.functions import text
-from framewright.operators import directions, documents, layout, quality, raster, sequence, signal, store
+from framewright.operators import directions, documents, export, layout, quality, raster, sequence, signal, store
 from pyspark.sql import functions as F
 
 
@@ -111,3 +113,37 @@ def test_motion_keys_of_whole_names(spark):
             ("Jump", "hop_2", "hop_2"), ("걷기", "No Key", "motion"), ("x", "walk\n", "motion"), ("!!", None, "motion"), (None, None, "motion")]
     df = spark.createDataFrame(rows, "name string, fixed string, want string")
     assert [r.key for r in df.select(text.motion_key(F.col("name"), F.col("fixed")).alias("key")).collect()] == [r[2] for r in rows]
+
+
+def test_keys_take_the_next_free_number_whatever_digits_they_end_in(spark):
+    rng = random.Random(4)
+    scopes = {s: [rng.choice(["walk", "walk2", "walk22", "run", "run3", "7", "72", "x y"]) for _ in range(rng.randint(1, 25))] for s in range(30)}
+    scopes[99] = [f"cell{i}" for i in range(300)]
+    scopes[100] = ["idle"] * 300
+    rows = [(s, i, k) for s, keys in scopes.items() for i, k in enumerate(keys)]
+    got = {(r["s"], r["place"]): r["name"] for r in documents.unique_keys(spark.createDataFrame(rows, "s int, o int, k string"), "s", ["o"], "k").collect()}
+    assert len(got) == len(rows)
+    for s, keys in scopes.items():
+        taken = set()
+        for i, key in enumerate(keys):
+            name, n = key, 2
+            while name in taken:
+                name, n = f"{key}{n}", n + 1
+            taken.add(name)
+            assert got[s, i] == name
+
+
+def test_archived_motions_never_share_a_folder(spark):
+    rows = [("p", 1, 1, "walk", "a.png"), ("p", 2, 2, "walk2", "a.png"), ("p", 3, 3, "walk", "a.png"), ("p", 3, 3, "walk", "b.png"), ("q", 1, 1, "walk", "a.png")]
+    got = sorted((r.project, r.path) for r in export.archive_paths(spark.createDataFrame(rows, "project string, motion int, created int, key string, path string")).collect())
+    assert got == [("p", "walk/a.png"), ("p", "walk2/a.png"), ("p", "walk3/a.png"), ("p", "walk3/b.png"), ("q", "walk/a.png")]
+
+
+def test_template_values_that_hold_marks_stay_as_they_are(spark):
+    template = '{"a": "{{NAME}}", "b": "is {{NAME}}, {{SIZE}} of {{SIZE}}", "c": {"d": ["{{SIZE}}", "{{OTHER}}", "{{NONE}}"]}}'
+    df = spark.createDataFrame([("{{SIZE}} \"{{NAME}}\" $1 \\", 7)], "n string, s int")
+    made = json.loads(df.select(documents.filled_json(F.lit(template), {"NAME": F.col("n"), "SIZE": F.col("s"), "NONE": F.lit(None).cast("int")}).alias("j")).first().j)
+    name = '{{SIZE}} "{{NAME}}" $1 \\'
+    assert made == {"a": name, "b": f"is {name}, 7 of 7", "c": {"d": [7, "{{OTHER}}", None]}}
+    plain = df.select(documents.filled_json(F.lit("{}"), {"NAME": F.col("n")}).alias("j"), documents.filled_json(F.lit(None).cast("string"), {"NAME": F.col("n")}).alias("k")).first()
+    assert plain.j == "{}" and plain.k is None
