@@ -1,19 +1,20 @@
 """Cutting figures out of their background: alphas from grey and key backgrounds, refined edges, distances, blurs, finished sprites.
 
-Pixel tables are (label, frame, y, x, r, g, b, ..), complete grids of known size. An alpha is a column 0..1. Regions come
-from ``labelled``; blurs and distances run along rows, then columns, by windows; nothing gathers a frame in SQL.
+Pixel tables are (label, frame, y, x, r, g, b, ..), complete grids of known size. An alpha is a column 0..1. What looks at
+a pixel alone is a column expression; what looks at neighbours, parts or borders is one kernel an operator (``by_frame``),
+so a chain of operators streams through without windows over wide rows.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.operators.raster import FRAME, is_key, keyness
-from framewright.operators.regions import grow, labelled, of_part, shrink, with_areas
+from framewright.operators.regions import added, by_frame, dropped, flag, rounded
 
 #: The ramp of distances from a plain background: nothing below, everything above.
 RAMP = (12.0, 40.0)
@@ -25,23 +26,10 @@ def clipped(v: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
 
 
-def on_border(height: int, width: int) -> Column:
-    return (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == height - 1) | (F.col("x") == width - 1)
-
-
-def border_times(height: int, width: int) -> Column:
-    """How many of the four border lines a pixel is on."""
-    return sum((c.cast("int") for c in (F.col("y") == 0, F.col("y") == height - 1, F.col("x") == 0, F.col("x") == width - 1)), F.lit(0))
-
-
-def border_middle(v: Column, height: int, width: int) -> Column:
-    """The median of a value over the four border lines of the frame, corners counted twice."""
-    return F.percentile(F.when(on_border(height, width), v), F.lit(0.5), border_times(height, width)).over(W.partitionBy(*FRAME))
-
-
 def with_background(pixels: DataFrame, height: int, width: int) -> DataFrame:
     """``pixels`` with bg_r, bg_g, bg_b: the median colour of their frame's border lines, corners counted twice."""
-    return pixels.repartition(*FRAME).withColumns({f"bg_{c}": border_middle(F.col(c), height, width) for c in "rgb"})
+    work = lambda frames, **colours: {f"bg_{c}": frames.border_middle(v, height, width) for c, v in colours.items()}
+    return by_frame(pixels, {c: F.col(c) for c in "rgb"}, work, {f"bg_{c}": "double" for c in "rgb"})
 
 
 def far_from_background() -> Column:
@@ -57,19 +45,22 @@ def _alpha(rows: DataFrame, key: Column, height: int, width: int, ramp: tuple[fl
     """``rows`` plus alpha: by ``key_ramp`` in frames with ``key``, by ``ramp`` in others; far blots are empty, frames without a solid pixel stay."""
     (low, high), (key_low, key_high) = ramp, key_ramp
     green = F.col("bg_g") - F.greatest("bg_r", "bg_b") > 50
-    seen = rows.withColumns({"key": key, "far": far_from_background(), "m": keyness(green) / 255.0})
-    parts = labelled(seen, ~F.col("key") & (F.col("far") < high), name="near_part")
-    outside = F.col("near_part").isNotNull() & F.bool_or(on_border(height, width)).over(of_part("near_part"))
-    level = F.greatest(F.lit(0.2), border_middle(F.col("m"), height, width))
-    ramps = parts.withColumns({"outside": outside, "level": level})
-    keyed = F.round(1 - clipped((F.col("m") / F.col("level") - key_low) / (key_high - key_low)), 9)
-    plain = F.when(F.col("outside"), clipped((F.col("far") - low) / (high - low))).otherwise(1.0)
-    faded = ramps.withColumn("alpha", F.when(F.col("key"), keyed).otherwise(plain)).drop("near_part", "outside", "level", "m", "far")
-    solid = with_areas(labelled(faded, F.col("alpha") > 0.5, eight=True))
-    for name, (least, share, halo), own in zip(("near_plain", "near_key"), BLOTS, (~F.col("key"), F.col("key"))):
-        solid = grow(solid, name, own & F.col("part").isNotNull() & (F.col("area") >= F.greatest(F.lit(float(least)), share * F.col("most"))), halo)
-    stays = F.col("near_plain") | F.col("near_key") | F.col("most").isNull()
-    return solid.withColumn("alpha", F.when(stays, F.col("alpha")).otherwise(0.0)).drop("part", "area", "most", "near_plain", "near_key", "key")
+
+    def work(frames, key, far, m):
+        near = frames.parts(~key & (far < high))
+        outside = frames.of_part(near, frames.border(height, width)) > 0
+        level = np.maximum(0.2, frames.border_middle(m, height, width))
+        keyed = rounded(1 - np.clip((m / level - key_low) / (key_high - key_low), 0.0, 1.0), 9)
+        alpha = np.where(key, keyed, np.where(outside, np.clip((far - low) / (high - low), 0.0, 1.0), 1.0))
+        area = frames.areas(frames.parts(alpha > 0.5, True))
+        most = frames.most(area)
+        stays = most == 0
+        for (least, share, halo), own in zip(BLOTS, (~key, key)):
+            if own.any():
+                stays |= frames.grow(own & (area > 0) & (area >= np.maximum(least, share * most)), halo)
+        return {"alpha": np.where(stays, alpha, 0.0)}
+
+    return by_frame(rows, {"key": flag(key), "far": far_from_background(), "m": keyness(green) / 255.0}, work, {"alpha": "double"})
 
 
 def plain_alpha(rows: DataFrame, height: int, width: int, ramp: tuple[float, float] = RAMP) -> DataFrame:
@@ -100,10 +91,13 @@ def drawing_alpha(rows: DataFrame, height: int, width: int, near: float = 5.0, l
 
     A gap is opaque so far, within ``near`` of the background, has ``least`` pixels connected by sides, and is ``flat`` on average.
     """
-    once = plain_alpha(rows, height, width).withColumn("far", far_from_background())
-    parts = with_areas(labelled(once, (F.col("far") < near) & (F.col("alpha") > 0.5)))
-    gap = F.col("part").isNotNull() & (F.col("area") >= least) & (F.round(F.avg("far").over(of_part()), 9) < flat)
-    return parts.withColumn("alpha", F.when(gap, 0.0).otherwise(F.col("alpha"))).drop("part", "area", "most", "far")
+
+    def work(frames, far, alpha):
+        part = frames.parts((far < near) & (alpha > 0.5))
+        gap = (part >= 0) & (frames.areas(part) >= least) & (frames.mean(part, far, 9) < flat)
+        return {"alpha": np.where(gap, 0.0, alpha)}
+
+    return by_frame(plain_alpha(rows, height, width), {"far": far_from_background(), "alpha": F.col("alpha")}, work, {"alpha": "double"})
 
 
 def gauss(sigma: float, whole: bool = False) -> list[float]:
@@ -117,22 +111,19 @@ def gauss(sigma: float, whole: bool = False) -> list[float]:
 def blurred(pixels: DataFrame, named: dict[str, Column], sigma: float, height: int, width: int) -> DataFrame:
     """``pixels`` with each of ``named`` blurred: weighted sums along rows, then columns; beyond the border the frame is mirrored.
 
-    The mirror is a copy of the pixels near the border on its other side (the border itself isn't doubled); for this
-    the frame must be larger than the reach of the curve.
+    The border itself isn't doubled; for this the frame must be larger than the reach of the curve.
     """
+    weights = reaching(sigma, height, width)
+    work = lambda frames, **values: {c: frames.blurred(v, weights, height, width) for c, v in values.items()}
+    return by_frame(pixels, named, work, {c: "double" for c in named})
+
+
+def reaching(sigma: float, height: int, width: int) -> list[float]:
+    """The weights of a blur, if frames are larger than its reach."""
     weights = gauss(sigma)
-    reach = len(weights) - 1
-    if min(height, width) <= reach:
-        raise ValueError(f"frames must be larger than {reach} pixels")
-    out = pixels.repartition(*FRAME).withColumns(named)
-    for along, across, size in (("x", "y", width), ("y", "x", height)):
-        at = F.col(along)
-        mirrored = F.array_compact(F.array(at, F.when((at >= 1) & (at <= reach), -at), F.when((at >= size - 1 - reach) & (at <= size - 2), 2 * (size - 1) - at)))
-        line = W.partitionBy(*FRAME, across).orderBy("_at")
-        summed = lambda c: sum((w * (F.lag(c, k).over(line) + F.lead(c, k).over(line)) for k, w in enumerate(weights) if k), weights[0] * F.col(c))
-        wide = out.withColumn("_at", F.explode(mirrored)).withColumns({c: summed(c) for c in named})
-        out = wide.filter(F.col("_at") == at).drop("_at")
-    return out
+    if min(height, width) < len(weights):
+        raise ValueError(f"frames must be larger than {len(weights) - 1} pixels")
+    return weights
 
 
 def refined(rows: DataFrame, height: int, width: int, band: int = 2) -> DataFrame:
@@ -142,17 +133,23 @@ def refined(rows: DataFrame, height: int, width: int, band: int = 2) -> DataFram
     further in: that place is their alpha (it only falls), the inner colour their colour. Pixels with hardly any figure
     near (a weight up to 0.02), and where the inner colour is like the background's (within 20), stay as they are.
     """
-    solid = rows.withColumn("solid", F.col("alpha") > 0.5)
-    core = shrink(solid, "core", F.col("solid"), band).withColumn("core", F.col("core").cast("double"))
-    soft = blurred(core, {"weight": F.col("core"), **{f"in_{c}": F.col(c) * F.col("core") for c in "rgb"}}, band + 0.8, height, width)
-    inner = soft.withColumns({f"in_{c}": F.round(F.col(f"in_{c}") / F.greatest("weight", F.lit(1e-4)), 6) for c in "rgb"})
+    weights = reaching(band + 0.8, height, width)
+
+    def work(frames, solid, **colours):
+        core = frames.shrink(solid, band)
+        blur = lambda v: frames.blurred(v * core, weights, height, width)
+        return {"core": core, "weight": blur(np.ones(len(core))), **{f"in_{c}": blur(v) for c, v in colours.items()}}
+
+    outputs = {"core": "boolean", "weight": "double", **{f"in_{c}": "double" for c in "rgb"}}
+    soft = by_frame(rows, {"solid": flag(F.col("alpha") > 0.5), **{c: F.col(c) for c in "rgb"}}, work, outputs)
+    inner = added(soft, {f"in_{c}": F.round(F.col(f"in_{c}") / F.greatest("weight", F.lit(1e-4)), 6) for c in "rgb"})
     step = {c: F.col(f"in_{c}") - F.col(f"bg_{c}") for c in "rgb"}
     length = F.round(sum((s * s for s in step.values()), F.lit(0.0)), 6)
     along = sum(((F.col(c) - F.col(f"bg_{c}")) * s for c, s in step.items()), F.lit(0.0)) / F.greatest(length, F.lit(1.0))
-    ok = F.col("solid") & (F.col("core") == 0) & (F.round("weight", 9) > 0.02) & (length > 400)
-    new = inner.withColumns({"ok": ok, "along": clipped(along)})
-    new = new.withColumns({**{c: F.when(F.col("ok"), F.col(f"in_{c}")).otherwise(F.col(c).cast("double")) for c in "rgb"}, "alpha": F.when(F.col("ok"), F.round(F.least("alpha", "along"), 9)).otherwise(F.col("alpha"))})
-    return new.drop("solid", "core", "weight", "in_r", "in_g", "in_b", "ok", "along")
+    ok = (F.col("alpha") > 0.5) & ~F.col("core") & (F.round("weight", 9) > 0.02) & (length > 400)
+    new = added(inner, {"ok": ok, "along": clipped(along)})
+    new = added(new, {**{c: F.when(F.col("ok"), F.col(f"in_{c}")).otherwise(F.col(c).cast("double")) for c in "rgb"}, "alpha": F.when(F.col("ok"), F.round(F.least("alpha", "along"), 9)).otherwise(F.col("alpha"))})
+    return dropped(new, "core", "weight", "in_r", "in_g", "in_b", "ok", "along")
 
 
 def _byte(v: Column) -> Column:
@@ -163,7 +160,7 @@ def _byte(v: Column) -> Column:
 def packed(rows: DataFrame) -> DataFrame:
     """``rows`` with a (0..255, half to even) for alpha, and no colour where that is 0."""
     a = F.bround(F.round(F.col("alpha") * 255, 6)).cast("int")
-    return rows.withColumn("a", a).withColumns({c: F.when(F.col("a") > 0, F.col(c)).otherwise(0).cast("int") for c in "rgb"}).drop("alpha")
+    return dropped(added(added(rows, {"a": a}), {c: F.when(F.col("a") > 0, F.col(c)).otherwise(0).cast("int") for c in "rgb"}), "alpha")
 
 
 def cutouts(rows: DataFrame, height: int, width: int) -> DataFrame:
@@ -175,11 +172,11 @@ def cutouts(rows: DataFrame, height: int, width: int) -> DataFrame:
     key = is_key(F.col("bg_r"), F.col("bg_g"), F.col("bg_b"))
     green = F.col("bg_g") - F.greatest("bg_r", "bg_b") > 50
     clean = {c: _byte((F.col(c) - (1 - F.col("alpha")) * F.col(f"bg_{c}")) / F.greatest("alpha", F.lit(0.05))) for c in "rgb"}
-    base = rows.withColumns({c: F.when(key | (F.col("alpha") <= 0.05), F.col(c)).otherwise(v) for c, v in clean.items()})
-    new = refined(base, height, width).withColumns({c: _byte(F.col(c)) for c in "rgb"})
+    base = added(rows, {c: F.when(key | (F.col("alpha") <= 0.05), F.col(c)).otherwise(v) for c, v in clean.items()})
+    new = added(refined(base, height, width), {c: _byte(F.col(c)) for c in "rgb"})
     pink, lime = F.greatest(F.lit(0), F.least("r", "b") - F.col("g")), F.greatest(F.lit(0), F.col("g") - F.greatest("r", "b"))
     spill = {"r": F.when(key & ~green, pink).otherwise(0), "g": F.when(key & green, lime).otherwise(0), "b": F.when(key & ~green, pink).otherwise(0)}
-    return packed(new.withColumns({c: F.col(c) - s for c, s in spill.items()}))
+    return packed(added(new, {c: F.col(c) - s for c, s in spill.items()}))
 
 
 def distances(pixels: DataFrame, name: str, on: Column, most: int) -> DataFrame:
@@ -187,15 +184,22 @@ def distances(pixels: DataFrame, name: str, on: Column, most: int) -> DataFrame:
 
     First the nearest outside pixel of each column, up and down; then the least of the parabolas of the columns within ``most``.
     """
-    outside = F.when(~F.coalesce(on, F.lit(False)), F.col("y"))
-    column, line = W.partitionBy(*FRAME, "x").orderBy("y"), W.partitionBy(*FRAME, "y").orderBy("x")
-    above = F.last(outside, ignorenulls=True).over(column.rowsBetween(W.unboundedPreceding, 0))
-    below = F.first(outside, ignorenulls=True).over(column.rowsBetween(0, W.unboundedFollowing))
-    gap = F.least(F.col("y") - above, below - F.col("y"))
-    rows = pixels.repartition(*FRAME).withColumn("_gap", (gap * gap).cast("long"))
-    near = [F.col("_gap")] + [step("_gap", k).over(line) + k * k for k in range(1, most + 1) for step in (F.lag, F.lead)]
-    square = F.least(*near) if most else near[0]
-    return rows.withColumn(name, square).withColumn(name, F.when(F.col(name) <= most * most, F.sqrt(name))).drop("_gap")
+    never = np.int64(1) << 40
+
+    def work(frames, on):
+        outside = ~frames.grid(on, True)
+        y = np.arange(frames.shape[1])[None, :, None]
+        above = y - np.maximum.accumulate(np.where(outside, y, -never), axis=1)
+        below = np.minimum.accumulate(np.where(outside, y, never)[:, ::-1], axis=1)[:, ::-1] - y
+        gap = np.minimum(np.minimum(above, below), 1 << 20) ** 2
+        square = gap.copy()
+        for k in range(1, min(most, frames.shape[2] - 1) + 1):
+            np.minimum(square[:, :, k:], gap[:, :, :-k] + k * k, out=square[:, :, k:])
+            np.minimum(square[:, :, :-k], gap[:, :, k:] + k * k, out=square[:, :, :-k])
+        square = frames.flat(square)
+        return {name: np.where(square <= most * most, np.sqrt(square), np.nan)}
+
+    return by_frame(pixels, {"on": flag(on)}, work, {name: "double"})
 
 
 def finished(rows: DataFrame, height: int, width: int, band: int = 3) -> DataFrame:
@@ -205,17 +209,22 @@ def finished(rows: DataFrame, height: int, width: int, band: int = 3) -> DataFra
     """
     kept = distances(rows, "deep", F.col("alpha") >= 0.5, band)
     green = F.col("bg_g") - F.greatest("bg_r", "bg_b") > 50
-    kept = kept.withColumn("deep", F.col("deep").isNull() & (F.col("alpha") >= 0.99) & green).withColumns({f"own_{c}": F.col(c) for c in "rgb"})
+    kept = added(kept, {"deep": F.col("deep").isNull() & (F.col("alpha") >= 0.99) & green, **{f"own_{c}": F.col(c) for c in "rgb"}})
     out = cutouts(kept, height, width)
-    return out.withColumns({c: F.when(F.col("deep"), F.col(f"own_{c}")).otherwise(F.col(c)) for c in "rgb"}).drop("deep", "own_r", "own_g", "own_b")
+    return dropped(added(out, {c: F.when(F.col("deep"), F.col(f"own_{c}")).otherwise(F.col(c)) for c in "rgb"}), "deep", "own_r", "own_g", "own_b")
 
 
 def loaded_reference(rows: DataFrame, height: int, width: int) -> DataFrame:
     """(label, frame, y, x, r, g, b, a): drawings on a plain background, cut out and moved to their bounding box (alpha above 0.1)."""
     cut = plain_alpha(rows, height, width)
     clean = {c: F.when(F.col("alpha") > 0.05, _byte((F.col(c) - (1 - F.col("alpha")) * F.col(f"bg_{c}")) / F.greatest("alpha", F.lit(0.05)))).otherwise(F.col(c)) for c in "rgb"}
-    shown = F.col("alpha") > 0.1
-    of_frame = W.partitionBy(*FRAME)
-    ends = {f"{k}{c}": f(F.when(shown, F.col(c))).over(of_frame) for c in "yx" for k, f in (("low_", F.min), ("high_", F.max))}
-    boxed = packed(cut.withColumns(clean).withColumns(ends)).filter(F.col("y").between(F.col("low_y"), F.col("high_y")) & F.col("x").between(F.col("low_x"), F.col("high_x")))
-    return boxed.select(*FRAME, (F.col("y") - F.col("low_y")).alias("y"), (F.col("x") - F.col("low_x")).alias("x"), "r", "g", "b", "a")
+
+    def work(frames, shown):
+        ends = {}
+        for c, v in (("y", frames.y), ("x", frames.x)):
+            ends |= {f"low_{c}": frames.least(np.where(shown, v, 1 << 20)), f"high_{c}": frames.most(np.where(shown, v, -1))}
+        return ends
+
+    ends = by_frame(cut, {"shown": flag(F.col("alpha") > 0.1)}, work, {f"{k}_{c}": "long" for c in "yx" for k in ("low", "high")})
+    boxed = packed(added(ends, clean)).filter(F.col("y").between(F.col("low_y"), F.col("high_y")) & F.col("x").between(F.col("low_x"), F.col("high_x")))
+    return boxed.select(*FRAME, (F.col("y") - F.col("low_y")).cast("int").alias("y"), (F.col("x") - F.col("low_x")).cast("int").alias("x"), "r", "g", "b", "a")

@@ -1,41 +1,47 @@
 """Light effects that aren't the figure's: glows of foreign colours, bright outbursts against neighbouring frames, what is left of both.
 
 Sprites are (label, frame, y, x, r, g, b, a), complete grids; palettes (label, centres) come from ``palettes`` over a
-histogram in Lab. Masks grow by windows; silhouettes of clean frames are united by windows over frames; parts are judged
-by windows and groupings.
+histogram in Lab. Masks grow and parts are judged in kernels over whole frames (``by_frame``); silhouettes of clean frames
+are united by windows over frames, a row a line of pixels, packed as bits. Facts of a label (its palette, its first
+frame) are broadcast: 0.6 KB a label.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.functions.colour import hsv, lab
-from framewright.operators.palette import SPACE, histogram, nearest, palettes
+from framewright.operators.palette import SPACE, gap, histogram, palettes
 from framewright.operators.raster import FRAME
-from framewright.operators.regions import erased, grow, grow_disc, labelled, of_part, opened, reached, with_areas, without_detached, without_slivers
+from framewright.operators.regions import added, by_frame, dealt, dropped, erased, flag, followed, narrow, without_detached, without_slivers
 
 #: Lab distance from which a colour is foreign to the figure.
 FOREIGN = 22.0
 GROWTH = 40
+#: Pixels of a line that one number holds as bits.
+BITS = 62
 
 
 def character_palette(sprites: DataFrame, colours: int = 24) -> DataFrame:
     """(label, centres): the Lab colours of each label's first frame, of pixels with opacity above 200."""
-    first = sprites.withColumn("_first", F.min("frame").over(W.partitionBy("label"))).filter(F.col("frame") == F.col("_first"))
+    first = sprites.join(F.broadcast(sprites.groupBy("label").agg(F.min("frame").alias("frame"))), list(FRAME), "left_semi")
     return palettes(histogram(first, in_lab=True), colours)
 
 
-def with_colours(sprites: DataFrame, figure: DataFrame) -> DataFrame:
+def with_colours(sprites: DataFrame, figure: DataFrame, slots: int = 24) -> DataFrame:
     """``sprites`` with hue, sat, val and strange, the Lab distance to the nearest colour of the label's figure (null without colours).
 
-    Distances are taken once a label and distinct colour, then joined.
+    The first ``slots`` colours are compared by plain arithmetic, those beyond them by a function over the array.
     """
     h, s, v = hsv("r", "g", "b")
-    colours = sprites.select("label", "r", "g", "b").distinct().withColumns(dict(zip(SPACE, lab("r", "g", "b"))))
-    known = nearest(colours, figure).select("label", "r", "g", "b", F.sqrt("near.d").alias("strange"))
-    return sprites.join(known, ["label", "r", "g", "b"]).withColumns({"hue": h, "sat": s, "val": v})
+    known = narrow(sprites, lambda r: r.join(F.broadcast(figure.select("label", "centres")), "label", "left").select(*r.columns, "centres"))
+    known = added(known, dict(zip(SPACE, lab("r", "g", "b"))))
+    beyond = F.array_min(F.transform(F.slice("centres", slots + 1, F.greatest(F.size("centres") - slots, F.lit(0))), gap))
+    least = F.least(*[gap(F.get("centres", F.lit(k))) for k in range(slots)], F.when(F.size("centres") > slots, beyond))
+    return dropped(added(known, {"strange": F.sqrt(least), "hue": h, "sat": s, "val": v}), "centres", *SPACE)
 
 
 def effect_mask(rows: DataFrame, least: int = 120, white: int = 400) -> DataFrame:
@@ -49,14 +55,16 @@ def effect_mask(rows: DataFrame, least: int = 120, white: int = 400) -> DataFram
     blue = hue.between(80, 150)
     glow = shown & (F.col("strange") > FOREIGN) & blue & (sat > 45) & (val > 70)
     core, rim = shown & (sat < 50) & (val > 228), shown & blue & (sat > 18) & (val > 140)
-    seeded = grow(opened(rows, "seed", glow), "near", F.col("seed"), 21)
-    pure = labelled(seeded, shown & (sat < 25) & (val > 242), eight=True)
-    large = F.col("part").isNotNull() & (F.count(F.lit(1)).over(of_part()) >= white)
-    begun = pure.withColumn("begun", F.col("seed") | (F.col("near") & (core | rim)) | large).drop("part", "seed", "near")
-    followed = reached(begun, "followed", F.col("begun"), core | rim, GROWTH)
-    parts = labelled(followed, F.col("followed"), eight=True)
-    kept = parts.withColumn("effect", F.col("part").isNotNull() & (F.count(F.lit(1)).over(of_part()) >= least))
-    return grow(kept, "effect", F.col("effect"), 1).drop("begun", "followed", "part")
+    pure = shown & (sat < 25) & (val > 242)
+
+    def work(frames, glow, core, rim, pure):
+        seed = frames.opened(glow)
+        large = pure & (frames.areas(frames.parts(pure, True)) >= white)
+        begun = seed | (frames.grow(seed, 21) & (core | rim)) | large
+        mask = followed(frames, begun, core | rim, GROWTH)
+        return {"effect": frames.grow(mask & (frames.areas(frames.parts(mask, True)) >= least), 1)}
+
+    return by_frame(rows, {"glow": flag(glow), "core": flag(core), "rim": flag(rim), "pure": flag(pure)}, work, {"effect": "boolean"})
 
 
 def clean_silhouette(rows: DataFrame, window: int = 6, spike: float = 1.08) -> DataFrame:
@@ -66,25 +74,28 @@ def clean_silhouette(rows: DataFrame, window: int = 6, spike: float = 1.08) -> D
     clean. outline is the union of the clean frames within ``window``; where there are none, of the nearest clean ones before and
     after it within four windows; null where there is no such frame, or the frame doesn't burst.
     """
-    solid = F.col("alpha") > 0.5
-    of_label = W.partitionBy("label").orderBy("frame")
-    areas = rows.groupBy(*FRAME).agg(F.count_if(solid).alias("solid_area")).withColumn("mid", F.median("solid_area").over(W.partitionBy("label")))
-    clean = F.when(F.col("solid_area") <= F.col("mid") * spike, F.col("frame"))
-    areas = areas.withColumn("clean", clean).withColumns({
-        "around": F.count("clean").over(of_label.rangeBetween(-window, window)), "before": F.last("clean", ignorenulls=True).over(of_label.rowsBetween(W.unboundedPreceding, -1)),
-        "after": F.first("clean", ignorenulls=True).over(of_label.rowsBetween(1, W.unboundedFollowing)),
-    })
-    place = W.partitionBy("label", "y", "x").orderBy("frame")
-    both = rows.join(areas, list(FRAME)).withColumn("own", F.when(F.col("clean").isNotNull(), solid))
-    seen = both.withColumns({
-        "inside": F.max("own").over(place.rangeBetween(-window, window)), "left": F.last("own", ignorenulls=True).over(place.rowsBetween(W.unboundedPreceding, -1)),
-        "right": F.first("own", ignorenulls=True).over(place.rowsBetween(1, W.unboundedFollowing)),
+    reach, parts = 4 * window, getattr(rows, "_framed", None) or -1
+    chunk, bit = F.floor(F.col("x") / BITS).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("x") % BITS).cast("int"))
+    lines = rows.groupBy(*FRAME, "y", chunk.alias("chunk")).agg(F.bit_or(F.when(F.col("alpha") > 0.5, bit).otherwise(F.lit(0).cast("long"))).alias("bits"))
+    areas = lines.groupBy(*FRAME).agg(F.sum(F.bit_count("bits")).alias("solid_area")).withColumn("mid", F.median("solid_area").over(W.partitionBy("label")))
+    areas = areas.select(*FRAME, "mid", (F.col("solid_area") > F.col("mid") * spike).alias("burst"))
+    line = W.partitionBy("label", "y", "chunk").orderBy("frame")
+    own = lines.join(areas.hint("merge"), list(FRAME)).withColumn("own", F.when(~F.col("burst"), F.col("bits")))
+    seen = own.withColumns({
+        "inside": F.bit_or("own").over(line.rangeBetween(-window, window)), "left": F.last("own", ignorenulls=True).over(line.rangeBetween(-reach, -1)),
+        "right": F.first("own", ignorenulls=True).over(line.rangeBetween(1, reach)),
     })
-    near = lambda c: F.abs(F.col(c) - F.col("frame")) <= 4 * window
-    far = F.greatest(F.when(near("before"), F.col("left")), F.when(near("after"), F.col("right")))
-    burst = F.col("clean").isNull()
-    outline = F.when(burst, F.when(F.col("around") > 0, F.col("inside")).otherwise(far))
-    return seen.withColumns({"outline": outline, "burst": burst}).drop("solid_area", "clean", "around", "before", "after", "own", "inside", "left", "right")
+    far = F.coalesce(F.col("left").bitwiseOR(F.col("right")), "left", "right")
+    facts = seen.withColumn("outline", F.when(F.col("burst"), F.coalesce("inside", far))).groupBy(*FRAME).agg(
+        F.first("mid").alias("mid"), F.first("burst").alias("burst"), F.max("chunk").alias("last_chunk"), F.min("y").alias("top"),
+        F.array_sort(F.collect_list(F.when(F.col("outline").isNotNull(), F.struct("y", "chunk", "outline")))).alias("outlines"),
+    )
+    # pixels are joined by frame, with its outlines as a list of lines: in a complete grid the place in it follows from y and x
+    own_rows = rows.repartition(parts, *FRAME) if parts > 0 else rows.repartition(*FRAME)
+    both = own_rows.join(facts.hint("merge"), list(FRAME))
+    held = F.get("outlines", ((F.col("y") - F.col("top")) * (F.col("last_chunk") + 1) + chunk).cast("int"))["outline"]
+    outline = F.when(held.isNotNull(), held.bitwiseAND(bit) != 0)
+    return dealt(both.select(*rows.columns, "mid", "burst", outline.alias("outline")), parts if parts > 0 else None)
 
 
 def temporal_mask(rows: DataFrame, height: int, share: float = 0.08) -> DataFrame:
@@ -95,15 +106,19 @@ def temporal_mask(rows: DataFrame, height: int, share: float = 0.08) -> DataFram
     outline go, and those larger than a quarter of the median area; a pixel around them too.
     """
     away = F.sqrt(sum(((F.col(c) - F.col(f"bg_{c}")) * (F.col(c) - F.col(f"bg_{c}")) for c in "rgb"), F.lit(0.0)))
-    wide = grow_disc(rows, "wide", F.col("outline"), max(3, int(share * height))).withColumns({"away": F.round(away, 6), "known": F.col("outline").isNotNull() & (F.col("a") > 0)})
-    enclosed = opened(wide, "enclosed", F.col("known") & F.col("wide") & (F.col("away") < 25), 2)
-    odd = ((F.col("sat") < 60) & (F.col("val") > 170)) | (F.col("strange") > FOREIGN) | (F.col("away") < 40)
-    candidate = (F.col("known") & ~F.col("wide") & odd) | F.col("enclosed")
-    touch = grow(enclosed.withColumn("candidate", F.coalesce(candidate, F.lit(False))), "touch", F.col("wide"), 2)
-    parts = with_areas(labelled(touch, F.col("candidate"), eight=True))
-    goes = F.col("part").isNotNull() & (~F.bool_or("touch").over(of_part()) | (F.col("area") > 0.25 * F.col("mid")))
-    out = grow(parts.withColumn("outburst", goes), "outburst", F.col("outburst"), 1)
-    return out.drop("wide", "away", "known", "enclosed", "candidate", "touch", "part", "area", "most")
+    odd = ((F.col("sat") < 60) & (F.col("val") > 170)) | (F.col("strange") > FOREIGN) | (F.round(away, 6) < 40)
+    radius = max(3, int(share * height))
+
+    def work(frames, outline, known, plain, odd, mid):
+        wide = frames.grow_disc(outline, radius)
+        candidate = (known & ~wide & odd) | frames.opened(known & wide & plain, 2)
+        part = frames.parts(candidate, True)
+        touched = frames.of_part(part, frames.grow(wide, 2)) > 0
+        return {"outburst": frames.grow(candidate & (~touched | (frames.areas(part) > 0.25 * mid)), 1)}
+
+    known = F.col("outline").isNotNull() & (F.col("a") > 0)
+    inputs = {"outline": flag("outline"), "known": flag(known), "plain": flag(F.round(away, 6) < 25), "odd": flag(odd), "mid": F.col("mid").cast("double")}
+    return by_frame(rows, inputs, work, {"outburst": "boolean"})
 
 
 def without_effects(rows: DataFrame, height: int, figure: DataFrame | None = None) -> DataFrame:
@@ -115,10 +130,10 @@ def without_effects(rows: DataFrame, height: int, figure: DataFrame | None = Non
     kept = rows.columns
     colours = with_colours(clean_silhouette(rows), character_palette(rows) if figure is None else figure)
     masked = temporal_mask(effect_mask(colours), height)
-    hit = masked.withColumns({"before": F.col("a") > 0, "hit": F.bool_or(F.col("effect") | F.col("outburst")).over(W.partitionBy(*FRAME))})
-    clean = erased(hit, F.col("effect") | F.col("outburst"))
-    whole = without_detached(without_slivers(clean, judged=F.col("hit")), height)
-    return whole.withColumn("taken", F.col("before") & (F.col("a") == 0)).select(*kept, "taken")
+    gone = F.col("effect") | F.col("outburst")
+    hit = by_frame(added(masked, {"before": F.col("a") > 0}), {"gone": flag(gone)}, lambda frames, gone: {"hit": frames.most(gone)}, {"hit": "boolean"})
+    whole = without_detached(without_slivers(erased(hit, gone), judged=F.col("hit")), height)
+    return narrow(whole, lambda r: r.withColumn("taken", F.col("before") & (F.col("a") == 0)).select(*kept, "taken"))
 
 
 def removed_counts(cleaned: DataFrame) -> DataFrame:

@@ -5,70 +5,70 @@ Rows are (label, frame, y, x, r, g, b, bg_r, bg_g, bg_b, alpha, model), complete
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.colour import lab
-from framewright.operators.cutout import blurred, clipped, far_from_background, frame_alpha, with_background
+from framewright.operators.cutout import blurred, clipped, far_from_background, frame_alpha, reaching, with_background
 from framewright.operators.raster import FRAME, is_key, luma
-from framewright.operators.regions import grow, labelled, of_part, opened
+from framewright.operators.regions import Frames, added, by_frame, dropped, flag, rounded
 
 BLOB = 24
 
 
-def blobs(rows: DataFrame, on: Column, least: int = BLOB) -> DataFrame:
-    """``rows`` with part and area of the mask's thick regions: opened by a square of three, corners connect, ``least`` pixels at least."""
-    parts = labelled(opened(rows, "_core", on), F.col("_core"), eight=True).drop("_core")
-    parts = parts.withColumn("area", F.count(F.lit(1)).over(of_part()))
-    big = F.col("part").isNotNull() & (F.col("area") >= least)
-    return parts.withColumns({"area": F.when(big, F.col("area")), "part": F.when(big, F.col("part"))})
-
-
-def _mean(v: Column | str) -> Column:
-    return F.round(F.avg(v).over(of_part()), 6)
+def blobs(frames: Frames, on: np.ndarray, least: int = BLOB) -> np.ndarray:
+    """The part of each pixel in the mask's thick regions, else -1: opened by a square of three, corners connect, ``least`` pixels at least."""
+    part = frames.parts(frames.opened(on), True)
+    return np.where(frames.areas(part) >= least, part, -1)
 
 
 def _bg_luma() -> Column:
     return 0.299 * F.col("bg_r") + 0.587 * F.col("bg_g") + 0.114 * F.col("bg_b")
 
 
-def _like_shadow() -> Column:
-    """Whether a region is grey on average, and not brighter than the background."""
-    means = [_mean(c) for c in "rgb"]
-    most, least = F.greatest(*means), F.least(*means)
-    tone = 0.299 * means[0] + 0.587 * means[1] + 0.114 * means[2]
-    return ((most - least) / F.greatest(most, F.lit(1.0)) < 0.25) & (F.round(tone, 6) <= F.round(_bg_luma() + 12, 6))
+def _like_shadow(frames: Frames, part: np.ndarray, r: np.ndarray, g: np.ndarray, b: np.ndarray, tone: np.ndarray) -> np.ndarray:
+    """Whether a region is grey on average, and not brighter than the background, whose luma is ``tone``."""
+    means = [frames.mean(part, c) for c in (r, g, b)]
+    most, least = np.maximum.reduce(means), np.minimum.reduce(means)
+    own = 0.299 * means[0] + 0.587 * means[1] + 0.114 * means[2]
+    return ((most - least) / np.maximum(most, 1.0) < 0.25) & (rounded(own, 6) <= rounded(tone + 12, 6))
 
 
-def combined(rows: DataFrame, remove: str = "all", confident: float = 0.8, least: int = BLOB) -> DataFrame:
+def combined(rows: DataFrame, remove: str = "all", confident: float = 0.8, least: int = BLOB, spared: Column | None = None) -> DataFrame:
     """``rows`` with the joined alpha, and filled and removed: how often a pixel was part of a region that was filled or taken out.
 
     Regions the key lost but the model sees (above 0.6 against under 0.4) are filled by the model's alpha, with two pixels
     around them, if they aren't of the background's colour (20 on average), the model is ``confident`` on average, and the
     figure is within three pixels of them. What the model is very sure of never stays half transparent. Regions the key
     kept but the model doesn't see (above 0.6 against under 0.15) go: all of them, those like a shadow, or none
-    (``remove``); with all, so does every part that has no pixel within three of the model's figure.
+    (``remove``); with all, so does every part that has no pixel within three of the model's figure. From ``spared`` frames
+    nothing goes.
     """
     if remove not in ("all", "shadow", "none"):
         raise ValueError("remove is all, shadow or none")
-    far = rows.withColumns({"far": far_from_background(), "out": F.col("alpha")})
-    lost = grow(blobs(far, (F.col("model") > 0.6) & (F.col("alpha") < 0.4), least), "near_figure", F.col("alpha") > 0.5, 3)
-    fill = F.col("part").isNotNull() & (_mean("far") >= 20) & (_mean("model") >= confident) & F.bool_or("near_figure").over(of_part())
-    filled = grow(lost.withColumn("filled", fill), "wide", F.col("filled"), 2)
-    filled = filled.withColumn("out", F.when(F.col("wide"), F.greatest("out", "model")).otherwise(F.col("out")))
-    sure = (F.col("model") > max(confident, 0.9)) & (F.col("far") >= 20) & (F.col("out") < F.col("model"))
-    out = filled.withColumns({"out": F.when(sure, F.col("model")).otherwise(F.col("out")), "filled": F.col("filled").cast("int"), "removed": F.lit(0)}).drop("part", "area", "near_figure", "wide")
-    if remove != "none":
-        extra = blobs(out, (F.col("alpha") > 0.6) & (F.col("model") < 0.15), least)
-        goes = F.col("part").isNotNull() & (F.lit(True) if remove == "all" else _like_shadow())
-        taken = grow(extra.withColumn("goes", goes), "wide", F.col("goes"), 2)
-        out = taken.withColumns({"out": F.when(F.col("wide"), F.least("out", "model")).otherwise(F.col("out")), "removed": F.col("goes").cast("int")}).drop("part", "area", "goes", "wide")
-    if remove == "all":
-        parts = labelled(grow(out, "body", F.col("model") > 0.5, 3), F.col("out") > 0.3, eight=True)
-        loose = F.col("part").isNotNull() & ~F.bool_or("body").over(of_part())
-        parts = parts.withColumn("loose", loose)
-        out = parts.withColumns({"out": F.when(F.col("loose"), 0.0).otherwise(F.col("out")), "removed": F.col("removed") + F.col("loose").cast("int")}).drop("part", "body", "loose")
-    return out.withColumn("alpha", F.col("out")).drop("out", "far")
+
+    def work(frames, far, alpha, model, spared, tone, r, g, b):
+        lost = blobs(frames, (model > 0.6) & (alpha < 0.4), least)
+        near = frames.of_part(lost, frames.grow(alpha > 0.5, 3)) > 0
+        fill = (lost >= 0) & (frames.mean(lost, far) >= 20) & (frames.mean(lost, model) >= confident) & near
+        out = np.where(frames.grow(fill, 2), np.fmax(alpha, model), alpha)
+        out = np.where((model > max(confident, 0.9)) & (far >= 20) & (out < model), model, out)
+        removed = np.zeros(len(out), np.int32)
+        if remove != "none":
+            extra = blobs(frames, (alpha > 0.6) & (model < 0.15), least)
+            goes = (extra >= 0) & ~spared & (_like_shadow(frames, extra, r, g, b, tone) if remove == "shadow" else True)
+            out = np.where(frames.grow(goes, 2), np.fmin(out, model), out)
+            removed += goes
+        if remove == "all":
+            part = frames.parts(out > 0.3, True)
+            loose = (part >= 0) & ~spared & (frames.of_part(part, frames.grow(model > 0.5, 3)) == 0)
+            out = np.where(loose, 0.0, out)
+            removed += loose
+        return {"alpha": out, "filled": fill.astype(np.int32), "removed": removed}
+
+    inputs = {"far": far_from_background(), "alpha": F.col("alpha"), "model": F.col("model"), "spared": F.lit(False) if spared is None else flag(spared), "tone": _bg_luma()}
+    return by_frame(rows, inputs | {c: F.col(c) for c in "rgb"}, work, {"alpha": "double", "filled": "int", "removed": "int"})
 
 
 def light_alpha(rows: DataFrame, height: int, width: int) -> DataFrame:
@@ -83,7 +83,7 @@ def light_alpha(rows: DataFrame, height: int, width: int) -> DataFrame:
     same = F.round(sum((F.col(c) * F.col(f"bg_{c}") for c in "rgb"), F.lit(0.0)) / (norm("") * norm("bg_") + 1e-6), 9) > 0.97
     apart = clipped((far_from_background() - 45) / 55) * clipped(1 - (darker - 10) / 40)
     light = F.greatest(up, F.when(same & (darker > 6), 0.0).otherwise(apart))
-    return blurred(rows, {"light": light}, 0.8, height, width).withColumn("light", F.round("light", 6))
+    return added(blurred(rows, {"light": light}, 0.8, height, width), {"light": F.round("light", 6)})
 
 
 def matted(rows: DataFrame, height: int, width: int, vivid: bool = False) -> DataFrame:
@@ -95,24 +95,25 @@ def matted(rows: DataFrame, height: int, width: int, vivid: bool = False) -> Dat
     if not vivid:
         return combined(rows, "all")
     key = is_key(F.col("bg_r"), F.col("bg_g"), F.col("bg_b"))
-    keyed = combined(rows.filter(key), "none", 0.95)
-    plain = light_alpha(combined(rows.filter(~key), "all", 0.95), height, width)
-    return keyed.unionByName(plain.withColumn("alpha", F.greatest("alpha", "light")).drop("light"))
+    both = light_alpha(combined(rows, "all", 0.95, spared=key), height, width)
+    return dropped(added(both, {"alpha": F.when(key, F.col("alpha")).otherwise(F.greatest("alpha", "light"))}), "light")
 
 
 def spliced(rows: DataFrame, height: int, width: int, limit: float = 14.0) -> DataFrame:
     """``rows`` (r, g, b; edited as er, eg, eb) with r, g, b of the edit where it changed much (Lab), softly blended, else of the original."""
     gap = F.sqrt(sum(((a - b) * (a - b) for a, b in zip(lab("r", "g", "b"), lab("er", "eg", "eb"))), F.lit(0.0)))
-    wide = grow(opened(rows, "changed", F.round(gap, 6) > limit), "changed", F.col("changed"), 2)
-    soft = blurred(wide, {"soft": F.col("changed").cast("double")}, 1.5, height, width)
+    weights = reaching(1.5, height, width)
+    work = lambda frames, changed: {"soft": frames.blurred(frames.grow(frames.opened(changed), 2), weights, height, width)}
+    soft = by_frame(rows, {"changed": flag(F.round(gap, 6) > limit)}, work, {"soft": "double"})
     mixed = lambda c: F.floor(F.round(F.col(c) * (1 - F.col("soft")) + F.col(f"e{c}") * F.col("soft"), 5)).cast("int")
-    return soft.withColumns({c: mixed(c) for c in "rgb"}).drop("changed", "soft")
+    return dropped(added(soft, {c: mixed(c) for c in "rgb"}), "soft")
 
 
 def merged_edit(rows: DataFrame, side: int) -> DataFrame:
     """``rows`` with the splice, and the original's background colour where the edit shows background (alpha under a half)."""
-    own = with_background(rows, side, side).select(*FRAME, "y", "x", *[F.bround(f"bg_{c}").cast("int").alias(f"own_{c}") for c in "rgb"])
-    edit = with_background(rows.select(*FRAME, "y", "x", *[F.col(f"e{c}").alias(c) for c in "rgb"]), side, side)
-    shown = frame_alpha(edit, side, side).select(*FRAME, "y", "x", (F.col("alpha") < 0.5).alias("empty"))
-    both = spliced(rows, side, side).join(own, [*FRAME, "y", "x"]).join(shown, [*FRAME, "y", "x"])
-    return both.withColumns({c: F.when(F.col("empty"), F.col(f"own_{c}")).otherwise(F.col(c)) for c in "rgb"}).drop("empty", "own_r", "own_g", "own_b")
+    own = with_background(rows, side, side)
+    own = dropped(added(own, {f"own_{c}": F.bround(f"bg_{c}").cast("int") for c in "rgb"} | {f"was_{c}": F.col(c) for c in "rgb"} | {c: F.col(f"e{c}") for c in "rgb"}), "bg_r", "bg_g", "bg_b")
+    shown = frame_alpha(with_background(own, side, side), side, side)
+    back = dropped(added(shown, {c: F.col(f"was_{c}") for c in "rgb"} | {"empty": F.col("alpha") < 0.5}), "alpha", "bg_r", "bg_g", "bg_b", "was_r", "was_g", "was_b")
+    both = spliced(back, side, side)
+    return dropped(added(both, {c: F.when(F.col("empty"), F.col(f"own_{c}")).otherwise(F.col(c)) for c in "rgb"}), "empty", "own_r", "own_g", "own_b")

@@ -46,14 +46,18 @@ def _centres(boxed: DataFrame) -> DataFrame:
     return each.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("box", *SPACE))).alias("c")).select("label", F.transform("c", lambda x: F.struct(*[x[n].alias(n) for n in SPACE])).alias("centres"))
 
 
+def gap(c: Column) -> Column:
+    """The squared distance of the colour u, v, w from a centre."""
+    return sum(((c[n] - F.col(n)) * (c[n] - F.col(n)) for n in SPACE), F.lit(0.0))
+
+
 def nearest(colours: DataFrame, centres: DataFrame) -> DataFrame:
     """``colours`` (label, u, v, w, ..) with near struct<d, k>: the squared distance to the nearest centre of the label, and its number.
 
     Of equally near centres the first counts; without centres it is null.
     """
-    gap = lambda c: sum(((c[n] - F.col(n)) * (c[n] - F.col(n)) for n in SPACE), F.lit(0.0))
     least = F.array_min(F.transform("centres", lambda c, k: F.struct(gap(c).alias("d"), k.alias("k"))))
-    return colours.join(centres, "label", "left").withColumn("near", least).drop("centres")
+    return colours.join(F.broadcast(centres), "label", "left").withColumn("near", least).drop("centres")
 
 
 def palettes(colours: DataFrame, k: int = 24, rounds: int = 2) -> DataFrame:

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framewright.operators.cutout import blurred
+from framewright.operators.cutout import reaching
 from framewright.operators.raster import FRAME
-from framewright.operators.regions import grow
+from framewright.operators.regions import added, by_frame, flag, narrow
 
 #: How far the Lanczos kernel reaches, in target places; weights are integers of so many binary digits.
 REACH, DIGITS = 3, 22
@@ -48,7 +48,9 @@ def area_taps(size: int, to: int) -> list[tuple[int, int, float]]:
 def _resized(rows: DataFrame, names: str | list[str], size: tuple[int, int], to: tuple[int, int], exact: bool) -> DataFrame:
     """(label, frame, y, x, *names): lines first, then columns; ``exact`` by Lanczos to bytes after each pass, else by area means."""
     session = rows.sparkSession
-    rows = rows.select(*FRAME, "y", "x", *names).repartition(*FRAME)
+    parts = getattr(rows, "_framed", None) or -1  # as many as the pixels were dealt over, so that Spark drops this where it can
+    rows = rows.select(*FRAME, "y", "x", *names)
+    rows = rows.repartition(parts, *FRAME) if parts > 0 else rows.repartition(*FRAME)
     for axis, other, k in (("x", "y", 1), ("y", "x", 0)):
         taps, kind = (lanczos_taps, "long") if exact else (area_taps, "double")
         table = F.broadcast(session.createDataFrame(taps(size[k], to[k]), f"target int, {axis} int, weight {kind}"))
@@ -69,7 +71,7 @@ def shrunk_sprites(rows: DataFrame, height: int, width: int, scale: float, faint
 
     Colours are weighted by opacity before they are resized, and divided by it after. An empty table gives an empty one.
     """
-    solid = rows.withColumns({c: F.floor((2 * F.col(c) * F.col("a") + 255) / 510).cast("int") for c in "rgb"})
+    solid = added(rows, {c: F.floor((2 * F.col(c) * F.col("a") + 255) / 510).cast("int") for c in "rgb"})
     small = _resized(solid, list("rgba"), (height, width), scaled((height, width), scale), True)
     shown = F.col("a") > faint
     back = {c: F.when(shown, F.least(F.lit(255), F.floor(255 * F.col(c) / F.col("a")).cast("int"))).otherwise(0) for c in "rgb"}
@@ -79,14 +81,16 @@ def shrunk_sprites(rows: DataFrame, height: int, width: int, scale: float, faint
 def small_frames(rows: DataFrame, height: int, width: int, to_width: int = 32) -> DataFrame:
     """(label, frame, y, x, r, g, b): frames for comparisons, colours (0 to 1) weighted by opacity, ``to_width`` wide at most."""
     to_width = min(width, to_width)
-    seen = rows.withColumns({c: F.col(c) * F.col("a") / 65025.0 for c in "rgb"})
+    seen = added(rows, {c: F.col(c) * F.col("a") / 65025.0 for c in "rgb"})
     return _resized(seen, list("rgb"), (height, width), (max(1, round(height * to_width / width)), to_width), False)
 
 
 def cell_cutouts(rows: DataFrame, height: int, width: int, scale: float) -> DataFrame:
     """(label, frame, y, x, r, g, b, a) of a sheet's cells (r, g, b, mask) at ``scale``: the mask two pixels wider, its edge soft."""
-    soft = blurred(grow(rows, "wide", F.col("mask"), 2), {"soft": F.col("wide").cast("double")}, 1.0, height, width)
-    opaque = soft.withColumn("a", F.floor(F.round(255 * F.col("soft"), 6) + 0.5).cast("int"))
+    weights = reaching(1.0, height, width)
+    cells = narrow(rows, lambda r: r.select(*FRAME, "y", "x", "r", "g", "b", "mask"))
+    soft = by_frame(cells, {"mask": flag("mask")}, lambda frames, mask: {"soft": frames.blurred(frames.grow(mask, 2), weights, height, width)}, {"soft": "double"})
+    opaque = added(soft, {"a": F.floor(F.round(255 * F.col("soft"), 6) + 0.5).cast("int")})
     return _resized(opaque, list("rgba"), (height, width), scaled((height, width), scale), True)
 
 

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 from framewright.operators import cutout, effects, matting, palette, regions, resample
 from framewright.operators.pixel_art import voted
-from framewright.operators.quality import borders
 from framewright.operators.raster import FRAME, luma
 from framewright.plans.pixel_art import PALETTE
-from framewright.sources.tables import BACKGROUNDS, PICTURE, pictures, table
+from framewright.sources.tables import BACKGROUNDS, PICTURE, clips, pictures, table
 from framewright.streaming.drift import drift_windows
 
 N = PICTURE
@@ -322,23 +321,24 @@ REMOVED = f"""r1 AS (SELECT label, frame, y, x, r, g, b, a AS a0, CASE WHEN effe
 
 def _edit(rows):
     """``rows`` with an edit: brighter where the model is sure, hardly changed elsewhere."""
-    return rows.withColumns({f"e{c}": F.least(F.lit(255), F.col(c) + F.when(F.col("model") > 0.7, 60).otherwise(2)).cast("int") for c in "rgb"})
+    return regions.added(rows, {f"e{c}": F.least(F.lit(255), F.col(c) + F.when(F.col("model") > 0.7, 60).otherwise(2)).cast("int") for c in "rgb"})
 
 
 _EDIT = ", ".join(f"CAST(least(255, {c} + CASE WHEN model > 0.7::DOUBLE THEN 60 ELSE 2 END) AS INT) AS e{c}" for c in "rgb")
 
 
-def _back(spark, folder):
-    return cutout.with_background(pictures(spark, folder), N, N)
+def _back(spark, folder, *more):
+    """Pictures with their backgrounds; only the columns that are asked for besides r, g, b are drawn."""
+    rows = pictures(spark, folder)
+    return cutout.with_background(regions.narrow(rows, lambda p: p.select(*FRAME, "y", "x", "r", "g", "b", *more)), N, N)
 
 
-def _keyed(spark, folder):
-    return cutout.frame_alpha(_back(spark, folder), N, N)
+def _keyed(spark, folder, *more):
+    return cutout.frame_alpha(_back(spark, folder, *more), N, N)
 
 
 def _cells(spark, folder):
-    rows = pictures(spark, folder)
-    return regions.sheet_cells(rows, borders(rows.select(*FRAME, "y", "x", "r", "g", "b"), N), N)
+    return regions.sheet_cells(_back(spark, folder), None, N)
 
 
 def _kept(rows, whole):
@@ -347,7 +347,7 @@ def _kept(rows, whole):
 
 
 def _sprites(spark, folder):
-    return pictures(spark, folder).withColumn("own", F.col("a"))
+    return regions.narrow(pictures(spark, folder), lambda p: p.select(*FRAME, "y", "x", "r", "g", "b", "a", F.col("a").alias("own")))
 
 
 def _counts(rows):
@@ -383,13 +383,13 @@ def _centres(rows):
 
 
 def _light(spark, folder):
-    return _back(spark, folder).withColumn("alpha", F.col("a") / 255.0)
+    return regions.added(_back(spark, folder, "a"), {"alpha": F.col("a") / 255.0})
 
 
 def _coloured(spark, folder, silhouettes=False):
-    rows = _light(spark, folder)
-    seen = effects.clean_silhouette(rows) if silhouettes else rows
-    return effects.effect_mask(effects.with_colours(seen, effects.character_palette(rows)))
+    rows = regions.narrow(pictures(spark, folder), lambda p: p.select(*FRAME, "y", "x", "r", "g", "b", "a", (F.col("a") / 255.0).alias("alpha")))
+    seen = cutout.with_background(effects.clean_silhouette(rows) if silhouettes else rows, N, N)
+    return effects.effect_mask(effects.with_colours(seen, effects.character_palette(pictures(spark, folder))))
 
 
 WITH = f"WITH RECURSIVE {PIC}"
@@ -402,7 +402,7 @@ QUERIES = {
     "img_detached": lambda s, d: _kept(regions.without_detached(_sprites(s, d), N), "own"),
     "img_holes": lambda s, d: regions.torn_holes(pictures(s, d), N),
     "img_sheet_cells": _cells,
-    "img_missing_cells": lambda s, d: regions.missing_cells(_cells(s, d), pictures(s, d), ["N", "E", "S", "W"]),
+    "img_missing_cells": lambda s, d: regions.missing_cells(_cells(s, d), clips(s, d), ["N", "E", "S", "W"]),
     "img_specks": lambda s, d: regions.without_specks(_votes(s, d), {0}),
     "img_plain_alpha": lambda s, d: alpha_digest(cutout.plain_alpha(_back(s, d), N, N)),
     "img_chroma_alpha": lambda s, d: alpha_digest(cutout.chroma_alpha(_back(s, d), N, N)),
@@ -413,18 +413,18 @@ QUERIES = {
     "img_reference": lambda s, d: sprite_digest(cutout.loaded_reference(_back(s, d), N, N)),
     "img_distances": lambda s, d: cutout.distances(_keyed(s, d), "deep", F.col("alpha") >= 0.5, N).groupBy(*FRAME).agg(F.round(F.sum("deep"), 6).alias("total"), F.round(F.max("deep"), 6).alias("deepest")),
     "img_finish": lambda s, d: sprite_digest(cutout.finished(_keyed(s, d), N, N)),
-    "img_combine": lambda s, d: _counts(matting.combined(_keyed(s, d))),
-    "img_combine_shadow": lambda s, d: _counts(matting.combined(_keyed(s, d), "shadow")),
+    "img_combine": lambda s, d: _counts(matting.combined(_keyed(s, d, "model"))),
+    "img_combine_shadow": lambda s, d: _counts(matting.combined(_keyed(s, d, "model"), "shadow")),
     "img_light": lambda s, d: alpha_digest(matting.light_alpha(_back(s, d), N, N).withColumn("alpha", F.col("light"))),
-    "img_matte_vivid": lambda s, d: _counts(matting.matted(_keyed(s, d), N, N, vivid=True)),
+    "img_matte_vivid": lambda s, d: _counts(matting.matted(_keyed(s, d, "model"), N, N, vivid=True)),
     "img_splice": lambda s, d: sprite_digest(matting.spliced(_edit(pictures(s, d)), N, N)),
     "img_palette": lambda s, d: _centres(palette.palettes(palette.histogram(pictures(s, d)))),
     "img_character_palette": lambda s, d: _centres(effects.character_palette(pictures(s, d))),
     "img_effects": lambda s, d: flag_digest(_coloured(s, d), F.col("effect")),
     "img_bursts": lambda s, d: flag_digest(effects.temporal_mask(_coloured(s, d, silhouettes=True), N), F.col("outburst")),
-    "img_remove_effects": lambda s, d: effects.removed_counts(effects.without_effects(_light(s, d), N)),
+    "img_remove_effects": lambda s, d: effects.removed_counts(effects.without_effects(_light(s, d), N, effects.character_palette(pictures(s, d)))),
     "img_shrink": lambda s, d: sprite_digest(resample.shrunk_sprites(pictures(s, d), N, N, 0.4)),
-    "img_cell_cutouts": lambda s, d: sprite_digest(resample.cell_cutouts(pictures(s, d).withColumn("mask", F.col("a") > 128), N, N, 0.75)),
+    "img_cell_cutouts": lambda s, d: sprite_digest(resample.cell_cutouts(regions.added(pictures(s, d), {"mask": F.col("a") > 128}), N, N, 0.75)),
     "img_small_frames": lambda s, d: _small_digest(resample.small_frames(pictures(s, d), N, N, 20)),
     "img_frame_steps": lambda s, d: resample.frame_steps(pictures(s, d), N, N).withColumn("step", F.round("step", 6)),
     "stream_drift_windows": lambda s, d: drift_windows(table(s, d, "events")),
