@@ -17,6 +17,8 @@ SIDE = 8
 PICTURE = 32
 #: Vectors whose pictures one task draws: a quarter of a million pixels.
 PICTURES_A_TASK = 256
+#: Line items of one task, whose sheets' windows and lists are then sorted in memory.
+CELLS_A_TASK = 100_000
 BACKGROUNDS = [(250, 6, 248), (20, 220, 30), (128, 128, 128)]
 
 
@@ -44,8 +46,14 @@ def signals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:
-    """(key, dir, slot, w, h): a sheet per order, a direction per line number, slots from 0 within it."""
+    """(key, dir, slot, w, h): a sheet per order, a direction per line number, slots from 0 within it.
+
+    Narrow lines are dealt by order once, so that what is made of sheets isn't shuffled again; a task's lines don't grow with
+    the table, which is counted for that.
+    """
     lines = table(spark, folder, "lineitem")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // CELLS_A_TASK))
+    lines = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_discount", "l_tax").repartition(parts, "l_orderkey")
     order = W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_discount", "l_tax")
     return lines.select(
         F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("dir"), (F.row_number().over(order) - 1).alias("slot"),

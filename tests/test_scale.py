@@ -51,3 +51,11 @@ def test_a_note_is_lost_where_rows_may_move(spark):
     shuffled = moved.repartition(3, "x")
     whole = cutout.distances(shuffled, "d", F.col("a") > 0, 3).groupBy("label", "frame").agg(F.sum("d").alias("d")).agg(F.count("*")).collect()
     assert whole == [(500,)]
+
+
+@pytest.mark.parametrize("name", ["exp_document", "exp_resource"])
+def test_sheets_shuffle_narrow_lines_once(spark, name, monkeypatch):
+    monkeypatch.setattr(tables, "CELLS_A_TASK", 500)
+    rows = catalog.QUERIES[name](spark, SF)
+    assert plan(rows).count("Exchange") == 1
+    assert rows.rdd.getNumPartitions() == -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500)
