@@ -99,11 +99,13 @@ def frame_steps(rows: DataFrame, height: int, width: int, to_width: int = 32) ->
 
     Frames are compared small. A label with one frame has no row; numbers of frames needn't be without gaps.
     """
-    small = small_frames(rows, height, width, to_width)
+    small, parts = small_frames(rows, height, width, to_width), getattr(rows, "_framed", None) or -1
     order = small.select(*FRAME).distinct()
     ends = order.groupBy("label").agg(F.min("frame").alias("first"), F.max("frame").alias("last")).filter("first < last")
     after = F.lead("frame").over(W.partitionBy("label").orderBy("frame"))
     pairs = order.join(ends, "label").withColumn("next", F.coalesce(after, "first")).select(*FRAME, "next")
     other = small.select("label", F.col("frame").alias("next"), "y", "x", *[F.col(c).alias(f"n_{c}") for c in "rgb"])
+    if parts > 0:  # as many tasks as the pixels were dealt over: the join's other side follows
+        other = other.repartition(parts, "label", "next", "y", "x")
     gap = sum((F.abs(F.col(f"n_{c}") - F.col(c)) for c in "rgb"), F.lit(0.0)) / 3
-    return small.join(pairs, [*FRAME]).join(other, ["label", "next", "y", "x"]).groupBy(*FRAME, "next").agg(F.avg(gap).alias("step"))
+    return small.join(pairs.hint("merge"), [*FRAME]).join(other.hint("merge"), ["label", "next", "y", "x"]).groupBy(*FRAME, "next").agg(F.avg(gap).alias("step"))

@@ -59,3 +59,9 @@ def test_sheets_shuffle_narrow_lines_once(spark, name, monkeypatch):
     rows = catalog.QUERIES[name](spark, SF)
     assert plan(rows).count("Exchange") == 1
     assert rows.rdd.getNumPartitions() == -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500)
+
+
+def test_steps_between_frames_join_in_as_many_tasks_as_the_pixels_need(spark, monkeypatch):
+    monkeypatch.setattr(tables, "PICTURES_A_TASK", 20)
+    text = plan(catalog.QUERIES["img_frame_steps"](spark, SF))
+    assert len(re.findall(r"hashpartitioning\(label#\d+, next#\d+L?, y#\d+, x#\d+, 25\)", text)) == 2
