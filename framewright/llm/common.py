@@ -1,38 +1,16 @@
-"""What several corpus operators share: the shared scratch folder, lineage cuts and hot-key joins."""
+"""What several corpus operators share: the shared scratch folder and lineage cuts (from ``scratch``), hot-key joins."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.scratch import shared_dir, stored  # noqa: F401
+
 #: Groups larger than 1/HOT_SHARE of the rows are joined by broadcast; there are at most HOT_SHARE of them.
 HOT_SHARE = 5_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; where that is unset, one of our own in a single process (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not hasattr(spark, "_framewright_dir"):
-        spark._framewright_dir = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return spark._framewright_dir
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def renamed(docs: DataFrame, carried: list[str], **named: Column) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with the columns ``carried`` as c0, c1, ... and the columns ``named``; and the carried names by these.
 
