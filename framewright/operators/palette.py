@@ -1,7 +1,9 @@
 """Palettes of many motions at once: median cut over colour histograms, refined by weighted means. No collect, no fit a group.
 
 A histogram is (label, u, v, w, many): distinct colours in any space, with their counts. Boxes of all labels are cut in the same
-round, by windows over (label, box); rounds are the logarithm of the number of colours, whatever the number of labels.
+round; rounds are the logarithm of the number of colours, whatever the number of labels. Where a box is cut follows from the
+weights of whole steps of its longest side; only colours of the step that the half falls in are put in order, so that no
+task sorts a label's colours. Cuts (a row a box) are stored and broadcast; the colours are stored once and never shuffled whole.
 """
 
 from __future__ import annotations
@@ -11,8 +13,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.functions.colour import lab
+from framewright.scratch import stored
 
 SPACE = ("u", "v", "w")
+#: The order of a box's colours.
+KEY = ("_along", *SPACE)
 
 
 def histogram(sprites: DataFrame, in_lab: bool = False, above: int = 200) -> DataFrame:
@@ -22,20 +27,38 @@ def histogram(sprites: DataFrame, in_lab: bool = False, above: int = 200) -> Dat
     return counted.select("label", *[c.alias(n) for c, n in zip(space, SPACE)], "many").groupBy("label", *SPACE).agg(F.sum("many").alias("many"))
 
 
-def _split(rows: DataFrame, chosen: Column) -> DataFrame:
-    """``rows`` with the chosen boxes cut along their longest side where half of the weight is reached; the upper part has an odd number."""
+def _sides(rows: DataFrame) -> DataFrame:
+    """(label, box, side, total, worth): the number of each box's longest side (ties: the first), its weight, and weight times longest side."""
+    spans = rows.groupBy("label", "box").agg(F.sum("many").alias("total"), *[(F.max(c) - F.min(c)).alias(c) for c in SPACE])
+    most = F.greatest(*SPACE)
+    side = F.when(F.col("u") == most, 0).when(F.col("v") == most, 1).otherwise(2)
+    return spans.select("label", "box", side.alias("side"), "total", F.round(most * F.col("total"), 4).alias("worth"))
+
+
+def _split(rows: DataFrame, sides: DataFrame) -> DataFrame:
+    """``rows`` with the boxes of ``sides`` cut along that side where half of the weight is reached; the upper part has an odd number.
+
+    Other boxes keep their rows as the lower part. The first colour of a box is always in the lower part, the last of several
+    in the upper one.
+    """
+    along = F.when(F.col("side") == 0, F.col("u")).when(F.col("side") == 1, F.col("v")).otherwise(F.col("w"))
+    lined = lambda facts: rows.join(F.broadcast(facts), ["label", "box"], "left").withColumn("_along", along).withColumn("_step", F.floor("_along"))
     box = W.partitionBy("label", "box")
-    spans = [F.max(c).over(box) - F.min(c).over(box) for c in SPACE]
-    wide = rows.withColumns({f"_{c}": s for c, s in zip(SPACE, spans)}).withColumn("_most", F.greatest(*[F.col(f"_{c}") for c in SPACE]))
-    along = F.when(F.col("_u") == F.col("_most"), F.col("u")).when(F.col("_v") == F.col("_most"), F.col("v")).otherwise(F.col("w"))
-    order = box.orderBy("_along", *SPACE)
-    lined = wide.withColumn("_along", along).withColumns({
-        "_before": F.sum("many").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("many"), "_all": F.sum("many").over(box), "_next": F.lead("many").over(order),
-        "_first": F.row_number().over(order) == 1,
+    steps = lined(sides.select("label", "box", "side")).filter("side is not null").groupBy("label", "box", "_step").agg(F.sum("many").alias("many"))
+    until = F.sum("many").over(box.orderBy("_step"))
+    weighed = steps.withColumns({"_until": until, "_low": F.min("_step").over(box), "_high": F.max("_step").over(box)}).join(F.broadcast(sides), ["label", "box"])
+    # the step in which the half is reached; those below it are low, those above it high
+    at = weighed.filter((2 * F.col("_until") >= F.col("total")) & (2 * (F.col("_until") - F.col("many")) < F.col("total")))
+    at = stored(at.select("label", "box", "side", "total", F.col("_step").alias("_at"), (F.col("_until") - F.col("many")).alias("_below"), (F.col("_step") == F.col("_low")).alias("_first"), (F.col("_step") == F.col("_high")).alias("_last")), "palette-steps")
+    order = box.orderBy(*KEY)
+    near = lined(at).filter(F.col("_step") == F.col("_at")).withColumns({
+        "_before": F.col("_below") + F.sum("many").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("many"), "_next": F.lead("many").over(order), "_n": F.row_number().over(order),
     })
-    high = ~F.col("_first") & ((2 * F.col("_before") >= F.col("_all")) | F.col("_next").isNull())
-    cut = lined.withColumn("box", F.col("box") * 2 + (chosen & high).cast("int"))
-    return cut.select("label", *SPACE, "many", "box")
+    high = ~(F.col("_first") & (F.col("_n") == 1)) & ((2 * F.col("_before") >= F.col("total")) | (F.col("_last") & F.col("_next").isNull()))
+    bounds = near.filter(high).groupBy("label", "box").agg(F.min(F.struct(*KEY)).alias("_bound"))
+    cuts = stored(at.join(bounds, ["label", "box"], "left").select("label", "box", "side", "_at", "_bound"), "palette-cuts")
+    upper = (F.col("_step") > F.col("_at")) | ((F.col("_step") == F.col("_at")) & (F.struct(*KEY) >= F.col("_bound")))
+    return lined(cuts).select("label", *SPACE, "many", (F.col("box") * 2 + F.coalesce(upper, F.lit(False)).cast("int")).alias("box"))
 
 
 def _centres(boxed: DataFrame) -> DataFrame:
@@ -67,16 +90,14 @@ def palettes(colours: DataFrame, k: int = 24, rounds: int = 2) -> DataFrame:
     weight times longest side are cut once more (ties: the first). Boxes of one colour stay. ``rounds`` rounds then move each
     centre to the mean of the colours that are nearest to it; a centre that none is nearest to goes. Coordinates have four decimals.
     """
-    rows = colours.withColumn("box", F.lit(0))
-    depth = k.bit_length() - 1
+    colours = stored(colours, "palette-colours")
+    rows, depth = colours.withColumn("box", F.lit(0)), k.bit_length() - 1
     for _ in range(depth):
-        rows = _split(rows, F.lit(True))
+        rows = _split(rows, stored(_sides(rows), "palette-sides"))
     if k > 1 << depth:
-        box = W.partitionBy("label", "box")
-        worth = F.greatest(*[F.max(c).over(box) - F.min(c).over(box) for c in SPACE]) * F.sum("many").over(box)
-        ranked = rows.withColumn("_worth", F.round(worth, 4)).withColumn("_rank", F.dense_rank().over(W.partitionBy("label").orderBy(F.desc("_worth"), "box")))
-        rows = _split(ranked, F.col("_rank") <= k - (1 << depth))
-    centres = _centres(rows)
+        rank = F.row_number().over(W.partitionBy("label").orderBy(F.desc("worth"), "box"))
+        rows = _split(rows, stored(_sides(rows).withColumn("_rank", rank).filter(F.col("_rank") <= k - (1 << depth)).drop("_rank"), "palette-sides"))
+    centres = stored(_centres(rows), "palette-centres")
     for _ in range(rounds):
-        centres = _centres(nearest(colours, centres).withColumn("box", F.col("near.k")))
+        centres = stored(_centres(nearest(colours, centres).withColumn("box", F.col("near.k"))), "palette-centres")
     return centres
