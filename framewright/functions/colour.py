@@ -1,7 +1,8 @@
-"""Colour spaces as column expressions: 8-bit Lab and HSV of 0..255 channels, as image libraries scale them."""
+"""Colour spaces as column expressions, and the same over arrays: 8-bit Lab and HSV of 0..255 channels, as image libraries scale them."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,3 +33,26 @@ def hsv(r: str, g: str, b: str) -> list[Column]:
     hue = F.pmod(F.floor(F.round(turn, 6) + 0.5), F.lit(180)).cast("int")
     saturation = F.when(most == 0, 0).otherwise(F.floor(F.round(255.0 * span / most, 6) + 0.5)).cast("int")
     return [hue, saturation, most]
+
+
+def lab_arrays(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """``lab`` over arrays of whole numbers from 0 to 255."""
+    v = np.arange(256) / 255.0
+    linear = np.where(v > 0.04045, ((v + 0.055) / 1.055) ** 2.4, v / 12.92)
+    bent = lambda v: np.where(v > 0.008856, np.cbrt(v), 7.787 * v + 16.0 / 116)
+    digits = lambda v: np.floor(v * 10000 + 0.5) / 10000
+    lr, lg, lb = linear[r], linear[g], linear[b]
+    fx = bent((0.412453 * lr + 0.357580 * lg + 0.180423 * lb) / 0.950456)
+    fy = bent(0.212671 * lr + 0.715160 * lg + 0.072169 * lb)
+    fz = bent((0.019334 * lr + 0.119193 * lg + 0.950227 * lb) / 1.088754)
+    return [digits((116 * fy - 16) * 2.55), digits(500 * (fx - fy) + 128), digits(200 * (fy - fz) + 128)]
+
+
+def hsv_arrays(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """``hsv`` over arrays."""
+    most, least = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
+    span = np.maximum(most - least, 1)
+    turn = np.where(most == r, 30.0 * (g - b) / span, np.where(most == g, 60 + 30.0 * (b - r) / span, 120 + 30.0 * (r - g) / span))
+    half = lambda v: np.floor(np.floor(v * 1e6 + 0.5) / 1e6 + 0.5)
+    hue = np.where(most == least, 0, half(turn) % 180).astype(np.int32)
+    return [hue, half(255.0 * (most - least) / np.maximum(most, 1)).astype(np.int32), most]

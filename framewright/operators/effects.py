@@ -1,22 +1,24 @@
 """Light effects that aren't the figure's: glows of foreign colours, bright outbursts against neighbouring frames, what is left of both.
 
 Sprites are (label, frame, y, x, r, g, b, a), complete grids; palettes (label, centres) come from ``palettes`` over a
-histogram in Lab. Masks grow and parts are judged in kernels over whole frames (``by_frame``); silhouettes of clean frames
-are united by windows over frames, a row a line of pixels, packed as bits. Facts of a label (its palette, its first
-frame) are broadcast: 0.6 KB a label.
+histogram in Lab. Colours are compared, masks grow and parts are judged in kernels over whole frames (``by_frame``);
+silhouettes of clean frames are united by windows over frames, a row a line of pixels, packed as bits. Facts of a label (its
+palette, its first frame) are broadcast: 0.6 KB a label. What a frame is told (palette, silhouette) goes with its first pixel.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framewright.functions.colour import hsv, lab
-from framewright.operators.palette import SPACE, gap, histogram, palettes
+from framewright.functions.colour import hsv_arrays, lab_arrays
+from framewright.operators.cutout import COLOURS, Colours
+from framewright.operators.palette import SPACE, histogram, palettes
 from framewright.operators.raster import FRAME
-from framewright.operators.regions import added, by_frame, dealt, dropped, erased, flag, followed, narrow, without_detached, without_slivers
+from framewright.operators.regions import Frames, by_frame, dealt, erased, followed, narrow, rounded, without_detached, without_slivers
 
 #: Lab distance from which a colour is foreign to the figure.
 FOREIGN = 22.0
@@ -31,17 +33,36 @@ def character_palette(sprites: DataFrame, colours: int = 24) -> DataFrame:
     return palettes(histogram(first, in_lab=True), colours)
 
 
-def with_colours(sprites: DataFrame, figure: DataFrame, slots: int = 24) -> DataFrame:
-    """``sprites`` with hue, sat, val and strange, the Lab distance to the nearest colour of the label's figure (null without colours).
+def _first_pixel():
+    return (F.col("y") == 0) & (F.col("x") == 0)
 
-    The first ``slots`` colours are compared by plain arithmetic, those beyond them by a function over the array.
-    """
-    h, s, v = hsv("r", "g", "b")
-    known = narrow(sprites, lambda r: r.join(F.broadcast(figure.select("label", "centres")), "label", "left").select(*r.columns, "centres"))
-    known = added(known, dict(zip(SPACE, lab("r", "g", "b"))))
-    beyond = F.array_min(F.transform(F.slice("centres", slots + 1, F.greatest(F.size("centres") - slots, F.lit(0))), gap))
-    least = F.least(*[gap(F.get("centres", F.lit(k))) for k in range(slots)], F.when(F.size("centres") > slots, beyond))
-    return dropped(added(known, {"strange": F.sqrt(least), "hue": h, "sat": s, "val": v}), "centres", *SPACE)
+
+def _told(frames: Frames, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """What frames are told with one of their pixels: each item's frame and its place in the frame's list, and the items."""
+    ends = lists.offsets.to_numpy()
+    many = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(ends), 0)
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return np.repeat(frames.where, many), place, lists.flatten()
+
+
+def with_colours(sprites: DataFrame, figure: DataFrame) -> DataFrame:
+    """``sprites`` with hue, sat, val and strange, the Lab distance to the nearest colour of the label's figure (null without colours)."""
+
+    def work(frames, r, g, b, centres):
+        frame, place, colours = _told(frames, centres)
+        near = np.full((place.max(initial=0) + 1, frames.shape[0], 3), np.nan)
+        for k, n in enumerate(SPACE):
+            near[place, frame, k] = colours.field(n).to_numpy(zero_copy_only=False)
+        own, least = lab_arrays(r, g, b), np.full(len(r), np.nan)
+        for slot in near:
+            apart = [slot[:, k][frames.where] - v for k, v in enumerate(own)]
+            least = np.fmin(least, apart[0] * apart[0] + apart[1] * apart[1] + apart[2] * apart[2])
+        return {"strange": np.sqrt(least), **dict(zip(("hue", "sat", "val"), hsv_arrays(r, g, b)))}
+
+    known = narrow(dealt(sprites), lambda r: r.join(F.broadcast(figure.select("label", F.col("centres").alias("_centres"))), "label", "left").select(*r.columns, "_centres"))
+    inputs = {"centres": F.when(_first_pixel(), F.col("_centres")), **{c: F.col(c) for c in "rgb"}}
+    known = by_frame(known, inputs, work, {"strange": "double", "hue": "int", "sat": "int", "val": "int"}, drop=["_centres"])
+    return known
 
 
 def effect_mask(rows: DataFrame, least: int = 120, white: int = 400) -> DataFrame:
@@ -51,20 +72,18 @@ def effect_mask(rows: DataFrame, least: int = 120, white: int = 400) -> DataFram
     it, and so does pure white in parts of ``white`` pixels. The mask follows bright rims that touch it, GROWTH pixels at
     most; parts of ``least`` pixels stay, with a pixel around them.
     """
-    shown, hue, sat, val = F.col("a") > 0, F.col("hue"), F.col("sat"), F.col("val")
-    blue = hue.between(80, 150)
-    glow = shown & (F.col("strange") > FOREIGN) & blue & (sat > 45) & (val > 70)
-    core, rim = shown & (sat < 50) & (val > 228), shown & blue & (sat > 18) & (val > 140)
-    pure = shown & (sat < 25) & (val > 242)
-
-    def work(frames, glow, core, rim, pure):
-        seed = frames.opened(glow)
+
+    def work(frames, a, hue, sat, val, strange):
+        shown, blue = a > 0, (hue >= 80) & (hue <= 150)
+        core, rim = shown & (sat < 50) & (val > 228), shown & blue & (sat > 18) & (val > 140)
+        pure = shown & (sat < 25) & (val > 242)
+        seed = frames.opened(shown & (strange > FOREIGN) & blue & (sat > 45) & (val > 70))
         large = pure & (frames.areas(frames.parts(pure, True)) >= white)
         begun = seed | (frames.grow(seed, 21) & (core | rim)) | large
         mask = followed(frames, begun, core | rim, GROWTH)
         return {"effect": frames.grow(mask & (frames.areas(frames.parts(mask, True)) >= least), 1)}
 
-    return by_frame(rows, {"glow": flag(glow), "core": flag(core), "rim": flag(rim), "pure": flag(pure)}, work, {"effect": "boolean"})
+    return by_frame(rows, ["a", "hue", "sat", "val", "strange"], work, {"effect": "boolean"})
 
 
 def clean_silhouette(rows: DataFrame, window: int = 6, spike: float = 1.08) -> DataFrame:
@@ -90,12 +109,24 @@ def clean_silhouette(rows: DataFrame, window: int = 6, spike: float = 1.08) -> D
         F.first("mid").alias("mid"), F.first("burst").alias("burst"), F.max("chunk").alias("last_chunk"), F.min("y").alias("top"),
         F.array_sort(F.collect_list(F.when(F.col("outline").isNotNull(), F.struct("y", "chunk", "outline")))).alias("outlines"),
     )
-    # pixels are joined by frame, with its outlines as a list of lines: in a complete grid the place in it follows from y and x
+    # pixels are joined by frame; a frame's outlines go with its first pixel as a list of lines
     own_rows = rows.repartition(parts, *FRAME) if parts > 0 else rows.repartition(*FRAME)
     both = own_rows.join(facts.hint("merge"), list(FRAME))
-    held = F.get("outlines", ((F.col("y") - F.col("top")) * (F.col("last_chunk") + 1) + chunk).cast("int"))["outline"]
-    outline = F.when(held.isNotNull(), held.bitwiseAND(bit) != 0)
-    return dealt(both.select(*rows.columns, "mid", "burst", outline.alias("outline")), parts if parts > 0 else None)
+    told = F.when((F.col("y") == F.col("top")) & (F.col("x") == 0), F.col("outlines"))
+    both = dealt(both.select(*rows.columns, "mid", "burst", told.alias("_outlines")), parts if parts > 0 else None)
+
+    def work(frames, outlines):
+        frame, _, lines = _told(frames, outlines)
+        y, chunk, bits = (lines.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("y", "chunk", "outline"))
+        held = np.full(frames.shape, -1, np.int8)
+        for k in range(min(BITS, frames.shape[2])):
+            x = chunk * BITS + k
+            inside = x < frames.shape[2]
+            held[frame[inside], y[inside], x[inside]] = bits[inside] >> k & 1
+        out = frames.flat(held)
+        return {"outline": pa.array(out > 0, mask=out < 0)}
+
+    return by_frame(both, {"outlines": F.col("_outlines")}, work, {"outline": "boolean"}, drop=["_outlines"])
 
 
 def temporal_mask(rows: DataFrame, height: int, share: float = 0.08) -> DataFrame:
@@ -105,20 +136,19 @@ def temporal_mask(rows: DataFrame, height: int, share: float = 0.08) -> DataFram
     pixels are candidates; within it, thick patches of plain background. Parts that don't come within two pixels of the
     outline go, and those larger than a quarter of the median area; a pixel around them too.
     """
-    away = F.sqrt(sum(((F.col(c) - F.col(f"bg_{c}")) * (F.col(c) - F.col(f"bg_{c}")) for c in "rgb"), F.lit(0.0)))
-    odd = ((F.col("sat") < 60) & (F.col("val") > 170)) | (F.col("strange") > FOREIGN) | (F.round(away, 6) < 40)
     radius = max(3, int(share * height))
 
-    def work(frames, outline, known, plain, odd, mid):
+    def work(frames, outline, a, sat, val, strange, mid, **columns):
+        away = rounded(Colours(**columns).far(), 6)
+        known, outline = ~np.isnan(outline.astype(float)) & (a > 0), outline == 1
+        odd = ((sat < 60) & (val > 170)) | (strange > FOREIGN) | (away < 40)
         wide = frames.grow_disc(outline, radius)
-        candidate = (known & ~wide & odd) | frames.opened(known & wide & plain, 2)
+        candidate = (known & ~wide & odd) | frames.opened(known & wide & (away < 25), 2)
         part = frames.parts(candidate, True)
         touched = frames.of_part(part, frames.grow(wide, 2)) > 0
         return {"outburst": frames.grow(candidate & (~touched | (frames.areas(part) > 0.25 * mid)), 1)}
 
-    known = F.col("outline").isNotNull() & (F.col("a") > 0)
-    inputs = {"outline": flag("outline"), "known": flag(known), "plain": flag(F.round(away, 6) < 25), "odd": flag(odd), "mid": F.col("mid").cast("double")}
-    return by_frame(rows, inputs, work, {"outburst": "boolean"})
+    return by_frame(rows, ["outline", "a", "sat", "val", "strange", "mid", *COLOURS], work, {"outburst": "boolean"})
 
 
 def without_effects(rows: DataFrame, height: int, figure: DataFrame | None = None) -> DataFrame:
@@ -131,7 +161,8 @@ def without_effects(rows: DataFrame, height: int, figure: DataFrame | None = Non
     colours = with_colours(clean_silhouette(rows), character_palette(rows) if figure is None else figure)
     masked = temporal_mask(effect_mask(colours), height)
     gone = F.col("effect") | F.col("outburst")
-    hit = by_frame(added(masked, {"before": F.col("a") > 0}), {"gone": flag(gone)}, lambda frames, gone: {"hit": frames.most(gone)}, {"hit": "boolean"})
+    both = lambda frames, a, effect, outburst: {"before": a > 0, "hit": frames.most(effect | outburst)}
+    hit = by_frame(masked, ["a", "effect", "outburst"], both, {"before": "boolean", "hit": "boolean"})
     whole = without_detached(without_slivers(erased(hit, gone), judged=F.col("hit")), height)
     return narrow(whole, lambda r: r.withColumn("taken", F.col("before") & (F.col("a") == 0)).select(*kept, "taken"))
 

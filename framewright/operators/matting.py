@@ -6,12 +6,12 @@ Rows are (label, frame, y, x, r, g, b, bg_r, bg_g, bg_b, alpha, model), complete
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.colour import lab
-from framewright.operators.cutout import blurred, clipped, far_from_background, frame_alpha, reaching, with_background
-from framewright.operators.raster import FRAME, is_key, luma
+from framewright.operators.cutout import COLOURS, Colours, frame_alpha, reaching, with_background
+from framewright.operators.raster import FRAME
 from framewright.operators.regions import Frames, added, by_frame, dropped, flag, rounded
 
 BLOB = 24
@@ -23,32 +23,35 @@ def blobs(frames: Frames, on: np.ndarray, least: int = BLOB) -> np.ndarray:
     return np.where(frames.areas(part) >= least, part, -1)
 
 
-def _bg_luma() -> Column:
-    return 0.299 * F.col("bg_r") + 0.587 * F.col("bg_g") + 0.114 * F.col("bg_b")
+def _luma(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 0.299 * r + 0.587 * g + 0.114 * b
 
 
 def _like_shadow(frames: Frames, part: np.ndarray, r: np.ndarray, g: np.ndarray, b: np.ndarray, tone: np.ndarray) -> np.ndarray:
     """Whether a region is grey on average, and not brighter than the background, whose luma is ``tone``."""
     means = [frames.mean(part, c) for c in (r, g, b)]
     most, least = np.maximum.reduce(means), np.minimum.reduce(means)
-    own = 0.299 * means[0] + 0.587 * means[1] + 0.114 * means[2]
+    own = _luma(*means)
     return ((most - least) / np.maximum(most, 1.0) < 0.25) & (rounded(own, 6) <= rounded(tone + 12, 6))
 
 
-def combined(rows: DataFrame, remove: str = "all", confident: float = 0.8, least: int = BLOB, spared: Column | None = None) -> DataFrame:
+def combined(rows: DataFrame, remove: str = "all", confident: float = 0.8, least: int = BLOB, spared: str | None = None) -> DataFrame:
     """``rows`` with the joined alpha, and filled and removed: how often a pixel was part of a region that was filled or taken out.
 
     Regions the key lost but the model sees (above 0.6 against under 0.4) are filled by the model's alpha, with two pixels
     around them, if they aren't of the background's colour (20 on average), the model is ``confident`` on average, and the
     figure is within three pixels of them. What the model is very sure of never stays half transparent. Regions the key
     kept but the model doesn't see (above 0.6 against under 0.15) go: all of them, those like a shadow, or none
-    (``remove``); with all, so does every part that has no pixel within three of the model's figure. From ``spared`` frames
-    nothing goes.
+    (``remove``); with all, so does every part that has no pixel within three of the model's figure. From frames where the
+    column ``spared`` is true nothing goes.
     """
     if remove not in ("all", "shadow", "none"):
         raise ValueError("remove is all, shadow or none")
 
-    def work(frames, far, alpha, model, spared, tone, r, g, b):
+    def work(frames, alpha, model, **columns):
+        kept = np.nan_to_num(columns.pop(spared)).astype(bool) if spared else np.zeros(len(alpha), bool)
+        colours = Colours(**columns)
+        far = colours.far()
         lost = blobs(frames, (model > 0.6) & (alpha < 0.4), least)
         near = frames.of_part(lost, frames.grow(alpha > 0.5, 3)) > 0
         fill = (lost >= 0) & (frames.mean(lost, far) >= 20) & (frames.mean(lost, model) >= confident) & near
@@ -57,18 +60,17 @@ def combined(rows: DataFrame, remove: str = "all", confident: float = 0.8, least
         removed = np.zeros(len(out), np.int32)
         if remove != "none":
             extra = blobs(frames, (alpha > 0.6) & (model < 0.15), least)
-            goes = (extra >= 0) & ~spared & (_like_shadow(frames, extra, r, g, b, tone) if remove == "shadow" else True)
+            goes = (extra >= 0) & ~kept & (_like_shadow(frames, extra, *colours.own(), _luma(*colours.back())) if remove == "shadow" else True)
             out = np.where(frames.grow(goes, 2), np.fmin(out, model), out)
             removed += goes
         if remove == "all":
             part = frames.parts(out > 0.3, True)
-            loose = (part >= 0) & ~spared & (frames.of_part(part, frames.grow(model > 0.5, 3)) == 0)
+            loose = (part >= 0) & ~kept & (frames.of_part(part, frames.grow(model > 0.5, 3)) == 0)
             out = np.where(loose, 0.0, out)
             removed += loose
         return {"alpha": out, "filled": fill.astype(np.int32), "removed": removed}
 
-    inputs = {"far": far_from_background(), "alpha": F.col("alpha"), "model": F.col("model"), "spared": F.lit(False) if spared is None else flag(spared), "tone": _bg_luma()}
-    return by_frame(rows, inputs | {c: F.col(c) for c in "rgb"}, work, {"alpha": "double", "filled": "int", "removed": "int"})
+    return by_frame(rows, [*COLOURS, "alpha", "model", *[spared] * bool(spared)], work, {"alpha": "double", "filled": "int", "removed": "int"})
 
 
 def light_alpha(rows: DataFrame, height: int, width: int) -> DataFrame:
@@ -77,13 +79,20 @@ def light_alpha(rows: DataFrame, height: int, width: int) -> DataFrame:
     The larger of two ramps: how much a channel is brighter than the background's (50 to 150), and how far the colour is
     (45 to 100), which fades where the pixel is darker; nothing where it is the background's hue, only darker.
     """
-    up = clipped((F.greatest(*[F.col(c) - F.col(f"bg_{c}") for c in "rgb"]) - 50) / 100)
-    darker = F.round(_bg_luma() - luma(), 9)
-    norm = lambda p: F.sqrt(sum((F.col(p + c) * F.col(p + c) for c in "rgb"), F.lit(0.0)))
-    same = F.round(sum((F.col(c) * F.col(f"bg_{c}") for c in "rgb"), F.lit(0.0)) / (norm("") * norm("bg_") + 1e-6), 9) > 0.97
-    apart = clipped((far_from_background() - 45) / 55) * clipped(1 - (darker - 10) / 40)
-    light = F.greatest(up, F.when(same & (darker > 6), 0.0).otherwise(apart))
-    return added(blurred(rows, {"light": light}, 0.8, height, width), {"light": F.round("light", 6)})
+    weights = reaching(0.8, height, width)
+
+    def work(frames, **columns):
+        colours = Colours(**columns)
+        own, back = colours.own(), colours.back()
+        up = np.clip((np.maximum.reduce([c - d for c, d in zip(own, back)]) - 50) / 100, 0.0, 1.0)
+        darker = rounded(_luma(*back) - _luma(*own), 9)
+        norm = lambda parts: np.sqrt(sum((c * c for c in parts), 0.0))
+        same = rounded(sum((c * d for c, d in zip(own, back)), 0.0) / (norm(own) * norm(back) + 1e-6), 9) > 0.97
+        apart = np.clip((colours.far() - 45) / 55, 0.0, 1.0) * np.clip(1 - (darker - 10) / 40, 0.0, 1.0)
+        light = np.fmax(up, np.where(same & (darker > 6), 0.0, apart))
+        return {"light": rounded(frames.blurred(light, weights, height, width), 6)}
+
+    return by_frame(rows, COLOURS, work, {"light": "double"})
 
 
 def matted(rows: DataFrame, height: int, width: int, vivid: bool = False) -> DataFrame:
@@ -94,9 +103,10 @@ def matted(rows: DataFrame, height: int, width: int, vivid: bool = False) -> Dat
     """
     if not vivid:
         return combined(rows, "all")
-    key = is_key(F.col("bg_r"), F.col("bg_g"), F.col("bg_b"))
-    both = light_alpha(combined(rows, "all", 0.95, spared=key), height, width)
-    return dropped(added(both, {"alpha": F.when(key, F.col("alpha")).otherwise(F.greatest("alpha", "light"))}), "light")
+    keyed = by_frame(rows, COLOURS, lambda frames, **columns: {"_key": Colours(**columns).key()}, {"_key": "boolean"})
+    both = light_alpha(combined(keyed, "all", 0.95, spared="_key"), height, width)
+    chosen = lambda frames, alpha, light, _key: {"alpha": np.where(_key, alpha, np.fmax(alpha, light))}
+    return dropped(by_frame(both, ["alpha", "light", "_key"], chosen, {"alpha": "double"}), "light", "_key")
 
 
 def spliced(rows: DataFrame, height: int, width: int, limit: float = 14.0) -> DataFrame:

@@ -386,10 +386,15 @@ def _light(spark, folder):
     return regions.added(_back(spark, folder, "a"), {"alpha": F.col("a") / 255.0})
 
 
+def _first(spark, folder):
+    """The first picture of each label; the others aren't drawn."""
+    return pictures(spark, folder).filter("frame = 0")
+
+
 def _coloured(spark, folder, silhouettes=False):
     rows = regions.narrow(pictures(spark, folder), lambda p: p.select(*FRAME, "y", "x", "r", "g", "b", "a", (F.col("a") / 255.0).alias("alpha")))
-    seen = cutout.with_background(effects.clean_silhouette(rows) if silhouettes else rows, N, N)
-    return effects.effect_mask(effects.with_colours(seen, effects.character_palette(pictures(spark, folder))))
+    seen = effects.with_colours(effects.clean_silhouette(rows) if silhouettes else rows, effects.character_palette(_first(spark, folder)))
+    return effects.effect_mask(cutout.with_background(seen, N, N))
 
 
 WITH = f"WITH RECURSIVE {PIC}"
@@ -419,10 +424,10 @@ QUERIES = {
     "img_matte_vivid": lambda s, d: _counts(matting.matted(_keyed(s, d, "model"), N, N, vivid=True)),
     "img_splice": lambda s, d: sprite_digest(matting.spliced(_edit(pictures(s, d)), N, N)),
     "img_palette": lambda s, d: _centres(palette.palettes(palette.histogram(pictures(s, d)))),
-    "img_character_palette": lambda s, d: _centres(effects.character_palette(pictures(s, d))),
+    "img_character_palette": lambda s, d: _centres(effects.character_palette(_first(s, d))),
     "img_effects": lambda s, d: flag_digest(_coloured(s, d), F.col("effect")),
     "img_bursts": lambda s, d: flag_digest(effects.temporal_mask(_coloured(s, d, silhouettes=True), N), F.col("outburst")),
-    "img_remove_effects": lambda s, d: effects.removed_counts(effects.without_effects(_light(s, d), N, effects.character_palette(pictures(s, d)))),
+    "img_remove_effects": lambda s, d: effects.removed_counts(effects.without_effects(_light(s, d), N, effects.character_palette(_first(s, d)))),
     "img_shrink": lambda s, d: sprite_digest(resample.shrunk_sprites(pictures(s, d), N, N, 0.4)),
     "img_cell_cutouts": lambda s, d: sprite_digest(resample.cell_cutouts(regions.added(pictures(s, d), {"mask": F.col("a") > 128}), N, N, 0.75)),
     "img_small_frames": lambda s, d: _small_digest(resample.small_frames(pictures(s, d), N, N, 20)),

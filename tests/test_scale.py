@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.operators import cutout, effects, regions
+from framewright.operators import cutout, effects, palette, regions
 from framewright.plans import catalog
 from framewright.sources import tables
 
@@ -65,3 +65,28 @@ def test_steps_between_frames_join_in_as_many_tasks_as_the_pixels_need(spark, mo
     monkeypatch.setattr(tables, "PICTURES_A_TASK", 20)
     text = plan(catalog.QUERIES["img_frame_steps"](spark, SF))
     assert len(re.findall(r"hashpartitioning\(label#\d+, next#\d+L?, y#\d+, x#\d+, 25\)", text)) == 2
+
+
+@pytest.mark.parametrize("name", ["img_combine_shadow", "img_effects", "img_finish", "img_cutouts", "img_refined_edges", "img_matte_vivid", "img_chroma_alpha", "img_frame_alpha", "img_plain_alpha", "img_reference"])
+def test_kernels_of_a_chain_take_pixels_to_python_once(spark, name):
+    text = plan(catalog.QUERIES[name](spark, SF))
+    assert len(re.findall(r"(?<!Python)MapInArrow", text)) == 1
+
+
+def test_outlines_and_palettes_go_with_one_pixel_of_a_frame(spark):
+    text = plan(catalog.QUERIES["img_bursts"](spark, SF))
+    assert len(re.findall(r"MapInArrow", text)) == 2 and not re.search(r"Sort [^\n]*outlines", text)
+
+
+def test_palettes_sort_no_box_whole(spark, monkeypatch):
+    plans, keep = {}, palette.stored
+    monkeypatch.setattr(palette, "stored", lambda rows, name: (plans.setdefault(name, plan(rows)), keep(rows, name))[1])
+    catalog.QUERIES["img_palette"](spark, SF)
+    assert "Window" not in plans["palette-sides"] + plans["palette-centres"]
+    assert re.search(r"_step#\d+L? = _at#\d+L?", plans["palette-cuts"])  # only the step of the half is put in order
+
+
+def test_skinned_vertices_are_not_shuffled(spark):
+    text = plan(catalog.QUERIES["skel_skinned"](spark, SF))
+    top = text[: text.index("MapInArrow")]
+    assert "Exchange" not in top and not re.search(r"hashpartitioning\([^)]*vertex", text[: text.index("Union")])
