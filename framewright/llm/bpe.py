@@ -18,6 +18,7 @@ import contextlib
 import ctypes
 import functools
 import gc
+import itertools
 import json
 import re
 import unicodedata
@@ -238,6 +239,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 KIND, LOWER = _tables()
+#: The same for bytes.translate: code points below 256, whose lower case is there, too.
+BYTES = KIND[:256].tobytes(), LOWER[:256].astype(np.uint8).tobytes()
 
 
 def pieces_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -247,17 +250,27 @@ def pieces_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     other piece has, and the word as it stands.
     """
     joined = "\n".join(["", *pc.fill_null(texts, "").to_pylist(), ""])
-    code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    small = np.minimum(code, PLAIN)
-    kind = KIND[small]
-    odd = kind == ODD
-    odd[:-1] |= (code[:-1] == ord("<")) & (code[1:] == ord("|"))
-    text = np.where(kind == ODD, code, LOWER[small])
+    try:
+        low, wide = joined.encode("latin-1"), np.zeros(0, np.int64)
+        code = np.frombuffer(low, np.uint8)
+    except UnicodeEncodeError:
+        code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        low, wide = code.astype(np.uint8).tobytes(), np.nonzero(code > 0xFF)[0]
+    kind, text = (np.frombuffer(bytearray(low).translate(t), np.uint8) for t in BYTES)
+    odd = wide
+    if len(wide):  # code points that no byte holds
+        small = np.minimum(code[wide], PLAIN)
+        kind[wide] = KIND[small]
+        odd = wide[kind[wide] == ODD]
+        text = text.astype(np.uint32)
+        text[wide] = np.where(kind[wide] == ODD, code[wide], LOWER[small])
+    if "<|" in joined:
+        odd = np.concatenate([odd, np.nonzero((code[:-1] == ord("<")) & (code[1:] == ord("|")))[0]])
     begins = kind == DIGIT
     begins[0] = True
     begins[1:] |= kind[1:] != kind[:-1]
     keep = kind != SPACE
-    quote = np.nonzero(code == ord("'"))[0]
+    quote = np.nonzero(text == ord("'"))[0]
     quote = quote[begins[quote] & (kind[quote + 1] == LETTER)]
     for ending in ENDINGS:
         at = quote
@@ -266,22 +279,24 @@ def pieces_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
         begins[at + 1] = False
         after = at + 1 + len(ending)
         begins[after[kind[after] == LETTER]] = True
-    if odd.any():
+    if len(odd):
         word = np.cumsum(kind == SPACE)
         of_odd = np.zeros(int(word[-1]) + 1, bool)
         of_odd[word[odd]] = True
         inside = of_odd[word] & keep
         heads = np.nonzero(inside[1:] & ~inside[:-1])[0]  # the space before the word
         begins[inside], begins[heads], keep[heads] = False, True, True
-        text = np.where(inside, code, text)
+        text[inside] = code[inside]
         text[heads] = ord(" ")
     begins &= keep
     kept = text[keep]
-    size = 1 + (kept >= 0x80).astype(np.int64) + (kept >= 0x800) + (kept >= 0x10000)
     first = np.nonzero(begins[keep])[0]
-    ends = np.concatenate([[0], np.cumsum(size)])
-    offsets = np.append(ends[first], ends[-1]).astype(np.int64)
-    data = kept.tobytes().decode("utf-32-le").encode()
+    size = 1 + (kept >= 0x80).view(np.uint8)
+    if len(wide):
+        size += (kept >= 0x800).view(np.uint8) + (kept >= 0x10000).view(np.uint8)
+    ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    offsets = np.append(ends[first], ends[-1])
+    data = kept.tobytes().decode("utf-32-le" if len(wide) else "latin-1").encode()
     pieces = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
     lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     bounds = np.concatenate([[0], np.cumsum(lengths + 1)])
@@ -321,10 +336,13 @@ class Encoder:
         distinct = pieces.dictionary.to_pylist()
         if len(self.known) > CACHE_PIECES:
             self._reset()
-        new = [p for p in distinct if p not in self.known]
-        if new:
+        rows = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        unknown = np.nonzero(rows < 0)[0]
+        if len(unknown):
+            new = [distinct[k] for k in unknown.tolist()]
             self._learn(new)
-        rows = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
+            rows[unknown] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        rows = rows[pieces.indices.to_numpy()]
         counts = self.counts[rows]
         ends = np.concatenate([[0], np.cumsum(counts)])
         return ends[bounds], self.ids[ragged(self.starts[rows], counts)]

@@ -23,7 +23,8 @@ HEADER = struct.Struct("<4sIQIII")
 MAX_LANES, LANE_IDS = 8192, 128
 #: Order-2 contexts are hashed to this many slots.
 SLOT_BITS = 19
-LEVELS = 8
+LEVEL_BITS = 3
+LEVELS = 1 << LEVEL_BITS
 #: Weights of a cell add up to 2^WEIGHT_BITS, order-0 frequencies to 2^SUM_BITS; an id's coding interval has their product.
 WEIGHT_BITS, SUM_BITS = 12, 18
 STEP, EVERY = 32, 4
@@ -39,8 +40,8 @@ class Model:
     def __init__(self, alphabet: int):
         if not 0 < alphabet <= 1 << (SUM_BITS - 1):
             raise ValueError(f"alphabets have 1 to {1 << (SUM_BITS - 1)} ids")
-        self.two, self.two_level = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.int8)
-        self.one, self.one_level = np.zeros(alphabet, np.int32), np.zeros(alphabet, np.int8)
+        # an id and its level in one number, so that a context is one place in memory
+        self.two, self.one = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(alphabet, np.int32)
         self.counts = np.ones(alphabet, np.int64)
         self.cells = np.ones((LEVELS * LEVELS * 2, 3), np.int64)
         self.steps = 0
@@ -60,57 +61,46 @@ class Model:
     def predict(self, before: np.ndarray, last: np.ndarray) -> None:
         self.slot = ((last * 0x9E3779B1 + before * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - SLOT_BITS)
         self.last = last
-        self.guess2, self.guess1 = self.two[self.slot], self.one[last]
-        self.level2, self.level1 = self.two_level[self.slot], self.one_level[last]
-        cell = self.level2.astype(np.int64) * LEVELS
-        cell += self.level1
-        cell *= 2
-        cell += self.guess2 == self.guess1
-        self.cell = cell
-        self.w2, self.w1, self.w0 = self.of_two[cell], self.of_one[cell], self.of_all[cell]
+        two, one = (table.take(at).astype(np.int64) for table, at in ((self.two, self.slot), (self.one, last)))
+        self.guess2, self.guess1 = two >> LEVEL_BITS, one >> LEVEL_BITS
+        self.level2, self.level1 = two & (LEVELS - 1), one & (LEVELS - 1)
+        self.same = self.guess2 == self.guess1
+        self.cell = ((self.level2 << LEVEL_BITS) + self.level1) * 2 + self.same
+        self.w2, self.w1, self.w0 = self.of_two.take(self.cell), self.of_one.take(self.cell), self.of_all.take(self.cell)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cumulative frequency below, frequency) of each lane's id in its mixture."""
-        below = self.w0 * self.sums[ids] + self.w2 * (self.guess2 < ids) + self.w1 * (self.guess1 < ids)
-        return below, self.w0 * self.size[ids] + self.w2 * (self.guess2 == ids) + self.w1 * (self.guess1 == ids)
+        below = self.w0 * self.sums.take(ids) + self.w2 * (self.guess2 < ids) + self.w1 * (self.guess1 < ids)
+        return below, self.w0 * self.size.take(ids) + self.w2 * (self.guess2 == ids) + self.w1 * (self.guess1 == ids)
 
     def find(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, cumulative frequencies below, frequencies) of the intervals that hold each lane's place."""
         if self.at_sum is None:
             self.at_sum = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
         two, one, w0, w1, w2 = self.guess2, self.guess1, self.w0, self.w1, self.w2
-        same = two == one
-        below = w0 * self.sums[two] + w1 * (one < two)
-        share = w0 * self.size[two] + w2 + w1 * same
-        below1 = w0 * self.sums[one] + w2 * (two < one)
-        share1 = w0 * self.size[one] + w1 + w2 * same
-        in_one = (place >= below1) & (place < below1 + share1)
-        in_two = (place >= below) & (place < below + share)
-        out = np.where(in_two, two, one).astype(np.int64)
-        rest = np.nonzero(~(in_one | in_two))[0]
-        past2, past1 = (place >= below + share)[rest] * w2[rest], (place >= below1 + share1)[rest] * w1[rest]
-        below, share = np.where(in_two, below, below1), np.where(in_two, share, share1)
+        low2, low1 = w0 * self.sums.take(two) + w1 * (one < two), w0 * self.sums.take(one) + w2 * (two < one)
+        share2, share1 = w0 * self.size.take(two) + w2 + w1 * self.same, w0 * self.size.take(one) + w1 + w2 * self.same
+        from2, from1 = place - low2, place - low1
+        in_two = (from2 >= 0) & (from2 < share2)
+        out, below, share = np.where(in_two, two, one), np.where(in_two, low2, low1), np.where(in_two, share2, share1)
+        rest = np.nonzero(~(in_two | ((from1 >= 0) & (from1 < share1))))[0]
         if len(rest):
-            w0 = w0[rest]
-            found = self.at_sum[(place[rest] - past2 - past1) // w0]
+            past = (from2.take(rest) > 0) * w2.take(rest) + (from1.take(rest) > 0) * w1.take(rest)
+            w0 = w0.take(rest)
+            found = self.at_sum.take((place.take(rest) - past) // w0)
             out[rest] = found
-            below[rest], share[rest] = w0 * self.sums[found] + past2 + past1, w0 * self.size[found]
+            below[rest], share[rest] = w0 * self.sums.take(found) + past, w0 * self.size.take(found)
         return out, below, share
 
     def learn(self, ids: np.ndarray) -> None:
         hit2, hit1 = self.guess2 == ids, self.guess1 == ids
         missed = ~(hit2 | hit1)
-        cell = self.cell * 3
-        size = self.cells.size
-        earned = np.bincount(cell[hit2], minlength=size) + np.bincount(cell[hit1 & ~hit2] + 1, minlength=size) + np.bincount(cell[missed] + 2, minlength=size)
-        self.cells += earned.reshape(self.cells.shape)
-        self.counts += STEP * np.bincount(ids[missed], minlength=len(self.counts))
-        for table, levels, at, guess, level, hit in (
-            (self.two, self.two_level, self.slot, self.guess2, self.level2, hit2),
-            (self.one, self.one_level, self.last, self.guess1, self.level1, hit1),
-        ):
-            table[at] = np.where(hit | (level > 1), guess, ids)
-            levels[at] = np.where(hit, np.minimum(level + 1, LEVELS - 1), level >> 1)
+        earner = np.where(hit2, 0, 1 + missed)
+        self.cells += np.bincount(self.cell * 3 + earner, minlength=self.cells.size).reshape(self.cells.shape)
+        np.add.at(self.counts, ids[missed], STEP)
+        for table, at, guess, level, hit in ((self.two, self.slot, self.guess2, self.level2, hit2), (self.one, self.last, self.guess1, self.level1, hit1)):
+            kept = np.where(hit | (level > 1), guess, ids) << LEVEL_BITS
+            table[at] = kept + np.where(hit, np.minimum(level + 1, LEVELS - 1), level >> 1)
         self.steps += 1
         if self.steps % EVERY == 0:
             self._refresh()
@@ -144,8 +134,8 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
         model.predict(before, last)
         below, share = model.interval(now)
         unit = size >> SCALE
-        low += unit * below.astype(np.uint64)
-        size = unit * share.astype(np.uint64)
+        low += unit * below.view(np.uint64)
+        size = unit * share.view(np.uint64)
         todo = np.nonzero(_settled(low, size))[0]
         while len(todo):
             lo, sz = low[todo], size[todo]
@@ -164,8 +154,9 @@ def encode_block(ids: np.ndarray, alphabet: int) -> bytes:
             words = np.concatenate([words, np.zeros_like(words)])
         words[used, np.arange(lanes)] = (end >> np.uint64(shift)).astype(np.uint16)
         used += 1
+    words = words[: used.max()]
     filled = np.arange(len(words))[None, :] < used[:, None]
-    payload = used.astype("<u4").tobytes() + words.T[filled].astype("<u2").tobytes()
+    payload = used.astype("<u4").tobytes() + np.ascontiguousarray(words.T)[filled].astype("<u2").tobytes()
     plain = np.asarray(ids).astype("<u4").tobytes()
     return HEADER.pack(MAGIC, lanes, n, alphabet, zlib.crc32(payload), zlib.crc32(plain)) + payload
 
@@ -177,7 +168,7 @@ def decode_block(data: bytes) -> np.ndarray:
     if magic != MAGIC or zlib.crc32(payload) != payload_crc:
         raise ValueError("damaged block")
     used = np.frombuffer(payload, "<u4", lanes).astype(np.int64)
-    flat = np.concatenate([np.frombuffer(payload, "<u2", offset=4 * lanes).astype(np.uint64), np.zeros(4, np.uint64)])
+    flat = np.concatenate([np.frombuffer(payload, "<u2", offset=4 * lanes), np.zeros(4, "<u2")])
     ends = np.cumsum(used)
     at = ends - used
     steps = -(-n // lanes)
@@ -190,7 +181,7 @@ def decode_block(data: bytes) -> np.ndarray:
     def take(which) -> np.ndarray:
         k = at[which]
         at[which] = k + 1
-        return np.where(k < ends[which], flat[np.minimum(k, len(flat) - 1)], np.uint64(0))
+        return np.where(k < ends[which], flat[np.minimum(k, len(flat) - 1)], np.uint16(0)).astype(np.uint64)
 
     everyone = np.arange(lanes)
     for _ in range(4):
@@ -199,8 +190,8 @@ def decode_block(data: bytes) -> np.ndarray:
         model.predict(before, last)
         unit = size >> SCALE
         now, below, share = model.find(((code - low) // unit).astype(np.int64))
-        low += unit * below.astype(np.uint64)
-        size = unit * share.astype(np.uint64)
+        low += unit * below.view(np.uint64)
+        size = unit * share.view(np.uint64)
         todo = np.nonzero(_settled(low, size))[0]
         while len(todo):
             code[todo] = (code[todo] << U16) | take(todo)

@@ -10,6 +10,8 @@ driver is one count per part.
 
 from __future__ import annotations
 
+import itertools
+import operator
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,6 +28,9 @@ from framewright.llm.range_coder import decode_block, encode_block
 
 #: A block closes at the first document end beyond this many ids.
 BLOCK_IDS = 1 << 20
+#: Pieces whose tokens the library's model holds as objects at once.
+ASKED = 4096
+ID = operator.attrgetter("id")
 
 
 def library_encoder(path: str) -> Encoder:
@@ -37,12 +42,17 @@ def library_encoder(path: str) -> Encoder:
     from tokenizers import Tokenizer
 
     tokenize = Tokenizer.from_file(path).model.tokenize
-    letters = {b: c for b, c in enumerate(byte_letters())}
+    letters = np.array([ord(c) for c in byte_letters()], np.uint32)
 
     def encode_pieces(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [[t.id for t in tokenize(p.decode("latin-1").translate(letters))] for p in pieces]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return counts, np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum()))
+        spelt = letters[np.frombuffer(b"".join(pieces), np.uint8)].tobytes().decode("utf-32-le")
+        ends = list(itertools.accumulate(map(len, pieces), initial=0))
+        counts, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for a in range(0, len(pieces), ASKED):
+            found = [tokenize(spelt[i:j]) for i, j in itertools.pairwise(ends[a : a + ASKED + 1])]
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(map(ID, itertools.chain.from_iterable(found)), np.int32, int(counts[-1].sum())))
+        return np.concatenate(counts), np.concatenate(ids)
 
     return Encoder(vocabulary(path), encode_pieces)
 

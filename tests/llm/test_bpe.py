@@ -3,8 +3,10 @@ from hashlib import sha256
 
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
+from framewright.llm import bpe
 from framewright.llm.bpe import Encoder, bpe_encode, vocabulary, words_of
 from framewright.llm.token_store import library_encoder
 
@@ -85,3 +87,36 @@ def test_words_of_slices_of_a_column():
         words, codes, offsets = words_of(texts[start:], lower=True)
         got = [[words[i].as_py() for i in codes[a:b]] for a, b in zip(offsets, offsets[1:])]
         assert got == [["zero", "é"], ["a", "b", "À", "c"], [], [], ["last", "one"]][start:]
+
+
+def test_known_pieces_are_looked_up_once():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counting.asked += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            Counting.asked += 1
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            Counting.asked += 1
+            return super().__contains__(key)
+
+    cache = bpe.Encoder(bpe.vocabulary(PATH))
+    texts = pa.array(["one two's three", "two Œuvre <|endoftext|>"])
+    want = cache.encode(texts)
+    cache.known = Counting(cache.known)
+    got = cache.encode(texts)
+    assert [x.tolist() for x in got] == [x.tolist() for x in want]
+    assert Counting.asked == len(cache.known)
+
+
+@pytest.mark.parametrize("text", ["plain 'll don't 7x", "é À\xa0ÿ µ's\x85x", "œ Œ's “x” ſ İ", "a<|b <|endoftext|> ß", "漢字 😀'd"])
+def test_pieces_do_not_depend_on_what_else_is_in_the_chunk(text):
+    alone, _ = bpe.pieces_of(pa.array([text]))
+    for other in ("a", "ÿ", "Œ", "漢", "<|x"):
+        both, bounds = bpe.pieces_of(pa.array([other, text, None]))
+        assert both.dictionary_decode()[bounds[1] : bounds[2]].to_pylist() == alone.dictionary_decode().to_pylist()

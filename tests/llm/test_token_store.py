@@ -9,9 +9,11 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from framewright.llm import token_store
-from framewright.llm.range_coder import HEADER, decode_block, encode_block
+from framewright.llm.range_coder import HEADER, SLOT_BITS, Model, decode_block, encode_block
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+#: CRC-32 of the block that the coder's first form made.
+GOLDEN = 4294087967
 
 
 @settings(max_examples=40, deadline=None)
@@ -31,6 +33,15 @@ def test_large_blocks_round_trip_and_shrink(kind):
     assert len(data) < {"zeros": 0.1, "uniform": 2.2, "zipf": 1.2}[kind] * n
 
 
+def test_a_context_is_one_place_and_the_format_stays():
+    rng = np.random.default_rng(7)
+    data = encode_block(rng.zipf(1.3, 50_000) % 49408, 49408)
+    assert zlib.crc32(data) == GOLDEN
+    model = Model(49408)
+    tables = [v for v in vars(model).values() if isinstance(v, np.ndarray) and len(v) == 1 << SLOT_BITS]
+    assert len(tables) == 1
+
+
 def test_damage_is_noticed():
     data = bytearray(encode_block(np.arange(1000) % 50, 50))
     data[HEADER.size + 30] ^= 1
