@@ -8,8 +8,8 @@ compatible with the unique last token of the shorter prefix that remains; it is
 read off by back-pointers. Two tokens are compatible if undoing their merges, newest first, never meets a boundary pair
 that would have merged earlier. The automaton walks and pair tests of all pieces of a chunk run together in numpy.
 
-It is a map over documents: nothing shuffles. Memory per task is bounded by CHUNK_BYTES of text (or one document) and
-CACHE_PIECES pieces.
+It is a map over documents: nothing shuffles. Memory per task is bounded by ENCODE_BYTES of text (or one document) with
+its working arrays, and by ROOM bytes of known pieces.
 """
 
 from __future__ import annotations
@@ -32,7 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
-CACHE_PIECES = 800_000
+#: Text that is encoded together: working arrays take about 40 times as much.
+ENCODE_BYTES = 1 << 20
+#: Bytes that an encoder's known pieces may take before it forgets; PIECE_BYTES are those of a piece besides its text and ids.
+ROOM = 32 << 20
+PIECE_BYTES = 160
 #: Kinds of code points that tell pieces apart; ODD ones are left to the library's own rules.
 SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
 #: Code points from here on are ODD.
@@ -304,15 +308,27 @@ def pieces_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
 
 
 class Encoder:
-    """Ids of whole texts; each distinct piece is encoded once, and known ones are forgotten beyond CACHE_PIECES."""
+    """Ids of whole texts; each distinct piece is encoded once while it is known, and known ones take about ``room`` bytes."""
 
-    def __init__(self, vocab: Vocabulary, encode_pieces=None):
-        self.vocab, self.encode_pieces = vocab, encode_pieces or vocab.encode_pieces
+    def __init__(self, vocab: Vocabulary, encode_pieces=None, room: int = ROOM):
+        self.vocab, self.encode_pieces, self.room = vocab, encode_pieces or vocab.encode_pieces, room
         self._reset()
 
     def _reset(self) -> None:
         self.known: dict[bytes, int] = {}
         self.counts, self.ids, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.sizes, self.again = np.zeros(0, np.int64), np.zeros(0, bool)  # bytes of memory; met since learnt or last kept
+
+    def _forget(self) -> None:
+        """Keeps the pieces that were met again, if they leave half of the room; else none."""
+        kept = np.nonzero(self.again)[0]
+        if self.sizes[kept].sum() > self.room // 2:
+            self._reset()
+            return
+        self.known = dict(zip(itertools.compress(self.known, self.again.tolist()), range(len(kept))))
+        self.counts, self.sizes, self.again = self.counts[kept], self.sizes[kept], np.zeros(len(kept), bool)
+        self.ids = self.ids[ragged(self.starts[kept], self.counts)]
+        self.starts = np.cumsum(self.counts) - self.counts
 
     def _learn(self, pieces: list[bytes]) -> None:
         plain = [p for p in pieces if p[:1] != b" "]
@@ -326,7 +342,10 @@ class Encoder:
             made = [np.concatenate([known[q] if isinstance(q, bytes) else np.array([q], np.int32) for q in found] or [np.zeros(0, np.int32)]) for _, found in odd]
             ids = np.concatenate([ids[: counts.sum()], *made])
             counts = np.concatenate([counts, [len(m) for m in made]]).astype(np.int64)
-        self.known.update(zip([*plain, *(p for p, _ in odd)], range(len(self.known), len(self.known) + len(pieces))))
+        learnt = [*plain, *(p for p, _ in odd)]
+        self.known.update(zip(learnt, range(len(self.known), len(self.known) + len(learnt))))
+        sizes = np.fromiter(map(len, learnt), np.int64, len(learnt)) + 4 * counts + PIECE_BYTES
+        self.sizes, self.again = np.concatenate([self.sizes, sizes]), np.concatenate([self.again, np.zeros(len(learnt), bool)])
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
         self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids.astype(np.int32)])
 
@@ -334,10 +353,11 @@ class Encoder:
         """(offsets, ids) of whole texts: ids[offsets[k]:offsets[k+1]] are those of text k."""
         pieces, bounds = pieces_of(texts)
         distinct = pieces.dictionary.to_pylist()
-        if len(self.known) > CACHE_PIECES:
-            self._reset()
+        if self.sizes.sum() > self.room:
+            self._forget()
         rows = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
         unknown = np.nonzero(rows < 0)[0]
+        self.again[rows[rows >= 0]] = True
         if len(unknown):
             new = [distinct[k] for k in unknown.tolist()]
             self._learn(new)
@@ -448,7 +468,7 @@ def bpe_encode(docs: DataFrame, path: str, results: tuple[str, ...] = ("n_tokens
         v = vocabulary(path)
         cache = encoder((path, "own"), lambda: Encoder(v))
         decimals, tokens = pa.array(map(str, range(v.size))), pa.array(v.tokens)
-        for batch in chunks(batches):
+        for batch in chunks(batches, size=ENCODE_BYTES):
             offsets, ids = cache.encode(batch.column("text"))
             made: dict[str, pa.Array] = {"n_tokens": pa.array(np.diff(offsets))}
             if "ids" in results:

@@ -28,6 +28,8 @@ from framewright.llm.range_coder import decode_block, encode_block
 
 #: A block closes at the first document end beyond this many ids.
 BLOCK_IDS = 1 << 20
+#: Bytes that known pieces may take: the library's model asks more time for a piece than a look-up does.
+ROOM = 160 << 20
 #: Pieces whose tokens the library's model holds as objects at once.
 ASKED = 4096
 ID = operator.attrgetter("id")
@@ -54,7 +56,7 @@ def library_encoder(path: str) -> Encoder:
             ids.append(np.fromiter(map(ID, itertools.chain.from_iterable(found)), np.int32, int(counts[-1].sum())))
         return np.concatenate(counts), np.concatenate(ids)
 
-    return Encoder(vocabulary(path), encode_pieces)
+    return Encoder(vocabulary(path), encode_pieces, ROOM)
 
 
 BLOCK_SCHEMA = "part int, block int, ids_before long, n_docs int, n_ids long, docs binary, data binary"

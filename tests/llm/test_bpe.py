@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 from hashlib import sha256
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -120,3 +122,29 @@ def test_pieces_do_not_depend_on_what_else_is_in_the_chunk(text):
     for other in ("a", "ÿ", "Œ", "漢", "<|x"):
         both, bounds = bpe.pieces_of(pa.array([other, text, None]))
         assert both.dictionary_decode()[bounds[1] : bounds[2]].to_pylist() == alone.dictionary_decode().to_pylist()
+
+
+def test_known_pieces_are_bounded_in_bytes():
+    cache = Encoder(vocabulary(PATH), lambda pieces: (np.ones(len(pieces), np.int64), np.full(len(pieces), 7, np.int32)))
+    for k in range(50):
+        cache.encode(pa.array([chr(97 + k % 26) * (100_000 + 26 * k + j) for j in range(10)]))
+    assert sum(map(len, cache.known)) < 40 << 20
+
+
+def test_pieces_that_come_back_stay_known_and_ids_stay_right():
+    asked = Counter()
+    v = vocabulary(PATH)
+
+    def encode_pieces(pieces):
+        asked.update(pieces)
+        return v.encode_pieces(pieces)
+
+    t, cache = library(), Encoder(v, encode_pieces, room=100_000)
+    for k in range(40):
+        texts = ["the same Œuvre again", *(f"w{'abcdefghij'[j % 10] * 3}{chr(97 + j // 10)}{chr(97 + k % 26)}{'xyz'[k % 3]}" for j in range(200)), None]
+        offsets, ids = cache.encode(pa.array(texts))
+        got = [ids[a:b].tolist() for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+        assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+        assert len(cache.known) < 900
+    assert asked[b"same"] == asked[b"again"] == 1
+    assert len(asked) > 5000
