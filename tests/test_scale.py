@@ -90,3 +90,8 @@ def test_skinned_vertices_are_not_shuffled(spark):
     text = plan(catalog.QUERIES["skel_skinned"](spark, SF))
     top = text[: text.index("MapInArrow")]
     assert "Exchange" not in top and not re.search(r"hashpartitioning\([^)]*vertex", text[: text.index("Union")])
+
+
+def test_bodies_of_one_tile_are_moved_in_one_pass(spark):
+    text = plan(catalog.QUERIES["skel_skinned"](spark, SF))
+    assert text.count("MapInArrow") == 1 and text.count("Union") == 1  # influences and transforms are dealt once
