@@ -2,17 +2,23 @@
 
 ``palette`` is a list of (r, g, b), MAX_COLOURS at most, the same for all frames; a cell's colour is its index. Cells are
 blocks of sub-pixels. Every step groups by cell or looks at neighbours by windows and equality joins, but for the hold,
-which goes through a cell's frames in order; cells, not clips, are spread over tasks.
+which goes through a cell's frames in order; spans of a cell's frames, not clips, are spread over tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framewright.scratch import stored
+
 MAX_COLOURS = 256
 CELL = ("label", "frame", "by", "bx")
+#: Frames of a cell that are gone through at a time.
+SPAN = 128
 
 
 def _dark(palette: list[tuple[int, int, int]], limit: float) -> list[bool]:
@@ -67,21 +73,33 @@ def majority_of_eight(cells: DataFrame, palette: list[tuple[int, int, int]], lea
 def held(cells: DataFrame, palette: list[tuple[int, int, int]], block: int = 4, share: float = 0.3, dark_limit: float = 70.0) -> DataFrame:
     """(label, frame, by, bx, q, a): a cell keeps the colour of the frame before if that has nearly as many votes now.
 
-    Nearly: at most a share of the cell fewer, one vote at least; both colours dark, or neither; opaque before and now.
+    Nearly: at most a share of the cell fewer, one vote at least; both colours dark, or neither; opaque before and now. Spans of
+    frames are gone through beside each other: first for every colour that may be held when a span begins, to know the one
+    that is held when it ends, then, when a cell's spans have been chained, once more from the colour that was.
     """
     slack = max(2, round(share * block * block))
     dark = F.array(*map(F.lit, _dark(palette, dark_limit)))
-    rows = cells.groupBy("label", "by", "bx").agg(F.array_sort(F.collect_list(F.struct("frame", "votes", "q", "a"))).alias("f"))
-
-    def step(acc: Column, x: Column) -> Column:
-        before = F.get(acc, F.size(acc) - 1)
+    kinds = dict(cells.dtypes)
+    def after(before: Column, x: Column) -> Column:
         now, then = F.get(x["votes"], x["q"]), F.get(x["votes"], before["q"])
         keep = x["a"] & before["a"] & (before["q"] != x["q"]) & (then > 0) & (then >= now - slack) & (F.get(dark, before["q"]) == F.get(dark, x["q"]))
-        return F.concat(acc, F.array(F.struct(x["frame"].alias("frame"), F.when(F.coalesce(keep, F.lit(False)), before["q"]).otherwise(x["q"]).alias("q"), x["a"].alias("a"))))
-
-    none = F.array().cast("array<struct<frame:int,q:int,a:boolean>>")
-    out = rows.select("label", "by", "bx", F.explode(F.aggregate("f", none, step)).alias("x"))
-    return out.select("label", "x.frame", "by", "bx", "x.q", "x.a")
+        return F.struct(x["frame"].alias("frame"), F.when(F.coalesce(keep, F.lit(False)), before["q"]).otherwise(x["q"]).alias("q"), x["a"].alias("a"))
+
+    def add(acc: Column, new: Callable[[Column], Column]) -> Column:
+        return F.concat(acc, F.array(new(F.element_at(acc, -1))))
+
+    none = F.lit(None).cast(f"struct<q:{kinds['q']},a:boolean>")
+    begun = lambda q, a: F.struct(F.lit(None).cast(kinds["frame"]).alias("frame"), q.cast(kinds["q"]).alias("q"), a.alias("a"))
+    ends = F.transform(F.sequence(F.lit(0), F.lit(len(palette) - 1)), lambda k: F.aggregate("f", begun(k, F.lit(True)), after)["q"])
+    spans = cells.groupBy(F.struct("label", "by", "bx").alias("cell"), F.floor(F.col("frame") / SPAN).alias("span")).agg(F.array_sort(F.collect_list(F.struct("frame", "votes", "q", "a"))).alias("f"))
+    spans = stored(spans.select("*", F.element_at("f", 1)["q"].alias("first"), ends.alias("ends"), F.element_at("f", -1)["a"].alias("last")), "spans")  # else the cells are made twice
+    chained = spans.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("span", "first", "ends", "last"))).alias("s"))
+    end = lambda before, s: F.struct(F.get(s["ends"], F.when(before["a"], before["q"]).otherwise(s["first"])).alias("q"), s["last"].alias("a"))
+    starts = F.aggregate("s", F.array(none), lambda acc, s: add(acc, lambda before: end(before, s)))
+    starts = chained.select("cell", F.explode(F.arrays_zip(F.col("s.span").alias("span"), F.slice(starts, F.lit(1), F.size("s")).alias("start"))).alias("x")).select("cell", "x.*")
+    shown = F.aggregate("f", F.array(begun(F.col("start.q"), F.col("start.a"))), lambda acc, x: add(acc, lambda before: after(before, x)))
+    out = spans.join(starts, ["cell", "span"]).select("cell", F.explode(F.slice(shown, F.lit(2), F.size("f"))).alias("x"))
+    return out.select("cell.label", "x.frame", "cell.by", "cell.bx", "x.q", "x.a")
 
 
 def pixelated(frames: DataFrame, palette: list[tuple[int, int, int]], block: int = 4) -> DataFrame:

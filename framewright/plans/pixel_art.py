@@ -25,7 +25,7 @@ _TURNS = """tu AS (SELECT label AS key, [e[1], e[2], e[3], e[4]] AS a0, [e[5], e
 
 
 def _cells(spark, folder):
-    return op.voted(keyed(spark, folder), PALETTE, 2)
+    return op.voted(keyed(spark, folder, dealt=True), PALETTE, 2)
 
 
 def _videos(spark, folder):
@@ -47,7 +47,7 @@ def _turns(spark, folder):
 QUERIES = {
     "px_votes": lambda s, d: _cells(s, d).select("label", "frame", "by", "bx", F.array_join(F.col("votes").cast("array<string>"), ",").alias("votes"), "q", "a"),
     "px_clean": lambda s, d: op.majority_of_eight(op.without_strays(_cells(s, d), PALETTE), PALETTE).select("label", "frame", "by", "bx", "q", "a"),
-    "px_pixelated": lambda s, d: op.pixelated(keyed(s, d), PALETTE, 2),
+    "px_pixelated": lambda s, d: op.pixelated(keyed(s, d, dealt=True), PALETTE, 2),
     "img_light_part": lambda s, d: op.light_part(pixels(s, d), raster.border_median(pixels(s, d), SIDE)),
     "sig_motion_of_figure": lambda s, d: op.motion_signal(keyed(s, d)),
     "sig_video_times": _videos,

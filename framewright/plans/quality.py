@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 KEYED = f"""{PIX}, kf AS (SELECT *, least(255, g * 2) AS alpha FROM px), sol AS (SELECT * FROM kf WHERE alpha > 128), nso AS (SELECT * FROM kf WHERE alpha <= 128)"""
 
 
-def keyed(spark, folder):
-    return pixels(spark, folder).withColumn("alpha", F.least(F.lit(255), F.col("g") * 2))
+def keyed(spark, folder, dealt=False):
+    return pixels(spark, folder, dealt).withColumn("alpha", F.least(F.lit(255), F.col("g") * 2))
 
 
 def _issues(spark, folder):

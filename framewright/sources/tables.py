@@ -17,6 +17,8 @@ SIDE = 8
 PICTURE = 32
 #: Vectors whose pictures one task draws: a quarter of a million pixels.
 PICTURES_A_TASK = 256
+#: Vectors whose small frames one task draws: as many pixels.
+FRAMES_A_TASK = 4096
 #: Line items of one task, whose sheets' windows and lists are then sorted in memory.
 CELLS_A_TASK = 100_000
 BACKGROUNDS = [(250, 6, 248), (20, 220, 30), (128, 128, 128)]
@@ -61,11 +63,18 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def pixels(spark: SparkSession, folder: str) -> DataFrame:
-    """(label, frame, y, x, r, g, b): each vector as a square frame; three neighbouring values give a pixel's channels."""
+def pixels(spark: SparkSession, folder: str, dealt: bool = False) -> DataFrame:
+    """(label, frame, y, x, r, g, b): each vector as a square frame; three neighbouring values give a pixel's channels.
+
+    Vectors stay with their label, or are dealt over tasks by frame before they are drawn; the table is counted for that.
+    """
     e = F.col("e")
     channel = lambda shift: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 700 * F.element_at(e, ((F.col("pos") + shift) % (SIDE * SIDE) + 1).cast("int"))))).cast("int")
-    spread = clips(spark, folder).select("label", "frame", "e", F.posexplode("e").alias("pos", "v"))
+    frames = clips(spark, folder)
+    if dealt:
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, folder, "embeddings").count() // FRAMES_A_TASK))
+        frames = frames.select("label", "frame", "e").repartition(parts, "label", "frame")
+    spread = frames.select("label", "frame", "e", F.posexplode("e").alias("pos", "v"))
     return spread.select(
         "label", "frame", F.floor(F.col("pos") / SIDE).cast("int").alias("y"), (F.col("pos") % SIDE).cast("int").alias("x"),
         channel(0).alias("r"), channel(21).alias("g"), channel(42).alias("b"),

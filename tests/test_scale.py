@@ -95,3 +95,9 @@ def test_skinned_vertices_are_not_shuffled(spark):
 def test_bodies_of_one_tile_are_moved_in_one_pass(spark):
     text = plan(catalog.QUERIES["skel_skinned"](spark, SF))
     assert text.count("MapInArrow") == 1 and text.count("Union") == 1  # influences and transforms are dealt once
+
+
+def test_small_frames_of_pixel_art_are_dealt_before_they_are_drawn(spark, monkeypatch):
+    monkeypatch.setattr(tables, "FRAMES_A_TASK", 20)
+    text = plan(catalog.QUERIES["px_clean"](spark, SF))
+    assert re.search(r"posexplode.*?Exchange hashpartitioning\(label#\d+, frame#\d+, 25\)", text, re.S)
